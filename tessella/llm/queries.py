@@ -14,6 +14,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.bpe import digests
+
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
