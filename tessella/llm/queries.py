@@ -45,10 +45,10 @@ n AS (SELECT doc_id, i, CASE WHEN c IS NULL THEN 0 WHEN count(*) OVER (PARTITION
 r AS (SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM n),
 s AS (SELECT doc_id, sum(covered) AS n_repeat_words FROM r GROUP BY doc_id),
 x AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    list_filter(lines, x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines FROM d),
+    list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines FROM d),
 m AS (SELECT doc_id, n_words, word_chars, n_symbols, len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(full_lines) AS n_lines
     FROM x LEFT JOIN s USING (doc_id)),
 f AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END
     + CASE WHEN 100 * n_dup_lines > 70 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, n_lines FROM f
-""".replace("\\x", "\x")
+"""
