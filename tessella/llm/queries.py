@@ -14,6 +14,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.pii import spans_digest
+
+    return spans_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.bpe import digests
 
@@ -26,7 +32,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_quality_rules, op9_pii, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 
