@@ -30,49 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_rows, spark_schema, staged, with_key
+from tessella.llm.hashing import MIX, SEED, lower_words, mixed, word_hashes
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 85, 100
 BANDS, ROWS, HASHES, BITS = 24, 5, 128, 4
 CHUNK, PIVOTS, MARGIN = 512, 8, 0.16
-SEED = 20240229
 
 _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MIX = np.uint64(0x9E3779B97F4A7C15)
-UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A fixed bijection of 64-bit integers that spreads every bit."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_words: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, remembered for the words seen before."""
-    from xxhash import xxh3_64_intdigest
-
-    known = _words
-    out = [known.get(w) for w in words]
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                h = out[i] = xxh3_64_intdigest(words[i], SEED)
-                if len(known) >= 500_000:
-                    known.clear()
-                known[words[i]] = h
-    return np.array(out, dtype=np.uint64)
-
-
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of one text."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(UPPER).split()
+    words = lower_words(text)
     if not words:
         return np.empty(0, np.uint64)
     h = word_hashes(words)

@@ -20,6 +20,18 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.decontaminate import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.resample import importance_resample
+
+    return importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.pii import spans_digest
 
@@ -38,7 +50,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_quality_rules, op6_minhash, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_quality_rules, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 
