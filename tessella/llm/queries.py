@@ -44,13 +44,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.warc import capture_index
 
     return capture_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_quality_rules, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op4_quality_rules, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 
