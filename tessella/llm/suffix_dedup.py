@@ -133,7 +133,7 @@ def anchors(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 
 def suffix_order(symbols: np.ndarray, depth: int, group: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order of group and their first depth symbols or more, ties by place; ranks by the first h symbols for each h."""
+    """Suffixes in order of group and their first depth symbols or more; ranks by the first h symbols for each h."""
     n, bits = len(symbols), int(symbols.max()).bit_length()
     h = 63 // bits
     padded = np.concatenate([symbols.astype(np.int64), np.zeros(h, np.int64)])
@@ -144,7 +144,7 @@ def suffix_order(symbols: np.ndarray, depth: int, group: np.ndarray | None = Non
         keys = group * (n + 1) + np.unique(keys, return_inverse=True)[1]
     levels = []
     while True:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ordered = keys[order]
         new = np.empty(n, bool)
         new[0], new[1:] = True, ordered[1:] != ordered[:-1]
