@@ -14,6 +14,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.langid import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.minhash import near_duplicates
 
@@ -56,7 +62,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op4_quality_rules, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op4_quality_rules, op5_language_id, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 
