@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.common import read_table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.toxicity import toxicity
+
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.quality_rules import quality_rules
 
@@ -62,7 +68,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op4_quality_rules, op5_language_id, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_quality_rules, op5_language_id, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 
