@@ -37,78 +37,99 @@ UNITS = frozenset(
 WORD, NUM, UNIT, NAME = 0, 1, 2, 3
 HASHES = {kind: np.uint64(text_hash(f"<{name}>".encode())) for kind, name in ((NUM, "num"), (UNIT, "unit"), (NAME, "name"))}
 BREAK = "\x03"
+ENDINGS = (".", "!", "?", ":", ";")
+CLOSING = "\"'”’)]"
+OUTER = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~“”„‘’«»‹›…–—¿¡。、，！？：；（）【】"
 
 
 class Tokens:
-    """Facts of the raw tokens seen so far, by small integers: plain form, its hash, and flags."""
+    """Facts of the raw tokens seen so far, by small integers: plain form, hash and flags."""
 
-    def __init__(self, most: int = 400_000):
+    NUMBER, CAPITAL, ENDS, FULL = 1, 2, 4, 8
+
+    def __init__(self, most: int = 300_000):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.plain: list[str] = []
-        self.rows: list[tuple[int, int, bool, bool, bool]] = []
-        self.table = np.empty((0, 5), np.uint64)
+        self.hash, self.flags = np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.uint8)
 
     def add(self, raw: str) -> int:
-        plain = raw.strip("".join({c for c in raw[:12] + raw[-12:] if not c.isalnum() and c not in "$€£%"})) if not raw.isalnum() else raw
+        i = len(self.plain)
+        if i == len(self.hash):
+            self.hash, self.flags = np.concatenate([self.hash, self.hash]), np.concatenate([self.flags, self.flags])
+        plain = raw.strip(OUTER)
         lower = plain.lower()
-        number = bool(NUMBER.match(lower))
-        capital = plain[:1].isupper() and not (len(plain) > 1 and plain.isupper())
-        full = any(c.isalnum() for c in plain)
-        ends = raw == BREAK or raw.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":", ";")
-        i = self.index[raw] = len(self.plain)
+        number = NUMBER.match(lower) is not None
+        flags = self.NUMBER * number
+        flags |= self.CAPITAL * (not number and plain[:1].isupper() and not (len(plain) > 1 and plain.isupper()))
+        flags |= self.ENDS * (raw == BREAK or raw.rstrip(CLOSING)[-1:] in ENDINGS)
+        flags |= self.FULL * (plain.isalnum() or any(map(str.isalnum, plain)))
+        self.hash[i] = HASHES[NUM] if number else text_hash(lower.encode("utf-8", "surrogatepass"))
+        self.flags[i] = flags
         self.plain.append(lower)
-        self.rows.append((HASHES[NUM] if number else text_hash(lower.encode("utf-8", "surrogatepass")), number, capital, ends, full))
+        self.index[raw] = i
         return i
 
     def ids(self, tokens: list[str]) -> np.ndarray:
         if len(self.plain) > self.most:
             self.clear()
-        get, add = self.index.get, self.add
-        out = np.array([add(t) if (i := get(t)) is None else i for t in tokens], np.int64)
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64)])
-        return out
+        get = self.index.get
+        out = [get(t) for t in tokens]
+        if None in out:
+            for k, i in enumerate(out):
+                if i is None:
+                    out[k] = i if (i := get(tokens[k])) is not None else self.add(tokens[k])
+        return np.array(out, np.int64)
 
 
 _tokens = Tokens()
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Per template token: hash, type, and a way back to its value (index into the last element)."""
-    tokens = (text or "").replace("\n", f" {BREAK} ").split()
-    if not tokens:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), []
-    ids = _tokens.ids(tokens)
-    rows = _tokens.table[ids]
-    number, capital, ends, full = (rows[:, i].astype(bool) for i in (1, 2, 3, 4))
-    starts = np.concatenate([[True], ends[:-1]])
-    hashes, kinds = rows[:, 0].copy(), np.where(number, NUM, WORD)
-    named = capital & ~starts & full & ~number
-    hashes[named], kinds[named] = HASHES[NAME], NAME
-    after = np.flatnonzero(number[:-1]) + 1
-    for i in after:
-        if tokens[i].rstrip(".,;:!?)").lower() in UNITS:
-            hashes[i], kinds[i] = HASHES[UNIT], UNIT
-    full = np.flatnonzero(full)
-    return hashes[full], kinds[full], [_tokens.plain[i] for i in ids[full]] if (kinds[full] != WORD).any() else []
-
-
-def windows(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Positions and hashes of a text's usable windows, and its types and values."""
-    hashes, kinds, values = template(text)
-    n = len(hashes) - WINDOW + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), kinds, values
-    out, plain = np.full(n, WINDOW, np.uint64), np.zeros(n, np.int64)
-    for i in range(WINDOW):
-        out = mixed(out * MIX + hashes[i : i + n])
-        plain += kinds[i : i + n] == WORD
-    at = np.flatnonzero(plain >= PLAIN)
-    return at, out[at], kinds, values
+class Windows:
+    """The usable windows of some texts: text, position and hash of each, and the slots in them."""
+
+    def __init__(self, texts: list[str | None]):
+        tokens: list[str] = []
+        ends = []
+        for text in texts:
+            if text:
+                tokens += text.replace("\n", f" {BREAK} ").split()
+            ends.append(len(tokens))
+        ids = _tokens.ids(tokens)
+        flags = _tokens.flags[ids]
+        hashes = _tokens.hash[ids]
+        text = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        number = flags & Tokens.NUMBER > 0
+        inside = np.empty(len(ids), bool)  # not the first of a sentence
+        inside[1:] = (flags[:-1] & Tokens.ENDS == 0) & (text[1:] == text[:-1])
+        inside[:1] = False
+        named = inside & (flags & (Tokens.CAPITAL | Tokens.FULL) == Tokens.CAPITAL | Tokens.FULL)
+        kinds = np.where(number, NUM, WORD).astype(np.int8)
+        hashes[named], kinds[named] = HASHES[NAME], NAME
+        for i in np.flatnonzero(number[:-1]) + 1:
+            if text[i] == text[i - 1] and _tokens.plain[ids[i]] in UNITS:
+                hashes[i], kinds[i] = HASHES[UNIT], UNIT
+        full = np.flatnonzero(flags & Tokens.FULL)
+        hashes, text, self.kinds, self.ids = hashes[full], text[full], kinds[full], ids[full]
+        n = max(0, len(full) - WINDOW + 1)
+        out, plain = np.full(n, WINDOW, np.uint64), np.zeros(n, np.int8)
+        for i in range(WINDOW):
+            out = mixed(out * MIX + hashes[i : i + n])
+            plain += self.kinds[i : i + n] == WORD
+        self.at = np.flatnonzero((text[:n] == text[WINDOW - 1 :]) & (plain >= PLAIN)) if n else np.empty(0, np.int64)
+        self.hash, self.text = out[self.at], text[self.at]
+        self.pos = self.at - np.searchsorted(text, self.text)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        self.at, self.hash, self.text, self.pos = self.at[wanted], self.hash[wanted], self.text[wanted], self.pos[wanted]
+
+    def slots(self, i: int) -> list[dict]:
+        """Of the i-th window."""
+        a = self.at[i]
+        return [{"at": k, "kind": int(self.kinds[a + k]), "value": _tokens.plain[self.ids[a + k]]} for k in range(WINDOW) if self.kinds[a + k] != WORD]
 
 
 SLOT = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string())])
@@ -118,21 +139,14 @@ def window_rows(df: DataFrame, key: str, bitmap: np.ndarray | None = None) -> Da
     """key, hash, pos and slots of the windows of df.text; with a bitmap, of those that it has."""
 
     def block(rows: dict) -> dict:
-        out: dict[str, list] = {key: [], "hash": [], "pos": [], "slots": []}
-        for i, text in zip(rows[key], rows["text"]):
-            at, hashes, kinds, values = windows(text)
-            if bitmap is not None and len(at):
-                found = np.flatnonzero(bitmap[(hashes >> np.uint64(42)).astype(np.int64)])
-                at, hashes = at[found], hashes[found]
-            for p, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
-                out[key].append(i)
-                out["hash"].append(h)
-                out["pos"].append(p)
-                out["slots"].append([{"at": k, "kind": int(kinds[p + k]), "value": values[p + k]} for k in range(WINDOW) if kinds[p + k] != WORD])
-        return out
+        found = Windows(rows["text"])
+        if bitmap is not None:
+            found.keep(np.flatnonzero(bitmap[(found.hash >> np.uint64(42)).astype(np.int64)]))
+        ids = pa.array(rows[key], pa.int64()).take(pa.array(found.text, pa.int64()))
+        return {key: ids, "hash": found.hash.view(np.int64), "pos": found.pos, "slots": [found.slots(i) for i in range(len(found.at))]}
 
     schema = pa.schema([(key, pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("slots", pa.list_(SLOT))])
-    return map_rows(with_key(df, (key, "text")), block, schema)
+    return map_rows(with_key(df, (key, "text")), block, schema, 1 << 20)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
