@@ -22,6 +22,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -196,17 +197,19 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encoded(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ids (array of ints) and decoded (string) per document, with the columns in keep."""
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids (array of ints) and decoded (string) per document."""
     path = path or default_path()
 
     def block(rows: dict) -> dict:
         v = vocabulary(path)
-        pairs = [v.encode(t) for t in rows["text"]]
-        ids = [struct.unpack(f"<{len(i) // 4}I", i) for i, _ in pairs]
-        return {"doc_id": rows["doc_id"], "ids": ids, "decoded": [v.decode(i) for i, _ in pairs]}
+        packed = [v.encode(t)[0] for t in rows["text"]]
+        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        return {"doc_id": rows["doc_id"], "ids": ids, "decoded": [v.decode(p) for p in packed]}
 
-    return map_rows(with_key(docs, ("doc_id", "text")), block, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]), 1 << 20)
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    return map_rows(with_key(docs, ("doc_id", "text")), block, schema, 1 << 20)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

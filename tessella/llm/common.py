@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,32 +40,50 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, per_block: Callable[[dict], dict], schema: pa.Schema, block_chars: int = 4 << 20) -> DataFrame:
-    """Apply per_block to blocks of rows, as dicts of lists of values; a block ends at about block_chars characters of text.
+    """Apply per_block to blocks of rows, as dicts of lists of values; a block ends at about block_chars bytes of text.
 
     Only a block's values are Python objects at a time, so long texts in one Arrow batch don't add up.
     """
-    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, rows = 0, batch.num_rows
-            sizes = [0] * rows
-            for column in batch.columns:
-                if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
-                    sizes = [a + len(memoryview(b.as_buffer())) if b.is_valid else a for a, b in zip(sizes, column)]
-            while start < rows:
-                end, total = start, 0
-                while end < rows and (end == start or total + sizes[end] <= block_chars):
-                    total += sizes[end]
-                    end += 1
-                part = batch.slice(start, end - start)
-                out = per_block({n: part.column(i).to_pylist() for i, n in enumerate(names)})
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-                start = end
+            for part in blocks(batch, block_chars):
+                yield pa.RecordBatch.from_pydict(per_block(values(part)), schema=schema)
 
     return df.mapInArrow(run, spark_schema(schema))
 
 
+def add_columns(df: DataFrame, inputs: tuple[str, ...], per_block: Callable[[dict], dict], schema: pa.Schema, block_chars: int = 4 << 20) -> DataFrame:
+    """df with the columns of schema, which per_block makes from the inputs; names of schema must be new."""
+    from pyspark.sql.types import StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, block_chars):
+                made = pa.RecordBatch.from_pydict(per_block(values(part.select(list(inputs)))), schema=schema)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made.columns], names=[*part.schema.names, *schema.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *spark_schema(schema).fields]))
+
+
+def values(batch: pa.RecordBatch) -> dict[str, list]:
+    return {name: column.to_pylist() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def blocks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch of about most bytes of strings and binaries; one row at least."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(total, total[start] + most, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def spark_schema(schema: pa.Schema):
     from pyspark.sql.pandas.types import from_arrow_schema
 

@@ -243,6 +243,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return base.join(of_set, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group, by its smallest doc_id; rows without doc_id stay."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    single = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
 def candidate_clusters(reps: DataFrame) -> DataFrame:
     """(node, root, chunks): documents that share a band key with others, by connected cluster, and its number of chunks."""
     keys = reps.select("doc_id", F.explode("bands").alias("key"))

@@ -14,10 +14,10 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows, with_key
+from tessella.llm.common import add_columns, map_rows, with_key
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SPACES = b" \t\n\v\f\r"
@@ -87,13 +87,31 @@ def measurements(docs: DataFrame) -> DataFrame:
     return map_rows(with_key(docs, ("doc_id", "text")), block, schema)
 
 
+def failed_bits(prefix: str = "") -> Column:
+    """The bits of the rules that fail, over measurement columns whose names begin with prefix."""
+    bits = F.lit(0).cast("long")
+    for i, rule in enumerate(RULES):
+        fails = rule.fails
+        for m in MEASURES:
+            fails = fails.replace(m, prefix + m)
+        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return bits
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and ``failed``, the rules' bits."""
-    bits = [F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(RULES)]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return measurements(docs).withColumn("failed", failed)
+    return measurements(docs).withColumn("failed", failed_bits())
+
+
+def kept_rows(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The rows of docs that the policy keeps, with their own columns; no join, as rows are measured where they are."""
+
+    def block(rows: dict) -> dict:
+        measured = [measure(t) for t in rows["text"]]
+        return {f"_rule_{m}": [x[i] for x in measured] for i, m in enumerate(MEASURES)}
+
+    schema = pa.schema([(f"_rule_{m}", pa.int64()) for m in MEASURES])
+    return add_columns(docs, ("text",), block, schema).where(failed_bits("_rule_").bitwiseAND(F.lit(mask(policy))) == 0).select(*docs.columns)
 
 
 def apply_policy(book: DataFrame, policy: str = CURRENT) -> DataFrame:
