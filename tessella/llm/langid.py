@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import map_rows
 
-HIDDEN, SEGMENT, BATCH = 8, 128, 4096
+HIDDEN, SEGMENT, BATCH = 8, 128, 1024
 PER_LANGUAGE, LANGUAGES, SEED = 300, 64, 5
 STEPS, TRAIN_BATCH, TRAIN_LENGTH, RATE = 260, 512, 48, 0.02
 
