@@ -164,7 +164,7 @@ def lexicon_topn(spark, sf_dir):
 OVERLAPS = "o AS (SELECT word, list(DISTINCT lang ORDER BY lang) AS ls FROM words GROUP BY word), v AS (SELECT w.*, list_filter(ls, lambda l: l <> w.lang) AS others FROM words AS w JOIN o USING (word))"
 
 
-@query(f"WITH {WORDS}, {OVERLAPS} SELECT lang, word, array_to_string(others, ',') AS "overlaps", len(others) > 0 AS is_overlap FROM v")
+@query(f"""WITH {WORDS}, {OVERLAPS} SELECT lang, word, array_to_string(others, ',') AS "overlaps", len(others) > 0 AS is_overlap FROM v""")
 def word_overlap(spark, sf_dir):
     return lexicon.with_overlaps(words(spark, sf_dir)).select("lang", "word", F.array_join("overlaps", ",").alias("overlaps"), (F.size("overlaps") > 0).alias("is_overlap"))
 
