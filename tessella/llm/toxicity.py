@@ -36,18 +36,16 @@ from tessella.llm.langid import held_out
 
 DECAY, REACH, WIDTH, STEP, FLOOR = 0.7, 8, 24, 12, 0.4
 LANDMARKS, POSITIVES, NEGATIVES, LONGEST, SEED = 32, 1500, 2500, 20_000, 17
-THRESHOLD, SURE, CACHE = 0.3, 0.7, 400_000
+THRESHOLD, SURE, TELLING, CACHE = 0.3, 0.7, 20, 400_000
 OTHER, GAP, BASE = 26, 31, 32
 BREAK = "\x03"
 
 
 def _symbols() -> np.ndarray:
-    """Symbol of each code point below 0x250: letters by their base letter, some digits as letters they stand for."""
-    import unicodedata
-
+    """Symbol of each code point below 0x250: a to z, classes of other letters, and some digits as letters they stand for."""
     table = np.full(0x250, GAP, np.uint8)
     for cp in range(0x250):
-        c = unicodedata.normalize("NFD", chr(cp))[0].lower()
+        c = chr(cp).lower()[0]
         if "a" <= c <= "z":
             table[cp] = ord(c) - 97
         elif chr(cp).isalpha():
@@ -211,7 +209,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
     score = {}
     for w, c in counts[1].items():
         p, q = (c + 0.5) / (n[1] + 1), (counts[0][w] + 0.5) / (n[0] + 1)
-        if c >= max(5, n[1] // 60) and p > 4 * q:
+        if c >= max(5, n[1] // 60) and p > TELLING * q:
             score[w] = (p - q) / np.sqrt(q + 0.01)
     out: list[str] = []
     for w in sorted(score, key=lambda w: (-score[w], -len(w), w))[: 8 * most]:
