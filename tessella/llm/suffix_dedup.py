@@ -7,7 +7,8 @@ Every byte covered by a string of LENGTH bytes that also starts elsewhere, in an
    of its context, the bytes that windows with this anchor can cover (at most SIDE + LENGTH bytes).
 2. Anchors that occur once are dropped. Equal contexts collapse into one with a count; where the count is two or more,
    the whole context is repeated. Contexts that occur once, of anchors with other contexts, need their bytes compared.
-3. The index. An anchor's distinct contexts go to one task, many anchors to a block. The block's suffixes are sorted by
+3. The index. An anchor's distinct contexts go to one task, many anchors to a block, cut to the part whose cores occur
+   in other contexts of the anchor and that isn't equal to another context's. The block's suffixes are sorted by
    prefix doubling; its transform is cut into runs, and suffixes are sampled at run starts and ends. Longest common
    prefixes are computed at these samples only: elsewhere the neighbour's value is one less than at the byte before
    (reducible values). Streaming them in text order gives each byte's matching statistic, and stretches of at least
@@ -32,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows, spark_schema, staged
+from tessella.llm.common import discard, map_rows, spark_schema, staged
 from tessella.llm.hashing import SEED, mixed
 
 LENGTH, K = 200, 32
 SIDE = LENGTH - K
-MOST = 4096
-SEGMENT, BLOCK = 1 << 20, 1 << 21
+MOST, RANGES = 4096, 8
+SEGMENT, BLOCK = 1 << 18, 1 << 19
 PLACE = np.uint64((1 << 24) - 1)
 
 _rng = np.random.default_rng(SEED + 1)
@@ -219,7 +220,7 @@ def repeated(contexts: list[bytes], groups: list[int]) -> list[list[tuple[int, i
     symbols[starts] = 257 + np.arange(len(contexts))  # a separator before each context
     group = np.repeat(np.array(groups, np.int64), sizes)
     group[starts] = max(groups) + 1
-    found = matching_statistics(symbols, 2 * LENGTH, group)
+    found = matching_statistics(symbols, int(sizes.max()), group)
     found[starts] = 0
     end = np.repeat(starts + sizes, sizes)
     hit = np.flatnonzero((found >= LENGTH) & (end - np.arange(len(symbols)) >= LENGTH))
@@ -233,6 +234,47 @@ def repeated(contexts: list[bytes], groups: list[int]) -> list[list[tuple[int, i
     return out
 
 
+def hulls(contexts: list[bytes], left: list[int], groups: list[int]) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]:
+    """For each context the part that needs the index, (0, 0) if none, and the stretches known to occur in another of its group.
+
+    Windows go by RANGES ranges of their start. All windows of a range contain its core, so a range whose core occurs in
+    no other context has no match. A range whose bytes as a whole occur in another context is repeated as a whole; of
+    such equal ranges one goes on, where others share its core, as what those may match. The part runs from the first
+    range that goes on to the last.
+    """
+    n = len(contexts)
+    sizes = np.array([len(c) for c in contexts])
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    hashed = Hashed(np.frombuffer(b"".join(contexts), np.uint8))
+    before = np.array(left)  # bytes before the anchor
+    group = np.array(groups, np.uint64) << np.uint64(8)
+    width = -(-(SIDE + 1) // RANGES)
+    low, high, known = np.full(n, LENGTH * 4), np.full(n, -1), np.zeros(n, np.int64)
+    for r in range(RANGES):
+        start, end = r * width, min(SIDE, (r + 1) * width - 1)  # of windows, counted from SIDE bytes before the anchor
+        fits = np.flatnonzero((end >= SIDE - before) & (K + start <= sizes - before))
+        at = first[fits] + before[fits]
+        core = np.unique(mixed(hashed.of(at - SIDE + end, at + K + start) + group[fits]), return_inverse=True)[1]
+        alive = np.bincount(core)[core] > 1
+        fits, at, core = fits[alive], at[alive], core[alive]
+        whole = (start >= SIDE - before[fits]) & (K + end <= sizes[fits] - before[fits])
+        bytes_ = np.arange(len(fits), dtype=np.uint64)  # a range cut off by its text's end is like no other
+        bytes_[whole] = mixed(hashed.of(at[whole] - SIDE + start, at[whole] + K + end) + group[fits[whole]]) | np.uint64(1 << 63)
+        _, place, inverse, counts = np.unique(bytes_, return_index=True, return_inverse=True, return_counts=True)
+        known[fits[counts[inverse] > 1]] |= 1 << r
+        goes = place[np.bincount(core[place], minlength=core.max(initial=0) + 1)[core[place]] > 1]
+        low[fits[goes]] = np.minimum(low[fits[goes]], start)
+        high[fits[goes]] = end
+    a = np.maximum(0, before - SIDE + low)
+    b = np.minimum(sizes, before + K + high)
+    parts = [(x, y) if h >= 0 and y - x >= LENGTH else (0, 0) for x, y, h in zip(a.tolist(), b.tolist(), high.tolist())]
+    stretches = [[(p - SIDE + x * width, p + K + min(SIDE, (y + 1) * width - 1)) for x, y in RUNS[m]] for p, m in zip(left, known.tolist())]
+    return parts, stretches
+
+
+#: Runs of ones in each mask of ranges, as (first, last).
+RUNS = [[(i, next(j for j in range(i, RANGES) if not m >> (j + 1) & 1)) for i in range(RANGES) if m >> i & 1 and not (i and m >> (i - 1) & 1)] for m in range(1 << RANGES)]
+
 OCCURRENCE = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32()), ("left", pa.int16()), ("right", pa.int16()), ("anchor", pa.int64()), ("context", pa.int64())])
 MARK = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 CONTEXT = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("crowded", pa.bool_()), ("at", pa.int16()), ("bytes", pa.binary())])
@@ -249,7 +291,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         at = pa.array(found["document"])
         return {"doc_id": ids.take(at), "row_key": keys.take(at), "pos": found["pos"].astype(np.int32)} | {k: found[k].astype(np.int16) for k in ("left", "right")} | {k: found[k].view(np.int64) for k in ("anchor", "context")}
 
-    return map_rows(keyed(docs), block, OCCURRENCE)
+    return map_rows(keyed(docs), block, OCCURRENCE, BLOCK)
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -278,6 +320,22 @@ def _with_marks(docs: DataFrame, marks: DataFrame, name: str) -> DataFrame:
     return own.join(theirs, (own["row_key"] == theirs["_key"]) & own["doc_id"].eqNullSafe(theirs["_id"]), "left").select("doc_id", "row_key", "text", name)
 
 
+def stretches_of_documents(parts: list[tuple]) -> list[tuple]:
+    """(group, doc_id, row_key, start, bytes) with overlapping parts of a document joined.
+
+    In periodic texts an anchor recurs within its own context; joined, each place of a document is in its group once, so
+    what matches it is elsewhere.
+    """
+    out: list[tuple] = []
+    for part in sorted(parts, key=lambda p: (p[0], p[1] is not None, p[1] or 0, p[2], p[3])):
+        last = out[-1] if out else None
+        if last and last[:3] == part[:3] and part[3] < last[3] + len(last[4]):
+            out[-1] = (*last[:4], last[4] + part[4][last[3] + len(last[4]) - part[3] :])
+        else:
+            out.append(part)
+    return out
+
+
 def _index_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of contexts() in order of their anchors: marks of those that occur once, by an index over a block of anchors."""
     held: list[tuple] = []
@@ -285,7 +343,11 @@ def _index_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def marks() -> pa.RecordBatch:
         groups = np.unique([r[3] for r in held], return_inverse=True)[1].tolist()
-        rows = [(r[0], r[1], r[2] + a, r[2] + b) for r, spans in zip(held, repeated([r[8] for r in held], groups)) if r[5] == 1 for a, b in spans]
+        hull, known = hulls([r[8] for r in held], [r[7] for r in held], groups)
+        parts = stretches_of_documents([(g, r[0], r[1], r[2] + a, r[8][a:b]) for r, g, (a, b) in zip(held, groups, hull) if b])
+        found = repeated([p[4] for p in parts], [p[0] for p in parts]) if parts else []
+        rows = [(p[1], p[2], p[3] + x, p[3] + y) for p, spans in zip(parts, found) for x, y in spans]
+        rows += [(r[0], r[1], r[2] + x, r[2] + y) for r, spans in zip(held, known) if r[5] == 1 for x, y in spans]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(MARK.types)], schema=MARK)
 
     for batch in batches:
@@ -295,8 +357,9 @@ def _index_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield marks()
                     held, size = [], 0
                 seen, last = set(), row[3]
-            if row[:3] not in seen:  # equal rows of the input bring a context twice
-                seen.add(row[:3])
+            place = (row[0], row[1], row[2], row[7])
+            if place not in seen:  # equal rows of the input bring a context twice
+                seen.add(place)
                 held.append(row)
                 size += len(row[8]) + 1
     if held:
@@ -325,6 +388,7 @@ def all_marks(docs: DataFrame) -> DataFrame:
     seen = staged(occurrences(docs), "anchors")
     often = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
     again = staged(seen.join(often, "anchor"), "repeated-anchors")
+    discard(seen)
     key = ("anchor", "context", "left", "right")
     rep = F.min(F.struct("doc_id", "row_key", "pos")).alias("rep")
     distinct = staged(again.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), rep), "contexts")
@@ -333,12 +397,17 @@ def all_marks(docs: DataFrame) -> DataFrame:
     whole = whole.select("doc_id", "row_key", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + F.col("right")).cast("int").alias("end"))
     mixed_anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1 and single > 0")
     wanted = distinct.join(mixed_anchors.select("anchor", (F.col("m") > MOST).alias("crowded")), "anchor").select(*key, "n", "crowded", "rep.*")
+    whole = staged(whole, "whole")
+    discard(again)
     stored = staged(contexts(docs, wanted), "context-bytes")
     indexed = stored.where("not crowded").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index_marks, spark_schema(MARK))
     windows = staged(map_rows(stored.where("crowded"), _windows, WINDOW, 1 << 17), "windows")
     twice = windows.groupBy("anchor", "at", "window").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "at", "window")
     counted = windows.where("n = 1").join(twice, ["anchor", "at", "window"]).select("doc_id", "row_key", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
-    return staged(whole.unionByName(indexed).unionByName(counted), "marks")
+    marks = staged(whole.unionByName(indexed).unionByName(counted), "marks")
+    for table in (whole, stored, windows):
+        discard(table)
+    return marks
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

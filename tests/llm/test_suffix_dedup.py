@@ -36,6 +36,8 @@ def corpus(seed):
             cut = rng.randint(0, 20)
             parts.insert(rng.randrange(len(parts) + 1), p[cut : len(p) - rng.randint(0, 20)])
         docs.append(" ".join(parts))
+    junk = [" ".join(word() for _ in range(4)) for _ in range(4)]
+    docs += [f"{text(20)} {(j + ' ') * rng.randint(3, 60)}{text(5)}" for j in junk for _ in range(4)]
     docs += rng.sample(docs[9:], 15)
     for d in rng.sample(docs[9:], 30):
         i = rng.randrange(len(d) + 1)
