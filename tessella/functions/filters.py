@@ -19,9 +19,9 @@ def has_artifact(c: Column | str) -> Column:
 
 def is_valid(c: Column | str) -> Column:
     """Visible length strictly inside the language's bounds, four tokens or more, at most a tenth digits."""
-    visible = T.visible_chars(c)
-    tokens = F.when(F.coalesce("no_space", F.lit(False)), visible).otherwise(T.valid_tokens(c))
-    return (visible > F.coalesce("min_len", F.lit(30))) & (visible < F.coalesce("max_len", F.lit(600))) & (tokens >= MIN_TOKENS) & (T.digits(c) <= visible * MAX_DIGIT_SHARE)
+    tokens = lambda visible: F.when(F.coalesce("no_space", F.lit(False)), visible).otherwise(T.valid_tokens(c))
+    inside = lambda n: (n > F.coalesce("min_len", F.lit(30))) & (n < F.coalesce("max_len", F.lit(600)))
+    return T.bind(T.visible_chars(c), lambda n: F.when(inside(n), (tokens(n) >= MIN_TOKENS) & (T.digits(c) <= n * MAX_DIGIT_SHARE)).otherwise(F.lit(False)))
 
 
 def has_foreign_letters(c: Column | str) -> Column:
@@ -117,9 +117,11 @@ def post_cleaned(df: DataFrame, column: str, stop: Column, **lists: Column) -> D
     """The whole chain over sentences with ``lang`` and the columns of with_lang(): artifacts, cleaning, edges, validity. Duplicates stay."""
     out = cleaned(df.where(~has_artifact(column)), column, stop, **lists)
     edge = T.collapse_punct(T.strip_leading_orphan(T.strip_list_starters(T.strip_leading_punct(column))))
-    out = out.withColumn(column, edge)
-    out = out.withColumn(column, T.trim(T.collapse_spaces(F.when(F.coalesce("latin", F.lit(False)), F.col(column)).otherwise(T.strip_trailing_orphan(column)))))
-    return out.where((F.col(column) != "") & ~has_artifact(column) & is_valid(column))
+    final = T.bind(edge, lambda e: T.trim(T.collapse_spaces(F.when(F.coalesce("latin", F.lit(False)), e).otherwise(T.strip_trailing_orphan(e)))))
+    # exploding what is kept runs the chain once; a filter would be pushed below it and run it again for every use
+    kept = F.filter(F.array(final), lambda s: (s != "") & ~has_artifact(s) & is_valid(s))
+    names = [c for c in out.columns if c != column]
+    return out.select(*names, F.explode(kept).alias(column)).select(*out.columns)
 
 
 def is_wikipedia(url: Column | str) -> Column:
