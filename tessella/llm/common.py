@@ -59,6 +59,13 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """An aggregate by key, to be joined by key: both sides of the join are then shuffled for it, so Spark may split a hot key."""
+    from pyspark.sql import functions as F
+
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def map_rows(df: DataFrame, per_block: Callable[[dict], dict], schema: pa.Schema, block_chars: int = 4 << 20) -> DataFrame:
     """Apply per_block to blocks of rows, as dicts of lists of values; a block ends at about block_chars bytes of text.
 

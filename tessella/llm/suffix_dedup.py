@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, map_rows, spark_schema, staged
+from tessella.llm.common import dealt_anew, discard, map_rows, spark_schema, staged
 from tessella.llm.hashing import SEED, mixed
 
 LENGTH, K = 200, 32
@@ -387,7 +387,7 @@ def all_marks(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, start, end: stretches that repeat elsewhere; they may overlap."""
     seen = staged(occurrences(docs), "anchors")
     often = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
-    again = staged(seen.join(often, "anchor"), "repeated-anchors")
+    again = staged(seen.join(dealt_anew(often, "anchor"), "anchor"), "repeated-anchors")
     discard(seen)
     key = ("anchor", "context", "left", "right")
     rep = F.min(F.struct("doc_id", "row_key", "pos")).alias("rep")
@@ -396,7 +396,7 @@ def all_marks(docs: DataFrame) -> DataFrame:
     whole = again.join(copied, list(key)).where(F.col("left") + F.col("right") >= LENGTH)
     whole = whole.select("doc_id", "row_key", (F.col("pos") - F.col("left")).cast("int").alias("start"), (F.col("pos") + F.col("right")).cast("int").alias("end"))
     mixed_anchors = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1 and single > 0")
-    wanted = distinct.join(mixed_anchors.select("anchor", (F.col("m") > MOST).alias("crowded")), "anchor").select(*key, "n", "crowded", "rep.*")
+    wanted = distinct.join(dealt_anew(mixed_anchors, "anchor").select("anchor", (F.col("m") > MOST).alias("crowded")), "anchor").select(*key, "n", "crowded", "rep.*")
     whole = staged(whole, "whole")
     discard(again)
     stored = staged(contexts(docs, wanted), "context-bytes")
