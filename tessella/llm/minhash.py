@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows, spark_schema, staged, with_key
+from tessella.llm.common import dealt_anew, map_rows, spark_schema, staged, with_key
 from tessella.llm.hashing import MIX, SEED, lower_words, mixed, word_hashes
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 85, 100
@@ -118,7 +118,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
             if large:
                 both = both.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            linked = both.join(least, "a")
+            linked = both.join(dealt_anew(least, "a"), "a")
             linked = linked.where("b > a") if large else linked
             stars = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))
             if not large:
@@ -254,7 +254,7 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     """(node, root, chunks): documents that share a band key with others, by connected cluster, and its number of chunks."""
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("z")).where("b <> z").drop("z")
-    clusters = components(keys.join(shared, "key").select(F.col("doc_id").alias("a"), "b"))
+    clusters = components(keys.join(dealt_anew(shared, "key"), "key").select(F.col("doc_id").alias("a"), "b"))
     chunks = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
     return clusters.join(chunks, "root", "left").select("node", "root", F.coalesce("chunks", F.lit(1)).alias("chunks"))
 
