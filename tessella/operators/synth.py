@@ -12,6 +12,7 @@ from tessella.functions import noise as N
 from tessella.functions import text as T
 from tessella.functions.dims import LANGUAGES, lang_dim
 from tessella.operators import pools
+from tessella.sources.stores import materialized
 
 
 @dataclass(frozen=True)
@@ -102,6 +103,7 @@ def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tok
     drawn = pools.draw(wanted, pool).join(wanted.select("doc", "slot", "kind", "n_slots"), ["doc", "slot"])
     dim = lang_dim(drawn.sparkSession).select("lang", "label", "script")
     drawn = drawn.join(F.broadcast(dim), "lang").withColumn("key", F.concat_ws("\0", F.lit(str(seed)), "doc", F.col("slot").cast("string")))
+    drawn = materialized(drawn, "drawn")  # each kind reads it
     parts = None
     for kind in KINDS:
         own = noisy(drawn.where(F.col("kind") == kind.name), kind)
@@ -124,8 +126,8 @@ def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tok
 
 def build(sentences: DataFrame, total: int, seed: int = 42) -> DataFrame:
     """Synthetic examples from (source, lang, sentence): pools, plans for every kind, and documents."""
-    pool = pools.numbered(pools.split_by_hash(sentences, seed), seed).select("pool", "lang", "idx", "sentence")
-    supply = pool.groupBy("pool", "lang").agg(F.count(F.lit(1)).alias("n"))
+    pool = materialized(pools.numbered(pools.split_by_hash(sentences, seed), seed).select("pool", "lang", "idx", "sentence"), "pool")
+    supply = materialized(pool.groupBy("pool", "lang").agg(F.count(F.lit(1)).alias("n")), "supply")
     known = F.array(*map(F.lit, sorted(r["lang"] for r in supply.select("lang").distinct().where(F.col("lang").isin(*LANGUAGES)).collect())))  # languages: at most 105
     wanted, counts = None, targets(total)
     for i, kind in enumerate(KINDS):
@@ -134,7 +136,7 @@ def build(sentences: DataFrame, total: int, seed: int = 42) -> DataFrame:
         plan = pools.doc_plan(capacity, counts[kind.name], seed + 101 * (i + 1))
         part = demands(plan, kind, known, seed)
         wanted = part if wanted is None else wanted.unionByName(part)
-    return documents(wanted, pool, seed)
+    return documents(materialized(wanted, "demands"), pool, seed)
 
 
 def model_ready(examples: DataFrame, include_spliced: bool = False) -> DataFrame:

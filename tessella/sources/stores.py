@@ -48,6 +48,21 @@ def read_json(spark: SparkSession, path: str) -> Any:
         return None
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in spark.checkpoint.dir (a folder of our own where it is unset) and read back."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_sentences(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """(source, lang, pos, sentence), a folder per source and language, so that a language is read alone."""
     df.write.mode(mode).partitionBy("source", "lang").parquet(path)
