@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_rows
@@ -198,17 +198,17 @@ def classify(network: Network | None, texts: list[str | None]) -> list[tuple[str
 
 def learn(docs: DataFrame) -> Network | None:
     """Train on a bounded sample of the rows that aren't held out."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     common = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
-    ids = known.select("lang", "doc_id").where(F.col("lang").isin(common)).withColumn("place", place).where(F.col("place") <= PER_LANGUAGE)
-    wanted = [r["doc_id"] for r in ids.select("doc_id").distinct().collect()]  # at most LANGUAGES * PER_LANGUAGE
+    place = F.xxhash64("doc_id", F.lit(SEED))
+    firsts = [known.where(F.col("lang") == name).select("doc_id").orderBy(place, "doc_id").limit(PER_LANGUAGE) for name in common]
+    wanted = sorted({r["doc_id"] for first in firsts for r in first.collect()})  # at most LANGUAGES * PER_LANGUAGE
     if not wanted:
         return None
-    picked = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(wanted)], "doc_id long"))
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long"))
     # of long texts, the middle is as good as any part for random segments
     middle = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2 - 4000).cast("int")), F.lit(8000))
-    rows = sorted(known.join(picked, "doc_id").select("doc_id", "lang", middle.alias("text")).collect())
+    rows = sorted(known.join(picked, "doc_id").where(F.col("text").isNotNull()).select("doc_id", "lang", middle.alias("text")).collect())
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
