@@ -62,6 +62,13 @@ def config_language(config: Column | str) -> Column:
     return F.when(c != "all", F.lower(F.split_part(c, F.lit("_"), F.lit(1))))
 
 
+def matching_configs(configs: DataFrame) -> DataFrame:
+    """(config, lang) of configurations of known languages; a Latin-script one only for a language written in Latin."""
+    rows = configs.withColumn("lang", config_language("config")).where("lang is not null")
+    rows = with_lang(with_canonical(rows)).where(F.col("lang_group").isNotNull())
+    return rows.where(~F.col("config").rlike("_Latn$") | F.col("latin")).select("config", "lang")
+
+
 def chunks(which: str, whole: str) -> Column:
     """Non-empty chunks, or the whole text as one."""
     kept = F.filter(F.coalesce(which, F.array().cast("array<string>")), lambda c: T.trim(c) != "")

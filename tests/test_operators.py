@@ -125,6 +125,8 @@ def test_sources(spark, tmp_path):
     rows = corpora.tab_sentences(corpora.tab_separated(spark, str(tmp_path / "t.tsv"))).collect()
     assert sorted((r.lang, r.sentence) for r in rows) == [("fr", "Bonjour  monde"), ("no", "Hei verden")]
     assert corpora.parse_remaps(["A=b"]) == {"a": "b"}
+    configs = spark.createDataFrame([("all",), ("fra_Latn",), ("hin_Latn",), ("hin_Deva",), ("qqq_Latn",)], "config string")
+    assert {(r.config, r.lang) for r in corpora.matching_configs(configs).collect()} == {("fra_Latn", "fr"), ("hin_Deva", "hi")}
     text = "\n\n".join(f"Paragraph number word{chr(97 + i)} is here with more than enough words to pass. It is the second sentence of the same paragraph, word{chr(97 + i)}." for i in range(20))
     articles = spark.createDataFrame([("en", 0, "t", text), ("en", 1, "short", "too short")], "lang string, pos int, title string, text string")
     out = corpora.article_sentences(articles, stop)
