@@ -60,13 +60,16 @@ class Tokens:
         i = len(self.plain)
         if i == len(self.hash):
             self.hash, self.flags = np.concatenate([self.hash, self.hash]), np.concatenate([self.flags, self.flags])
-        plain = raw.strip(OUTER)
+        plain = raw if raw.isalpha() else raw.strip(OUTER)
         lower = plain.lower()
-        number = NUMBER.match(lower) is not None
-        flags = self.NUMBER * number
-        flags |= self.CAPITAL * (not number and plain[:1].isupper() and not (len(plain) > 1 and plain.isupper()))
-        flags |= self.ENDS * (raw == BREAK or raw.rstrip(CLOSING)[-1:] in ENDINGS)
-        flags |= self.FULL * (plain.isalnum() or any(map(str.isalnum, plain)))
+        number = not plain.isalpha() and NUMBER.match(lower) is not None
+        flags = self.NUMBER if number else 0
+        if not number and plain[:1].isupper() and (len(plain) == 1 or not plain.isupper()):
+            flags |= self.CAPITAL
+        if raw == BREAK or (plain is not raw and raw.rstrip(CLOSING)[-1:] in ENDINGS):
+            flags |= self.ENDS
+        if plain.isalnum() or any(map(str.isalnum, plain)):
+            flags |= self.FULL
         self.hash[i] = HASHES[NUM] if number else text_hash(lower.encode("utf-8", "surrogatepass"))
         self.flags[i] = flags
         self.plain.append(lower)
