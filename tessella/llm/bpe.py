@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import map_rows, with_key
+from tessella.llm.common import map_rows, use_cache, with_key
 
 #: Words longer than this many symbols take the heap; the result is the same.
 SHORT = 64
 #: Entries that the caches of one worker may hold.
-CACHE = 400_000
+CACHE = 250_000
 NEVER = 1 << 60
 
 
@@ -192,6 +192,7 @@ _loaded: dict[str, Vocabulary] = {}
 
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary per worker and path."""
+    use_cache("vocabulary", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Vocabulary(path)
     return _loaded[path]

@@ -66,6 +66,20 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_user: list[str] = [""]
+
+
+def use_cache(name: str, clear: Callable[[], None]) -> None:
+    """A worker keeps the cache of one operator at a time: before another operator fills its own, the others are cleared."""
+    if _user[0] != name:
+        for other, forget in _caches.items():
+            if other != name:
+                forget()
+        _caches[name] = clear
+        _user[0] = name
+
+
 def map_rows(df: DataFrame, per_block: Callable[[dict], dict], schema: pa.Schema, block_chars: int = 4 << 20) -> DataFrame:
     """Apply per_block to blocks of rows, as dicts of lists of values; a block ends at about block_chars bytes of text.
 

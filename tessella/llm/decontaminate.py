@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows, staged, with_key
+from tessella.llm.common import map_rows, staged, use_cache, with_key
 from tessella.llm.hashing import MIX, mixed, text_hash
 
 WINDOW, PLAIN, SHARE, LOOSE = 5, 2, 0.8, 0.1
@@ -95,6 +95,7 @@ class Windows:
     """The usable windows of some texts: text, position and hash of each, and the slots in them."""
 
     def __init__(self, texts: list[str | None]):
+        use_cache("tokens", _tokens.clear)
         tokens: list[str] = []
         ends = []
         for text in texts:

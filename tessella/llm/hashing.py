@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
+from tessella.llm.common import use_cache
+
 SEED = 20240229
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a worker remembers.
-CACHE = 500_000
+CACHE = 300_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,6 +32,7 @@ _words: dict[bytes, int] = {}
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, remembered for the words seen before."""
+    use_cache("words", _words.clear)
     known = _words
     out = [known.get(w) for w in words]
     if None in out:

@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows
+from tessella.llm.common import map_rows, use_cache
 from tessella.llm.langid import held_out
 
 DECAY, REACH, WIDTH, STEP, FLOOR = 0.7, 8, 24, 12, 0.4
 LANDMARKS, POSITIVES, NEGATIVES, LONGEST, SEED = 32, 1500, 2500, 20_000, 17
-THRESHOLD, SURE, TELLING, CACHE = 0.3, 0.7, 20, 400_000
+THRESHOLD, SURE, TELLING, CACHE = 0.3, 0.7, 20, 300_000
 OTHER, GAP, BASE = 26, 31, 32
 BREAK = "\x03"
 
@@ -324,6 +324,7 @@ def score_toxicity(docs: DataFrame, machine: Machine | None) -> DataFrame:
         if machine is None:
             scores = [0.0] * len(rows["doc_id"])
         else:
+            use_cache("scorers", _scorers.clear)
             key = id(machine)
             if key not in _scorers:
                 _scorers.clear()
