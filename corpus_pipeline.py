@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm import bpe, decontaminate, minhash, pii, quality_rules
 from tessella.llm.common import read_table, staged
 
+#: Least similarity of near-duplicates in hundredths; op6_minhash has a higher one of its own.
+SIMILAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the current policy go."""
@@ -18,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return minhash.one_of_each(docs)
+    """One document of each group stays; documents with a similarity of SIMILAR / 100 or more are linked."""
+    return minhash.one_of_each(docs, SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 1. One pass over the texts gives each document's shingle set as hashes, its digest, the minima of HASHES hash
    functions reduced to b-bit codes in a packed signature, and BANDS keys of ROWS minima each.
 2. Documents with equal sets collapse to the one with the smallest doc_id. At a similarity of 0.85 a pair misses all
-   24 bands of 5 with a probability of 8e-7.
+   24 bands of 5 with a probability of 8e-7, at 0.8 with 7e-5.
 3. Bucket-mates form candidate clusters: each member links to its bucket's smallest doc_id (one row per member, never
    pairs), and connected components join buckets that share members.
 4. Each cluster's sets are shipped once. A cluster of more than CHUNK members is split by hash into chunks that all
@@ -23,6 +23,7 @@ than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import dealt_anew, map_rows, spark_schema, staged, with_key
 from tessella.llm.hashing import MIX, SEED, lower_words, mixed, word_hashes
 
+#: A link is a similarity of NUMERATOR / DENOMINATOR or more, unless a caller gives another numerator.
 WORDS, NUMERATOR, DENOMINATOR = 5, 85, 100
 BANDS, ROWS, HASHES, BITS = 24, 5, 128, 4
 CHUNK, PIVOTS, MARGIN = 512, 8, 0.16
@@ -137,7 +139,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 class Sets:
     """A chunk's documents: signatures and sets, the sets laid end to end over small integers."""
 
-    def __init__(self, ids: list[int], packed: list[bytes], sets: list[bytes]):
+    def __init__(self, ids: list[int], packed: list[bytes], sets: list[bytes], numerator: int):
+        self.numerator = numerator
         order = np.argsort(ids, kind="stable")
         self.ids = np.array(ids, np.int64)[order]
         self.codes = np.array([np.frombuffer(packed[i], np.uint8) for i in order])
@@ -149,14 +152,14 @@ class Sets:
 
     def links(self, i: int, others: np.ndarray) -> np.ndarray:
         """Of others, those that are linked to i: bit counts first, then full sets."""
-        near = others[estimate(self.codes[i], self.codes[others]) >= NUMERATOR / DENOMINATOR - MARGIN]
+        near = others[estimate(self.codes[i], self.codes[others]) >= self.numerator / DENOMINATOR - MARGIN]
         if not len(near):
             return near
         own = self.flat[self.starts[i] : self.starts[i + 1]]
         self.seen[own] = True
         common = np.array([np.count_nonzero(self.seen[self.flat[self.starts[j] : self.starts[j + 1]]]) for j in near])
         self.seen[own] = False
-        return near[DENOMINATOR * common >= NUMERATOR * (self.sizes[i] + self.sizes[near] - common)]
+        return near[DENOMINATOR * common >= self.numerator * (self.sizes[i] + self.sizes[near] - common)]
 
     def groups(self) -> np.ndarray:
         """The index of each document's group, exactly; every document outside the largest group is compared with all."""
@@ -198,19 +201,19 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=EDGES)
 
 
-def _chunk_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_groups(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, chunk, node, signature, set) in order of the first two: a link from each node to its group's first."""
     for held in _grouped(batches, (0, 1)):
-        sets = Sets([r[2] for r in held], [r[3] for r in held], [r[4] for r in held])
+        sets = Sets([r[2] for r in held], [r[3] for r in held], [r[4] for r in held], numerator)
         group = sets.groups()
         yield _edges([(int(sets.ids[i]), int(sets.ids[g])) for i, g in enumerate(group)])
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_links(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, chunk, query, node, group, signature, set): links of queries that join two groups."""
     for held in _grouped(batches, (0, 1)):
         group = {r[3]: r[4] for r in held}
-        sets = Sets([r[3] for r in held], [r[5] for r in held], [r[6] for r in held])
+        sets = Sets([r[3] for r in held], [r[5] for r in held], [r[6] for r in held], numerator)
         root: dict[int, int] = {}
 
         def top(g: int, root: dict[int, int] = root) -> int:
@@ -232,20 +235,20 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(pairs)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id and kept."""
+def near_duplicates(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id and kept; numerator is the least similarity in hundredths."""
     base = staged(sketches(docs), "sketches")
     full = base.where("set_hash is not null and doc_id is not null")
     copies = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    roots = linked_groups(docs, full, copies)
+    roots = linked_groups(docs, full, copies, numerator)
     of_set = staged(copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("root", "rep").alias("root")), "sets")
     component = F.coalesce("root", "doc_id")
     return base.join(of_set, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """docs with one document of each group, by its smallest doc_id; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(docs, numerator).where("kept and doc_id is not null").select("doc_id").distinct()
     single = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
@@ -279,13 +282,13 @@ def cluster_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return map_rows(rows.select(*names, "text"), block, schema, 1 << 20)
 
 
-def linked_groups(docs: DataFrame, full: DataFrame, copies: DataFrame) -> DataFrame:
+def linked_groups(docs: DataFrame, full: DataFrame, copies: DataFrame, numerator: int) -> DataFrame:
     """(node, root) for the representatives of equal sets that are linked to others."""
     reps = full.join(copies.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"]).select("doc_id", "bands")
     members = staged(candidate_clusters(staged(reps, "reps")), "members")
     stored = staged(cluster_sets(docs, members), "cluster-sets")
     rows = stored.select("root", F.explode("chunk").alias("part"), "node", "signature", "set")
-    links = staged(rows.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(_chunk_groups, spark_schema(EDGES)).where("a <> b"), "links")
+    links = staged(rows.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(partial(_chunk_groups, numerator=numerator), spark_schema(EDGES)).where("a <> b"), "links")
     groups = components(links)
     split = stored.where("chunks > 1")
     if split.isEmpty():
@@ -299,4 +302,4 @@ def linked_groups(docs: DataFrame, full: DataFrame, copies: DataFrame) -> DataFr
     asked = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("query", F.lit(True)).select(*columns)
     there = placed.join(rest.select("node"), "node", "left_anti").withColumn("part", F.element_at("chunk", 1)).withColumn("query", F.lit(False)).select(*columns)
     blocks = asked.unionByName(there).repartition("root", "part").sortWithinPartitions("root", "part")
-    return components(links.unionByName(staged(blocks.mapInArrow(_block_links, spark_schema(EDGES)), "links")))
+    return components(links.unionByName(staged(blocks.mapInArrow(partial(_block_links, numerator=numerator), spark_schema(EDGES)), "links")))

@@ -3,7 +3,7 @@ import struct
 
 import corpus_pipeline
 from tessella.llm import bpe, pii, quality_rules
-from tests.llm.test_minhash import brute
+from tests.llm.test_minhash import brute, shingle_set
 from tests.llm.test_pii import brute as brute_spans
 
 ITEM = "The quick traveller walks along the river until the old bridge appears behind tall green trees at dusk."
@@ -55,3 +55,17 @@ def test_like_brute_force(spark, tmp_path):
         read = stage(spark, read, str(tmp_path))
         assert read.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert pii.mask(read.limit(0)).count() == 0
+
+
+def test_near_duplicates_at_080(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(80):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        changed = [f"x{i}" if j in (20, 50, 80)[: 1 + i % 3] else w for j, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(changed)]
+    similar = lambda a, b: len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+    want = {2 * i for i in range(80)} | {2 * i + 1 for i in range(80) if similar(texts[2 * i], texts[2 * i + 1]) < 0.8}
+    assert sum(0.8 <= similar(a, b) < 0.85 for a, b in zip(texts[::2], texts[1::2])) > 20 and len(want) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
