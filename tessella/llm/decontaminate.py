@@ -1,12 +1,19 @@
 """Benchmark decontamination by templates: re-parameterised questions are found like verbatim ones.
 
 Texts and benchmark items become template tokens: words in lower case without outer punctuation, numbers as <num>,
-unit words after a number as <unit>, and capitalised words inside a sentence as <name>. Windows of WINDOW template
-tokens, with at least PLAIN that aren't placeholders, are hash-joined between documents and items. A document's
-windows are first looked up in a bitmap of fixed size made from all items' windows, so only probable hits leave the
-scan, and the join removes the false ones. Hits are grouped by document, item and diagonal (distance of the two
-positions); on a diagonal each value of the item must stand for one value of the document (slot consistency). A pair is
-reported where the consistent diagonals cover SHARE of the item's windows.
+unit words after a number as <unit>, and capitalised words as <name>, wherever they stand, so that line breaks and
+sentence ends don't matter. Windows of WINDOW template tokens, with at least PLAIN that aren't placeholders (words that
+begin a sentence count as plain here), are hash-joined between documents and items; an item's windows are also joined
+with the words that begin its sentences taken as words, for texts that write them small. A document's windows are first
+looked up in a bitmap of fixed size made from all items' windows, so only probable hits leave the scan, and the join
+removes the false ones. Hits are grouped by document, item and diagonal (distance of the two positions); on a diagonal
+each value of the item must stand for one value of the document (slot consistency), and where that fails only windows
+whose values are all the item's own count. A pair is reported where these windows
+
+* are SHARE of the item's windows, or
+* cover SHARE of the tokens that the item's windows cover (an edit costs its own token where WINDOW unchanged tokens
+  stand on both sides of it), or
+* follow each other on one diagonal over RUN tokens (a part of a long item).
 
 Nulls and edge cases: null and empty texts have no windows; items of fewer than WINDOW tokens, or of placeholders only,
 are too short to tell and never match; repeated documents or items with equal ids count as one; rows without doc_id
@@ -19,13 +26,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_rows, staged, use_cache, with_key
 from tessella.llm.hashing import MIX, mixed, text_hash
 
-WINDOW, PLAIN, SHARE, LOOSE = 5, 2, 0.8, 0.1
+WINDOW, PLAIN, SHARE, LOOSE, RUN = 5, 2, 0.8, 0.1, 13
 BITMAP = 1 << 22
 NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:%|[a-zµ°]{0,4}\d?)$")
 
@@ -92,9 +99,12 @@ _tokens = Tokens()
 
 
 class Windows:
-    """The usable windows of some texts: text, position and hash of each, and the slots in them."""
+    """The usable windows of some texts: text, position and hash of each, and the slots in them.
 
-    def __init__(self, texts: list[str | None]):
+    With starts, also those with some of the words that begin a sentence taken as words: their bits are in small.
+    """
+
+    def __init__(self, texts: list[str | None], starts: bool = False):
         use_cache("tokens", _tokens.clear)
         tokens: list[str] = []
         ends = []
@@ -110,40 +120,63 @@ class Windows:
         inside = np.empty(len(ids), bool)  # not the first of a sentence
         inside[1:] = (flags[:-1] & Tokens.ENDS == 0) & (text[1:] == text[:-1])
         inside[:1] = False
-        named = inside & (flags & (Tokens.CAPITAL | Tokens.FULL) == Tokens.CAPITAL | Tokens.FULL)
+        named = flags & (Tokens.CAPITAL | Tokens.FULL) == Tokens.CAPITAL | Tokens.FULL
         kinds = np.where(number, NUM, WORD).astype(np.int8)
+        words = hashes.copy() if starts else hashes
         hashes[named], kinds[named] = HASHES[NAME], NAME
         for i in np.flatnonzero(number[:-1]) + 1:
             if text[i] == text[i - 1] and _tokens.plain[ids[i]] in UNITS:
                 hashes[i], kinds[i] = HASHES[UNIT], UNIT
         full = np.flatnonzero(flags & Tokens.FULL)
+        first = (named & ~inside)[full]
         hashes, text, self.kinds, self.ids = hashes[full], text[full], kinds[full], ids[full]
+        word = (self.kinds == WORD) | first
         n = max(0, len(full) - WINDOW + 1)
         out, plain = np.full(n, WINDOW, np.uint64), np.zeros(n, np.int8)
         for i in range(WINDOW):
             out = mixed(out * MIX + hashes[i : i + n])
-            plain += self.kinds[i : i + n] == WORD
+            plain += word[i : i + n]
         self.at = np.flatnonzero((text[:n] == text[WINDOW - 1 :]) & (plain >= PLAIN)) if n else np.empty(0, np.int64)
         self.hash, self.text = out[self.at], text[self.at]
+        self.small = np.zeros(len(self.at), np.int64)
+        if starts:
+            self._add_small(hashes, words[full], first)
         self.pos = self.at - np.searchsorted(text, self.text)
 
+    def _add_small(self, hashes: np.ndarray, words: np.ndarray, first: np.ndarray) -> None:
+        at, small = [], []
+        for a in self.at.tolist():
+            bits = sum(1 << k for k in range(WINDOW) if first[a + k])
+            part = bits
+            while part:
+                at.append(a)
+                small.append(part)
+                part = (part - 1) & bits
+        more, chosen = np.array(at, np.int64), np.array(small, np.int64)
+        out = np.full(len(more), WINDOW, np.uint64)
+        for k in range(WINDOW):
+            out = mixed(out * MIX + np.where(chosen >> k & 1 == 1, words[more + k], hashes[more + k]))
+        texts = dict(zip(self.at.tolist(), self.text.tolist()))
+        self.at, self.small = np.concatenate([self.at, more]), np.concatenate([self.small, chosen])
+        self.hash, self.text = np.concatenate([self.hash, out]), np.concatenate([self.text, np.array([texts[a] for a in at], np.int64)])
+
     def keep(self, wanted: np.ndarray) -> None:
-        self.at, self.hash, self.text, self.pos = self.at[wanted], self.hash[wanted], self.text[wanted], self.pos[wanted]
+        self.at, self.small, self.hash, self.text, self.pos = self.at[wanted], self.small[wanted], self.hash[wanted], self.text[wanted], self.pos[wanted]
 
     def slots(self, i: int) -> list[dict]:
         """Of the i-th window."""
-        a = self.at[i]
-        return [{"at": k, "kind": int(self.kinds[a + k]), "value": _tokens.plain[self.ids[a + k]]} for k in range(WINDOW) if self.kinds[a + k] != WORD]
+        a, small = self.at[i], self.small[i]
+        return [{"at": k, "kind": int(self.kinds[a + k]), "value": _tokens.plain[self.ids[a + k]]} for k in range(WINDOW) if self.kinds[a + k] != WORD and not small >> k & 1]
 
 
 SLOT = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string())])
 
 
 def window_rows(df: DataFrame, key: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """key, hash, pos and slots of the windows of df.text; with a bitmap, of those that it has."""
+    """key, hash, pos and slots of the windows of df.text; with a bitmap, of those that it has, without one also with small starts."""
 
     def block(rows: dict) -> dict:
-        found = Windows(rows["text"])
+        found = Windows(rows["text"], bitmap is None)
         if bitmap is not None:
             found.keep(np.flatnonzero(bitmap[(found.hash >> np.uint64(42)).astype(np.int64)]))
         ids = pa.array(rows[key], pa.int64()).take(pa.array(found.text, pa.int64()))
@@ -153,25 +186,47 @@ def window_rows(df: DataFrame, key: str, bitmap: np.ndarray | None = None) -> Da
     return map_rows(with_key(df, (key, "text")), block, schema, 1 << 20)
 
 
+def _tokens_of(positions: str) -> Column:
+    """Number of tokens in the windows at some positions."""
+    return F.size(F.array_distinct(F.flatten(F.transform(positions, lambda p: F.sequence(p, p + WINDOW - 1)))))
+
+
+def _longest_run(positions: str) -> Column:
+    """Tokens in the longest stretch of windows that follow each other."""
+    start = F.struct(F.lit(-9).cast("long").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(state: Column, p: Column) -> Column:
+        n = F.when(p == state["last"] + 1, state["n"] + 1).otherwise(1)
+        return F.struct(p.alias("last"), n.alias("n"), F.greatest(state["most"], n).alias("most"))
+
+    return F.aggregate(F.array_sort(positions), start, step, lambda s: s["most"] + WINDOW - 1)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_matched (windows of the item), share, verbatim (no slot differs): the leaked pairs."""
     items = staged(window_rows(benchmark, "item_id"), "items")
     slots = items.select(F.shiftrightunsigned("hash", 42).alias("bit")).distinct().toPandas()["bit"].to_numpy()  # at most BITMAP values
     bitmap = np.zeros(BITMAP, bool)
     bitmap[slots.astype(np.int64)] = True
-    sizes = items.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows"))
+    sizes = items.groupBy("item_id").agg(F.collect_set("pos").alias("all")).select("item_id", F.size("all").alias("n_windows"), _tokens_of("all").alias("n_tokens"))
     theirs = items.select("item_id", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     hits = window_rows(docs, "doc_id", bitmap).join(theirs, "hash")
     # pairs of values that meet in a window: (value of the item, value of the document)
     meet = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["value"].alias("a"), b["value"].alias("b")))
     same = F.forall(F.zip_with("item_slots", "slots", lambda a, b: (a["at"] == b["at"]) & (a["kind"] == b["kind"])), lambda x: x)
     hits = hits.where((F.size("item_slots") == F.size("slots")) & same)
-    lines = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", meet.alias("meet"))
-    lines = lines.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("item_pos").alias("covered"), F.array_distinct(F.flatten(F.collect_set("meet"))).alias("meet"))
+    own = F.forall("meet", lambda x: x["a"] == x["b"])
+    lines = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", meet.alias("meet")).withColumn("own", own)
+    lines = lines.groupBy("doc_id", "item_id", "diagonal").agg(
+        F.collect_set("item_pos").alias("covered"), F.collect_set(F.when(F.col("own"), F.col("item_pos"))).alias("verbatim_at"), F.array_distinct(F.flatten(F.collect_set("meet"))).alias("meet")
+    )
     sources = F.size(F.array_distinct(F.transform("meet", lambda x: x["a"])))
-    lines = lines.where(F.size("meet") <= (1 + LOOSE) * sources)
-    pairs = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_matched"), F.every(F.forall("meet", lambda x: x["a"] == x["b"])).alias("verbatim"))
-    pairs = pairs.join(sizes, "item_id").where(F.col("n_matched") >= SHARE * F.col("n_windows"))
+    lines = lines.withColumn("fits", F.size("meet") <= (1 + LOOSE) * sources).withColumn("covered", F.when(F.col("fits"), F.col("covered")).otherwise(F.col("verbatim_at")))
+    lines = lines.where(F.size("covered") > 0).withColumn("run", _longest_run("covered"))
+    verbatim = F.every(~F.col("fits") | F.forall("meet", lambda x: x["a"] == x["b"])).alias("verbatim")
+    pairs = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.max("run").alias("run"), verbatim)
+    pairs = pairs.join(sizes, "item_id").withColumn("n_matched", F.size("covered").cast("long"))
+    pairs = pairs.where((F.col("n_matched") >= SHARE * F.col("n_windows")) | (_tokens_of("covered") >= SHARE * F.col("n_tokens")) | (F.col("run") >= RUN))
     return pairs.select("doc_id", "item_id", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("share"), "verbatim")
 
 

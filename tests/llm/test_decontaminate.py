@@ -38,3 +38,29 @@ def test_clean(spark):
     docs = spark.createDataFrame([(1, "x " + ITEM), (2, "y"), (None, "z")], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert sorted(r.text for r in decontaminate.clean(docs, items).collect()) == ["y", "z"]
+
+
+LONG = "During the harvest every farmer in the valley brings seven baskets of apples to the mill where the miller weighs them and pays a fair price before the evening bell calls all the tired workers home for soup."
+
+
+def test_edited_partial_and_rewrapped(spark):
+    words = LONG.split()
+    docs = [
+        (1, "Intro here. " + ITEM.replace("covers", "does") + " End."),
+        (2, "Intro here. " + ITEM.replace("covers", "does").replace("after", "following") + " End."),
+        (3, "Intro here. " + ITEM.replace("with Alice", "with Alicia") + " End."),
+        (4, "Intro here. " + ITEM.replace("before Alice", "before\nAlice").replace("with Alice", "with\nAlice").replace("meets Bob", "meets\nBob") + " End."),
+        (5, "They said a train with Alice leaves" + ITEM.split("leaves")[1]),
+        (6, "Something else " + " ".join(words[10:26]) + " and quite another end."),
+        (7, "Something else " + " ".join(words[10:21]) + " and quite another end."),
+        (8, "Intro here. " + LONG.replace("baskets of", "large baskets of") + " End."),
+        (9, "A train with a car leaves home and covers the way before dinner on the long way north."),
+    ]
+    got = pairs(spark, docs, [(10, ITEM), (20, LONG)])
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (4, 10), (5, 10), (6, 20), (8, 20)}
+    assert got[4, 10] and got[5, 10]
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Every day Alice walks to the old market. Alice buys bread there and some milk. Bob waits at home and cooks."
+    assert set(pairs(spark, [(1, "Well then. " + item.replace("Alice", "Carla").replace("Bob", "Dan"))], [(5, item)])) == {(1, 5)}
