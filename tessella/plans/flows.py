@@ -31,11 +31,20 @@ def clean_funnel(docs: DataFrame) -> DataFrame:
 
 
 def refilter(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], rejected: str | None = None) -> dict[str, int]:
-    """Rewrite the languages of a sentence store that a transform changes; returns rows before and after by language."""
+    """Rewrite the languages of a sentence store that a transform changes; returns their rows afterwards by language.
+
+    A language is changed if its rows are: counts and sums of two row hashes are compared, which don't depend on order.
+    """
     before = stores.read_sentences(spark, path)
     after = transform(before)
-    counts = before.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(after.groupBy("lang").agg(F.count(F.lit(1)).alias("m")), "lang", "left").collect()
-    changed = [r["lang"] for r in counts if r["n"] != (r["m"] or 0)]
+
+    def contents(df: DataFrame, n: str, sums: str) -> DataFrame:
+        row = [F.col(c) for c in sorted(before.columns)]
+        total = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.struct(*row)).cast("decimal(38,0)"))
+        return df.groupBy("lang").agg(F.count(F.lit(1)).alias(n), F.array(total(1), total(2)).alias(sums))
+
+    counts = contents(before, "n", "a").join(contents(after, "m", "b"), "lang", "left").collect()
+    changed = [r["lang"] for r in counts if r["n"] != r["m"] or r["a"] != r["b"]]
     if changed:
         if rejected:
             gone = before.where(F.col("lang").isin(changed)).join(after.select("source", "lang", "sentence"), ["source", "lang", "sentence"], "left_anti")

@@ -165,3 +165,16 @@ def test_streaming(spark, tmp_path):
     df.write.mode("append").parquet(src)
     ingest.ingest(spark, src, "lang string, sentence string, pos int", clean, out, check)
     assert spark.read.parquet(out).count() == 4
+
+
+def test_refilter_with_equal_counts(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = [("wiki", "en", 0, "(one)"), ("wiki", "en", 1, "two"), ("wiki", "fr", 0, "un"), ("wiki", "de", 0, "eins")]
+    stores.write_sentences(spark.createDataFrame(rows, "source string, lang string, pos long, sentence string"), path)
+
+    def transform(df):
+        lost = df.where("lang <> 'de'").withColumn("sentence", F.regexp_replace("sentence", "[()]", ""))
+        return lost.unionByName(df.where("lang = 'de'").withColumn("sentence", F.lit("zwei")))
+
+    assert flows.refilter(spark, path, transform) == {"en": 2, "fr": 1, "de": 1}
+    assert {(r.lang, r.sentence) for r in stores.read_sentences(spark, path).collect()} == {("en", "one"), ("en", "two"), ("fr", "un"), ("de", "zwei")}
