@@ -39,7 +39,7 @@ def main(args: list[str] | None = None) -> None:
 
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName(f"tessella-{a.command}").getOrCreate()
-    words = lambda path: F.array(*(F.lit(r.value.strip()) for r in spark.read.text(path).limit(2_000).collect() if r.value.strip())) if path else F.array().cast("array<string>")
+    words = lambda path: F.array(*(F.lit(r.value.strip()) for r in spark.read.text(path).collect() if r.value.strip())) if path else F.array().cast("array<string>")
     if a.command == "tab":
         rows = corpora.tab_sentences(corpora.tab_separated(spark, a.input), corpora.parse_remaps(a.remap.split(",")) if a.remap else None)
         stores.write_sentences(rows.withColumn("source", F.lit("tatoeba")), a.output, "errorifexists")

@@ -44,3 +44,14 @@ def test_cli(spark, tmp_path, capsys):
 
 def test_every_sql_has_a_query():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) > 40
+
+
+def test_stop_words_are_read_whole(spark, tmp_path, monkeypatch):
+    from tessella.plans import flows
+
+    seen = []
+    monkeypatch.setattr(flows, "leak_filter", lambda stop: seen.append(spark.range(1).select(F.size(stop)).first()[0]))
+    monkeypatch.setattr(flows, "refilter", lambda *args: {})
+    (tmp_path / "stop").write_text("".join(f"w{i}\n" for i in range(2500)))
+    cli.main(["refilter", "--store", str(tmp_path), "--stop", str(tmp_path / "stop")])
+    assert seen == [2500]
