@@ -39,16 +39,19 @@ class Kind:
     sentence_lower: float = 0.0
     wrap: float = 0.0
     paragraph: float = 0.0
+    unknown: float = 0.0
+    swap: float = 0.0
 
 
 # fixed values: the document mix
 KINDS = (
-    Kind("pure", 0.55, "reserved", 1, 6, 0.0, 0.10, 0.05, 0.02, 0.01, 0.03, 0.03, 0.02, 0.03, 0.05, 0.02, 0.02, 0.03, 0.30, 0.25),
-    Kind("homogeneous", 0.25, "main", 2, 6, 0.85, 0.15, 0.02, 0.01, 0.005, 0.02, 0.02, 0.01, 0.05, 0.01, 0.01, 0.01, 0.02, 0.20, 0.20),
-    Kind("spliced", 0.10, "main", 3, 5, 1.0, 0.20, 0.02, 0.02, 0.01, 0.02, 0.02, 0.01, 0.01, 0.01, 0.01, 0.0, 0.0, 0.15, 0.10),
-    Kind("mixed", 0.10, "main", 2, 4, 1.0, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    Kind("pure", 0.55, "reserved", 1, 6, 0.0, 0.10, 0.05, 0.02, 0.01, 0.03, 0.03, 0.02, 0.03, 0.05, 0.02, 0.02, 0.03, 0.30, 0.25, 0.002),
+    Kind("homogeneous", 0.25, "main", 2, 6, 0.85, 0.15, 0.02, 0.01, 0.005, 0.02, 0.02, 0.01, 0.05, 0.01, 0.01, 0.01, 0.02, 0.20, 0.20, 0.002),
+    Kind("spliced", 0.10, "main", 3, 5, 1.0, 0.20, 0.02, 0.02, 0.01, 0.02, 0.02, 0.01, 0.01, 0.01, 0.01, 0.0, 0.0, 0.15, 0.10, 0.002),
+    Kind("mixed", 0.10, "main", 2, 4, 1.0, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, swap=0.06),
 )
 MAX_LENGTH, START, END = 512, 1, 2
+SWAP_RATE, UNKNOWN = 0.02, "<unk>"
 
 
 def targets(total: int) -> dict[str, int]:
@@ -95,6 +98,34 @@ def noisy(df: DataFrame, kind: Kind) -> DataFrame:
     return df
 
 
+def with_swaps(pairs: Column, key: Column) -> Column:
+    """An array with SWAP_RATE of its places (one at least) exchanged with others, one after the other; it has two or more."""
+    n = F.size(pairs)
+
+    def step(now: Column, k: Column) -> Column:
+        own = F.concat_ws("\0", key, k.cast("string"))
+        return T.bind(N.pick(own, "swap", n), lambda i: T.bind((i + 1 + N.pick(own, "other", n - 1)) % n, lambda j: L.swapped(now, i, j)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(n * SWAP_RATE).cast("int"))), pairs, step)
+
+
+def token_noise(df: DataFrame, kind: Kind) -> DataFrame:
+    """The kind's noise on the tokens t and their labels tags: swaps, and an unknown token with the label of the one it precedes, which sentence has too."""
+    key, several = F.col("key"), F.size("t") >= 2
+    if kind.swap:
+        pairs = F.arrays_zip("t", "tags")
+        df = df.withColumn("pairs", F.when((N.u(key, "swaps") < kind.swap) & several, with_swaps(pairs, key)).otherwise(pairs))
+        df = df.withColumn("t", F.col("pairs.t")).withColumn("tags", F.col("pairs.tags")).drop("pairs")
+    if kind.unknown:
+        at = F.when((N.u(key, "unknown") < kind.unknown) & several, 1 + N.pick(key, "unknown-at", F.size("t") - 1))
+        words = F.split(F.trim("sentence"), r"\s+")
+        put = lambda a, x, place: F.when(F.col("at").isNull(), a).otherwise(F.array_insert(a, place + 1, x))
+        df = df.withColumn("at", at).withColumn("tags", put(F.col("tags"), F.get("tags", F.col("at")), F.col("at"))).withColumn("t", put(F.col("t"), F.lit(UNKNOWN), F.col("at")))
+        shown = F.array_join(F.array_insert(words, F.least(F.col("at"), F.size(words)) + 1, F.lit(UNKNOWN)), " ")
+        df = df.withColumn("sentence", F.when(F.col("at").isNull(), F.col("sentence")).otherwise(shown)).drop("at")
+    return df
+
+
 def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tokens, max_length: int = MAX_LENGTH) -> DataFrame:
     """Examples (doc, kind, original_text, tokens, ner_tags, input_ids, attention_mask, labels) for demands over a numbered pool.
 
@@ -111,8 +142,9 @@ def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tok
             own = own.withColumn("sentence", F.when(F.col("slot") == F.col("n_slots") - 1, F.lower(T.strip_terminal_punct("sentence"))).otherwise(F.col("sentence")))
         tokens = tokenizer("sentence")
         own = own.withColumn("t", F.when(N.u(F.col("key"), "punct") < kind.strip_punct, L.drop_punct(tokens)).otherwise(tokens))
+        own = token_noise(own.withColumn("tags", L.bio(F.col("t"), "label")), kind)
         mark = F.when(N.u(F.col("key"), "wrap") < kind.wrap, F.array(F.lit("-"))).otherwise(F.array().cast("array<string>"))
-        made = L.wrap_outside(F.col("t"), L.bio(F.col("t"), "label"), mark, F.array().cast("array<string>"))
+        made = L.wrap_outside(F.col("t"), F.col("tags"), mark, F.array().cast("array<string>"))
         own = own.withColumn("made", made).withColumn("gap", F.when(N.u(F.col("key"), "paragraph") < kind.paragraph, "\n\n").otherwise(" "))
         parts = own if parts is None else parts.unionByName(own)
     rows = F.array_sort(F.collect_list(F.struct("slot", "part", "sentence", "gap", F.col("made.tokens").alias("tokens"), F.col("made.labels").alias("tags"))))

@@ -1,3 +1,5 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +180,27 @@ def test_refilter_with_equal_counts(spark, tmp_path):
 
     assert flows.refilter(spark, path, transform) == {"en": 2, "fr": 1, "de": 1}
     assert {(r.lang, r.sentence) for r in stores.read_sentences(spark, path).collect()} == {("en", "one"), ("en", "two"), ("fr", "un"), ("de", "zwei")}
+
+
+def test_unknown_and_swapped_tokens(spark, monkeypatch):
+    assert {k.name: (k.unknown, k.swap) for k in synth.KINDS} == {"pure": (0.002, 0), "homogeneous": (0.002, 0), "spliced": (0.002, 0), "mixed": (0, 0.06)}
+    words = "one two three four five six seven eight nine ten".split()
+    rows = [("wiki", lang, f"{lang} {' '.join(words[i % 7 :])} number {chr(97 + i % 26)}{chr(97 + i // 26)}") for lang in ("en", "fr", "de") for i in range(120)]
+    df = spark.createDataFrame(rows, "source string, lang string, sentence string")
+
+    def built(**probabilities):
+        monkeypatch.setattr(synth, "KINDS", tuple(dataclasses.replace(k, **{n: p if getattr(k, n) else 0.0 for n, p in probabilities.items()}) for k in kinds))
+        return {r.doc: r for r in synth.build(df, 40).collect()}
+
+    kinds = synth.KINDS
+    plain, noisy = built(unknown=0.0, swap=0.0), built(unknown=1.0, swap=1.0)
+    assert plain.keys() == noisy.keys() and {r.kind for r in plain.values()} == {k.name for k in kinds}
+    for doc, r in noisy.items():
+        old = plain[doc]
+        if r.kind == "mixed":
+            assert r.original_text == old.original_text and r.tokens != old.tokens
+            assert sorted(zip(r.tokens, r.ner_tags)) == sorted(zip(old.tokens, old.ner_tags))
+        else:
+            assert [t for t in r.tokens if t != "<unk>"] == old.tokens and [x for t, x in zip(r.tokens, r.ner_tags) if t != "<unk>"] == old.ner_tags
+            assert all(r.ner_tags[i] == r.ner_tags[i + 1] for i, t in enumerate(r.tokens) if t == "<unk>")
+            assert r.tokens.count("<unk>") == r.original_text.split().count("<unk>") > 0
