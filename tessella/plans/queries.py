@@ -273,9 +273,14 @@ def train_eval_split(spark, sf_dir):
     return pools.train_eval(docs(spark, sf_dir).select("doc_id"), F.col("doc_id").cast("string"))
 
 
-def labelled(spark, sf_dir):
-    """Token arrays of documents with BIO labels, and a split by parity."""
-    rows = docs(spark, sf_dir).join(F.broadcast(lang_dim(spark).select("lang", "label")), "lang").withColumn("tokens", F.slice(T.words("text"), 1, 510))
+#: Tokens of a document in the SQL of LABELLED.
+FIRST_TOKENS = 510
+
+
+def labelled(spark, sf_dir, most=None):
+    """Token arrays of documents with BIO labels, and a split by parity; with most, of the first tokens only."""
+    tokens = T.words("text") if most is None else F.slice(T.words("text"), 1, most)
+    rows = docs(spark, sf_dir).join(F.broadcast(lang_dim(spark).select("lang", "label")), "lang").withColumn("tokens", tokens)
     rows = rows.where(F.size("tokens") > 0).withColumn("labels", L.bio(F.col("tokens"), "label")).withColumn("input_ids", F.transform("tokens", lambda t: F.pmod(T.md5_number(t), F.lit(500))))
     return rows.select(F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval").alias("split"), "lang", "label", "tokens", "labels", "input_ids", F.array_repeat(F.lit(1), F.size("tokens")).alias("attention_mask"))
 
@@ -286,14 +291,14 @@ lab AS (SELECT * FROM l WHERE len(tokens) > 0)"""
 
 @query(f"WITH {LABELLED} SELECT doc_id AS doc, list_sum(list_concat([2 * label + 1], list_transform(tokens[2:], lambda t: 2 * label + 2))) AS total, len(tokens) AS n, label AS present FROM lab")
 def bio_labels(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
+    rows = labelled(spark, sf_dir, FIRST_TOKENS)
     hot = L.multi_hot(L.languages_present(F.col("labels")))
     return rows.select("doc", F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("labels").alias("n"), (F.array_position(hot, 1) - 1).alias("present"))
 
 
 @query(f"WITH {LABELLED} SELECT split, lang, count(*) AS n_sentences, sum(len(tokens)) AS n_tokens FROM lab GROUP BY ALL")
 def label_counts(spark, sf_dir):
-    return reports.label_counts(labelled(spark, sf_dir))
+    return reports.label_counts(labelled(spark, sf_dir, FIRST_TOKENS))
 
 
 @query(f"""WITH {LABELLED}, t AS (SELECT split, lang, {hash_of('t')} % 500 AS token_id FROM (SELECT split, lang, unnest(tokens) AS t FROM lab)),
@@ -301,12 +306,12 @@ g AS (SELECT split, lang, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'Ger
 SELECT split, CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(lang_group) = 0 THEN 'group' ELSE 'overall' END AS level, lang, lang_group, token_id, count(*) AS count FROM g
 GROUP BY GROUPING SETS ((split, lang, token_id), (split, lang_group, token_id), (split, token_id))""")
 def vocabulary_rollup(spark, sf_dir):
-    return reports.vocabulary_rollup(labelled(spark, sf_dir))
+    return reports.vocabulary_rollup(labelled(spark, sf_dir, FIRST_TOKENS))
 
 
 @query(f"WITH {LABELLED} SELECT max({hash_of('t')} % 500) + 1 AS vocab_size FROM (SELECT unnest(tokens) AS t FROM lab)")
 def vocabulary_size(spark, sf_dir):
-    return reports.vocabulary_size(labelled(spark, sf_dir))
+    return reports.vocabulary_size(labelled(spark, sf_dir, FIRST_TOKENS))
 
 
 @query("SELECT source, lang, n, round(100 * n / sum(n) OVER (PARTITION BY source), 2) AS share FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang)")

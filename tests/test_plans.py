@@ -55,3 +55,12 @@ def test_stop_words_are_read_whole(spark, tmp_path, monkeypatch):
     (tmp_path / "stop").write_text("".join(f"w{i}\n" for i in range(2500)))
     cli.main(["refilter", "--store", str(tmp_path), "--stop", str(tmp_path / "stop")])
     assert seen == [2500]
+
+
+def test_spans_and_stats_of_whole_texts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "word " * 2000, "en"), (2, "mot " * 30, "fr")], "doc_id long, text string, lang string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    stats = {r.lang: (r.n_examples, r.n_tokens) for r in queries.QUERIES["sampling_stats"](spark, str(tmp_path)).where("n_tokens > 0").collect()}
+    assert stats == {"en": (1, 2000), "fr": (1, 30)}
+    sizes = queries.labelled(spark, str(tmp_path)).select(F.size("tokens").alias("n")).collect()
+    assert sorted(r.n for r in sizes) == [30, 2000]
