@@ -2,7 +2,7 @@
 
 Two gated recurrent layers read segments of SEGMENT bytes, one from each end; a softmax over both states labels every
 byte, and a document's probabilities are the mean over all its bytes. Training is backpropagation through time with
-Adam on random segments of at most PER_LANGUAGE documents of each of the LANGUAGES most frequent languages, chosen by a
+Adam on random segments of at most PER_LANGUAGE documents of each language that has a row to learn from, chosen by a
 hash of doc_id among the rows that may be learned from. Weights are a few kilobytes; inference steps through thousands
 of segments at once.
 
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import map_rows
 
 HIDDEN, SEGMENT, BATCH = 8, 128, 1024
-PER_LANGUAGE, LANGUAGES, SEED = 300, 64, 5
+#: Languages that segments of a full batch are labelled with; with more, a batch has fewer segments.
+FULL_BATCH = 64
+PER_LANGUAGE, SEED = 300, 5
 STEPS, TRAIN_BATCH, TRAIN_LENGTH, RATE = 260, 512, 48, 0.02
 
 
@@ -185,11 +187,12 @@ def classify(network: Network | None, texts: list[str | None]) -> list[tuple[str
     length = np.full(len(owner), SEGMENT)
     length[np.cumsum(counts) - 1] = sizes - (counts - 1) * SEGMENT
     sums = np.empty((len(owner), len(network.languages)))
-    for a in range(0, len(owner), BATCH):
-        part = np.ascontiguousarray(data[a : a + BATCH].T)
+    batch = max(1, min(BATCH, BATCH * FULL_BATCH // len(network.languages)))
+    for a in range(0, len(owner), batch):
+        part = np.ascontiguousarray(data[a : a + batch].T)
         p = network.probabilities(part)
-        p *= (np.arange(SEGMENT)[:, None] < length[a : a + BATCH])[:, None, :]
-        sums[a : a + BATCH] = p.sum(axis=0).T
+        p *= (np.arange(SEGMENT)[:, None] < length[a : a + batch])[:, None, :]
+        sums[a : a + batch] = p.sum(axis=0).T
     pooled = np.add.reduceat(sums, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0) / sizes[:, None]
     for i, best, p in zip(rows, pooled.argmax(axis=1).tolist(), pooled.max(axis=1).tolist()):
         out[i] = network.languages[best], min(1.0, max(0.0, p))
@@ -199,10 +202,22 @@ def classify(network: Network | None, texts: list[str | None]) -> list[tuple[str
 def learn(docs: DataFrame) -> Network | None:
     """Train on a bounded sample of the rows that aren't held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    common = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return None
     place = F.xxhash64("doc_id", F.lit(SEED))
-    firsts = [known.where(F.col("lang") == name).select("doc_id").orderBy(place, "doc_id").limit(PER_LANGUAGE) for name in common]
-    wanted = sorted({r["doc_id"] for first in firsts for r in first.collect()})  # at most LANGUAGES * PER_LANGUAGE
+    # the smallest hashes of all languages in one pass: twice PER_LANGUAGE rows are expected below a language's bound
+    bounds = [(name, min((1 << 63) - 1, -(1 << 63) + (2 * PER_LANGUAGE << 64) // n)) for name, n in counts.items()]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    first: dict[str, list[tuple[int, int]]] = {name: [] for name in counts}
+    for r in known.join(bound, "lang").select("lang", place.alias("place"), "doc_id", "bound").where("place <= bound").collect():
+        first[r["lang"]].append((r["place"], r["doc_id"]))
+    ids: set[int] = set()
+    for name, n in counts.items():
+        if len(first[name]) < min(PER_LANGUAGE, n):
+            first[name] = [tuple(r) for r in known.where(F.col("lang") == name).select(place.alias("place"), "doc_id").orderBy("place", "doc_id").limit(PER_LANGUAGE).collect()]
+        ids |= {i for _, i in sorted(first[name])[:PER_LANGUAGE]}
+    wanted = sorted(ids)  # at most PER_LANGUAGE a language
     if not wanted:
         return None
     picked = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long"))

@@ -56,3 +56,27 @@ def test_long_texts_are_read_whole():
     weights = [128] * 5000 + [17]
     a = sum(w * (s if p == "a" else 1 - s) for w, (p, s) in zip(weights, parts)) / len(text)
     assert abs((both[1][1] if both[1][0] == "a" else 1 - both[1][1]) - a) < 1e-4
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 3)
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append((texts, langs)))
+    rows = [(i, f"text {i}", f"l{i % 90}") for i in range(900)] + [(5000 + i, "rare", "rare") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.learn(df)
+    free = {r.doc_id: r.lang for r in df.where(~langid.held_out()).collect()}
+    order = {r.doc_id: r.h for r in df.select("doc_id", langid.F.xxhash64("doc_id", langid.F.lit(langid.SEED)).alias("h")).collect()}
+    want = {lang: sorted((d for d, x in free.items() if x == lang), key=order.get)[:3] for lang in set(free.values())}
+    assert len(want) == 91
+    texts, langs = seen[0]
+    assert sorted(zip(langs, texts)) == sorted((lang, "rare" if lang == "rare" else f"text {d}") for lang, ds in want.items() for d in ds)
+
+
+def test_many_languages_are_scored_alike():
+    rng = np.random.default_rng(3)
+    network = langid.Network.fresh([f"l{i}" for i in range(300)], rng)
+    text = "".join(chr(97 + x) for x in rng.integers(0, 26, 128 * 700))
+    whole, half = langid.classify(network, [text, text[: 128 * 300]])
+    alone = langid.classify(network, [text[: 128 * 300]])[0]
+    assert half[0] == alone[0] and abs(half[1] - alone[1]) < 1e-6 and whole[0] in network.languages
