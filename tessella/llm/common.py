@@ -66,6 +66,14 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    known = {c.lower() for c in df.columns}
+    while name in known:
+        name += "_"
+    return name
+
+
 _caches: dict[str, Callable[[], None]] = {}
 _user: list[str] = [""]
 

@@ -79,7 +79,7 @@ def test_estimate():
     common = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
     sets = [np.concatenate([common, rng.integers(0, 1 << 63, 100, dtype=np.uint64)]) for _ in range(40)]
     codes = minhash.signature(sets)[1]
-    values = [minhash.estimate(codes[i], codes[i + 1 : i + 2])[0] for i in range(39)]
+    values = [minhash.estimate(codes[i : i + 1], codes[i + 1 : i + 2])[0, 0] for i in range(39)]
     assert abs(np.mean(values) - 900 / 1100) < 0.03
 
 
@@ -87,3 +87,50 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (300, 300)]
     got = dict(minhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
+
+
+def test_rows_not_ids_are_judged(spark):
+    a, b, c = "one two three four five six seven", "some quite different words that stand here alone", "a third text of words that nothing else has"
+    docs = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, b.upper(), "z"), (4, c, "p"), (4, c, "p"), (None, a, "n"), (None, a, "n"), (5, None, "e"), (5, "", "e"), (6, " ", "e")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, single string").withColumn("text_key", minhash.F.lit("clash"))
+    kept = sorted((r.doc_id or -1, r.text or "", r.single) for r in minhash.one_of_each(df).collect())
+    assert kept == sorted([(1, a, "x"), (1, b, "y"), (4, c, "p"), (-1, a, "n"), (-1, a, "n"), (5, "", "e"), (5, "", "e"), (6, " ", "e")])
+    assert minhash.one_of_each(df).columns == df.columns
+    rows = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect() if r.n_shingles)
+    assert rows == [(-1, 3, None, True), (-1, 3, None, True), (1, 3, 1, True), (1, 4, 1, True), (2, 3, 1, False), (3, 4, 1, False), (4, 5, 4, True), (4, 5, 4, True)]
+    assert minhash.one_of_each(df.limit(0)).count() == 0
+
+
+def template_pages(n, seed=3):
+    """Pages that share about 0.77 of their shingles, so that one candidate cluster has next to no links."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(220)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for k in range(6):
+            words[rng.randrange(36 * k, 36 * k + 36)] = f"v{rng.randrange(1 << 40)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_template_pages(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 40)
+    monkeypatch.setattr(minhash, "SIGNATURES", 64)
+    docs = template_pages(300)
+    docs += [(1000 + i, docs[i][1] + " end") for i in range(0, 300, 9)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    assert got == brute(docs)
+
+
+def test_common_counts_agree():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 300), rng.integers(0, 1 << 62, 30, dtype=np.uint64)])) for _ in range(20)]
+    s = minhash.Sets(list(range(20)), [c.tobytes() for c in minhash.signature(sets)[1]], [x.tobytes() for x in sets], 85)
+    rows, cols = np.arange(5), np.arange(5, 20)
+    want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in cols] for i in rows])
+    assert (s.common(rows, cols, np.ones((5, 15), bool)) == want).all()
+    few = np.zeros((5, 15), bool)
+    few[2, 3] = True
+    assert s.common(rows, cols, few)[2, 3] == want[2, 3]
