@@ -2,22 +2,26 @@
 
 Texts and benchmark items become template tokens: words in lower case without outer punctuation, numbers as <num>,
 unit words after a number as <unit>, and capitalised words as <name>, wherever they stand, so that line breaks and
-sentence ends don't matter. Windows of WINDOW template tokens, with at least PLAIN that aren't placeholders (words that
-begin a sentence count as plain here), are hash-joined between documents and items; an item's windows are also joined
-with the words that begin its sentences taken as words, for texts that write them small. A document's windows are first
-looked up in a bitmap of fixed size made from all items' windows, so only probable hits leave the scan, and the join
-removes the false ones. Hits are grouped by document, item and diagonal (distance of the two positions); on a diagonal
-each value of the item must stand for one value of the document (slot consistency), and where that fails only windows
-whose values are all the item's own count. A pair is reported where these windows
+sentence ends don't matter. Windows of WINDOW template tokens are hash-joined between documents and items. A window with
+fewer than PLAIN tokens that aren't placeholders (words that begin a sentence count as plain here) says too little and
+is hashed as it stands, values and all. An item's windows are also joined with the words that begin its sentences taken
+as words, for texts that write them small, and with all its names taken as words, for texts in capitals. Items of two to
+four tokens are joined with sentences (or lines) of as many words, as they stand.
+A document's windows are first looked up in a bitmap of fixed size made from all items' windows, so only probable hits
+leave the scan, and the join removes the false ones. Hits are grouped by document, item and diagonal (distance of the
+two positions); on a diagonal each value of the item must stand for one value of the document, and each name of the
+document for one name of the item (slot consistency), and where that fails only windows whose values are all the item's
+own count. A pair is reported where these windows
 
 * are SHARE of the item's windows, or
 * cover SHARE of the tokens that the item's windows cover (an edit costs its own token where WINDOW unchanged tokens
   stand on both sides of it), or
 * follow each other on one diagonal over RUN tokens (a part of a long item).
 
-Nulls and edge cases: null and empty texts have no windows; items of fewer than WINDOW tokens, or of placeholders only,
-are too short to tell and never match; repeated documents or items with equal ids count as one; rows without doc_id
-count as one document; empty tables give no pairs; other columns are not read.
+Nulls and edge cases: null and empty texts have no windows; items of one token are too short to tell and never match;
+repeated documents or items with equal ids count as one in contaminated(), and rows without doc_id count as one
+document; clean() judges every row by its own text, whatever its doc_id; texts of any length are read whole; empty
+tables give no pairs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import map_rows, staged, use_cache, with_key
+from tessella.llm.common import fresh, map_rows, staged, use_cache, with_key
 from tessella.llm.hashing import MIX, mixed, text_hash
 
 WINDOW, PLAIN, SHARE, LOOSE, RUN = 5, 2, 0.8, 0.1, 13
+#: Words of an item that is looked for as a whole; bits of a window that is taken as it stands.
+SHORT, ALL = (2, 3, 4), (1 << WINDOW) - 1
 BITMAP = 1 << 22
 NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:%|[a-zµ°]{0,4}\d?)$")
 
@@ -52,7 +59,7 @@ OUTER = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~“”„‘’«»‹›…–—¿¡
 class Tokens:
     """Facts of the raw tokens seen so far, by small integers: plain form, hash and flags."""
 
-    NUMBER, CAPITAL, ENDS, FULL = 1, 2, 4, 8
+    NUMBER, CAPITAL, ENDS, FULL, SINGLE, SHOUT = 1, 2, 4, 8, 16, 32
 
     def __init__(self, most: int = 300_000):
         self.most = most
@@ -72,12 +79,14 @@ class Tokens:
         number = not plain.isalpha() and NUMBER.match(lower) is not None
         flags = self.NUMBER if number else 0
         if not number and plain[:1].isupper() and (len(plain) == 1 or not plain.isupper()):
-            flags |= self.CAPITAL
+            flags |= self.CAPITAL | (self.SINGLE if len(plain) == 1 else 0)
+        elif len(plain) > 1 and plain.isupper():
+            flags |= self.SHOUT
         if raw == BREAK or (plain is not raw and raw.rstrip(CLOSING)[-1:] in ENDINGS):
             flags |= self.ENDS
         if plain.isalnum() or any(map(str.isalnum, plain)):
             flags |= self.FULL
-        self.hash[i] = HASHES[NUM] if number else text_hash(lower.encode("utf-8", "surrogatepass"))
+        self.hash[i] = text_hash(lower.encode("utf-8", "surrogatepass"))
         self.flags[i] = flags
         self.plain.append(lower)
         self.index[raw] = i
@@ -99,12 +108,13 @@ _tokens = Tokens()
 
 
 class Windows:
-    """The usable windows of some texts: text, position and hash of each, and the slots in them.
+    """The windows of some texts: text, position and hash of each, and the slots in them.
 
-    With starts, also those with some of the words that begin a sentence taken as words: their bits are in small.
+    literal has bits for the tokens of a window that are taken as they stand. With items, there are also windows with some
+    of the words that begin a sentence, or all names, taken as words.
     """
 
-    def __init__(self, texts: list[str | None], starts: bool = False):
+    def __init__(self, texts: list[str | None], items: bool = False):
         use_cache("tokens", _tokens.clear)
         tokens: list[str] = []
         ends = []
@@ -120,75 +130,94 @@ class Windows:
         inside = np.empty(len(ids), bool)  # not the first of a sentence
         inside[1:] = (flags[:-1] & Tokens.ENDS == 0) & (text[1:] == text[:-1])
         inside[:1] = False
-        named = flags & (Tokens.CAPITAL | Tokens.FULL) == Tokens.CAPITAL | Tokens.FULL
+        shout = np.zeros(len(ids) + 2, bool)  # beside a word in capitals, a single capital letter is no name
+        shout[1:-1] = flags & Tokens.SHOUT > 0
+        named = (flags & (Tokens.CAPITAL | Tokens.FULL) == Tokens.CAPITAL | Tokens.FULL) & ~((flags & Tokens.SINGLE > 0) & (shout[:-2] | shout[2:]))
         kinds = np.where(number, NUM, WORD).astype(np.int8)
-        words = hashes.copy() if starts else hashes
+        words = hashes.copy()
+        hashes[number] = HASHES[NUM]
         hashes[named], kinds[named] = HASHES[NAME], NAME
         for i in np.flatnonzero(number[:-1]) + 1:
             if text[i] == text[i - 1] and _tokens.plain[ids[i]] in UNITS:
                 hashes[i], kinds[i] = HASHES[UNIT], UNIT
         full = np.flatnonzero(flags & Tokens.FULL)
+        # a token without letters and digits, such as a line break, begins a sentence for the next full one
+        sentence = np.cumsum(~inside)[full] if len(full) else np.empty(0, np.int64)
         first = (named & ~inside)[full]
-        hashes, text, self.kinds, self.ids = hashes[full], text[full], kinds[full], ids[full]
+        hashes, words, text, self.kinds, self.ids = hashes[full], words[full], text[full], kinds[full], ids[full]
         word = (self.kinds == WORD) | first
         n = max(0, len(full) - WINDOW + 1)
-        out, plain = np.full(n, WINDOW, np.uint64), np.zeros(n, np.int8)
+        plain = np.zeros(n, np.int8)
         for i in range(WINDOW):
-            out = mixed(out * MIX + hashes[i : i + n])
             plain += word[i : i + n]
-        self.at = np.flatnonzero((text[:n] == text[WINDOW - 1 :]) & (plain >= PLAIN)) if n else np.empty(0, np.int64)
-        self.hash, self.text = out[self.at], text[self.at]
-        self.small = np.zeros(len(self.at), np.int64)
-        if starts:
-            self._add_small(hashes, words[full], first)
+        at = np.flatnonzero(text[:n] == text[WINDOW - 1 :]) if n else np.empty(0, np.int64)
+        parts = [(at, np.where(plain[at] >= PLAIN, 0, ALL), np.full(len(at), WINDOW))]
+        if items:
+            parts.append(self._variants(at[plain[at] >= PLAIN], first, self.kinds == NAME))
+        parts += self._sentences(text, sentence, items)
+        self.at, self.literal, self.size = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
+        self.hash = self.size.astype(np.uint64)
+        for k in range(WINDOW):
+            use = np.flatnonzero(self.size > k)
+            a = self.at[use] + k
+            self.hash[use] = mixed(self.hash[use] * MIX + np.where(self.literal[use] >> k & 1 == 1, words[a], hashes[a]))
+        self.text = text[self.at]
         self.pos = self.at - np.searchsorted(text, self.text)
 
-    def _add_small(self, hashes: np.ndarray, words: np.ndarray, first: np.ndarray) -> None:
-        at, small = [], []
-        for a in self.at.tolist():
+    def _variants(self, at: np.ndarray, first: np.ndarray, named: np.ndarray) -> tuple[list, list, list]:
+        """Windows of an item with some words that begin a sentence, or all names, taken as words."""
+        found = []
+        for a in at.tolist():
             bits = sum(1 << k for k in range(WINDOW) if first[a + k])
-            part = bits
+            some, part = {sum(1 << k for k in range(WINDOW) if named[a + k])}, bits
             while part:
-                at.append(a)
-                small.append(part)
+                some.add(part)
                 part = (part - 1) & bits
-        more, chosen = np.array(at, np.int64), np.array(small, np.int64)
-        out = np.full(len(more), WINDOW, np.uint64)
-        for k in range(WINDOW):
-            out = mixed(out * MIX + np.where(chosen >> k & 1 == 1, words[more + k], hashes[more + k]))
-        texts = dict(zip(self.at.tolist(), self.text.tolist()))
-        self.at, self.small = np.concatenate([self.at, more]), np.concatenate([self.small, chosen])
-        self.hash, self.text = np.concatenate([self.hash, out]), np.concatenate([self.text, np.array([texts[a] for a in at], np.int64)])
+            found += [(a, b) for b in sorted(some) if b]
+        return [a for a, _ in found], [b for _, b in found], [WINDOW] * len(found)
+
+    def _sentences(self, text: np.ndarray, sentence: np.ndarray, items: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Whole sentences of SHORT words, as they stand; of items, the whole item if it has so many words."""
+        if not len(text):
+            return []
+        edge = text[1:] != text[:-1]
+        if not items:
+            edge = edge | (sentence[1:] != sentence[:-1])
+        start = np.concatenate([[0], np.flatnonzero(edge) + 1])
+        size = np.diff(start, append=len(text))
+        short = np.isin(size, SHORT)
+        return [(start[short], np.full(short.sum(), ALL), size[short])]
 
     def keep(self, wanted: np.ndarray) -> None:
-        self.at, self.small, self.hash, self.text, self.pos = self.at[wanted], self.small[wanted], self.hash[wanted], self.text[wanted], self.pos[wanted]
+        self.at, self.literal, self.size, self.hash, self.text, self.pos = (x[wanted] for x in (self.at, self.literal, self.size, self.hash, self.text, self.pos))
 
     def slots(self, i: int) -> list[dict]:
         """Of the i-th window."""
-        a, small = self.at[i], self.small[i]
-        return [{"at": k, "kind": int(self.kinds[a + k]), "value": _tokens.plain[self.ids[a + k]]} for k in range(WINDOW) if self.kinds[a + k] != WORD and not small >> k & 1]
+        a, literal = self.at[i], self.literal[i]
+        return [{"at": k, "kind": int(self.kinds[a + k]), "value": _tokens.plain[self.ids[a + k]]} for k in range(self.size[i]) if not literal >> k & 1 and self.kinds[a + k] != WORD]
 
 
 SLOT = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string())])
 
 
 def window_rows(df: DataFrame, key: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """key, hash, pos and slots of the windows of df.text; with a bitmap, of those that it has, without one also with small starts."""
+    """key, hash, pos, size and slots of the windows of df.text; with a bitmap, of those that it has, without one those of items."""
+    kind = to_arrow_type(df.schema[key].dataType)
 
     def block(rows: dict) -> dict:
         found = Windows(rows["text"], bitmap is None)
         if bitmap is not None:
             found.keep(np.flatnonzero(bitmap[(found.hash >> np.uint64(42)).astype(np.int64)]))
-        ids = pa.array(rows[key], pa.int64()).take(pa.array(found.text, pa.int64()))
-        return {key: ids, "hash": found.hash.view(np.int64), "pos": found.pos, "slots": [found.slots(i) for i in range(len(found.at))]}
+        ids = pa.array(rows[key], kind).take(pa.array(found.text, pa.int64()))
+        return {key: ids, "hash": found.hash.view(np.int64), "pos": found.pos, "size": found.size, "slots": [found.slots(i) for i in range(len(found.at))]}
 
-    schema = pa.schema([(key, pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("slots", pa.list_(SLOT))])
+    schema = pa.schema([(key, kind), ("hash", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("slots", pa.list_(SLOT))])
     return map_rows(with_key(df, (key, "text")), block, schema, 1 << 20)
 
 
-def _tokens_of(positions: str) -> Column:
+def _tokens_of(positions: str, size: Column | int = WINDOW) -> Column:
     """Number of tokens in the windows at some positions."""
-    return F.size(F.array_distinct(F.flatten(F.transform(positions, lambda p: F.sequence(p, p + WINDOW - 1)))))
+    return F.size(F.array_distinct(F.flatten(F.transform(positions, lambda p: F.sequence(p, p + size - 1)))))
 
 
 def _longest_run(positions: str) -> Column:
@@ -202,35 +231,45 @@ def _longest_run(positions: str) -> Column:
     return F.aggregate(F.array_sort(positions), start, step, lambda s: s["most"] + WINDOW - 1)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_matched (windows of the item), share, verbatim (no slot differs): the leaked pairs."""
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
+    """key, item_id, n_matched (windows of the item), share, verbatim (no slot differs): the leaked pairs."""
     items = staged(window_rows(benchmark, "item_id"), "items")
     slots = items.select(F.shiftrightunsigned("hash", 42).alias("bit")).distinct().toPandas()["bit"].to_numpy()  # at most BITMAP values
     bitmap = np.zeros(BITMAP, bool)
     bitmap[slots.astype(np.int64)] = True
-    sizes = items.groupBy("item_id").agg(F.collect_set("pos").alias("all")).select("item_id", F.size("all").alias("n_windows"), _tokens_of("all").alias("n_tokens"))
+    sizes = items.groupBy("item_id").agg(F.collect_set("pos").alias("all"), F.min("size").alias("size")).select("item_id", "size", F.size("all").alias("n_windows"), _tokens_of("all", F.col("size")).alias("n_tokens"))
     theirs = items.select("item_id", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    hits = window_rows(docs, "doc_id", bitmap).join(theirs, "hash")
+    hits = window_rows(docs, key, bitmap).join(theirs, "hash")
     # pairs of values that meet in a window: (value of the item, value of the document)
-    meet = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["value"].alias("a"), b["value"].alias("b")))
+    meet = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["value"].alias("a"), b["value"].alias("b"), (a["kind"] == NAME).alias("name")))
     same = F.forall(F.zip_with("item_slots", "slots", lambda a, b: (a["at"] == b["at"]) & (a["kind"] == b["kind"])), lambda x: x)
     hits = hits.where((F.size("item_slots") == F.size("slots")) & same)
     own = F.forall("meet", lambda x: x["a"] == x["b"])
-    lines = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", meet.alias("meet")).withColumn("own", own)
-    lines = lines.groupBy("doc_id", "item_id", "diagonal").agg(
+    lines = hits.select(key, "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", meet.alias("meet")).withColumn("own", own)
+    lines = lines.groupBy(key, "item_id", "diagonal").agg(
         F.collect_set("item_pos").alias("covered"), F.collect_set(F.when(F.col("own"), F.col("item_pos"))).alias("verbatim_at"), F.array_distinct(F.flatten(F.collect_set("meet"))).alias("meet")
     )
-    sources = F.size(F.array_distinct(F.transform("meet", lambda x: x["a"])))
-    lines = lines.withColumn("fits", F.size("meet") <= (1 + LOOSE) * sources).withColumn("covered", F.when(F.col("fits"), F.col("covered")).otherwise(F.col("verbatim_at")))
+    names = F.filter("meet", lambda x: x["name"])
+    distinct = lambda array, side: F.size(F.array_distinct(F.transform(array, lambda x: F.struct(x[side], x["name"]))))
+    fits = (F.size("meet") <= (1 + LOOSE) * distinct("meet", "a")) & (F.size(names) <= (1 + LOOSE) * distinct(names, "b"))
+    lines = lines.withColumn("fits", fits).withColumn("covered", F.when(F.col("fits"), F.col("covered")).otherwise(F.col("verbatim_at")))
     lines = lines.where(F.size("covered") > 0).withColumn("run", _longest_run("covered"))
     verbatim = F.every(~F.col("fits") | F.forall("meet", lambda x: x["a"] == x["b"])).alias("verbatim")
-    pairs = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.max("run").alias("run"), verbatim)
+    pairs = lines.groupBy(key, "item_id").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.max("run").alias("run"), verbatim)
     pairs = pairs.join(sizes, "item_id").withColumn("n_matched", F.size("covered").cast("long"))
-    pairs = pairs.where((F.col("n_matched") >= SHARE * F.col("n_windows")) | (_tokens_of("covered") >= SHARE * F.col("n_tokens")) | (F.col("run") >= RUN))
-    return pairs.select("doc_id", "item_id", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("share"), "verbatim")
+    long_run = (F.col("run") >= RUN) & (F.col("size") == WINDOW)
+    pairs = pairs.where((F.col("n_matched") >= SHARE * F.col("n_windows")) | (_tokens_of("covered", F.col("size")) >= SHARE * F.col("n_tokens")) | long_run)
+    return pairs.select(key, "item_id", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("share"), "verbatim")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_matched, share, verbatim: the leaked pairs, by doc_id."""
+    return leaks(docs, benchmark, "doc_id")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that leak an item."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """docs without the rows that leak an item; rows are told apart by a digest of their text, so equal texts share a verdict."""
+    key = fresh(docs, "leak_key")
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    found = leaks(docs.select(digest.alias(key), "text"), benchmark, key).select(key).distinct()
+    return docs.withColumn(key, digest).join(found, key, "left_anti").select(*docs.columns)

@@ -1,3 +1,5 @@
+import random
+
 from tessella.llm import decontaminate
 
 
@@ -21,7 +23,7 @@ def test_verbatim_and_reparameterised(spark):
         (7, ITEM.upper()),
         (None, ITEM),
     ]
-    assert pairs(spark, docs, [(10, ITEM), (11, "too short"), (12, "1 2 3 4 5 6 7 8 9"), (None, None)]) == {(1, 10): True, (2, 10): False, (None, 10): True}
+    assert pairs(spark, docs, [(10, ITEM), (11, "too short"), (12, "1 2 3 4 5 6 7 8 9"), (None, None)]) == {(1, 10): True, (2, 10): False, (7, 10): True, (None, 10): True}
     assert pairs(spark, docs[:0], [(10, ITEM)]) == {}
     assert pairs(spark, docs, [(11, None)]) == {}
 
@@ -34,10 +36,108 @@ def test_inconsistent_slots(spark):
     assert set(pairs(spark, [(1, good), (2, bad)], [(5, item)])) == {(1, 5)}
 
 
-def test_clean(spark):
-    docs = spark.createDataFrame([(1, "x " + ITEM), (2, "y"), (None, "z")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
-    assert sorted(r.text for r in decontaminate.clean(docs, items).collect()) == ["y", "z"]
+def test_clean_judges_rows(spark):
+    rows = [(1, "x " + ITEM), (2, "y"), (None, "z"), (None, "z"), (None, "y " + ITEM), (7, "z " + ITEM), (7, "w"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, leak_key string")
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM)], "item_id long, text string")
+    got = decontaminate.clean(docs, items)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, [r for r in docs.collect() if ITEM not in (r.text or "")]))
+    assert decontaminate.clean(docs.limit(0), items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(rows)
+
+
+def test_short_items_and_placeholders(spark):
+    docs = [(1, "Some talk.\nDefine photosynthesis.\nMore talk follows here."), (2, "We define photosynthesis as a process."), (3, "One line. DEFINE PHOTOSYNTHESIS! End."), (4, "The series 3 1 4 1 5 9 2 6 5 goes on"), (5, "The series 3 1 4 1 5 9 2 7 7 8 2 goes on 9 9 9")]
+    assert set(pairs(spark, docs, [(1, "Define photosynthesis."), (2, "3 1 4 1 5 9 2 6 5"), (3, "Define")])) == {(1, 1), (3, 1), (4, 2)}
+
+
+def test_two_way_consistency(spark):
+    item = "Then Alice gives seven apples to Bob while Bob gives the red ball back to Alice before the long day ends."
+    assert set(pairs(spark, [(1, item.replace("Alice", "Eva").replace("Bob", "Tom")), (2, item.replace("Alice", "Zed").replace("Bob", "Zed")), (3, item)], [(5, item)])) == {(1, 5), (3, 5)}
+
+
+def brute(docs, items):
+    """All windows of all documents against all windows of all items, by plain lists of tokens."""
+
+    def read(text):
+        out, start, after_number = [], True, False
+        raw = (text or "").replace("\n", f" {decontaminate.BREAK} ").split()
+        for k, t in enumerate(raw):
+            plain = t.strip(decontaminate.OUTER)
+            low = plain.lower()
+            number = bool(decontaminate.NUMBER.match(low))
+            shouted = len(plain) == 1 and any(len(x) > 1 and x.isupper() for x in (y.strip(decontaminate.OUTER) for y in (raw[k - 1] if k else "", *raw[k + 1 : k + 2])))
+            name = not number and plain[:1].isupper() and (len(plain) == 1 or not plain.isupper()) and not shouted
+            if any(map(str.isalnum, plain)):
+                kind = "num" if number else "unit" if after_number and low in decontaminate.UNITS else "name" if name else "word"
+                out.append((kind, low, start and name))
+                start = False
+            if t == decontaminate.BREAK or (t != plain and t.rstrip(decontaminate.CLOSING)[-1:] in decontaminate.ENDINGS):
+                start = True
+            after_number = number
+        return out
+
+    def windows(tokens, item):
+        for i in range(len(tokens) - 4):
+            part = tokens[i : i + 5]
+            if sum(k == "word" or f for k, _, f in part) < 2:
+                yield i, tuple(low for _, low, _ in part), []
+                continue
+            choices = [set()]
+            if item:
+                begins, names = [j for j in range(5) if part[j][2]], {j for j in range(5) if part[j][0] == "name"}
+                choices = [{b for k, b in enumerate(begins) if x >> k & 1} for x in range(1 << len(begins))]
+                choices += [names] if names not in choices else []
+            for small in choices:
+                yield i, tuple(low if k == "word" or j in small else f"<{k}>" for j, (k, low, _) in enumerate(part)), [(k == "name", low, j) for j, (k, low, _) in enumerate(part) if k != "word" and j not in small]
+
+    found = set()
+    for item_id, item in items:
+        tokens = read(item)
+        theirs = list(windows(tokens, True))
+        starts = {w[0] for w in theirs}
+        for doc_id, doc in docs:
+            lines = {}
+            for i, key, slots in windows(read(doc), False):
+                for p, other, values in theirs:
+                    if key == other and [(n, j) for n, _, j in slots] == [(n, j) for n, _, j in values]:
+                        lines.setdefault(i - p, []).append((p, {(n, a, b) for (n, a, _), (_, b, _) in zip(values, slots)}))
+            covered, run = set(), 0
+            for hits in lines.values():
+                met = set().union(*(m for _, m in hits))
+                names = {m for m in met if m[0]}
+                fits = len(met) <= 1.1 * len({m[:2] for m in met}) and len(names) <= 1.1 * len({m[2] for m in names})
+                here = {p for p, m in hits if fits or all(a == b for _, a, b in m)}
+                covered |= here
+                for p in here:
+                    n = 0
+                    while p + n in here:
+                        n += 1
+                    run = max(run, n + 4 if n else 0)
+            span = lambda ps: {p + k for p in ps for k in range(5)}
+            if covered and (len(covered) >= 0.8 * len(starts) or len(span(covered)) >= 0.8 * len(span(starts)) or run >= 13):
+                found.add((doc_id, item_id))
+    return found
+
+
+def test_like_brute_force(spark):
+    rng = random.Random(11)
+    words = "the a long way north train leaves at home and covers before after day night Alice Bob Carla Dan Erik 3 7 12 120 km hours miles . ! value of some text".split()
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, line(rng.randint(5, 45))) for i in range(25)]
+    docs = []
+    for d in range(120):
+        text = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        if d % 4 == 0:
+            swap = {"Alice": "Zoe", "Bob": "Max", "3": "5", "7": "8", "km": "miles"}
+            text = [swap.get(t, t) for t in text]
+        if d % 9 == 0:
+            text = [t.upper() for t in text]
+        docs.append((d, line(rng.randint(0, 20)) + " " + " ".join(text[: rng.randint(8, 60)]) + "\n" + line(5)))
+    want = brute(docs, items)
+    assert 30 < len(want) and set(pairs(spark, docs, items)) == want
 
 
 LONG = "During the harvest every farmer in the valley brings seven baskets of apples to the mill where the miller weighs them and pays a fair price before the evening bell calls all the tired workers home for soup."
