@@ -3,7 +3,8 @@
 Two gated recurrent layers read segments of SEGMENT bytes, one from each end; a softmax over both states labels every
 byte, and a document's probabilities are the mean over all its bytes. Training is backpropagation through time with
 Adam on random segments of at most PER_LANGUAGE documents of each language that has a row to learn from, chosen by a
-hash of doc_id among the rows that may be learned from. Weights are a few kilobytes; inference steps through thousands
+hash of doc_id among the rows that may be learned from; of texts over PIECES * PIECE characters, pieces drawn from the
+whole text are learned from. Weights are a few kilobytes; inference steps through thousands
 of segments at once.
 
 Nulls and edge cases: null texts and texts without a letter are ``und`` with score 0; texts of any length are read
@@ -27,6 +28,8 @@ HIDDEN, SEGMENT, BATCH = 8, 128, 1024
 #: Languages that segments of a full batch are labelled with; with more, a batch has fewer segments.
 FULL_BATCH = 64
 PER_LANGUAGE, SEED = 300, 5
+#: Of a long document to learn from, so many pieces of so many characters are used.
+PIECES, PIECE = 40, 200
 STEPS, TRAIN_BATCH, TRAIN_LENGTH, RATE = 260, 512, 48, 0.02
 
 
@@ -199,6 +202,14 @@ def classify(network: Network | None, texts: list[str | None]) -> list[tuple[str
     return out
 
 
+def sampled_pieces(text: str) -> Column:
+    """A text of up to PIECES * PIECE characters whole; of a longer one, so many pieces from all over it, drawn by hash."""
+    n = F.length(text)
+    starts = F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda i: (F.pmod(F.xxhash64("doc_id", i, F.lit(SEED)), n - PIECE + 1) + 1).cast("int"))
+    pieces = F.transform(starts, lambda a: F.substring(F.col(text), a, F.lit(PIECE)))
+    return F.when(n > PIECES * PIECE, F.array_join(pieces, "\n")).otherwise(F.col(text))
+
+
 def learn(docs: DataFrame) -> Network | None:
     """Train on a bounded sample of the rows that aren't held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
@@ -221,9 +232,7 @@ def learn(docs: DataFrame) -> Network | None:
     if not wanted:
         return None
     picked = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long"))
-    # of long texts, the middle is as good as any part for random segments
-    middle = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2 - 4000).cast("int")), F.lit(8000))
-    rows = sorted(known.join(picked, "doc_id").where(F.col("text").isNotNull()).select("doc_id", "lang", middle.alias("text")).collect())
+    rows = sorted(known.join(picked, "doc_id").where(F.col("text").isNotNull()).select("doc_id", "lang", sampled_pieces("text").alias("text")).collect())
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

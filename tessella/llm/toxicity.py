@@ -5,23 +5,26 @@ kernel of a unit and a landmark is the gap-weighted subsequence kernel of order
 with DECAY to the power of its least spans in both, so gaps and inserted characters cost little, and repeated syllables
 don't add up. Divided by own kernel it is 1 for the landmark itself; what chance overlaps reach (FLOOR) counts as 0.
 
-Landmarks are words and word beginnings of the training sentences that best tell the classes apart, no two of them
-alike. Unit vectors are whitened by the landmarks' own kernel matrix (Nyström), and a linear support vector machine is
-trained on them. A sentence is worth its highest unit, and a document its highest sentence. Labels are per document, so
-a toxic document lends its label to its highest unit only, in a few rounds, against all units of the others. The value
-becomes a probability by a logistic curve fitted on the training documents. Each distinct unit is scored once per worker.
+Landmarks are words and word beginnings of the training sentences that best tell the classes apart, and words of stems
+that take many endings in toxic documents; no two of them are alike. Unit vectors are whitened by the landmarks' own
+kernel matrix (Nyström), and a linear support vector machine is trained on them. Labels are per document, so a toxic
+document lends its label to its highest unit only, in a few rounds, against all units of the others. A document is worth
+the sum of its TOP highest distinct units beyond the margin of the clean ones. The sum becomes a probability by a
+logistic curve fitted on the training documents. Each distinct unit is scored once per worker.
 
-Training uses at most POSITIVES + NEGATIVES labelled documents of at most LONGEST characters, chosen by a hash of doc_id
-among rows that aren't held out; scoring reads whole texts of all documents.
+Training uses at most POSITIVES + NEGATIVES labelled documents and CHARACTERS characters of them, chosen by a hash of
+doc_id among rows that aren't held out; their texts are read whole, whatever their length (the first that goes beyond
+CHARACTERS, and those behind it, stay out). Scoring reads whole texts of all documents.
 
 Nulls and edge cases: null, empty and blank texts score like a sentence without units; texts of any length are read
 whole, and tokens longer than WIDTH are cut into overlapping windows; rows without doc_id aren't held out nor learned
-from; repeated rows are scored one by one; without labelled documents of both classes every score is 0; an empty table
+from; repeated rows are scored one by one; without labelled documents of both classes every score is 0 (as without a word that tells them apart); an empty table
 gives an empty result; columns other than doc_id and text (and toxic in labels) are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -35,8 +38,10 @@ from tessella.llm.common import map_rows, use_cache
 from tessella.llm.langid import held_out
 
 DECAY, REACH, WIDTH, STEP, FLOOR = 0.7, 8, 24, 12, 0.4
-LANDMARKS, POSITIVES, NEGATIVES, LONGEST, SEED = 32, 1500, 2500, 20_000, 17
-THRESHOLD, SURE, TELLING, CACHE = 0.3, 0.7, 20, 300_000
+LANDMARKS, POSITIVES, NEGATIVES, CHARACTERS, SEED = 96, 1500, 2500, 16_000_000, 17
+THRESHOLD, SURE, TELLING, TOP, CACHE = 0.3, 0.7, 20, 3, 300_000
+#: Lengths of stems, least words of a telling one in toxic documents, and how many times more often than in others.
+STEMS, STEM_WORDS, STEM_TELLING = (5, 6, 7), 6, 10
 OTHER, GAP, BASE = 26, 31, 32
 BREAK = "\x03"
 
@@ -178,7 +183,7 @@ class Units:
 
 @dataclass
 class Machine:
-    """Decision value of a unit: bias + weights . kernel row; probability by slope and offset."""
+    """Value of a unit: bias + weights . kernel row, 0 where the margin of clean units begins; probability of a document's sum by slope and offset."""
 
     landmarks: list[str]
     weights: np.ndarray
@@ -186,17 +191,23 @@ class Machine:
     slope: float
     offset: float
 
+    def digest(self) -> str:
+        return hashlib.sha256(repr((self.landmarks, self.weights.tolist(), self.bias, self.slope, self.offset)).encode("utf-8", "surrogatepass")).hexdigest()
+
 
 def hash_of(words: tuple[str, ...]) -> int:
     return zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Words and word beginnings that are much more frequent in toxic documents, most telling first, none alike.
+    """Words and word beginnings that toxic documents have much more often, most telling first, none alike.
 
-    Of documents with the same least three-word window, which copies share, one counts.
+    A word tells if many more toxic documents have it. A stem tells if, in all, toxic documents have many more different
+    words of it; then its words that toxic documents rather than others have are landmarks too, however rare. Of
+    documents with the same least three-word window, which copies share, one counts.
     """
-    counts, n, seen = [Counter(), Counter()], [0, 0], set()
+    counts, kinds, n, seen = [Counter(), Counter()], [Counter(), Counter()], [0, 0], set()
+    whole: set[str] = set()
     for text, label in zip(texts, toxic):
         tokens = text.lower().split()
         least = min(map(hash_of, zip(tokens, tokens[1:], tokens[2:])), default=None)
@@ -204,15 +215,22 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
             continue
         seen.add(least)
         n[int(label)] += 1
-        words = {w.strip(".,;:!?\"'()") for w in tokens}
-        counts[int(label)].update({w[:k] for w in words if len(w) >= 4 for k in {4, 5, 6, min(len(w), WIDTH)} if k <= len(w)})
-    score = {}
+        words = {w.strip(".,;:!?\"'()")[:WIDTH] for w in tokens}
+        words = {w for w in words if len(w) >= 4}
+        counts[int(label)].update({w[:k] for w in words for k in (4, 5, 6, len(w))})
+        kinds[int(label)].update(w[:k] for w in words for k in STEMS if k < len(w))
+        whole |= words if label else set()
+    rate = lambda c: ((c[1] + 0.5) / (n[1] + 1), (c[0] + 0.5) / (n[0] + 1))
+    telling = lambda c, least: (r := rate(c))[0] > least * r[1]
+    score, least_docs = {}, max(min(5, max(2, n[1] // 6)), n[1] // 60)
     for w, c in counts[1].items():
-        p, q = (c + 0.5) / (n[1] + 1), (counts[0][w] + 0.5) / (n[0] + 1)
-        if c >= max(5, n[1] // 60) and p > TELLING * q:
+        pair = (counts[0][w], c)
+        stem = w in whole and any(kinds[1][w[:k]] >= STEM_WORDS and telling((kinds[0][w[:k]], kinds[1][w[:k]]), STEM_TELLING) for k in STEMS)
+        if (c >= least_docs and telling(pair, TELLING)) or (stem and c > pair[0]):
+            p, q = rate(pair)
             score[w] = (p - q) / np.sqrt(q + 0.01)
     out: list[str] = []
-    for w in sorted(score, key=lambda w: (-score[w], -len(w), w))[: 8 * most]:
+    for w in sorted(score, key=lambda w: (-score[w], -len(w), w))[: 16 * most]:
         if len(out) < most and (encode([w]) != GAP).sum() >= 3:
             if not out or max(Kernel(out).rows([w])[0].max(), Kernel([w]).rows(out).max()) < 0.9:
                 out.append(w)
@@ -260,7 +278,9 @@ def train(texts: list[str], toxic: np.ndarray) -> Machine | None:
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-2 * np.eye(len(landmarks)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     z = x @ root
-    negative, near = np.unique(ids[~toxic[text]]), x.max(axis=1)
+    clean = ids[~toxic[text]], text[~toxic[text]]
+    negative, often = np.unique(np.unique(clean[0] * np.int64(len(texts)) + clean[1]) // len(texts), return_counts=True)  # in how many documents
+    near = x.max(axis=1)
     value = x.sum(axis=1)
     for _ in range(4):
         best = highest(value[ids], text, len(texts))
@@ -271,12 +291,13 @@ def train(texts: list[str], toxic: np.ndarray) -> Machine | None:
             return None
         pick = np.concatenate([positive, negative])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        weight = np.concatenate([np.full(len(positive), 1 / len(positive)), near[negative] ** 2 + 1e-3])
+        weight = np.concatenate([np.full(len(positive), 1 / len(positive)), often * (near[negative] ** 2 + 1e-5)])
         weight[len(positive) :] /= weight[len(positive) :].sum()
         w, b = fit_line(z[pick], y, weight)
         value = z @ w + b
-    slope, offset = fit_curve(highest(value[ids], text, len(texts)), toxic)
-    return Machine(landmarks, (root @ w).astype(np.float32), float(b), slope, offset)
+    weights, bias = (root @ w).astype(np.float32), min(0.0, float(b) + 1)
+    slope, offset = fit_curve(top_sum(x @ weights + bias, ids, text, len(texts)), toxic)
+    return Machine(landmarks, weights, bias, slope, offset)
 
 
 def highest(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -285,6 +306,19 @@ def highest(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def top_sum(values: np.ndarray, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Of each text, the sum of the TOP highest positive values of its distinct units."""
+    some = np.flatnonzero(values[ids] > 0)
+    pairs = np.unique(owner[some] * np.int64(len(values)) + ids[some])
+    owner, value = pairs // len(values), values[pairs % len(values)]
+    order = np.lexsort((-value, owner))
+    owner, value = owner[order], value[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.zeros(n)
+    np.add.at(out, owner[place < TOP], value[place < TOP])
+    return out
+
+
 class Scorer:
     """Scores texts; remembers the decision values of units."""
 
@@ -298,9 +332,8 @@ class Scorer:
             self.values = self.values[:0]
         ids, sentence, owner = self.units.split(texts)
         if len(self.values) < len(self.units.names):
-            self.values = np.concatenate([self.values, self.kernel.of(self.units.names[len(self.values) :]) @ self.machine.weights])
-        best = highest(self.values[ids], owner[sentence], len(texts))
-        f = self.machine.slope * (best + self.machine.bias) + self.machine.offset
+            self.values = np.concatenate([self.values, self.kernel.of(self.units.names[len(self.values) :]) @ self.machine.weights + np.float32(self.machine.bias)])
+        f = self.machine.slope * top_sum(self.values, ids, owner[sentence], len(texts)) + self.machine.offset
         return (1 / (1 + np.exp(-np.clip(f, -30, 30)))).tolist()
 
 
@@ -312,20 +345,28 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine | None:
     if not picked:
         return None
     sample = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in sorted(picked)], "doc_id long, toxic int"))
-    texts = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(sample, "doc_id")
-    rows = sorted(texts.select("doc_id", "toxic", "text").collect())
+    texts = docs.where("text is not null").select("doc_id", "text").join(sample, "doc_id")
+    # both classes share the characters; sums of lengths need no text
+    lengths = sorted((r["place"], r["doc_id"], r["toxic"], r["n"]) for r in texts.groupBy("doc_id", "toxic").agg(F.sum(F.length("text")).alias("n")).withColumn("place", place).collect())
+    used, within = [0, 0], []
+    for _, doc_id, toxic, n in lengths:
+        used[toxic] += n
+        if used[toxic] <= CHARACTERS // 2 or used[toxic] == n:
+            within.append((doc_id,))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(within, "doc_id long"))
+    rows = sorted(texts.join(chosen, "doc_id").select("doc_id", "toxic", "text").collect()) if within else []
     return train([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """Per row of docs: doc_id, held_out, score and predicted."""
+    key = machine.digest() if machine else ""  # tasks unpickle copies of the machine, which share a worker's scorer
 
     def block(rows: dict) -> dict:
         if machine is None:
             scores = [0.0] * len(rows["doc_id"])
         else:
             use_cache("scorers", _scorers.clear)
-            key = id(machine)
             if key not in _scorers:
                 _scorers.clear()
                 _scorers[key] = Scorer(machine)
@@ -336,7 +377,7 @@ def score_toxicity(docs: DataFrame, machine: Machine | None) -> DataFrame:
     return map_rows(docs.select("doc_id", held_out().alias("held_out"), "text"), block, schema, 2 << 20)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -59,3 +59,40 @@ def test_more_spans_and_mask(spark):
     assert all(rows[i].count("secret:") == 2 for i in range(60)) and not any(rows[i] for i in range(60, 120))
     masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
     assert masked[3] == 'word token = "<secret>" and <secret> mail <email>' and masked[70] == texts[70]
+
+
+def test_edge_cases(spark):
+    """Long runs, repeated rows and rows without doc_id; more spans at the places they have in the text."""
+    key = hashlib.md5(b"k").hexdigest()
+    secret = "a" * 230 + key
+    texts = [f'the token = "{secret}" here', None, "", f"é😀 token: {key}", *(f'token = "{hashlib.md5(str(i).encode()).hexdigest()}"' for i in range(80))]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (None, texts[3]), (2, texts[1]), (3, texts[2]), *((10 + i, t) for i, t in enumerate(texts[4:]))], "doc_id long, text string").withColumn("spans", pii.F.lit("clash"))
+    rows = pii.spans_digest(docs).collect()
+    at = texts[0].index(secret)
+    assert [r.spans for r in rows if r.doc_id == 1] == [f"secret:{at}:{at + len(secret)}"] * 2
+    assert [r.spans for r in rows if r.doc_id is None] == [f"secret:10:{10 + len(key)}"]
+    assert all(r.spans == "" for r in rows if r.doc_id in (2, 3))
+    assert all(r.spans == "secret:9:41" for r in rows if (r.doc_id or 0) >= 10)
+
+
+def test_reliabilities_like_brute_force(spark):
+    """Expectation-maximisation over counted patterns equals that over single candidates."""
+    rng = random.Random(5)
+    texts = [rng.choice([f'key = "{hashlib.md5(str(i).encode()).hexdigest()}"', f"see well-known-phrase-{i}", f"call (212) 555-{1000 + i}", f"id 123-45-{1000 + i}", f"from me{i}@x.org"]) for i in range(300)]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = pii.fit(found)
+    votes = [[x.votes[n] for n in pii.LABELERS] for r in found.collect() for x in [*r.base, *r.more]]
+    prior, right = 0.5, [0.75] * len(pii.LABELERS)
+    for _ in range(60):
+        p = []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for x, t in zip(v, right):
+                a *= t if x > 0 else 1 - t if x < 0 else 1
+                b *= 1 - t if x > 0 else t if x < 0 else 1
+            p.append(a / (a + b))
+        prior = min(0.95, max(0.05, sum(p) / len(p)))
+        for k in range(len(right)):
+            own = [(q if v[k] > 0 else 1 - q) for q, v in zip(p, votes) if v[k]]
+            right[k] = min(0.98, max(0.5, (sum(own) + 1) / (len(own) + 2)))
+    assert abs(model.prior - prior) < 1e-6 and all(abs(model.reliability[n] - t) < 1e-6 for n, t in zip(pii.LABELERS, right))

@@ -58,3 +58,30 @@ def test_held_out_and_edges(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
     assert {r.score for r in toxicity.toxicity(df, lab.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_scores_like_brute_force(spark):
+    """Whole scores from plain loops over the tokens; repeated rows and a very long text among them."""
+    rng = random.Random(6)
+    texts = [sample(rng, i % 3 == 0) for i in range(300)]
+    machine = toxicity.train(texts, np.array([i % 3 == 0 for i in range(300)]))
+    cases = [*(t.replace(".", "") for t in texts[:40]), "grobian " * 3 + "flegel", "und " * 50_000 + "flegel"]
+
+    def slow(text):
+        values = sorted((sum(w * slow_kernel(u, m) for w, m in zip(machine.weights, machine.landmarks)) + machine.bias for u in set(text.split())), reverse=True)
+        return 1 / (1 + np.exp(-(machine.slope * sum(v for v in values[: toxicity.TOP] if v > 0) + machine.offset)))
+
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate([x for c in cases for x in (c, c)])], "doc_id long, text string")
+    rows = toxicity.score_toxicity(docs, machine).collect()
+    assert len(rows) == 2 * len(cases)
+    for r in rows:
+        assert abs(r.score - slow(cases[r.doc_id])) < 1e-3
+
+
+def test_few_labels_and_long_documents(spark):
+    rng = random.Random(8)
+    docs = [(i, sample(rng, i % 4 == 0)) for i in range(60)] + [(100, "und " * 9000 + "flegel grobian")]
+    labels = [(i, int(i % 4 == 0)) for i in range(60)] + [(100, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scores = [r.score for r in toxicity.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()]
+    assert len(set(scores)) > 1 and np.mean([s for i, s in enumerate(scores[:60]) if i % 4 == 0]) > np.mean([s for i, s in enumerate(scores[:60]) if i % 4]) + 0.2
