@@ -1,14 +1,17 @@
 """WARC archives of captures, and their index as globally ordered capture histories.
 
-Writing: one record per page, native expressions only. Of equal payloads of at least MIN_REVISIT bytes the smallest
-page_id keeps the body (response); the others refer to it (revisit, identical-payload-digest profile) and carry the
-HTTP head alone. A record is header, empty line and block, ended by CRLF CRLF, which is the line separator of the
-text writer, so each part file is a WARC file, gzipped as a whole.
+Writing: one record per page. Of equal payloads of at least MIN_REVISIT bytes the smallest page_id keeps the body
+(response); the others refer to it (revisit, identical-payload-digest profile) and carry the HTTP head alone. A record
+is header, empty line, block and CRLF CRLF, gzipped as a member of its own, so that offset and length of an index entry
+cut it out of its file. Members are written by the text writer, whose line separator is one NUL: zero padding between
+members, which gzip readers skip. Files hold about FILE_BYTES of payload each, as rows are dealt over as many
+partitions as their bytes need.
 
 Reading: each file is parsed by Content-Length and its payload digests are verified; a file's entries, sorted by URL
-key, timestamp and page_id, are one sorted run, stored as Parquet. Merging: runs are dealt by range of that key, so
-a hot URL spreads over tasks, and each task merges its pieces of runs with a loser tree. The result is in global order
-of its partitions.
+key, timestamp and page_id, are one sorted run, stored as Parquet. Merging: runs are dealt by range of that key over as
+many tasks as keep RANGE entries each, so a hot URL spreads over tasks. A task keeps its pieces of runs as Arrow
+batches and merges them with a loser tree, whose sources decode BUFFER entries at a time. The result is in global order
+of its partitions. Archives and runs that nothing reads any more are deleted.
 
 Nulls and edge cases: a null html is an empty payload; a null url gives no WARC-Target-URI and an empty URL key; a row
 without page_id is always a response; repeated rows (equal page_id and payload) share their record type, and rows with
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -27,9 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path, spark_schema, staged
+from tessella.llm.common import delete, discard, map_rows, new_path, spark_schema, staged
 
 MIN_REVISIT = 100
+#: Bytes of payload in an archive; entries of a range in the merge, of a range in small indexes, and of a decoded block.
+FILE_BYTES, RANGE, SMALL_RANGE, BUFFER = 48 << 20, 400_000, 10_000, 2048
+PAD = "\0"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KEY = ("urlkey", "timestamp", "page_id")
@@ -40,14 +46,18 @@ ENTRY = pa.schema(
 
 
 def with_refers_to(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, digest and refers_to. Payloads are shuffled once, by page_id; groups of copies never are."""
+    """page_id, url, html, digest and refers_to, dealt over partitions of about FILE_BYTES. Payloads are shuffled once, by page_id; groups of copies never are."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    ids = staged(pages.select("page_id", "digest").where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()), "digests")
-    copied = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = ids.join(copied, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to")
+    ids = staged(pages.select("page_id", F.unhex("digest").alias("key"), F.octet_length("html").alias("bytes")), "digests")
+    files = max(1, -(-(ids.agg(F.sum("bytes")).first()[0] or 0) // FILE_BYTES))
+    known = ids.where((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "key")
+    copied = known.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copied = copied.withColumn("key", F.concat("key", F.lit(b"")))  # dealt anew, so that a hot payload can be split
+    revisits = known.join(copied, "key").where("page_id <> refers_to").select("page_id", F.lower(F.hex("key")).alias("digest"), "refers_to")
     revisits = staged(revisits, "revisits").groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
-    return pages.join(revisits, ["page_id", "digest"], "left")
+    discard(ids)
+    return pages.repartition(files, "page_id", "digest").join(revisits, ["page_id", "digest"], "left")
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -73,10 +83,23 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.withColumn("block", block).select(F.concat(header, F.lit(CRLF), F.col("block")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT, per_file: int = 20_000) -> None:
-    """Write the pages as WARC files under path, at most per_file records each."""
-    out = records(with_refers_to(pages, min_bytes)).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file)
-    out.text(path)
+def gzipped(rows: DataFrame) -> DataFrame:
+    """Each value as a gzip member of its own; the string has the member's bytes."""
+
+    def block(values: dict) -> dict:
+        out = []
+        for value in values["value"]:
+            c = zlib.compressobj(6, zlib.DEFLATED, 31)
+            out.append(c.compress(value.encode("utf-8", "surrogatepass")) + c.flush())
+        return {"value": out}
+
+    return map_rows(rows, block, pa.schema([("value", pa.binary())]), 8 << 20).select(F.col("value").cast("string").alias("value"))
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None:
+    """Write the pages as WARC files under path."""
+    rows = records(with_refers_to(pages, min_bytes)).select(F.concat("value", F.lit(CRLF * 2)).alias("value"))
+    gzipped(rows).write.option("lineSep", PAD).option("compression", "none").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -92,31 +115,47 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}{f':{port}' if port else ''}){parts.path or '/'}{f'?{query}' if query else ''}".lower()
 
 
-def parse(stream: io.BufferedIOBase, file: str) -> Iterator[tuple]:
-    """An ENTRY row for each record; raises ValueError where a record is broken or its digest differs."""
-    offset = 0
-    while first := stream.readline():
-        if first.rstrip() != b"WARC/1.1":
-            raise ValueError(f"{file}: no record at {offset}")
-        length, head = len(first), {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            length += len(line)
-            name, _, value = line.decode("utf-8").partition(":")
-            head[name.lower()] = value.strip()
-        size = int(head["content-length"])
-        block = stream.read(size)
-        if len(block) != size or stream.read(4) != b"\r\n\r\n":
-            raise ValueError(f"{file}: record at {offset} is cut short")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        n_bytes = int(http.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
-        digest, revisit = head["warc-payload-digest"].removeprefix("sha256:"), head["warc-type"] == "revisit"
-        if not revisit and (len(payload) != n_bytes or hashlib.sha256(payload).hexdigest() != digest):
-            raise ValueError(f"{file}: payload of the record at {offset} differs from its digest")
-        number = lambda x: int(x[12:-1]) if x and len(x) > 13 else None
-        url, stamp = head.get("warc-target-uri"), "".join(c for c in head["warc-date"] if c.isdigit())
-        length += 2 + size + 4
-        yield url_key(url), stamp, number(head["warc-record-id"]), url, n_bytes, digest, head["warc-type"], number(head.get("warc-refers-to")), file, offset, length
-        offset += length
+def parse(record: bytes, where: str) -> tuple:
+    """An ENTRY row without file, offset and length; raises ValueError where the record is broken or its digest differs."""
+    head_bytes, _, rest = record.partition(b"\r\n\r\n")
+    first, *lines = head_bytes.split(b"\r\n")
+    if first != b"WARC/1.1":
+        raise ValueError(f"no record at {where}")
+    head = {}
+    for line in lines:
+        name, _, value = line.decode("utf-8").partition(":")
+        head[name.lower()] = value.strip()
+    size = int(head["content-length"])
+    block = rest[:size]
+    if len(block) != size or rest[size:] != b"\r\n\r\n":
+        raise ValueError(f"the record at {where} is cut short")
+    http, _, payload = block.partition(b"\r\n\r\n")
+    n_bytes = int(http.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
+    digest, revisit = head["warc-payload-digest"].removeprefix("sha256:"), head["warc-type"] == "revisit"
+    if not revisit and (len(payload) != n_bytes or hashlib.sha256(payload).hexdigest() != digest):
+        raise ValueError(f"payload of the record at {where} differs from its digest")
+    number = lambda x: int(x[12:-1]) if x and len(x) > 13 else None
+    url, stamp = head.get("warc-target-uri"), "".join(c for c in head["warc-date"] if c.isdigit())
+    return url_key(url), stamp, number(head["warc-record-id"]), url, n_bytes, digest, head["warc-type"], number(head.get("warc-refers-to"))
+
+
+def members(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of the gzip members of a file; padding between them is skipped."""
+    at, end = 0, len(content)
+    while at < end:
+        if content[at] == 0:
+            at += 1
+            continue
+        inflate, parts, pos = zlib.decompressobj(31), [], at
+        while not inflate.eof:
+            if pos >= end:
+                raise ValueError(f"the member at {at} is cut short")
+            step = content[pos : pos + (1 << 16)]
+            parts.append(inflate.decompress(step))
+            pos += len(step)
+        pos -= len(inflate.unused_data)
+        yield at, pos - at, b"".join(parts)
+        at = pos
 
 
 def order(entry: tuple) -> tuple:
@@ -124,7 +163,7 @@ def order(entry: tuple) -> tuple:
     return entry[0], entry[1], entry[2] is not None, entry[2] or 0
 
 
-def batches_of(rows: Iterator[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterator[tuple], size: int = BUFFER) -> Iterator[pa.RecordBatch]:
     block: list[tuple] = []
     for row in rows:
         block.append(row)
@@ -142,12 +181,17 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
                 name = file.as_py()
-                stream = io.BytesIO(memoryview(content.as_buffer()))
-                yield from batches_of(iter(sorted(parse(io.BufferedReader(gzip.GzipFile(fileobj=stream)) if name.endswith(".gz") else stream, name), key=order)))
+                found = ((*parse(record, f"{offset} of {name}"), name, offset, length) for offset, length, record in members(memoryview(content.as_buffer())))
+                yield from batches_of(iter(sorted(found, key=order)))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, spark_schema(ENTRY))
 
 
+def record_of(content: bytes, offset: int, length: int) -> bytes:
+    """The record that an index entry points to, from its file's content."""
+    return gzip.decompress(content[offset : offset + length])
+
+
 class LoserTree:
     """K-way merge of sorted iterators; each inner node keeps the loser of its match, so a step plays one path."""
 
@@ -184,25 +228,55 @@ class LoserTree:
             self.play(i)
 
 
+def entries_of(pieces: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The entries of a run's consecutive pieces, of which BUFFER are decoded at a time."""
+    for piece in pieces:
+        for at in range(0, piece.num_rows, BUFFER):
+            yield from zip(*(c.to_pylist() for c in piece.slice(at, BUFFER).columns))
+
+
+def sorted_stretches(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple, tuple]]:
+    """Slices of a batch that are of one file and in order, with the first and the last key."""
+    start, last, file = 0, None, None
+    first: tuple | None = None
+    for i, (urlkey, stamp, page_id, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*KEY, "file")))):
+        key = order((urlkey, stamp, page_id))
+        if last is not None and (name != file or key < last):
+            yield batch.slice(start, i - start), (file, first), (file, last)
+            start, first = i, None
+        first, last, file = key if first is None else first, key, name
+    if last is not None:
+        yield batch.slice(start), (file, first), (file, last)
+
+
 def merge(entries: DataFrame) -> DataFrame:
     """Sorted runs merged into one order by URL key, timestamp and page_id over all partitions."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[list[tuple]]] = {}
+        sources: list[list[pa.RecordBatch]] = []
+        end = None
         for batch in batches:
-            for entry in zip(*(c.to_pylist() for c in batch.columns)):
-                own = pieces.setdefault(entry[8], [[]])
-                if own[-1] and order(own[-1][-1]) > order(entry):  # blocks of one run may arrive in any order
-                    own.append([])
-                own[-1].append(entry)
-        yield from batches_of(iter(LoserTree([iter(x) for own in pieces.values() for x in own])))
+            for piece, first, last in sorted_stretches(batch):
+                if end is None or first[0] != end[0] or first[1] < end[1]:  # blocks of one run may arrive in any order
+                    sources.append([])
+                sources[-1].append(piece)
+                end = last
+        yield from batches_of(iter(LoserTree([entries_of(x) for x in sources])))
+
+    n = entries.count()
+    tasks = max(1, -(-n // RANGE), min(-(-n // SMALL_RANGE), 2 * entries.sparkSession.sparkContext.defaultParallelism))
+    return entries.repartitionByRange(tasks, *KEY).mapInArrow(merged, spark_schema(ENTRY))
 
-    return entries.repartitionByRange(*KEY).mapInArrow(merged, spark_schema(ENTRY))
 
+def capture_index(pages: DataFrame, min_bytes: int = MIN_REVISIT, archives: str | None = None) -> DataFrame:
+    """Write the pages' archives, read them back, and merge their runs: one ENTRY row per page.
 
-def capture_index(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Write the pages' archives, read them back, and merge their runs: one ENTRY row per page."""
+    Archives stay if a folder is given for them; otherwise they are deleted once their entries are stored.
+    """
     spark = pages.sparkSession
-    path = new_path(spark, "warc")
+    path = archives or new_path(spark, "warc")
     write_archives(pages, path, min_bytes)
-    return merge(staged(runs(spark, path), "runs"))
+    found = staged(runs(spark, path), "runs")
+    if archives is None:
+        delete(spark, path)
+    return merge(found)

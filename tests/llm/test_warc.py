@@ -36,6 +36,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.page_id or -1, r.record_type, r.refers_to) for r in rows) == [(-1, "response", None), (5, "response", None), (5, "response", None), (7, "revisit", 5)]
 
 
+def test_archives(spark, tmp_path, monkeypatch):
+    """Archives are bounded by bytes, every entry cuts its record out of its file, and many small ranges give one order."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "BUFFER", 7)
+    rng = random.Random(4)
+    pages = [(i, f"http://{rng.choice('abc')}.org/{rng.randint(0, 9)}", f"{rng.choice(['x', 'é'])}{i % 90}" * rng.choice([1, 30, 900])) for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    rows = warc.capture_index(df, archives=str(tmp_path / "warc")).collect()
+    keys = [(r.urlkey, r.timestamp, r.page_id) for r in rows]
+    assert keys == sorted(keys) and len(rows) == 400
+    files = {r.file: open(r.file.removeprefix("file:"), "rb").read() for r in rows}
+    assert len(files) > 5
+    html = {p: h for p, _, h in pages}
+    for r in rows:
+        record = warc.record_of(files[r.file], r.offset, r.length).decode()
+        assert f"<urn:x-page:{r.page_id}>" in record and record.endswith("\r\n\r\n")
+        assert (html[r.page_id] in record) == (r.record_type == "response")
+    whole = b"".join(warc.gzip.decompress(c) for c in files.values())
+    assert whole.count(b"WARC/1.1\r\nWARC-Type") == 400
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in range(9):
