@@ -106,12 +106,16 @@ def ledger(docs: DataFrame) -> DataFrame:
 def kept_rows(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of docs that the policy keeps, with their own columns; no join, as rows are measured where they are."""
 
+    prefix = "_rule_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+
     def block(rows: dict) -> dict:
         measured = [measure(t) for t in rows["text"]]
-        return {f"_rule_{m}": [x[i] for x in measured] for i, m in enumerate(MEASURES)}
+        return {prefix + m: [x[i] for x in measured] for i, m in enumerate(MEASURES)}
 
-    schema = pa.schema([(f"_rule_{m}", pa.int64()) for m in MEASURES])
-    return add_columns(docs, ("text",), block, schema).where(failed_bits("_rule_").bitwiseAND(F.lit(mask(policy))) == 0).select(*docs.columns)
+    schema = pa.schema([(prefix + m, pa.int64()) for m in MEASURES])
+    return add_columns(docs, ("text",), block, schema).where(failed_bits(prefix).bitwiseAND(F.lit(mask(policy))) == 0).select(*docs.columns)
 
 
 def apply_policy(book: DataFrame, policy: str = CURRENT) -> DataFrame:

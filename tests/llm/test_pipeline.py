@@ -69,3 +69,31 @@ def test_near_duplicates_at_080(spark):
     assert sum(0.8 <= similar(a, b) < 0.85 for a, b in zip(texts[::2], texts[1::2])) > 20 and len(want) > 100
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+def run(spark, folder, docs, schema, items=((1, ITEM),)):
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(folder))
+
+
+def test_edge_cases(spark, tmp_path):
+    """Nulls in any column, repeated rows and doc_ids, clashing names, very long texts; every row is judged by its own text."""
+    rng = random.Random(3)
+    fresh = lambda n=80: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    a, b, c, d, e = (fresh() for _ in range(5))
+    long = fresh(30_000)
+    docs = [
+        (1, a, "en", "k"), (1, b, None, None), (2, a, "en", "k"), (7, c, "en", "k"), (7, c, "en", "k"), (None, d, "en", "k"), (None, d + " " + ITEM, None, "k"), (None, e, "de", None),
+        (7, e + " " + ITEM, "en", "k"), (8, None, "en", "k"), (9, "", "en", "k"), (10, " \n ", "en", "k"), (11, long, "en", "k"),
+    ]
+    schema = "doc_id long, text string, lang string, leak_key string"
+    rows = run(spark, tmp_path, docs, schema).collect()
+    # of equal doc_id and text one row stays; rows without doc_id are no duplicates of each other
+    want = sorted([(1, a), (1, b), (7, c), (-1, d), (-1, e), (11, long)])
+    vocabulary = bpe.Vocabulary(bpe.default_path())
+    assert sorted((r.doc_id or -1, r.decoded) for r in rows) == sorted((i, vocabulary.encode(t)[1]) for i, t in want)
+
+
+def test_empty_table(spark, tmp_path):
+    assert run(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long", []).count() == 0

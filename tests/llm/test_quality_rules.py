@@ -47,3 +47,9 @@ def test_ledger_policies_and_ablations(spark):
             assert got[policy, rule] == (kept(m), kept(m) - kept(Q.mask(policy)))
     assert Q.kept_rows(df).count() == sum(r.kept for r in out) and Q.kept_rows(df).columns == df.columns
     assert Q.quality_rules(df.limit(0)).count() == 0 and Q.ablations(Q.quality_rules(df.limit(0))).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "word " * 60, 5), (2, " ".join(f"w{i}" for i in range(60)), 6), (3, None, 7)], "doc_id long, text string, _rule_n_words long")
+    kept = Q.kept_rows(docs)
+    assert [tuple(r) for r in kept.collect()] == [(2, " ".join(f"w{i}" for i in range(60)), 6)] and kept.columns == docs.columns

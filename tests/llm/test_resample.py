@@ -2,8 +2,25 @@ import math
 import random
 
 import numpy as np
+import xxhash
 
 from tessella.llm import resample
+from tessella.llm.hashing import MIX, SEED
+
+
+def slow_features(text):
+    """Buckets of words and word pairs with plain integers."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    h = [xxhash.xxh3_64_intdigest(w.lower().encode(), SEED) for w in (text or "").split()]
+    return [x % resample.BUCKETS for x in h] + [mixed(a * int(MIX) + b & mask) % resample.BUCKETS for a, b in zip(h, h[1:])]
 
 
 def test_like_brute_force(spark, monkeypatch):
@@ -20,19 +37,21 @@ def test_like_brute_force(spark, monkeypatch):
     target, raw = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
     wanted = {i for i, q, _ in labels if q}
     for i, t, _ in docs:
-        for f in resample.features(t):
+        for f in slow_features(t):
             raw[f] += 1
             target[f] += i in wanted
-    ratio = resample.log_ratio(target, raw)
+    ratio = [math.log((t + 1) / (target.sum() + resample.BUCKETS) * (raw.sum() + resample.BUCKETS) / (r + 1)) for t, r in zip(target, raw)]
     monkeypatch.setattr(resample, "SMALL", 20)
     monkeypatch.setattr(resample, "BINS", 8)
-    for fraction in (0.01, 0.3, 1.0):
+    for fraction in (0.01, 0.05, 0.3, 1.0):
         out = resample.importance_resample(df, lab, fraction).collect()
         k = math.ceil(fraction * 600)
         for r in out[::37]:
-            assert abs(r.log_weight - ratio[resample.features(docs[r.doc_id][1])].sum()) < 1e-6
+            assert abs(r.log_weight - sum(ratio[f] for f in slow_features(docs[r.doc_id][1]))) < 1e-6
         best = {r.doc_id for r in sorted(out, key=lambda r: (-r.key, r.doc_id))[:k]}
         assert {r.doc_id for r in out if r.kept} == best
+        if fraction == 0.3:  # a light share still prefers documents like the targets
+            assert sum(d % 3 > 0 for d in best) > 0.85 * k
     kept = resample.importance_resample(df, lab, 0.5).where("kept").count()
     assert kept == 300
 
@@ -43,6 +62,8 @@ def test_edge_cases(spark):
     assert resample.importance_resample(df, lab, 1.0).where("kept").count() == 4
     assert resample.importance_resample(df, lab.limit(0), 0.5).count() == 4
     assert resample.importance_resample(df.limit(0), lab).count() == 0
+    long = spark.createDataFrame([(1, "word " * 300_000), (2, "a")], "doc_id long, text string")
+    assert resample.importance_resample(long, lab, 0.5).where("kept").count() == 1
 
 
 def test_kth_with_many_ties(spark, monkeypatch):
