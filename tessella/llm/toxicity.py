@@ -96,6 +96,10 @@ class Kernel:
             row, place = np.nonzero(code >= 0)
             np.maximum.at(self.features, (code[row, place], row), weight)
         self.used = self.features.any(axis=1)
+        # the landmarks of each code, laid end to end: a code is in few of them
+        code, self.among = np.nonzero(self.features)
+        self.weight = self.features[code, self.among]
+        self.starts = np.searchsorted(code, np.arange(BASE**3 + 1))
         own = (self.features**2).sum(axis=0)
         self.scale = np.where(own > 0, 1 / np.maximum(own, 1e-30), 0).astype(np.float32)
 
@@ -116,8 +120,10 @@ class Kernel:
             order = np.lexsort((-weight, row * BASE**3 + code))
             order = order[np.flatnonzero(np.diff(row[order] * BASE**3 + code[order], prepend=-1))]  # its least span
             row, code, weight = row[order], code[order], weight[order]
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            sums[row[first]] = np.add.reduceat(self.features[code] * weight[:, None], first, axis=0)
+            many = self.starts[code + 1] - self.starts[code]
+            at = np.arange(many.sum()) + np.repeat(self.starts[code] - np.cumsum(many) + many, many)
+            place = np.repeat(row, many) * len(self.landmarks) + self.among[at]
+            sums = np.bincount(place, self.weight[at] * np.repeat(weight, many), sums.size).reshape(sums.shape).astype(np.float32)
         return np.clip((sums * self.scale - FLOOR) / (1 - FLOOR), 0, 1)
 
     def of(self, units: list[str]) -> np.ndarray:
@@ -281,6 +287,9 @@ def train(texts: list[str], toxic: np.ndarray) -> Machine | None:
     clean = ids[~toxic[text]], text[~toxic[text]]
     negative, often = np.unique(np.unique(clean[0] * np.int64(len(texts)) + clean[1]) // len(texts), return_counts=True)  # in how many documents
     near = x.max(axis=1)
+    # units without any kernel are one point, which counts as often as all of them
+    far = near[negative] == 0
+    negative, often = np.append(negative[~far], negative[far][:1]), np.append(often[~far], [often[far].sum()] if far.any() else [])
     value = x.sum(axis=1)
     for _ in range(4):
         best = highest(value[ids], text, len(texts))
