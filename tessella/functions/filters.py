@@ -24,12 +24,18 @@ def is_valid(c: Column | str) -> Column:
     return T.bind(T.visible_chars(c), lambda n: F.when(inside(n), (tokens(n) >= MIN_TOKENS) & (T.digits(c) <= n * MAX_DIGIT_SHARE)).otherwise(F.lit(False)))
 
 
+def may_be_foreign(c: Column | str) -> Column:
+    """False where no letter can be foreign: a Latin language without letters of another script. A literal class is far cheaper than that of all foreign scripts."""
+    return ~F.coalesce("latin", F.lit(False)) | T._c(c).rlike(r"[\p{L}&&[^\p{IsLatin}]]")
+
+
 def has_foreign_letters(c: Column | str) -> Column:
-    return F.coalesce(F.regexp_like(T._c(c), F.col("foreign_letters")), F.lit(False))
+    return F.coalesce(may_be_foreign(c) & F.regexp_like(T._c(c), F.col("foreign_letters")), F.lit(False))
 
 
 def has_own_letters(c: Column | str) -> Column:
-    return F.coalesce(F.regexp_like(T._c(c), F.col("own_letters")), F.lit(False))
+    own = F.when(F.coalesce("latin", F.lit(False)) & T._c(c).rlike("[A-Za-z]"), F.lit(True)).otherwise(F.regexp_like(T._c(c), F.col("own_letters")))
+    return F.coalesce(own, F.lit(False))
 
 
 def is_script_contaminated(c: Column | str) -> Column:
@@ -37,7 +43,7 @@ def is_script_contaminated(c: Column | str) -> Column:
 
 
 def strip_foreign_letters(c: Column | str) -> Column:
-    return F.coalesce(F.regexp_replace(T._c(c), F.col("foreign_letters"), F.lit("")), T._c(c))
+    return F.when(may_be_foreign(c), F.coalesce(F.regexp_replace(T._c(c), F.col("foreign_letters"), F.lit("")), T._c(c))).otherwise(T._c(c))
 
 
 def stem_candidates(word: Column) -> Column:

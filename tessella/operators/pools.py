@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions.dims import RESERVES
+from tessella.operators import dedupe
 
 
 def merged(sources: dict[str, DataFrame]) -> DataFrame:
@@ -54,8 +55,8 @@ def pool_stats(df: DataFrame) -> DataFrame:
 
 def exact_reserve(df: DataFrame, size: Column, seed: int = 42) -> DataFrame:
     """df with pool, the reserve being exactly the rows of least hash per language."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(key_hash(seed, "lang", "sentence"), "sentence"))
-    return df.withColumn("_place", place).withColumn("pool", F.when(F.col("_place") <= size, "reserved").otherwise("main")).drop("_place")
+    out = dedupe.placed(df, ["lang"], [key_hash(seed, "lang", "sentence"), "sentence"])
+    return out.withColumn("pool", F.when(F.col("_place") <= size, "reserved").otherwise("main")).drop("_place")
 
 
 def numbered(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:
@@ -73,25 +74,53 @@ def numbered(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang
 
 def striped(df: DataFrame, n: int, by: str = "lang", order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """df with part: rows dealt in turn within each group."""
-    return df.withColumn("part", (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) % n)
+    return dedupe.placed(df, [by], list(order)).withColumn("part", ((F.col("_place") - 1) % n).cast("int")).drop("_place")
+
+
+def chunked(df: DataFrame, n: int, by: str = "lang", order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """df with chunk: n contiguous parts of each group, the first ones a row longer where it doesn't divide."""
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = dedupe.placed(df, [by], list(order))
+    rows = rows.join(sizes, rows[by].eqNullSafe(sizes["_by"])).withColumn("_q", F.floor(F.col("_n") / n)).withColumn("_r", F.col("_n") % n)
+    at, longer = F.col("_place") - 1, F.col("_r") * (F.col("_q") + 1)
+    chunk = F.when(at < longer, F.floor(at / (F.col("_q") + 1))).otherwise(F.col("_r") + F.floor((at - longer) / F.greatest("_q", F.lit(1))))
+    return rows.withColumn("chunk", chunk.cast("int")).drop("_by", "_n", "_place", "_q", "_r")
 
 
 def doc_plan(capacity: DataFrame, target: int, seed: int = 0) -> DataFrame:
     """Languages of target documents, as (doc_no, lang): one for each language, then by what is left of their capacities.
 
     Drawing in proportion to what is left is drawing from an urn, so each language lays its slots into it and the slots
-    of least hash are drawn. Only first hashes are ordered: a language never lays more slots than documents are wanted.
+    of least hash are drawn: a language never lays more slots than documents are wanted.
     """
     slots = capacity.where("capacity > 0").select("lang", F.explode(F.sequence(F.lit(1), F.least("capacity", F.lit(target)).cast("int"))).alias("slot"))
-    drawn = slots.orderBy((F.col("slot") > 1).asc(), key_hash(seed, "lang", "slot"), "lang", "slot").limit(target)
-    place = F.row_number().over(Window.orderBy((F.col("slot") > 1).asc(), key_hash(seed, "lang", "slot"), "lang", "slot"))
-    return drawn.withColumn("doc_no", place - 1).select("doc_no", "lang")
+    out = dedupe.placed(slots, [], [F.col("slot") > 1, key_hash(seed, "lang", "slot"), "lang", "slot"], "doc_no")
+    return out.where(F.col("doc_no") <= target).select((F.col("doc_no") - 1).alias("doc_no"), "lang")
 
 
 def offsets(demands: DataFrame, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:
     """demands (doc, slot, n) with start: the first pool index that each may draw; draws never overlap."""
-    w = Window.partitionBy(*by).orderBy("doc", "slot").rowsBetween(Window.unboundedPreceding, 0)
-    return demands.withColumn("start", F.sum("n").over(w) - F.col("n"))
+    return dedupe.running_before(demands, list(by), ["doc", "slot"], "n").withColumnRenamed("_before", "start")
+
+
+def remaining(pool: DataFrame, demands: DataFrame, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:
+    """How many sentences each pool has, how many are wanted of it, and how many are left."""
+    wanted = demands.groupBy(*by).agg(F.sum("n").alias("wanted"))
+    out = pool.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(wanted, list(by), "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+    return out.withColumn("remaining", F.greatest(F.col("n") - F.col("wanted"), F.lit(0)))
+
+
+def weighted_choice(df: DataFrame, choices: DataFrame, key: Column, weight: str = "weight", name: str = "lang") -> DataFrame:
+    """df with one of the choices for each row, in proportion to their weights: a uniform number by key falls into a choice's range.
+
+    choices has one row per language: at most as many as there are languages.
+    """
+    upto = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+    total = Window.partitionBy()
+    ranges = choices.where(F.col(weight) > 0).withColumn("_to", F.sum(weight).over(upto) / F.sum(weight).over(total)).agg(F.array_sort(F.collect_list(F.struct("_to", name))).alias("_all"))
+    one = F.element_at(F.filter("_all", lambda x: x["_to"] > F.col("_u")), 1)
+    last = F.element_at("_all", -1)
+    return df.withColumn("_u", T.uniform(key)).crossJoin(F.broadcast(ranges)).withColumn(name, F.coalesce(one[name], last[name])).drop("_u", "_all")
 
 
 def draw(demands: DataFrame, pool: DataFrame, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:

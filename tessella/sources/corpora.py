@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import filters
@@ -35,18 +35,20 @@ def article_sentences(articles: DataFrame, stop: Column, **lists: Column) -> Dat
     rows = pars.select("lang", "pos", "par_no", F.posexplode(T.segments("paragraph")).alias("no", "sentence"))
     rows = filters.post_cleaned(with_lang(rows), "sentence", stop, **lists)
     rows = dedupe.first_wins(rows.select("lang", "wiki_cap", "pos", "par_no", "no", "sentence"), ["lang", "sentence"], ["pos", "par_no", "no"])
-    rows = dedupe.capped(rows, "lang", ["pos", "par_no", "no"], F.col("wiki_cap"))
-    return rows.select(F.lit("wiki").alias("source"), "lang", F.row_number().over(Window.partitionBy("lang").orderBy("pos", "par_no", "no")).alias("pos"), "sentence")
+    rows = dedupe.placed(rows, ["lang"], ["pos", "par_no", "no"]).where(F.col("_place") <= F.col("wiki_cap"))
+    return rows.select(F.lit("wiki").alias("source"), "lang", F.col("_place").alias("pos"), "sentence")
 
 
 def priority_articles(articles: DataFrame, scan: int = WIKI["scan"]) -> DataFrame:
     """Of the first scan articles of a language, those long enough, longest first."""
     rows = with_lang(dedupe.capped(articles, "lang", ["pos"], scan)).where(F.length("text") >= F.col("min_chars"))
-    return rows.withColumn("priority", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.length("text")), "pos"))).select(*articles.columns, "priority")
+    return dedupe.placed(rows.select(*articles.columns), ["lang"], [-F.length("text"), "pos"], "priority")
 
 
 def shuffled_articles(articles: DataFrame, seed: int) -> DataFrame:
-    return articles.withColumn("pos", F.row_number().over(Window.partitionBy("lang").orderBy(T.md5_number(F.concat_ws("\0", F.lit(str(seed)), "lang", F.col("pos").cast("string"))), "pos")))
+    """Articles numbered anew by hash."""
+    order = T.md5_number(F.concat_ws("\0", F.lit(str(seed)), "lang", F.col("pos").cast("string")))
+    return dedupe.placed(articles, ["lang"], [order, "pos"], "_new").withColumn("pos", F.col("_new")).drop("_new")
 
 
 # ---- parallel corpus rows
