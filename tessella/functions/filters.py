@@ -56,27 +56,23 @@ def english_leak(c: Column | str, stop: Column, broad: Column | None = None) ->
 
     With broad, the language's policy on joint hits applies where its ``secondary`` flag is set.
     """
-    def judged(words: Column) -> Column:
-        alpha = F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")))
-        ascii_ = F.size(F.filter(words, lambda w: w.rlike("^[a-z]+$")))
-        counts = F.struct(alpha.alias("alpha"), (ascii_ / F.nullif(alpha, F.lit(0))).alias("ascii"), F.size(F.filter(words, lambda w: F.array_contains(stop, w))).alias("hits"))
-        return T.bind(counts, lambda n: both(words, n))
-
-    def both(words: Column, n: Column) -> Column:
-        first = (n["alpha"] >= 4) & (n["hits"] >= F.coalesce("min_stop", F.lit(3))) & (n["ascii"] >= 0.70)
+    def both(n: Column) -> Column:
+        words = F.transform(T.words(c), F.lower)
+        first = F.when((n["alpha"] >= 4) & (n["ascii"] >= 0.70 * n["alpha"]), hits_in(words, stop) >= F.coalesce("min_stop", F.lit(3))).otherwise(F.lit(False))
         if broad is None:
             return first
-        joint = n["hits"] + F.size(F.filter(words, lambda w: F.arrays_overlap(stem_candidates(w), broad)))
-        second = T.bind(joint, lambda j: (j >= F.col("min_hits")) & (j / n["alpha"] >= F.col("min_hit_share")) & (n["ascii"] >= F.col("min_ascii_share")))
-        return first & (~F.coalesce("secondary", F.lit(True)) | second)
+        joint = T.bind(words, lambda w: hits_in(w, stop) + F.size(F.filter(w, lambda x: F.arrays_overlap(stem_candidates(x), broad))))
+        second = T.bind(joint, lambda j: (j >= F.col("min_hits")) & (j / n["alpha"] >= F.col("min_hit_share")) & (n["ascii"] / n["alpha"] >= F.col("min_ascii_share")))
+        return F.when(first, ~F.coalesce("secondary", F.lit(True)) | second).otherwise(F.lit(False))
 
-    return F.coalesce((F.col("lang") != "en") & T.bind(F.transform(T.words(c), F.lower), judged), F.lit(False))
+    counts = F.struct(T.alpha_count(c).alias("alpha"), F.regexp_count(F.lower(T._c(c)), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])")).alias("ascii"))
+    return F.coalesce(F.when(F.col("lang") != "en", T.bind(counts, both)), F.lit(False))
 
 
 def major_latin_leak(c: Column | str, lexicon: Column) -> Column:
     """Three words or more, and 35 % or more of the words of letters, from another major language's lexicon (a map language -> words)."""
     leaks = lambda words, alpha: F.exists(F.map_keys(lexicon), lambda k: (k != F.col("lang")) & T.bind(hits_in(words, lexicon[k]), lambda n: (n >= 3) & (n >= 0.35 * alpha)))
-    judged = lambda words: T.bind(F.size(T.alpha_words(c)), lambda alpha: (alpha >= 4) & leaks(words, alpha))
+    judged = lambda words: T.bind(T.alpha_count(c), lambda alpha: (alpha >= 4) & leaks(words, alpha))
     return F.coalesce(F.col("leak_check") & T.bind(F.transform(T.words(c), F.lower), judged), F.lit(False))
 
 
@@ -112,7 +108,7 @@ def reject_reason(c: Column | str, stop: Column, broad: Column | None = None, pl
 def cleaned(df: DataFrame, column: str, stop: Column, **lists: Column) -> DataFrame:
     """df with the column cleaned, empty where nothing is left or a reason rejects it. Steps are columns of their own, so each runs once."""
     text = T.collapse_punct(T.strip_brackets(T.strip_html(T.strip_backslashes(column))))
-    out = df.withColumn("_c", T.trim(T.collapse_spaces(T.strip_symbols(strip_foreign_letters(text)))))
+    out = df.withColumn("_t", text).withColumn("_c", T.trim(T.collapse_spaces(T.strip_symbols(strip_foreign_letters("_t"))))).drop("_t")
     bad = ~has_own_letters("_c") | reject_reason("_c", stop, **lists).isNotNull()
     latin = F.coalesce("latin", F.lit(False))
     final = F.when(bad, "").when(latin, F.col("_c")).otherwise(T.trim(T.collapse_spaces(T.strip_ascii_words("_c"))))

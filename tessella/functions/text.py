@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 BULLETS = r"\-\*•·‣⁃∙–—"
 OPENING_QUOTES = "\"'“”‘’«»‹›"
+# fixed values: currency signs that cleaning keeps, pairs that wrap whole fragments, signs that end pooled sentences
 CURRENCY = "$¢£¤¥֏৳฿₡₦₩₪₫₭₮₱₲₴₵₸₺₽₹₿€₼₾"
 WRAPPERS = ("()", "[]", "{}", "<>", "【】", "（）", "「」", "『』", "«»", "‹›", "“”", "‘’", '""', "''")
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 STARTER = rf"(?:(?:[0-9]{{1,4}}|[ivxlcdm]{{1,8}}|[a-z])[.:)\]]{SPACE}*|[{BULLETS}]{SPACE}*)"
 ITEM = rf"(?:(?:[0-9]{{1,4}}|[ivxlcdm]{{1,8}}|[a-z])[.:)\]]{SPACE}+|[{BULLETS}]{SPACE}+)"
+# fixed values: enumerations are split from this length and number of markers on
 LIST_MIN_CHARS, LIST_MIN_MARKERS = 120, 2
 ENDINGS = (".", ":", ";", "!", "?")
 WORD = r"[\p{L}\p{N}_]+"
@@ -125,6 +127,11 @@ def alpha_words(c: Column | str) -> Column:
     return F.filter(words(c), lambda w: w.rlike(r"^\p{L}+$"))
 
 
+def alpha_count(c: Column | str) -> Column:
+    """How many words have letters only."""
+    return F.regexp_count(_c(c), F.lit(r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{N}_])"))
+
+
 def visible_chars(c: Column | str) -> Column:
     return F.length(F.regexp_replace(_c(c), r"[^\p{L}\p{N}]", ""))
 
@@ -135,7 +142,7 @@ def digits(c: Column | str) -> Column:
 
 def valid_tokens(c: Column | str) -> Column:
     """Runs of letters, marks, numbers and symbols that hold only letters and marks."""
-    return F.size(F.filter(F.regexp_extract_all(_c(c), F.lit(r"[\p{L}\p{M}\p{N}\p{S}]+"), F.lit(0)), lambda t: t.rlike(r"^[\p{L}\p{M}]+$")))
+    return F.regexp_count(_c(c), F.lit(r"(?<![\p{L}\p{M}\p{N}\p{S}])[\p{L}\p{M}]++(?![\p{N}\p{S}])"))
 
 
 def is_valid_word(c: Column | str) -> Column:
@@ -162,22 +169,32 @@ def uniform(key: Column) -> Column:
     return (md5_number(key) + 0.5) / float(1 << 32)
 
 
-def strip_wrappers(c: Column | str, rounds: int = 4, pairs: tuple[str, ...] = WRAPPERS) -> Column:
-    """Without pairs of brackets or quotes around the whole, up to so many times."""
+def strip_wrappers(c: Column | str, rounds: int | None = None, pairs: tuple[str, ...] = WRAPPERS) -> Column:
+    """Without pairs of brackets or quotes around the whole, until nothing changes, or up to so many times.
+
+    A round takes two characters at least, so a text has at most half as many rounds as characters; only texts that are
+    wrapped at all have any.
+    """
     around = "|".join(rf"\{a}.+\{b}" if a in "([{<" else f"{a}.+{b}" for a, b in pairs)
-    text = trim(c)
-    for _ in range(rounds):
-        text = bind(text, lambda t: bind(trim(F.when(t.rlike(f"(?s)^(?:{around})$"), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(F.lit(""))), lambda inner: F.when(inner != "", inner).otherwise(t)))
-    return text
+    wrapped = lambda t: t.rlike(f"(?s)^(?:{around})$")
+
+    def once(t: Column) -> Column:
+        inner = trim(F.substring(t, F.lit(2), F.length(t) - 2))
+        return F.when(wrapped(t), bind(inner, lambda x: F.when(x != "", x).otherwise(t))).otherwise(t)
+
+    most = F.floor(F.length(c if isinstance(c, Column) else F.col(c)) / 2) if rounds is None else F.lit(rounds)
+    # the run of brackets and quotes at the start bounds the rounds
+    opening = lambda t: F.length(F.regexp_extract(t, r"^(?:\s|[(\[{<【（「『«‹“‘\"'])+", 0))
+    return bind(trim(c), lambda t: F.when(wrapped(t), F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(most, opening(t))).cast("int")), t, lambda acc, _: once(acc))).otherwise(t))
 
 
 def pool_normalized(c: Column | str, lang: Column | str, seed: int = 0) -> Column:
     """A sentence as pools keep it: without wrappers and list marker, with a terminal sign chosen by hash."""
-    text = strip_wrappers(strip_html(trim(collapse_spaces(c))), 4)
+    text = strip_wrappers(strip_html(trim(collapse_spaces(c))))
     marker = rf"(?i)^{SPACE}*(?:(?:[0-9]{{1,4}}|[ivxlcdm]{{1,8}}|[a-z])[.)\]]{SPACE}+|[{BULLETS}]{SPACE}+)"
     text = trim(collapse_spaces(collapse_punct(trim(F.regexp_replace(text, marker, "")))))
     body = lambda t: F.regexp_replace(F.regexp_extract(t, r"(?s)^(.*?)[.!?;:…]+$", 1), rf"{SPACE}+$", "")
-    sign = lambda b: F.element_at(F.array(*map(F.lit, ENDINGS)), hash_choice(F.concat_ws("\0", F.lit(str(seed)), _c(lang), b), len(ENDINGS)) + 1)
+    sign = lambda b: F.element_at(F.array(*map(F.lit, ENDINGS)), F.pmod(md5_number(F.concat_ws("\0", F.lit(str(seed)), _c(lang), b)), F.lit(len(ENDINGS))).cast("int") + 1)
     return bind(text, lambda t: bind(body(t), lambda b: F.when(b != "", F.concat(b, sign(b))).otherwise(t)))
 
 
