@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import filters, generators
 from tessella.functions import labels as L
 from tessella.functions import text as T
-from tessella.functions.dims import LANGUAGES, lang_dim, with_canonical, with_lang
+from tessella.functions.dims import GROUP_OF, LANGUAGES, lang_dim, with_canonical, with_lang
 from tessella.operators import capacity, dedupe, lexicon, pools, reports, synth
 from tessella.plans import flows
 
@@ -36,9 +36,9 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, lang, doc_id, no, pos, sentence) of all documents; pos orders sentences."""
+    """(source, lang, doc_id, no, pos, sentence) of all documents; pos, the pair of doc_id and no, orders sentences."""
     rows = docs(spark, sf_dir).select("source", "lang", "doc_id", F.posexplode(T.sentences("text")).alias("no", "sentence"))
-    return rows.withColumn("pos", F.col("doc_id") * 1_000_000 + F.col("no"))
+    return rows.withColumn("pos", F.struct("doc_id", "no"))
 
 
 def words(spark: SparkSession, sf_dir: str, top: int = 300) -> DataFrame:
@@ -127,7 +127,21 @@ def rejected_sentences(spark, sf_dir):
     return rows.where("reason is not null").select("lang", "doc_id", "no", "reason")
 
 
-@query()
+keep_sign = lambda c: f"NOT regexp_matches({c}, '\\p{{S}}') OR ascii({c}) < 128 OR contains('{T.CURRENCY}', {c})"
+symbols = lambda x: f"array_to_string(list_filter(string_split({x}, ''), lambda c: {keep_sign('c')}), '')"
+START = f"(?:[\\s]*(?:(?:(?:[0-9]{{1,4}}|[ivxlcdm]{{1,8}}|[a-z])[.:)\\]]|[{T.BULLETS}])\\s*))+\\s*"
+
+
+@query(
+    f"""WITH {SENTENCES}, a AS (SELECT lang, trim({spaces(symbols(collapse(brackets(html("replace(sentence, chr(92), '')")))))}) AS x FROM sentences WHERE NOT regexp_matches(sentence, '(?i)http|[=<>|]')),
+b AS (SELECT lang, x, list_transform(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(w)) AS ws FROM a WHERE regexp_matches(x, '\\p{{L}}')),
+c AS (SELECT lang, x FROM b WHERE lang = 'en' OR NOT coalesce(len(list_filter(ws, lambda w: list_contains({STOP!r}, w))) >= 3 AND len(list_filter(ws, lambda w: regexp_full_match(w, '\\p{{L}}+'))) >= 4
+    AND len(list_filter(ws, lambda w: regexp_full_match(w, '[a-z]+'))) >= 0.7 * len(list_filter(ws, lambda w: regexp_full_match(w, '\\p{{L}}+'))), false)),
+d AS (SELECT lang, ltrim(x) AS x FROM c), e AS (SELECT lang, CASE WHEN regexp_matches(x, '^[{T.OPENING_QUOTES.replace("'", "''")}]') THEN x ELSE regexp_replace(x, '^(\\s|\\p{{P}})+', '') END AS x FROM d),
+f AS (SELECT lang, regexp_replace(x, '(?i)^{START}', '') AS x FROM e), g AS (SELECT lang, ltrim(regexp_replace(x, '^([\\s{T.OPENING_QUOTES.replace("'", "''")},.;:!?…،。！？])+[\\p{{L}}\\p{{Nl}}\\p{{No}}]\\s+', '')) AS x FROM f),
+h AS (SELECT lang, trim({spaces(collapse('x'))}) AS sentence FROM g)
+SELECT lang, count(*) AS n, sum(length(sentence)) AS n_chars FROM h WHERE sentence <> '' AND NOT regexp_matches(sentence, '(?i)http|[=<>|]') AND {VALID} GROUP BY lang"""
+)
 def post_clean(spark, sf_dir):
     return filters.post_cleaned(with_lang(sentences(spark, sf_dir)), "sentence", stop_words()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
 
@@ -138,10 +152,10 @@ h AS (SELECT s.lang, t.lang AS leak_lang, len(list_filter(w, lambda x: list_cont
 SELECT lang, leak_lang, count(*) AS n FROM h WHERE hits >= 3 AND hits >= 0.35 * alpha AND alpha >= 4 GROUP BY ALL""")
 def major_latin_hits(spark, sf_dir):
     """Sentences that read like another major language, by its forty commonest words (three languages: three literal lists)."""
-    lists = lexicon.lexicon(lexicon.word_counts(docs(spark, sf_dir).where(F.col("lang").isin("de", "es", "fr")), "text"), 40).groupBy("lang").agg(F.collect_list("word").alias("ws"))
-    rows = sentences(spark, sf_dir).select("lang", F.size(T.alpha_words("sentence")).alias("alpha"), F.transform(T.words("sentence"), F.lower).alias("w")).where("alpha >= 4")
-    t = F.broadcast(lists.withColumnRenamed("lang", "leak_lang"))
-    hits = rows.join(t, rows["lang"] != t["leak_lang"]).withColumn("hits", filters.hits_in(F.col("w"), F.col("ws")))
+    counts = lexicon.word_counts(docs(spark, sf_dir).where(F.col("lang").isin("de", "es", "fr")), "text")
+    lists = F.array(*(F.struct(F.lit(k).alias("leak_lang"), flows.word_array(counts, k, 40).alias("ws")) for k in ("de", "es", "fr")))
+    rows = sentences(spark, sf_dir).select("lang", T.alpha_count("sentence").alias("alpha"), F.transform(T.words("sentence"), F.lower).alias("w")).where("alpha >= 4")
+    hits = rows.select("lang", "alpha", "w", F.inline(lists)).where(F.col("lang") != F.col("leak_lang")).withColumn("hits", filters.hits_in(F.col("w"), F.col("ws")))
     return hits.where((F.col("hits") >= 3) & (F.col("hits") >= 0.35 * F.col("alpha"))).groupBy("lang", "leak_lang").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -273,32 +287,27 @@ def train_eval_split(spark, sf_dir):
     return pools.train_eval(docs(spark, sf_dir).select("doc_id"), F.col("doc_id").cast("string"))
 
 
-#: Tokens of a document in the SQL of LABELLED.
-FIRST_TOKENS = 510
-
-
-def labelled(spark, sf_dir, most=None):
-    """Token arrays of documents with BIO labels, and a split by parity; with most, of the first tokens only."""
-    tokens = T.words("text") if most is None else F.slice(T.words("text"), 1, most)
-    rows = docs(spark, sf_dir).join(F.broadcast(lang_dim(spark).select("lang", "label")), "lang").withColumn("tokens", tokens)
+def labelled(spark, sf_dir):
+    """Token arrays of whole documents with BIO labels, and a split by parity."""
+    rows = docs(spark, sf_dir).join(F.broadcast(lang_dim(spark).select("lang", "label")), "lang").withColumn("tokens", T.words("text"))
     rows = rows.where(F.size("tokens") > 0).withColumn("labels", L.bio(F.col("tokens"), "label")).withColumn("input_ids", F.transform("tokens", lambda t: F.pmod(T.md5_number(t), F.lit(500))))
     return rows.select(F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval").alias("split"), "lang", "label", "tokens", "labels", "input_ids", F.array_repeat(F.lit(1), F.size("tokens")).alias("attention_mask"))
 
 
-LABELLED = f"""l AS (SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'eval' END AS split, list_position({list(LANGUAGES)!r}, lang) - 1 AS label, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')[1:510] AS tokens FROM documents),
+LABELLED = f"""l AS (SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'eval' END AS split, list_position({list(LANGUAGES)!r}, lang) - 1 AS label, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS tokens FROM documents),
 lab AS (SELECT * FROM l WHERE len(tokens) > 0)"""
 
 
 @query(f"WITH {LABELLED} SELECT doc_id AS doc, list_sum(list_concat([2 * label + 1], list_transform(tokens[2:], lambda t: 2 * label + 2))) AS total, len(tokens) AS n, label AS present FROM lab")
 def bio_labels(spark, sf_dir):
-    rows = labelled(spark, sf_dir, FIRST_TOKENS)
+    rows = labelled(spark, sf_dir)
     hot = L.multi_hot(L.languages_present(F.col("labels")))
     return rows.select("doc", F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("labels").alias("n"), (F.array_position(hot, 1) - 1).alias("present"))
 
 
 @query(f"WITH {LABELLED} SELECT split, lang, count(*) AS n_sentences, sum(len(tokens)) AS n_tokens FROM lab GROUP BY ALL")
 def label_counts(spark, sf_dir):
-    return reports.label_counts(labelled(spark, sf_dir, FIRST_TOKENS))
+    return reports.label_counts(labelled(spark, sf_dir))
 
 
 @query(f"""WITH {LABELLED}, t AS (SELECT split, lang, {hash_of('t')} % 500 AS token_id FROM (SELECT split, lang, unnest(tokens) AS t FROM lab)),
@@ -306,12 +315,12 @@ g AS (SELECT split, lang, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'Ger
 SELECT split, CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(lang_group) = 0 THEN 'group' ELSE 'overall' END AS level, lang, lang_group, token_id, count(*) AS count FROM g
 GROUP BY GROUPING SETS ((split, lang, token_id), (split, lang_group, token_id), (split, token_id))""")
 def vocabulary_rollup(spark, sf_dir):
-    return reports.vocabulary_rollup(labelled(spark, sf_dir, FIRST_TOKENS))
+    return reports.vocabulary_rollup(labelled(spark, sf_dir))
 
 
 @query(f"WITH {LABELLED} SELECT max({hash_of('t')} % 500) + 1 AS vocab_size FROM (SELECT unnest(tokens) AS t FROM lab)")
 def vocabulary_size(spark, sf_dir):
-    return reports.vocabulary_size(labelled(spark, sf_dir, FIRST_TOKENS))
+    return reports.vocabulary_size(labelled(spark, sf_dir))
 
 
 @query("SELECT source, lang, n, round(100 * n / sum(n) OVER (PARTITION BY source), 2) AS share FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang)")
@@ -386,7 +395,10 @@ def micro_scores(spark, sf_dir):
     return reports.micro_scores(x.select(F.array("quality", "toxic").alias("g"), F.array((F.col("n_chars") >= 300).cast("int"), (F.col("doc_id") % 9 == 0).cast("int")).alias("p")), "g", "p")
 
 
-@query()
+@query(
+    f"""WITH {LABELLED}, n AS (SELECT len(tokens) AS n FROM lab), s AS (SELECT sum(CASE WHEN n <= 96 THEN 1 ELSE 0 END) AS tp, sum(n // 97 + CASE WHEN n % 97 > 0 THEN 1 ELSE 0 END) AS np, count(*) AS ng FROM n)
+SELECT tp / np AS precision, tp / ng AS recall, 2.0 * tp / (np + ng) AS f1 FROM s"""
+)
 def span_scores(spark, sf_dir):
     rows = labelled(spark, sf_dir).withColumn("guess", F.transform("labels", lambda x, i: F.when(i % 97 == 96, F.lit(0).cast("long")).otherwise(x)))
     return reports.span_scores(rows, "labels", "guess")
@@ -414,7 +426,17 @@ def wrapped_split(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(T.expand_wrapped("text")).alias("n"), F.size(T.split_list("text")).alias("n_items"))
 
 
-@query()
+# a round of unwrapping; texts of the tables have fewer wrappers than these rounds
+AROUND = "|".join(f"\\{a}.+\\{b}" if a in "([{<" else f"{a}.+{b}" for a, b in T.WRAPPERS).replace("'", "''")
+unwrap = lambda t, out: f"SELECT * REPLACE (CASE WHEN regexp_full_match(t, '(?s){AROUND}') AND trim({t}[2:-2]) <> '' THEN trim({t}[2:-2]) ELSE t END AS t) FROM {out}"
+
+
+@query(
+    f"""WITH {SENTENCES}, a AS (SELECT doc_id, no, lang, trim({html(f"trim({spaces('sentence')}, chr(10) || ' ')")}) AS t FROM sentences), b AS ({unwrap('t', 'a')}), c AS ({unwrap('t', 'b')}), d AS ({unwrap('t', 'c')}),
+e AS (SELECT doc_id, no, lang, trim({spaces(collapse(f"trim(regexp_replace(t, '(?i)^\\s*(?:(?:[0-9]{{1,4}}|[ivxlcdm]{{1,8}}|[a-z])[.)\\]]\\s+|[{T.BULLETS}]\\s+)', ''))"))}) AS t FROM d),
+f AS (SELECT *, rtrim(regexp_extract(t, '(?s)^(.*?)[.!?;:…]+$', 1)) AS body FROM e)
+SELECT doc_id, no, CASE WHEN body <> '' THEN body || {list(T.ENDINGS)!r}[1 + {hash_of("'0' || chr(0) || lang || chr(0) || body")} % 5] ELSE t END AS sentence FROM f"""
+)
 def pool_normalized(spark, sf_dir):
     return sentences(spark, sf_dir).select("doc_id", "no", T.pool_normalized("sentence", "lang").alias("sentence"))
 
@@ -434,7 +456,10 @@ def multilabel_rows(spark, sf_dir):
     return synth.multilabel(synth.model_ready(synthetic(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH {LABELLED}, d AS (SELECT unnest({list(LANGUAGES)!r}) AS lang, unnest({[GROUP_OF[x] for x in LANGUAGES]!r}) AS lang_group)
+SELECT d.lang, lang_group, count(doc_id) AS n_examples, coalesce(sum(len(tokens)), 0) AS n_tokens FROM d LEFT JOIN lab ON lab.lang = d.lang GROUP BY ALL"""
+)
 def sampling_stats(spark, sf_dir):
     return reports.sampling_stats(labelled(spark, sf_dir))
 
