@@ -28,13 +28,15 @@ def parser() -> argparse.ArgumentParser:
     add("simulate", "store", "documents", "trials", documents=10_000, trials=20)
     add("compact", "input", "output", "drop", drop="original_text,token_type_ids")
     add("neutral", "output", "rows", rows=30_000)
+    add("evaluations", "manifest", "labelled", "spans", "output", "label", "text", "key", label="label", text="text", key="doc")
+    add("subset", "input", "output", "rows", rows=10_000)
     return top
 
 
 def main(args: list[str] | None = None) -> None:
     from tessella.functions import generators
-    from tessella.operators import capacity, lexicon, reports
-    from tessella.plans import flows
+    from tessella.operators import capacity, lexicon, pools, reports
+    from tessella.plans import evaluate, flows
     from tessella.sources import corpora, stores
 
     a = parser().parse_args(args)
@@ -57,14 +59,24 @@ def main(args: list[str] | None = None) -> None:
             out[name].write.mode("overwrite").parquet(f"{a.output}/{name}")
         print(flows.markdown(out["counts"], "Sentences and tokens"))
     elif a.command == "count":
-        print(flows.markdown(reports.with_share(reports.label_counts(spark.read.parquet(a.input)), "n_sentences", "split").orderBy("split", F.desc("n_sentences")), "Sentences and tokens"))
+        print(flows.markdown(reports.count_table(reports.label_counts(spark.read.parquet(a.input))), "Sentences"))
     elif a.command == "vocabulary":
         reports.vocabulary_rollup(spark.read.parquet(a.input)).write.mode("overwrite").partitionBy("level").parquet(a.output)
     elif a.command == "simulate":
-        supply = stores.read_sentences(spark, a.store).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-        print(flows.markdown(capacity.bottlenecks(capacity.summary(capacity.simulate(supply, a.documents, a.trials))), "Bottlenecks"))
+        supply = stores.materialized(pools.split_by_hash(stores.read_sentences(spark, a.store)).groupBy("pool", "lang").agg(F.count(F.lit(1)).alias("n")), "supply")
+        stats = stores.materialized(capacity.summary(capacity.simulate(supply, a.documents, a.trials), supply), "capacity")
+        for title, report in (("Bottlenecks", capacity.bottlenecks), ("Headroom", capacity.most_headroom), ("Presence", capacity.most_present)):
+            print(flows.markdown(report(stats), title))
     elif a.command == "compact":
         stores.compacted(spark.read.parquet(a.input), *a.drop.split(",")).write.mode("errorifexists").parquet(a.output)
+    elif a.command == "evaluations":
+        truth = evaluate.labelled_set(spark.read.parquet(a.labelled), a.label, a.text, a.key)
+        for run in evaluate.active(stores.read_json(spark, a.manifest)):
+            found = evaluate.evaluated(truth, spark.read.parquet(f"{a.spans}/{run.name}"), run.runner_up)
+            evaluate.write_mismatches(found["predictions"], f"{evaluate.output_path(run, a.output)}.mismatches")
+            stores.write_json(spark, evaluate.output_path(run, a.output), [r.asDict() for r in found["accuracy"].collect()])  # one row a language
+    elif a.command == "subset":
+        pools.limited_sample(spark.read.parquet(a.input), a.rows).write.mode("errorifexists").parquet(a.output)
     elif a.command == "neutral":
         for name, df in generators.neutral_pools(spark, None, a.rows, a.rows).items():
             df.write.mode("overwrite").parquet(f"{a.output}/{name}")

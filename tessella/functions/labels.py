@@ -53,12 +53,12 @@ def model_inputs(ids: Column, labels: Column, start: int, end: int, most: int =
 def wordpiece_labels(word_ids: Column, labels: Column) -> Column:
     """Labels of pieces: a word's first piece keeps its label, later ones have the I- label; -100 without a word."""
 
-    def of(w: Column, i: Column) -> Column:
-        own = F.get(labels, w)
-        again = (i > 0) & (F.get(word_ids, i - 1) == w)
+    def of(ids: Column, tags: Column, w: Column, i: Column) -> Column:
+        own = F.get(tags, w)
+        again = (i > 0) & (F.get(ids, i - 1) == w)
         return F.when(w.isNull(), F.lit(IGNORED).cast("long")).when(F.coalesce(again, F.lit(False)) & (own % 2 == 1), own + 1).otherwise(own)
 
-    return F.transform(word_ids, of)
+    return T.bind(F.struct(word_ids.alias("w"), labels.alias("l")), lambda x: F.transform(x["w"], lambda w, i: of(x["w"], x["l"], w, i)))
 
 
 def languages_present(labels: Column) -> Column:

@@ -37,21 +37,28 @@ def compatible_phrase(c: Column | str) -> Column:
 
 def segmented_by(load: Callable[[], Callable[[str], list[str]]], c: Column | str) -> Column:
     """Sentences by a segmenter, loaded once per worker; a text that it fails on is split by rule."""
+    return segmented_or_error(load, c)["sentences"]
 
-    @F.pandas_udf("array<string>")
-    def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def segmented_or_error(load: Callable[[], Callable[[str], list[str]]], c: Column | str) -> Column:
+    """(sentences, error): as segmented_by(), with the segmenter's error where it failed, for a log of failures."""
+
+    @F.pandas_udf("struct<sentences: array<string>, error: string>")
+    def segment(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         split = load()
 
-        def of(x: str | None) -> list[str] | None:
+        def of(x: str | None) -> tuple[list[str] | None, str | None]:
+            if x is None:
+                return None, None
             try:
-                return None if x is None else list(split(x))
-            except Exception:
-                return None
+                return list(split(x)), None
+            except Exception as error:  # the segmenter is the caller's: whatever it raises is the row's error
+                return None, f"{type(error).__name__}: {error}"
 
         for s in batches:
-            yield s.map(of)
+            yield pd.DataFrame([of(x) for x in s], columns=["sentences", "error"])
 
-    return F.coalesce(segment(T._c(c)), T.sentences(c))
+    return T.bind(segment(T._c(c)), lambda r: F.struct(F.coalesce(r["sentences"], T.sentences(c)).alias("sentences"), r["error"].alias("error")))
 
 
 def tokenized_by(load: Callable[[], Callable[[str], list[int]]], c: Column | str) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import filters
+from tessella.functions import labels as L
 from tessella.functions import text as T
-from tessella.functions.dims import MAJOR_LATIN, MINOR_LATIN_GROUPS, with_lang
+from tessella.functions.dims import MAJOR_LATIN, MINOR_LATIN_GROUPS, lang_dim, with_lang
+from tessella.sources import stores
 
 TOP = 25_000
 NORDIC = ("sv", "da", "is", "af", "fi", "no")
@@ -77,13 +79,31 @@ def repeats() -> Column:
     return F.when(F.size("overlaps") > 0, F.greatest(n, F.lit(2))).otherwise(n)
 
 
-def short_examples(words: DataFrame, seed: int = 42) -> DataFrame:
-    """Short texts: each repeat i of a word makes an i-gram with i - 1 other words of its language, dealt by hash."""
-    base = words.withColumn("n", F.explode(F.sequence(F.lit(1), repeats()))).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    sizes = words.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    places = words.select("lang", F.col("word").alias("other"), (F.row_number().over(Window.partitionBy("lang").orderBy("rank", "word")) - 1).alias("at"))
-    key = F.concat_ws("\0", F.lit(str(seed)), "lang", "word", "n", "slot")
-    wanted = base.join(F.broadcast(sizes), "lang").withColumn("at", F.pmod(T.md5_number(key), F.col("size")))
-    got = wanted.join(places, ["lang", "at"]).withColumn("piece", F.when(F.col("slot") == 1, F.col("word")).otherwise(F.col("other")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("slot", "piece"))), lambda x: x["piece"])
-    return got.groupBy("lang", "word", "n").agg(F.array_join(parts, " ").alias("text"))
+#: Words of a language that the others of a short text are drawn from, by weight; all words seed texts of their own.
+OTHERS = 1000
+
+
+def short_examples(words: DataFrame, seed: int = 42, others: int = OTHERS) -> DataFrame:
+    """Short texts (lang, word, n, source_type, tokens, text, labels): repeat n of a word is an n-gram of it and n - 1 other words of its language.
+
+    The others are drawn by weight without replacement, never the seed word itself, from the words of highest weight
+    (others a language, so that a word meets a bounded list); the words of a text are in order of a hash.
+    """
+    weighted = words.withColumn("_w", F.round(word_weight(), 9))
+    best = weighted.withColumn("_p", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("_w"), "word"))).where(F.col("_p") <= others)
+    lists = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "_w"))).alias("_all"))
+    rows = words.select("lang", "word", F.explode(F.sequence(F.lit(1), repeats())).alias("n")).join(F.broadcast(lists), "lang")
+    key = lambda *parts: F.concat_ws("\0", F.lit(str(seed)), "lang", "word", F.col("n").cast("string"), *parts)
+    drawn = F.transform(F.filter("_all", lambda x: x["word"] != F.col("word")), lambda x: F.struct(F.round(-F.log(T.uniform(key(x["word"]))) / x["_w"], 9).alias("k"), x["word"].alias("w")))
+    picked = F.transform(F.slice(F.array_sort(drawn), 1, F.col("n") - 1), lambda x: x["w"])
+    chosen = F.when(F.col("n") > 1, picked).otherwise(F.array().cast("array<string>"))
+    mixed = F.array_sort(F.transform(F.concat(F.array("word"), chosen), lambda w: F.struct(T.md5_number(key(F.lit("order"), w)).alias("k"), w.alias("w"))))
+    rows = rows.withColumn("tokens", F.transform(mixed, lambda x: x["w"]))
+    label = F.broadcast(lang_dim(words.sparkSession).select("lang", "label"))
+    kind = F.element_at(F.array(*map(F.lit, ("unigram", "bigram", "trigram"))), F.size("tokens"))
+    return rows.join(label, "lang").select("lang", "word", "n", kind.alias("source_type"), "tokens", F.array_join("tokens", " ").alias("text"), L.bio(F.col("tokens"), "label").alias("labels"))
+
+
+def short_pools(spark, words: DataFrame, path: str, seed: int = 42) -> DataFrame:
+    """Short texts of the words that are kept, stored by language with a manifest of counts."""
+    return stores.write_language_map(spark, short_examples(words, seed), path, {"seed": seed})

@@ -115,12 +115,14 @@ def weighted_choice(df: DataFrame, choices: DataFrame, key: Column, weight: str
 
     choices has one row per language: at most as many as there are languages.
     """
-    upto = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    ranges = choices.where(F.col(weight) > 0).withColumn("_to", F.sum(weight).over(upto) / F.sum(weight).over(total)).agg(F.array_sort(F.collect_list(F.struct("_to", name))).alias("_all"))
-    one = F.element_at(F.filter("_all", lambda x: x["_to"] > F.col("_u")), 1)
-    last = F.element_at("_all", -1)
-    return df.withColumn("_u", T.uniform(key)).crossJoin(F.broadcast(ranges)).withColumn(name, F.coalesce(one[name], last[name])).drop("_u", "_all")
+    rows = sorted((r[name], r[weight]) for r in choices.where(F.col(weight) > 0).select(name, weight).collect())
+    total, upto, ranges = sum(w for _, w in rows), 0, []
+    for value, w in rows:
+        upto += w
+        ranges.append(F.struct(F.lit(upto / total).alias("upto"), F.lit(value).alias("value")))
+    if not ranges:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    return df.withColumn(name, T.bind(T.uniform(key), lambda u: F.coalesce(F.element_at(F.filter(F.array(*ranges), lambda x: x["upto"] > u), 1)["value"], F.lit(rows[-1][0]))))
 
 
 def draw(demands: DataFrame, pool: DataFrame, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:
@@ -136,6 +138,16 @@ def weighted_sample(df: DataFrame, by: str, weight: str, k: int, key: str, seed:
     return df.withColumn("place", place).where(F.col("place") <= k)
 
 
+def limited_sample(examples: DataFrame, n: int, key: str = "doc", share: float = 0.7, seed: int = 0) -> DataFrame:
+    """n examples for a quick run: share of them of kinds with one main language, the rest mixed, each the first by hash."""
+    mixed = F.col("kind").isin("mixed", "random")
+    rows = examples.withColumn("_mixed", mixed)
+    place = F.row_number().over(Window.partitionBy("_mixed").orderBy(key_hash(seed, key), key))
+    first = int(n * share)
+    picked = rows.withColumn("_place", place).where(F.col("_place") <= max(first, n - first))  # a constant limit is taken per task first
+    return picked.where(F.col("_place") <= F.when(F.col("_mixed"), F.lit(n - first)).otherwise(F.lit(first))).drop("_mixed", "_place")
+
+
 def train_eval(df: DataFrame, key: Column, share: float = 0.95, coverage: Column | None = None) -> DataFrame:
     """df with split: by hash, rows of the coverage set always in train."""
     train = T.uniform(key) < share

@@ -133,3 +133,27 @@ def headroom(supply: DataFrame, demand: DataFrame) -> DataFrame:
     out = supply.join(demand, "lang", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
     out = out.withColumn("used", F.least("n", "wanted")).withColumn("remaining", F.col("n") - F.col("used"))
     return out.select("lang", "n", "wanted", "remaining", F.round(F.col("remaining") / F.col("n"), 6).alias("headroom"), (F.col("wanted") > F.col("n")).alias("depleted"))
+
+
+def named_tokens(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Token counts with the strings of a vocabulary (token_id, token); ids without one have none."""
+    return counts.join(vocabulary, "token_id", "left")
+
+
+def top_tokens(counts: DataFrame, k: int = 20, by: tuple[str, ...] = ("split", "level", "lang", "lang_group")) -> DataFrame:
+    """The k commonest tokens of each group, ties by token_id."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "token_id"))
+    return counts.withColumn("place", place).where(F.col("place") <= k)
+
+
+def group_stats(stats: DataFrame) -> DataFrame:
+    """sampling_stats() by language group: languages, those without examples, and tokens."""
+    return stats.groupBy("lang_group").agg(F.count(F.lit(1)).alias("n_langs"), F.count_if(F.col("n_examples") == 0).alias("n_missing"), F.sum("n_examples").alias("n_examples"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def count_table(counts: DataFrame, value: str = "n_sentences") -> DataFrame:
+    """Rows per language with a column for train and eval, their total and its percentage of all, and a row of totals (lang null)."""
+    part = lambda name: F.coalesce(F.sum(F.when(F.col("split") == name, F.col(value))), F.lit(0)).alias(name)
+    out = counts.rollup("lang").agg(part("train"), part("eval"), F.sum(value).alias("total"), F.grouping("lang").alias("g"))
+    whole = F.max(F.when(F.col("g") == 1, F.col("total"))).over(Window.partitionBy())  # at most a row a language
+    return out.withColumn("percent", F.round(100 * F.col("total") / whole, 2)).orderBy("g", F.desc("total"), "lang").drop("g")

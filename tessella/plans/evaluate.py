@@ -76,3 +76,14 @@ def multilabel_spans(scores: DataFrame) -> DataFrame:
 
 def code_of(label: str) -> str:
     return canonical(label.split("_")[0])
+
+
+def write_mismatches(predictions: DataFrame, path: str) -> None:
+    """Rows with a wrong prediction, as JSON lines."""
+    predictions.where(F.col("true_lang") != F.col("pred_lang")).write.mode("overwrite").json(path)
+
+
+def output_path(run: Run, folder: str, name: str | None = None) -> str:
+    """Where a run's results go: an absolute path or URI as it is, others below the folder, named after the run if they have no name."""
+    name = name or f"{run.name}.json"
+    return name if name.startswith("/") or "://" in name else f"{folder.rstrip('/')}/{name}"

@@ -31,12 +31,17 @@ def clean_funnel(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_removed", F.col("n_valid") - F.col("n_kept"))
 
 
-def refilter(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], rejected: str | None = None) -> dict[str, int]:
+def refilter(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], rejected: str | None = None, reason: Callable[[DataFrame], Column] | None = None, eligible: Column | None = None) -> dict[str, int]:
     """Rewrite the languages of a sentence store that a transform changes; returns their rows afterwards by language.
 
+    Rows that are gone are written to rejected with their place in the store (source_index) and a reason, if a function of
+    with_lang() rows gives one. Only eligible languages (a condition on lang_dim columns) are transformed.
+
     A language is changed if its rows are: counts and sums of two row hashes are compared, which don't depend on order.
     """
     before = stores.read_sentences(spark, path)
+    if eligible is not None:
+        before = with_lang(before).where(F.coalesce(eligible, F.lit(False))).select(*before.columns)
     after = transform(before)
 
     def contents(df: DataFrame, n: str, sums: str) -> DataFrame:
@@ -49,11 +54,13 @@ def refilter(spark: SparkSession, path: str, transform: Callable[[DataFrame], Da
     if changed:
         if rejected:
             gone = before.where(F.col("lang").isin(changed)).join(after.select("source", "lang", "sentence"), ["source", "lang", "sentence"], "left_anti")
-            gone.write.mode("overwrite").parquet(rejected)
+            gone = with_lang(gone).withColumn("reason", reason(gone) if reason else F.lit(None).cast("string"))
+            gone.select("source", "lang", F.col("pos").alias("source_index"), "sentence", "reason").write.mode("overwrite").parquet(rejected)
         side = f"{path.rstrip('/')}.next"
         stores.write_sentences(after.where(F.col("lang").isin(changed)), side)
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         stores.write_sentences(stores.read_sentences(spark, side), path)
+        stores.clear(spark, side)
     return {r["lang"]: r["m"] or 0 for r in counts}
 
 
@@ -81,8 +88,10 @@ def synthetic_data(spark: SparkSession, sentences: DataFrame, total: int, path:
         "examples": examples,
         "ready": ready,
         "multilabel": synth.multilabel(ready),
-        "counts": reports.with_share(reports.label_counts(ready), "n_sentences", "split"),
-        "vocabulary": reports.vocabulary_rollup(ready),
+        "counts": reports.count_table(reports.label_counts(ready)),
+        "vocabulary": (vocabulary := reports.vocabulary_rollup(ready)),
+        "vocabulary_top": reports.top_tokens(vocabulary),
+        "vocabulary_size": reports.vocabulary_size(ready),
         "stats": reports.sampling_stats(examples),
     }
 

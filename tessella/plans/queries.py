@@ -9,7 +9,7 @@ from tessella.functions import filters, generators
 from tessella.functions import labels as L
 from tessella.functions import text as T
 from tessella.functions.dims import GROUP_OF, LANGUAGES, lang_dim, with_canonical, with_lang
-from tessella.operators import capacity, dedupe, lexicon, pools, reports, synth
+from tessella.operators import dedupe, lexicon, pools, reports, synth
 from tessella.plans import flows
 
 QUERIES = {}
@@ -191,11 +191,6 @@ def word_weights(spark, sf_dir):
     return rows.select("lang", "word", F.round("relative_rank", 9).alias("relative_rank"), F.round(lexicon.word_weight(), 6).alias("weight"), lexicon.repeats().alias("repeats"))
 
 
-@query()
-def short_text_examples(spark, sf_dir):
-    return lexicon.short_examples(lexicon.with_relative_rank(lexicon.with_overlaps(words(spark, sf_dir, 100))))
-
-
 KEYED = f"k AS (SELECT doc_id, 'wiki' AS source, lang, {hash_of("'42' || chr(0) || 'wiki' || chr(0) || lang || chr(0) || text")} AS h, count(*) OVER (PARTITION BY lang) AS total FROM documents)"
 RESERVED = f"{KEYED}, p AS (SELECT *, CASE WHEN h % total < least(total, greatest(4, least(round_even(total * 0.55, 0), 82500))) THEN 'reserved' ELSE 'main' END AS pool, (h // 7) % 8 AS bucket FROM k)"
 
@@ -471,9 +466,3 @@ def neutral_text(spark, sf_dir):
         part = df.select(F.lit(name).alias("pool"), "domain", "text")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-@query()
-def capacity_trials(spark, sf_dir):
-    supply = docs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return capacity.summary(capacity.simulate(supply, 200, 20))

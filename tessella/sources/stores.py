@@ -25,6 +25,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _renamed_over(spark: SparkSession, part, target) -> None:
+    """Rename over a file in one step, so that readers always see one of both."""
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, target, options)
+
+
 def write_json(spark: SparkSession, path: str, payload: Any) -> None:
     """Write beside the target, then rename: readers see the old file or the new one."""
     fs, target = _fs(spark, path)
@@ -32,10 +40,7 @@ def write_json(spark: SparkSession, path: str, payload: Any) -> None:
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(payload, ensure_ascii=False, sort_keys=True, indent=1).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"can't rename to {path}")
+    _renamed_over(spark, part, target)
 
 
 def read_json(spark: SparkSession, path: str) -> Any:
@@ -49,18 +54,25 @@ def read_json(spark: SparkSession, path: str) -> Any:
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in spark.checkpoint.dir (a folder of our own where it is unset) and read back."""
+    """df written once as Parquet in spark.checkpoint.dir (a folder of our own where it is unset and Spark is local) and read back."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
     import tempfile
     import uuid
 
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
 
 
 def write_sentences(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -86,6 +98,52 @@ def write_records(df: DataFrame, path: str, schema: str = RECORDS) -> None:
     df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(path)
 
 
+def write_language_map(spark: SparkSession, df: DataFrame, path: str, describes: dict | None = None) -> DataFrame:
+    """A folder per language, and a manifest with the rows of each; returns what was written."""
+    df.write.mode("overwrite").partitionBy("lang").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    counts = {r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()}  # one row a language
+    Manifest(spark, path).write(describes or {}, languages=counts)
+    return out
+
+
+def read_language_map(spark: SparkSession, path: str, schema: str, langs: list[str] | None = None) -> DataFrame:
+    """The tables of a map, or of some languages; an empty table if there is no map."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).parquet(path)
+    return df.where(F.col("lang").isin(langs)) if langs else df
+
+
+def language_counts(spark: SparkSession, path: str) -> dict[str, int]:
+    """Rows of each language, from the manifest alone."""
+    return (read_json(spark, Manifest(spark, path).path) or {}).get("languages", {})
+
+
+def publish(spark: SparkSession, side: str, path: str) -> None:
+    """Put a finished table in the place of another."""
+    clear(spark, path)
+    fs, p = _fs(spark, side)
+    if not fs.rename(p, _fs(spark, path)[1]):
+        raise OSError(f"can't rename {side} to {path}")
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Delete a table and its manifest, where there are any."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+    fs.delete(_fs(spark, f"{path.rstrip('/')}.manifest.json")[1], False)
+
+
+def write_splits(df: DataFrame, path: str) -> None:
+    """A folder per split."""
+    df.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, split: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, split string").parquet(path).where(F.col("split") == split)
+
+
 def read_records(spark: SparkSession, path: str, schema: str = RECORDS) -> DataFrame:
     """Records of all shards below path; an empty table if there are none."""
     if not exists(spark, path):

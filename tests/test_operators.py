@@ -114,8 +114,13 @@ def test_generators(spark):
         generators.math_expressions(spark, 1, domain="none")
     assert {r.domain for r in generators.code_snippets(spark, 500).collect()} == set(generators.CODE)
     assert set(generators.neutral_pools(spark, None, 10, 10)) == {"math", "html", "css", "code", "symbol", "numeric"}
-    out = capacity.summary(capacity.simulate(spark.createDataFrame([("en", 100), ("de", 5)], "lang string, n long"), 50, 6)).collect()
-    assert len(out) == 2
+    supply = spark.createDataFrame([("reserved", "en", 100), ("reserved", "de", 5), ("main", "en", 40), ("main", "de", 0)], "pool string, lang string, n long")
+    trials = capacity.simulate(supply, 50, 6)
+    for r in trials.collect():
+        assert r.used == min(r.wanted, r.available) and r.depleted == (r.wanted > r.available)
+    stats = capacity.summary(trials, supply)
+    assert stats.count() == 4 and capacity.bottlenecks(stats, 1).first().headroom == 0
+    assert capacity.most_headroom(stats, 2).count() == 2 and {r.lang for r in capacity.most_present(stats).collect()} == {"en", "de"}
 
 
 STOP = "this is the a of and to in that it for with".split()
