@@ -38,7 +38,7 @@ from tessella.llm.common import map_rows, use_cache
 from tessella.llm.langid import held_out
 
 DECAY, REACH, WIDTH, STEP, FLOOR = 0.7, 8, 24, 12, 0.4
-LANDMARKS, POSITIVES, NEGATIVES, CHARACTERS, SEED = 96, 1500, 2500, 16_000_000, 17
+LANDMARKS, POSITIVES, NEGATIVES, CHARACTERS, SEED = 96, 1500, 2500, 8_000_000, 17
 THRESHOLD, SURE, TELLING, TOP, CACHE = 0.3, 0.7, 20, 3, 300_000
 #: Lengths of stems, least words of a telling one in toxic documents, and how many times more often than in others.
 STEMS, STEM_WORDS, STEM_TELLING = (5, 6, 7), 6, 10
@@ -214,7 +214,8 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
     """
     counts, kinds, n, seen = [Counter(), Counter()], [Counter(), Counter()], [0, 0], set()
     whole: set[str] = set()
-    for text, label in zip(texts, toxic):
+    for i in [*np.flatnonzero(toxic), *np.flatnonzero(~toxic)]:  # of the others, only what toxic documents have is counted
+        text, label = texts[i], toxic[i]
         tokens = text.lower().split()
         least = min(map(hash_of, zip(tokens, tokens[1:], tokens[2:])), default=None)
         if least is not None and least in seen:
@@ -223,8 +224,9 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
         n[int(label)] += 1
         words = {w.strip(".,;:!?\"'()")[:WIDTH] for w in tokens}
         words = {w for w in words if len(w) >= 4}
-        counts[int(label)].update({w[:k] for w in words for k in (4, 5, 6, len(w))})
-        kinds[int(label)].update(w[:k] for w in words for k in STEMS if k < len(w))
+        parts, stems = {w[:k] for w in words for k in (4, 5, 6, len(w))}, (w[:k] for w in words for k in STEMS if k < len(w))
+        counts[int(label)].update(parts if label else parts & counts[1].keys())
+        kinds[int(label)].update(stems if label else (w for w in stems if w in kinds[1]))
         whole |= words if label else set()
     rate = lambda c: ((c[1] + 0.5) / (n[1] + 1), (c[0] + 0.5) / (n[0] + 1))
     telling = lambda c, least: (r := rate(c))[0] > least * r[1]
@@ -283,13 +285,15 @@ def train(texts: list[str], toxic: np.ndarray) -> Machine | None:
     gram = np.maximum(kernel.rows(landmarks), kernel.rows(landmarks).T)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-2 * np.eye(len(landmarks)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    z = x @ root
-    clean = ids[~toxic[text]], text[~toxic[text]]
-    negative, often = np.unique(np.unique(clean[0] * np.int64(len(texts)) + clean[1]) // len(texts), return_counts=True)  # in how many documents
     near = x.max(axis=1)
-    # units without any kernel are one point, which counts as often as all of them
-    far = near[negative] == 0
-    negative, often = np.append(negative[~far], negative[far][:1]), np.append(often[~far], [often[far].sum()] if far.any() else [])
+    # units without any kernel are one point (the last row), which counts as often as all of them
+    some = np.flatnonzero(near)
+    row = np.full(len(near), len(some))
+    row[some] = np.arange(len(some))
+    x, near = np.concatenate([x[some], np.zeros((1, len(landmarks)), np.float32)]), np.append(near[some], 0)
+    z, ids = x @ root, row[ids]
+    clean = np.unique(ids[~toxic[text]] * np.int64(len(texts)) + text[~toxic[text]]) // len(texts)  # once per document
+    negative, often = np.unique(clean, return_counts=True)
     value = x.sum(axis=1)
     for _ in range(4):
         best = highest(value[ids], text, len(texts))
@@ -305,7 +309,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Machine | None:
         w, b = fit_line(z[pick], y, weight)
         value = z @ w + b
     weights, bias = (root @ w).astype(np.float32), min(0.0, float(b) + 1)
-    slope, offset = fit_curve(top_sum(x @ weights + bias, ids, text, len(texts)), toxic)
+    slope, offset = fit_curve(top_sum(x @ weights + np.float32(bias), ids, text, len(texts)), toxic)
     return Machine(landmarks, weights, bias, slope, offset)
 
 
