@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import generators
 from tessella.functions import labels as L
 from tessella.functions import noise as N
 from tessella.functions import text as T
@@ -41,6 +42,7 @@ class Kind:
     paragraph: float = 0.0
     unknown: float = 0.0
     swap: float = 0.0
+    outside: float = 0.0
 
 
 # fixed values: the document mix
@@ -48,10 +50,17 @@ KINDS = (
     Kind("pure", 0.55, "reserved", 1, 6, 0.0, 0.10, 0.05, 0.02, 0.01, 0.03, 0.03, 0.02, 0.03, 0.05, 0.02, 0.02, 0.03, 0.30, 0.25, 0.002),
     Kind("homogeneous", 0.25, "main", 2, 6, 0.85, 0.15, 0.02, 0.01, 0.005, 0.02, 0.02, 0.01, 0.05, 0.01, 0.01, 0.01, 0.02, 0.20, 0.20, 0.002),
     Kind("spliced", 0.10, "main", 3, 5, 1.0, 0.20, 0.02, 0.02, 0.01, 0.02, 0.02, 0.01, 0.01, 0.01, 0.01, 0.0, 0.0, 0.15, 0.10, 0.002),
-    Kind("mixed", 0.10, "main", 2, 4, 1.0, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, swap=0.06),
+    Kind("mixed", 0.10, "main", 2, 4, 1.0, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, swap=0.06, outside=0.30),
 )
 MAX_LENGTH, START, END = 512, 1, 2
 SWAP_RATE, UNKNOWN = 0.02, "<unk>"
+# fixed values: what is put around a sentence: pairs, tags, trailing signs, and the parts of list starters
+PAIRS = (("(", ")"), ("[", "]"), ('"', '"'), ("“", "”"), ("«", "»"), ("‘", "’"), ("'", "'"))
+TAGS = tuple((f"<{t}>", f"</{t}>") for t in "p div blockquote table tr td span".split()) + (("**", "**"),)
+TRAILS = (":", ";", "...", "?!", " |", " | |", ",", "!!")
+STARTER_SIGNS, STARTER_SYMBOLS, ROMANS = (".", ")", ":"), ("-", "*", "•"), ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
+#: Share of documents with one, two and three spans without language (the rest has none); tokens of a span; texts of a pool.
+SPANS_UPTO, SPAN_TOKENS, SPAN_TEXTS = (0.6, 0.9), 120, 5000
 
 
 def targets(total: int) -> dict[str, int]:
@@ -126,6 +135,41 @@ def token_noise(df: DataFrame, kind: Kind) -> DataFrame:
     return df
 
 
+def formatting(key: Column) -> tuple[Column, Column]:
+    """What stands before and after a sentence: a pair, a list starter, a trailing sign or a tag, by hash."""
+    of = lambda values, name: F.element_at(F.array(*map(F.lit, values)), N.pick(key, name, len(values)) + 1)
+    pair = lambda pairs, name, side: of([p[side] for p in pairs], name)
+    letter = of(tuple("abcdefghijklmnopqrstuvwxyz"), "letter")
+    starters = (
+        F.concat((1 + N.pick(key, "digit", 24)).cast("string"), of(STARTER_SIGNS, "sign")), F.concat(of(ROMANS, "roman"), of(STARTER_SIGNS, "sign")),
+        F.concat(F.when(N.u(key, "upper") < 0.5, F.upper(letter)).otherwise(letter), of(STARTER_SIGNS, "sign")), of(("#", "##", "###"), "hash"), of(STARTER_SYMBOLS, "symbol"),
+    )
+    kind, none = N.pick(key, "pattern", 4), F.lit("")
+    before = F.when(kind == 0, pair(PAIRS, "pair", 0)).when(kind == 1, F.element_at(F.array(*starters), N.pick(key, "starter", len(starters)) + 1)).when(kind == 2, none).otherwise(pair(TAGS, "tag", 0))
+    after = F.when(kind == 0, pair(PAIRS, "pair", 1)).when(kind == 1, none).when(kind == 2, of(TRAILS, "trail")).otherwise(pair(TAGS, "tag", 1))
+    return before, after
+
+
+def outside_spans(wanted: DataFrame, seed: int = 0) -> DataFrame:
+    """(doc, kind, slot, text): spans without language for the documents of kinds that have them, each behind a slot drawn by hash.
+
+    A span's pool is drawn by the pools' shares, and its text by hash from SPAN_TEXTS texts of that pool.
+    """
+    share = F.lit(0.0)
+    for kind in KINDS:
+        share = F.when(F.col("kind") == kind.name, kind.outside).otherwise(share)
+    docs = wanted.where("slot = 0").select("doc", "kind", "n_slots", F.concat_ws("\0", F.lit(str(seed)), "doc", F.lit("outside")).alias("key"))
+    many = F.when(N.u(F.col("key"), "any") < share, 1 + F.when(N.u(F.col("key"), "many") < SPANS_UPTO[0], 0).when(N.u(F.col("key"), "many") < SPANS_UPTO[1], 1).otherwise(2)).otherwise(0)
+    rows = docs.withColumn("many", many).where("many > 0").withColumn("no", F.explode(F.sequence(F.lit(1), F.col("many")))).withColumn("key", F.concat_ws("\0", "key", F.col("no").cast("string")))
+    drawn = generators.span_pool(F.col("key"))
+    rows = rows.withColumn("name", F.when(drawn == "gibberish", "symbol").otherwise(drawn)).withColumn("id", N.pick(F.col("key"), "text", SPAN_TEXTS).cast("long"))
+    pool = None
+    for name, df in generators.neutral_pools(wanted.sparkSession, None, SPAN_TEXTS, SPAN_TEXTS, seed).items():
+        part = df.select(F.lit(name).alias("name"), "id", "text")
+        pool = part if pool is None else pool.unionByName(part)
+    return rows.join(pool, ["name", "id"]).select("doc", "kind", N.pick(F.col("key"), "slot", F.col("n_slots")).alias("slot"), "no", "text")
+
+
 def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tokens, max_length: int = MAX_LENGTH) -> DataFrame:
     """Examples (doc, kind, original_text, tokens, ner_tags, input_ids, attention_mask, labels) for demands over a numbered pool.
 
@@ -143,10 +187,21 @@ def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tok
         tokens = tokenizer("sentence")
         own = own.withColumn("t", F.when(N.u(F.col("key"), "punct") < kind.strip_punct, L.drop_punct(tokens)).otherwise(tokens))
         own = token_noise(own.withColumn("tags", L.bio(F.col("t"), "label")), kind)
-        mark = F.when(N.u(F.col("key"), "wrap") < kind.wrap, F.array(F.lit("-"))).otherwise(F.array().cast("array<string>"))
-        made = L.wrap_outside(F.col("t"), F.col("tags"), mark, F.array().cast("array<string>"))
+        if kind.wrap:
+            wrapped, (before, after) = N.u(F.col("key"), "wrap") < kind.wrap, formatting(F.col("key"))
+            own = own.withColumn("before", F.when(wrapped, before).otherwise("")).withColumn("after", F.when(wrapped, after).otherwise(""))
+            own = own.withColumn("sentence", F.concat("before", "sentence", "after"))
+        else:
+            own = own.withColumn("before", F.lit("")).withColumn("after", F.lit(""))
+        made = L.wrap_outside(F.col("t"), F.col("tags"), tokenizer("before"), tokenizer("after"))
         own = own.withColumn("made", made).withColumn("gap", F.when(N.u(F.col("key"), "paragraph") < kind.paragraph, "\n\n").otherwise(" "))
+        own = own.select("doc", "kind", "slot", "part", "sentence", "gap", "made")
         parts = own if parts is None else parts.unionByName(own)
+    # spans without language stand behind the sentence of their slot, all labelled O
+    span_tokens, none = F.slice(tokenizer("text"), 1, SPAN_TOKENS), F.array().cast("array<string>")
+    made = L.wrap_outside(none, F.array().cast("array<bigint>"), span_tokens, none)
+    spans = outside_spans(wanted, seed).select("doc", "kind", "slot", (F.lit(1 << 20) + F.col("no")).alias("part"), F.col("text").alias("sentence"), F.lit(" ").alias("gap"), made.alias("made"))
+    parts = parts.unionByName(spans)
     rows = F.array_sort(F.collect_list(F.struct("slot", "part", "sentence", "gap", F.col("made.tokens").alias("tokens"), F.col("made.labels").alias("tags"))))
     out = parts.groupBy("doc", "kind").agg(rows.alias("rows"))
     text = F.aggregate("rows", F.lit(""), lambda acc, r: F.when(acc == "", r["sentence"]).otherwise(F.concat(acc, r["gap"], r["sentence"])))

@@ -209,3 +209,17 @@ def test_unknown_and_swapped_tokens(spark, monkeypatch):
             assert [t for t in r.tokens if t != "<unk>"] == old.tokens and [x for t, x in zip(r.tokens, r.ner_tags) if t != "<unk>"] == old.ner_tags
             assert all(r.ner_tags[i] == r.ner_tags[i + 1] for i, t in enumerate(r.tokens) if t == "<unk>")
             assert r.tokens.count("<unk>") == r.original_text.split().count("<unk>") > 0
+
+
+def test_formatting_and_spans_without_language(spark, monkeypatch):
+    monkeypatch.setattr(synth, "KINDS", tuple(dataclasses.replace(k, wrap=1.0 if k.wrap else 0.0, outside=1.0 if k.outside else 0.0) for k in synth.KINDS))
+    rows = [("wiki", lang, f"{lang} one two three four number {i}") for lang in ("en", "fr", "de") for i in range(120)]
+    out = synth.build(spark.createDataFrame(rows, "source string, lang string, sentence string"), 40).collect()
+    for r in out:
+        assert len(r.tokens) == len(r.ner_tags)
+        if r.kind in ("mixed", "pure"):
+            assert 0 in r.ner_tags
+        if r.kind == "mixed":
+            assert len(r.ner_tags) - r.ner_tags.count(0) <= 4 * 8
+    pure = " ".join(r.original_text for r in out if r.kind == "pure")
+    assert any(a in pure for a, _ in synth.TAGS) and any(a in pure for a, _ in synth.PAIRS) and any(t in pure for t in synth.TRAILS)
