@@ -24,7 +24,7 @@ and unlinked; an empty table gives an empty result; columns other than doc_id an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -289,16 +289,16 @@ def _block_links(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[
             yield _edges(pairs)
 
 
-def documents_of(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame]:
+def documents_of(docs: DataFrame, numerator: int, sketch: Callable = sketches, linker: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and for each distinct set (set_hash) the first (doc_id, text_key) of its component."""
-    base = staged(sketches(docs), "sketches")
+    base = staged(sketch(docs), "sketches")
     full = base.where("set_hash is not null and doc_id is not null")
     sets = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")).select("set_hash", "rep.*")
     # a set's node is its smallest doc_id; where several sets share that, a hash
     several = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("several"))
     node = F.when(F.col("several"), F.xxhash64("doc_id", "set_hash")).otherwise(F.col("doc_id"))
     sets = staged(sets.join(several, "doc_id", "left").select("set_hash", "doc_id", "text_key", node.alias("node")), "sets")
-    roots = linked_groups(docs, full, sets, numerator)
+    roots = (linker or linked_groups)(docs, full, sets, numerator)
     placed = staged(sets.join(roots, "node", "left").select("set_hash", F.struct("doc_id", "text_key").alias("rep"), F.coalesce("root", "node").alias("root")), "placed")
     first = placed.groupBy("root").agg(F.min("rep").alias("first"))
     return base, placed.join(dealt_anew(first, "root"), "root").select("set_hash", "first")
@@ -333,21 +333,30 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     keys = reps.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b <> z").drop("z")
     clusters = components(keys.join(dealt_anew(shared, "key"), "key").select(F.col("node").alias("a"), "b"))
-    clusters = staged(clusters.join(reps.select("node", "n_shingles"), "node"), "clusters")
+    return with_chunks(staged(clusters.join(reps.select("node", "n_shingles"), "node"), "clusters"))
+
+
+def with_chunks(clusters: DataFrame) -> DataFrame:
+    """(node, root, n_shingles) to (node, root, chunks), the number of chunks that a cluster is split into."""
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n_shingles") * 8 / CHUNK_BYTES)).cast("int")
     chunks = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), parts.alias("chunks")).where("n > 2 and chunks > 1").drop("n")
     return clusters.join(dealt_anew(chunks, "root"), "root", "left").select("node", "root", F.coalesce("chunks", F.lit(1)).alias("chunks"))
 
 
-def cluster_sets(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
-    """node, root, chunks, chunk (all chunks for the pivots of a split cluster), size, signature and set of the members."""
+def chunk_numbers(members: DataFrame) -> DataFrame:
+    """node, root, chunks and chunk: the chunks that a member is in, all of them for the pivots of a split cluster."""
     least = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)]
     pivots = members.where("chunks > 1").groupBy("root").agg(F.array_distinct(F.array(*least)).alias("nodes"))
     pivots = pivots.select(F.explode("nodes").alias("node"), F.lit(True).alias("pivot"))
     own = F.array(F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("chunks")).cast("int"))
     chunk = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)
+    return members.join(pivots, "node", "left").select("node", "root", "chunks", chunk.alias("chunk"))
+
+
+def cluster_sets(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """node, root, chunks, chunk, size, signature and set of the members."""
     names = ("node", "root", "chunks", "chunk")
-    dealt = members.join(pivots, "node", "left").select("node", "root", "chunks", chunk.alias("chunk")).join(sets.select("node", "doc_id", "text_key"), "node")
+    dealt = chunk_numbers(members).join(sets.select("node", "doc_id", "text_key"), "node")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(dealt, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
 
     def block(values: dict) -> dict:

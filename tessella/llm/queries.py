@@ -68,6 +68,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.ngram_join import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.divergence import divergence
 
@@ -80,7 +86,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_quality_rules, op5_language_id, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe, op12_source_divergence, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_toxicity, op4_quality_rules, op5_language_id, op6_minhash, op7_decontaminate, op8_resample, op9_pii, op10_bpe, op11_ngram_join, op12_source_divergence, op13_fill_middle)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -119,6 +125,8 @@ c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
 """
 
+ORACLE_SQL["op11_ngram_join"] = ORACLE_SQL["op6_minhash"].replace(">= 85", ">= 80").replace(", d.doc_id = component_id AS kept", "")
+
 ORACLE_SQL["op12_source_divergence"] = r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
