@@ -32,36 +32,36 @@ def clean_funnel(docs: DataFrame) -> DataFrame:
 
 
 def refilter(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], rejected: str | None = None, reason: Callable[[DataFrame], Column] | None = None, eligible: Column | None = None) -> dict[str, int]:
-    """Rewrite the languages of a sentence store that a transform changes; returns their rows afterwards by language.
+    """Commit a version of a sentence store with the rows that a transform gives; returns the rows by language afterwards.
 
-    Rows that are gone are written to rejected with their place in the store (source_index) and a reason, if a function of
-    with_lang() rows gives one. Only eligible languages (a condition on lang_dim columns) are transformed.
-
-    A language is changed if its rows are: counts and sums of two row hashes are compared, which don't depend on order.
+    The transform runs once, into new folders. Partitions (a source and a language) whose contents are as before keep
+    their folders, those without rows are left out of the new version. Rows that are gone are written to rejected with
+    their place in the store (source_index) and a reason, if a function of with_lang() rows gives one. Only eligible
+    languages (a condition on lang_dim columns) are transformed.
     """
-    before = stores.read_sentences(spark, path)
+    store = stores.sentence_store(spark, path)
+    version = store.version()
+    base = store.partitions(version)
+    langs = [lang for _, lang in base]
     if eligible is not None:
-        before = with_lang(before).where(F.coalesce(eligible, F.lit(False))).select(*before.columns)
-    after = transform(before)
-
-    def contents(df: DataFrame, n: str, sums: str) -> DataFrame:
-        row = [F.col(c) for c in sorted(before.columns)]
-        total = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.struct(*row)).cast("decimal(38,0)"))
-        return df.groupBy("lang").agg(F.count(F.lit(1)).alias(n), F.array(total(1), total(2)).alias(sums))
-
-    counts = contents(before, "n", "a").join(contents(after, "m", "b"), "lang", "left").collect()
-    changed = [r["lang"] for r in counts if r["n"] != r["m"] or r["a"] != r["b"]]
-    if changed:
-        if rejected:
-            gone = before.where(F.col("lang").isin(changed)).join(after.select("source", "lang", "sentence"), ["source", "lang", "sentence"], "left_anti")
-            gone = with_lang(gone).withColumn("reason", reason(gone) if reason else F.lit(None).cast("string"))
-            gone.select("source", "lang", F.col("pos").alias("source_index"), "sentence", "reason").write.mode("overwrite").parquet(rejected)
-        side = f"{path.rstrip('/')}.next"
-        stores.write_sentences(after.where(F.col("lang").isin(changed)), side)
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        stores.write_sentences(stores.read_sentences(spark, side), path)
-        stores.clear(spark, side)
-    return {r["lang"]: r["m"] or 0 for r in counts}
+        known = with_lang(spark.createDataFrame([(x,) for x in sorted({x for x in langs if x is not None})], "lang string"))
+        langs = [r["lang"] for r in known.where(F.coalesce(eligible, F.lit(False))).collect()]  # one row a language
+    before = store.read(version, lang=langs)
+    new = store.written(stores.typed(transform(before), stores.SENTENCES))
+    among = {k for k in base if k[1] in set(langs)}
+    changed = store.replace(new, among, version)
+    if rejected and changed:
+        gone = before.where(F.col("lang").isin([lang for _, lang in changed]))
+        after = store.read().select("source", "lang", *(c.alias(f"h{i}") for i, c in enumerate(dedupe.digest("sentence"))))
+        keyed = gone.select("*", *(c.alias(f"h{i}") for i, c in enumerate(dedupe.digest("sentence"))))
+        gone = with_lang(keyed.join(after, ["source", "lang", "h0", "h1"], "left_anti").drop("h0", "h1"))
+        gone = gone.withColumn("reason", reason(gone) if reason else F.lit(None).cast("string"))
+        gone.select("source", "lang", F.col("pos").alias("source_index"), "sentence", "reason").write.mode("overwrite").parquet(rejected)
+    counts = dict.fromkeys(sorted({x for x in langs if x is not None}), 0)
+    for (_, lang), p in (base if not changed else store.partitions()).items():
+        if lang in counts:
+            counts[lang] += p["rows"]
+    return counts
 
 
 def leak_filter(stop: Column, **lists: Column) -> Callable[[DataFrame], DataFrame]:

@@ -506,13 +506,12 @@ def language_map(spark, sf_dir):
 
 @query(f"WITH {LABELLED} SELECT doc_id AS doc, len(tokens) AS n FROM lab WHERE split = 'eval'")
 def published_split(spark, sf_dir):
-    """Written by split beside the target, published in its place, and one split read."""
-    side, path = stores.scratch(spark, "side"), stores.scratch(spark, "published")
-    for keep in (10, None):
-        rows = labelled(spark, sf_dir).select("doc", "split", F.size("tokens").alias("n"))
-        stores.write_splits(rows if keep is None else rows.where("doc < 10"), side)
-        stores.publish(spark, side, path)
-    return stores.read_split(spark, path, "eval", "doc bigint, n int").select("doc", "n")
+    """Published by split in the place of an earlier version, and one split read."""
+    path = stores.scratch(spark, "published")
+    rows = labelled(spark, sf_dir).select("doc", "split", F.size("tokens").alias("n"))
+    stores.write_splits(rows.withColumn("n", F.lit(0)), path)
+    stores.write_splits(rows, path)
+    return stores.read_split(spark, path, "eval").select("doc", "n")
 
 
 @query(f"""WITH {SENTENCES}, x AS (SELECT lang, doc_id AS pos, sentence FROM sentences), y AS (SELECT lang, CASE WHEN lang = 'fr' THEN upper(sentence) ELSE sentence END AS s FROM x WHERE NOT (lang = 'de' AND length(sentence) < 30))
@@ -526,6 +525,38 @@ def refiltered(spark, sf_dir):
     return stores.read_sentences(spark, path).groupBy("lang").agg(F.count_distinct("sentence").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_set("sentence")), "").cast("binary")).alias("digest"))
 
 
+@query(f"""WITH {SENTENCES}, k AS (SELECT source, lang, doc_id AS pos, sentence FROM sentences WHERE lang <> 'de' AND source <> (SELECT min(source) FROM documents))
+SELECT source, lang, count(*) AS n, sum(length(sentence)) AS n_chars, max(pos) AS last, 2 AS version FROM k GROUP BY source, lang""")
+def refilter_emptied(spark, sf_dir):
+    """A refilter after which one language and one source have no rows left: their partitions are gone from the store."""
+    path = stores.scratch(spark, "refilter")
+    first = docs(spark, sf_dir).agg(F.min("source")).first()[0]
+    stores.write_sentences(sentences(spark, sf_dir).select("source", "lang", F.col("doc_id").alias("pos"), "sentence"), path)
+    flows.refilter(spark, path, lambda df: df.where((F.col("lang") != "de") & (F.col("source") != first)))
+    store = stores.sentence_store(spark, path)
+    out = store.read().groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("n_chars"), F.max("pos").alias("last"))
+    return out.withColumn("version", F.lit(store.version()))
+
+
+@query("""WITH p AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), v AS (SELECT 1 AS version, * FROM p WHERE lang <> 'fr' UNION ALL SELECT 2, * FROM p UNION ALL SELECT 3, * FROM p WHERE lang <> 'de'
+UNION ALL SELECT 4, lang, source, n FROM p WHERE lang <> 'de' AND lang <> 'es' UNION ALL SELECT 4, 'es', 'all', sum(n) FROM p WHERE lang = 'es' HAVING sum(n) > 0)
+SELECT version, lang, source, n FROM v""")
+def store_versions(spark, sf_dir):
+    """Every version of a table that is overwritten, appended to, loses a language and has another one replaced."""
+    from functools import reduce
+
+    from tessella.sources.snapshots import Snapshots
+
+    rows = docs(spark, sf_dir).select("lang", "source", "doc_id")
+    store = Snapshots(spark, stores.scratch(spark, "versions"), ("lang",))
+    store.overwrite(rows.where("lang <> 'fr'"))
+    store.append(rows.where("lang = 'fr'"))
+    store.drop([("de",)])
+    store.replace(store.written(rows.where("lang = 'es'").withColumn("source", F.lit("all"))), [("es",)], 3)
+    all_ = reduce(DataFrame.unionByName, (store.read(v).withColumn("version", F.lit(v)) for v in range(1, store.version() + 1)))
+    return all_.groupBy("version", "lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {SENTENCES}, s AS (SELECT lang, doc_id, sentence, list_transform(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(w)) AS ws FROM sentences WHERE lang <> 'en'),
 t AS (SELECT *, len(list_filter(ws, lambda w: regexp_full_match(w, '\\p{{L}}+'))) AS alpha, len(list_filter(ws, lambda w: regexp_full_match(w, '[a-z]+'))) AS ascii, len(list_filter(ws, lambda w: list_contains({STOPS!r}, w))) AS hits FROM s)
 SELECT lang, doc_id AS source_index, md5(sentence) AS sentence, 'english_leak' AS reason FROM t WHERE alpha >= 4 AND hits >= 3 AND ascii / alpha >= 0.7""")

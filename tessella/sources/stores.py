@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,32 +27,77 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _renamed_over(spark: SparkSession, part, target) -> None:
-    """Rename over a file in one step, so that readers always see one of both."""
+def _renamed(spark: SparkSession, part, target, over: bool) -> bool:
+    """Rename a file in one step, so that readers always see all of one; without over, False if the target is there."""
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(part, target, options)
-
-
-def write_json(spark: SparkSession, path: str, payload: Any) -> None:
-    """Write beside the target, then rename: readers see the old file or the new one."""
+    options = spark.sparkContext._gateway.new_array(rename, int(over))
+    if over:
+        options[0] = rename.OVERWRITE
+    try:
+        context.rename(part, target, options)
+    except Py4JJavaError as error:
+        if over or "FileAlreadyExistsException" not in str(error.java_exception.getClass().getName()):
+            raise
+        return False
+    return True
+
+
+def _linked(spark: SparkSession, target, data: bytes, over: bool) -> bool:
+    """As write_json on a local disk, where Hadoop's rename takes several steps: an atomic move, or a hard link that only one writer gets."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    nio = jvm.java.nio.file
+    to = jvm.java.io.File(target.toUri().getPath()).toPath()
+    nio.Files.createDirectories(to.getParent(), array(nio.attribute.FileAttribute, 0))
+    part = to.resolveSibling(f".{uuid.uuid4().hex}.tmp")
+    nio.Files.write(part, bytearray(data), array(nio.OpenOption, 0))
+    try:
+        if over:
+            options = array(nio.CopyOption, 2)
+            options[0], options[1] = nio.StandardCopyOption.ATOMIC_MOVE, nio.StandardCopyOption.REPLACE_EXISTING
+            nio.Files.move(part, to, options)
+        else:
+            nio.Files.createLink(to, part)
+    except Py4JJavaError as error:
+        if over or error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    finally:
+        nio.Files.deleteIfExists(part)
+    return True
+
+
+def write_json(spark: SparkSession, path: str, payload: Any, over: bool = True) -> bool:
+    """Write beside the target, then rename: readers see the old file or the new one. Without over, False if there is one."""
+    data = json.dumps(payload, ensure_ascii=False, sort_keys=True, indent=1).encode()
     fs, target = _fs(spark, path)
-    _, part = _fs(spark, f"{path}.tmp")
+    if fs.getScheme() == "file":
+        return _linked(spark, target, data, over)
+    _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(part, True)
-    out.write(bytearray(json.dumps(payload, ensure_ascii=False, sort_keys=True, indent=1).encode()))
+    out.write(bytearray(data))
     out.close()
-    _renamed_over(spark, part, target)
+    done = _renamed(spark, part, target, over)
+    if not done:
+        fs.delete(part, False)
+    return done
 
 
 def read_json(spark: SparkSession, path: str) -> Any:
     """The content; None if the file is missing or broken."""
-    if not exists(spark, path):
-        return None
+    fs, p = _fs(spark, path)
     try:
-        return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
+        stream = fs.open(p)
+        try:
+            return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
     except ValueError:
         return None
+    except Py4JJavaError as error:
+        if str(error.java_exception.getClass().getSimpleName()) not in ("FileNotFoundException", "NoSuchFileException", "ChecksumException"):
+            raise
+        return None
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
@@ -64,7 +111,6 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     import tempfile
-    import uuid
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
@@ -75,27 +121,46 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
 
 
+def sentence_store(spark: SparkSession, path: str):
+    """The versioned table of (source, lang, pos, sentence), a partition per source and language."""
+    from tessella.sources.snapshots import Snapshots
+
+    return Snapshots(spark, path, ("source", "lang"))
+
+
 def write_sentences(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """(source, lang, pos, sentence), a folder per source and language, so that a language is read alone."""
-    df.write.mode(mode).partitionBy("source", "lang").parquet(path)
+    """Commit df as a version of a sentence store: overwrite, append, or errorifexists."""
+    store = sentence_store(df.sparkSession, path)
+    rows = typed(df, SENTENCES)
+    if mode == "errorifexists" and store.version():
+        raise FileExistsError(path)
+    if mode == "append":
+        store.append(rows)
+    else:
+        store.overwrite(rows)
 
 
 def read_sentences(spark: SparkSession, path: str, langs: list[str] | None = None) -> DataFrame:
-    df = spark.read.schema(SENTENCES).parquet(path)
-    return df.where(F.col("lang").isin(langs)) if langs else df
+    """The rows of the current version; of some languages, only their partitions are listed."""
+    store = sentence_store(spark, path)
+    return store.read(lang=langs) if langs else store.read()
 
 
 def known_languages(spark: SparkSession, path: str) -> list[str]:
-    """Languages in a store: at most as many as there are languages."""
-    return sorted(r["lang"] for r in spark.read.schema(SENTENCES).parquet(path).select("lang").distinct().collect())
+    """Languages in a store, from its manifest alone."""
+    return sorted({lang for _, lang in sentence_store(spark, path).partitions()})
 
 
-def write_records(df: DataFrame, path: str, schema: str = RECORDS) -> None:
+def typed(df: DataFrame, schema: str) -> DataFrame:
     """Fixed columns in fixed order, missing ones null."""
     from pyspark.sql.types import StructType
 
-    fields = StructType.fromDDL(schema).fields
-    df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(path)
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields))
+
+
+def write_records(df: DataFrame, path: str, schema: str = RECORDS) -> None:
+    """Fixed columns in fixed order, missing ones null."""
+    typed(df, schema).write.mode("overwrite").parquet(path)
 
 
 def write_language_map(spark: SparkSession, df: DataFrame, path: str, describes: dict | None = None) -> DataFrame:
@@ -120,12 +185,11 @@ def language_counts(spark: SparkSession, path: str) -> dict[str, int]:
     return (read_json(spark, Manifest(spark, path).path) or {}).get("languages", {})
 
 
-def publish(spark: SparkSession, side: str, path: str) -> None:
-    """Put a finished table in the place of another."""
-    clear(spark, path)
-    fs, p = _fs(spark, side)
-    if not fs.rename(p, _fs(spark, path)[1]):
-        raise OSError(f"can't rename {side} to {path}")
+def publish(spark: SparkSession, df: DataFrame, path: str, keys: tuple[str, ...] = (), meta: dict | None = None) -> int:
+    """Put a table in the place of another in one step: readers see all of one version; returns its number."""
+    from tessella.sources.snapshots import Snapshots
+
+    return Snapshots(spark, path, keys).overwrite(df, meta)
 
 
 def clear(spark: SparkSession, path: str) -> None:
@@ -136,12 +200,14 @@ def clear(spark: SparkSession, path: str) -> None:
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """A folder per split."""
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    """A partition per split, published in one step."""
+    publish(df.sparkSession, df, path, ("split",))
+
 
+def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    from tessella.sources.snapshots import Snapshots
 
-def read_split(spark: SparkSession, path: str, split: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, split string").parquet(path).where(F.col("split") == split)
+    return Snapshots(spark, path, ("split",)).read(split=[split])
 
 
 def read_records(spark: SparkSession, path: str, schema: str = RECORDS) -> DataFrame:

@@ -158,6 +158,7 @@ def test_stores_and_flows(spark, tmp_path):
     assert len(built) == 1
     counts = flows.refilter(spark, path, lambda df: df.where("lang <> 'en' or length(sentence) > 10").where("lang = 'fr'"))
     assert counts["fr"] == 1 and counts["en"] == 0
+    assert [r.lang for r in stores.read_sentences(spark, path).collect()] == ["fr"]
     assert stores.read_records(spark, str(tmp_path / "nothing")).count() == 0
     assert "| lang |" in flows.markdown(rows.select("lang"))
 
