@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 
 # fixed values: words that may be lower case inside a name
-CONNECTORS = "a and al bin bint da de del der di do dos das e el la le los las of the y van von in den des du l d st saint santa".split()
+CONNECTORS = "a an and al bin bint da de del der di do dos das e el la le los las of the y van von in den des du l d st saint santa".split()
 MIN_TOKENS, MAX_DIGIT_SHARE = 4, 0.10
 PARALLEL_MIN = {"language": 0.90, "tokens": 20, "score": 0.80}
 

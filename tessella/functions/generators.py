@@ -106,14 +106,16 @@ def gibberish(sentences: DataFrame, n: int, seed: int = 0, column: str = "senten
     return sentences.orderBy(order, column).limit(n).select(F.lit("gibberish").alias("domain"), T.rot13(column).alias("text"))
 
 
-def neutral_pools(spark: SparkSession, sentences: DataFrame | None = None, math: int = 50_000, others: int = 30_000, seed: int = 0) -> dict[str, DataFrame]:
-    """The neutral pools by name."""
+def neutral_pools(spark: SparkSession, sentences: DataFrame | None = None, math: int = 50_000, others: int = 30_000, seed: int = 0, formulas: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The neutral pools by name; gibberish is made of sentences, formulas are those of a corpus, where there are any."""
     out = {"math": math_expressions(spark, math, seed), "html": templated(spark, others, HTML, seed), "css": templated(spark, others, CSS, seed), "code": code_snippets(spark, others, seed), "symbol": symbol_noise(spark, others, seed), "numeric": templated(spark, others, NUMERIC, seed)}
+    if formulas is not None:
+        out["formulas"] = formulas.select(F.lit("formulas").alias("domain"), F.col("formula").alias("text"))
     return out | ({"gibberish": gibberish(sentences, others, seed)} if sentences is not None else {})
 
 
 # fixed values: shares of the pools in spans without language
-SPAN_SHARES = {"math": 0.24, "code": 0.19, "html": 0.15, "css": 0.12, "numeric": 0.12, "symbol": 0.10, "gibberish": 0.08}
+SPAN_SHARES = {"formulas": 0.24, "math": 0.18, "numeric": 0.12, "html": 0.07, "css": 0.08, "code": 0.08, "symbol": 0.08, "gibberish": 0.15}
 
 
 def span_pool(key: Column) -> Column:

@@ -75,12 +75,6 @@ def decoded_list(c: Column | str, kind: str = "array<bigint>") -> Column:
     return F.from_json(T._c(c), kind)
 
 
-def insert_unknown(tokens_: Column, labels: Column, at: Column, unknown: str = "<unk>") -> Column:
-    """(tokens, labels) with an unknown token at a place, labelled like the token before it, inside its span."""
-    near = F.coalesce(F.get(labels, at - 1), F.get(labels, at), F.lit(0).cast("long"))
-    return F.struct(F.array_insert(tokens_, at + 1, F.lit(unknown)).alias("tokens"), F.array_insert(labels, at + 1, F.when(near % 2 == 1, near + 1).otherwise(near)).alias("labels"))
-
-
 def wrap_outside(tokens_: Column, labels: Column, before: Column, after: Column) -> Column:
     """(tokens, labels) between formatting tokens labelled O."""
     none = lambda a: F.transform(a, lambda _: F.lit(0).cast("long"))

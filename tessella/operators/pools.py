@@ -125,9 +125,15 @@ def weighted_choice(df: DataFrame, choices: DataFrame, key: Column, weight: str
     return df.withColumn(name, T.bind(T.uniform(key), lambda u: F.coalesce(F.element_at(F.filter(F.array(*ranges), lambda x: x["upto"] > u), 1)["value"], F.lit(rows[-1][0]))))
 
 
-def draw(demands: DataFrame, pool: DataFrame, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:
-    """The sentences of each demand, in order; a pool that runs out yields fewer."""
-    wanted = offsets(demands, by).select(*by, "doc", "slot", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("idx"))
+def draw(demands: DataFrame, pool: DataFrame, by: tuple[str, ...] = ("pool", "lang"), used: DataFrame | None = None) -> DataFrame:
+    """The sentences of each demand, in order; a pool that runs out yields fewer.
+
+    used has (*by, used): how many sentences of a pool were drawn before, at most a row for each language and pool.
+    """
+    wanted = offsets(demands, by)
+    if used is not None:
+        wanted = wanted.join(F.broadcast(used), list(by), "left").withColumn("start", F.col("start") + F.coalesce("used", F.lit(0)))
+    wanted = wanted.select(*by, "doc", "slot", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("idx"))
     return wanted.join(pool, [*by, "idx"]).withColumn("part", F.col("idx") - F.col("start")).drop("start", "idx")
 
 

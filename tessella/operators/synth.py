@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import generators
@@ -50,7 +50,7 @@ KINDS = (
     Kind("pure", 0.55, "reserved", 1, 6, 0.0, 0.10, 0.05, 0.02, 0.01, 0.03, 0.03, 0.02, 0.03, 0.05, 0.02, 0.02, 0.03, 0.30, 0.25, 0.002),
     Kind("homogeneous", 0.25, "main", 2, 6, 0.85, 0.15, 0.02, 0.01, 0.005, 0.02, 0.02, 0.01, 0.05, 0.01, 0.01, 0.01, 0.02, 0.20, 0.20, 0.002),
     Kind("spliced", 0.10, "main", 3, 5, 1.0, 0.20, 0.02, 0.02, 0.01, 0.02, 0.02, 0.01, 0.01, 0.01, 0.01, 0.0, 0.0, 0.15, 0.10, 0.002),
-    Kind("mixed", 0.10, "main", 2, 4, 1.0, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, swap=0.06, outside=0.30),
+    Kind("mixed", 0.10, "main", 2, 4, 1.0, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, swap=0.06, outside=0.06),
 )
 MAX_LENGTH, START, END = 512, 1, 2
 SWAP_RATE, UNKNOWN = 0.02, "<unk>"
@@ -58,9 +58,14 @@ SWAP_RATE, UNKNOWN = 0.02, "<unk>"
 PAIRS = (("(", ")"), ("[", "]"), ('"', '"'), ("“", "”"), ("«", "»"), ("‘", "’"), ("'", "'"))
 TAGS = tuple((f"<{t}>", f"</{t}>") for t in "p div blockquote table tr td span".split()) + (("**", "**"),)
 TRAILS = (":", ";", "...", "?!", " |", " | |", ",", "!!")
-STARTER_SIGNS, STARTER_SYMBOLS, ROMANS = (".", ")", ":"), ("-", "*", "•"), ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
-#: Share of documents with one, two and three spans without language (the rest has none); tokens of a span; texts of a pool.
-SPANS_UPTO, SPAN_TOKENS, SPAN_TEXTS = (0.6, 0.9), 120, 5000
+STARTER_SIGNS, STARTER_SYMBOLS, STARTER_HASHES = (".", ":", ")", "]"), ("-", "•", "*", "‣", "⁃", "–", "—"), ("##", "###", "####")
+ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
+# fixed values: of documents with spans without language, those with one and with two at most (the others have three); tokens of a span, and of a span of code
+SPANS_UPTO, SPAN_TOKENS, CODE_TOKENS = (0.6, 0.9), 40, 120
+# fixed values: tokens that a document must be short of for a first span and for others; how often a document is drawn
+FIRST_ROOM, ROOM, RETRIES = 20, 10, 8
+#: Texts of a pool that spans are drawn from.
+SPAN_TEXTS = 5000
 
 
 def targets(total: int) -> dict[str, int]:
@@ -91,16 +96,17 @@ def demands(plan: DataFrame, kind: Kind, langs: Column, seed: int = 0) -> DataFr
 
 
 def noisy(df: DataFrame, kind: Kind) -> DataFrame:
-    """The kind's noise on ``sentence``, step by step as columns; needs lang, script and key."""
+    """The kind's noise on ``sentence``, step by step as columns; needs lang, script, latin and key."""
     key, lang = F.col("key"), F.col("lang")
+    latin = lambda step: lambda c: F.when(F.col("latin"), step(c)).otherwise(c)
     steps = [
-        lambda c: N.word_casing(c, key, kind.upper, kind.lower, kind.title),
-        lambda c: N.spacing(c, key, kind.merge, kind.split),
-        lambda c: N.char_noise(c, key, kind.typo),
+        latin(lambda c: N.word_casing(c, key, kind.upper, kind.lower, kind.title)),
+        latin(lambda c: N.spacing(c, key, kind.merge, kind.split)),
+        latin(lambda c: N.char_noise(c, key, kind.typo)),
         lambda c: N.sentence_casing(c, key, kind.sentence_upper, kind.sentence_lower),
         lambda c: N.accent_loss(c, lang, key, kind.accent),
         lambda c: N.letter_noise(c, F.col("script"), key, kind.letter),
-        lambda c: N.digit_noise(c, key, kind.digit),
+        lambda c: N.digit_noise(c, F.col("script"), key, kind.digit),
     ]
     for step in steps:
         df = df.withColumn("sentence", T.bind(F.col("sentence"), step))
@@ -142,7 +148,7 @@ def formatting(key: Column) -> tuple[Column, Column]:
     letter = of(tuple("abcdefghijklmnopqrstuvwxyz"), "letter")
     starters = (
         F.concat((1 + N.pick(key, "digit", 24)).cast("string"), of(STARTER_SIGNS, "sign")), F.concat(of(ROMANS, "roman"), of(STARTER_SIGNS, "sign")),
-        F.concat(F.when(N.u(key, "upper") < 0.5, F.upper(letter)).otherwise(letter), of(STARTER_SIGNS, "sign")), of(("#", "##", "###"), "hash"), of(STARTER_SYMBOLS, "symbol"),
+        F.concat(F.when(N.u(key, "upper") < 0.5, F.upper(letter)).otherwise(letter), of(STARTER_SIGNS, "sign")), of(STARTER_HASHES, "hash"), of(STARTER_SYMBOLS, "symbol"),
     )
     kind, none = N.pick(key, "pattern", 4), F.lit("")
     before = F.when(kind == 0, pair(PAIRS, "pair", 0)).when(kind == 1, F.element_at(F.array(*starters), N.pick(key, "starter", len(starters)) + 1)).when(kind == 2, none).otherwise(pair(TAGS, "tag", 0))
@@ -150,33 +156,53 @@ def formatting(key: Column) -> tuple[Column, Column]:
     return before, after
 
 
-def outside_spans(wanted: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc, kind, slot, text): spans without language for the documents of kinds that have them, each behind a slot drawn by hash.
+def outside_spans(wanted: DataFrame, sentences: DataFrame, seed: int = 0) -> DataFrame:
+    """(doc, no, name, text): spans without language for the documents of kinds that have them, and one of code (no 0) for each mixed one.
 
-    A span's pool is drawn by the pools' shares, and its text by hash from SPAN_TEXTS texts of that pool.
+    A span's pool is drawn by the pools' shares, and its text by hash from SPAN_TEXTS texts of that pool. Formulas are
+    mathematical expressions where no corpus of them is given, gibberish is made of English sentences.
     """
     share = F.lit(0.0)
     for kind in KINDS:
         share = F.when(F.col("kind") == kind.name, kind.outside).otherwise(share)
-    docs = wanted.where("slot = 0").select("doc", "kind", "n_slots", F.concat_ws("\0", F.lit(str(seed)), "doc", F.lit("outside")).alias("key"))
+    docs = wanted.where("slot = 0").select("doc", "kind", F.concat_ws("\0", F.lit(str(seed)), "doc", F.lit("outside")).alias("key"))
     many = F.when(N.u(F.col("key"), "any") < share, 1 + F.when(N.u(F.col("key"), "many") < SPANS_UPTO[0], 0).when(N.u(F.col("key"), "many") < SPANS_UPTO[1], 1).otherwise(2)).otherwise(0)
-    rows = docs.withColumn("many", many).where("many > 0").withColumn("no", F.explode(F.sequence(F.lit(1), F.col("many")))).withColumn("key", F.concat_ws("\0", "key", F.col("no").cast("string")))
+    numbers = F.concat(F.when(F.col("kind") == "mixed", F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(F.col("many") > 0, F.sequence(F.lit(1), F.col("many"))).otherwise(F.array().cast("array<int>")))
+    rows = docs.withColumn("many", many).withColumn("no", F.explode(numbers)).withColumn("key", F.concat_ws("\0", "key", F.col("no").cast("string")))
+    texts = generators.neutral_pools(wanted.sparkSession, sentences.where("lang = 'en'"), SPAN_TEXTS, SPAN_TEXTS, seed)
+    nonsense = texts.pop("gibberish")  # at most SPAN_TEXTS rows
+    nonsense = materialized(nonsense.withColumn("id", F.row_number().over(Window.orderBy("text")).cast("long") - 1), "gibberish")
+    texts["gibberish"], n = nonsense, nonsense.count()
     drawn = generators.span_pool(F.col("key"))
-    rows = rows.withColumn("name", F.when(drawn == "gibberish", "symbol").otherwise(drawn)).withColumn("id", N.pick(F.col("key"), "text", SPAN_TEXTS).cast("long"))
+    name = F.when(F.col("no") == 0, "code").when(drawn == "formulas", "math").when((drawn == "gibberish") & F.lit(n == 0), "symbol").otherwise(drawn)
+    rows = rows.withColumn("name", name).withColumn("id", N.pick(F.col("key"), "text", F.when(name == "gibberish", F.lit(n)).otherwise(F.lit(SPAN_TEXTS))).cast("long"))
     pool = None
-    for name, df in generators.neutral_pools(wanted.sparkSession, None, SPAN_TEXTS, SPAN_TEXTS, seed).items():
-        part = df.select(F.lit(name).alias("name"), "id", "text")
+    for pool_name, df in texts.items():
+        part = df.select(F.lit(pool_name).alias("name"), "id", "text")
         pool = part if pool is None else pool.unionByName(part)
-    return rows.join(pool, ["name", "id"]).select("doc", "kind", N.pick(F.col("key"), "slot", F.col("n_slots")).alias("slot"), "no", "text")
+    return rows.join(pool, ["name", "id"]).select("doc", "no", "name", "text")
 
 
-def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tokens, max_length: int = MAX_LENGTH) -> DataFrame:
-    """Examples (doc, kind, original_text, tokens, ner_tags, input_ids, attention_mask, labels) for demands over a numbered pool.
+def with_spans(made: Column, spans: Column, key: Column, most: int) -> Column:
+    """(text, tokens, tags) with spans (no, text, tokens) put at places of the tokens drawn by hash, and their texts at the end."""
+    none = lambda a: F.transform(a, lambda _: F.lit(0).cast("long"))
 
-    All demands are numbered together, so no sentence is drawn twice. Documents whose pools ran dry have fewer sentences.
-    """
-    drawn = pools.draw(wanted, pool).join(wanted.select("doc", "slot", "kind", "n_slots"), ["doc", "slot"])
-    dim = lang_dim(drawn.sparkSession).select("lang", "label", "script")
+    def step(acc: Column, s: Column) -> Column:
+        n = F.size(acc["tokens"])
+        at = N.pick(F.concat_ws("\0", key, s["no"].cast("string")), "span-at", n + 1)
+        piece = F.slice(s["tokens"], 1, F.least(F.when(s["no"] == 0, CODE_TOKENS).otherwise(SPAN_TOKENS), most - n))
+        put = lambda a, x: F.concat(F.slice(a, 1, at), x, F.slice(a, at + 1, F.size(a)))
+        room = n < most + 2 - F.when(s["no"] < 2, FIRST_ROOM).otherwise(ROOM)
+        longer = F.struct(F.concat(acc["text"], F.lit(" "), s["text"]).alias("text"), put(acc["tokens"], piece).alias("tokens"), put(acc["tags"], none(piece)).alias("tags"))
+        return F.when(room, longer).otherwise(acc)
+
+    return F.aggregate(F.array_sort(spans), made, step)
+
+
+def drawn_documents(wanted: DataFrame, pool: DataFrame, seed: int, tokenizer, most: int, used: DataFrame | None) -> DataFrame:
+    """(doc, kind, original_text, tokens, ner_tags) of demands, of any length."""
+    drawn = pools.draw(wanted, pool, used=used).join(wanted.select("doc", "slot", "kind", "n_slots"), ["doc", "slot"])
+    dim = lang_dim(drawn.sparkSession).select("lang", "label", "script", "latin")
     drawn = drawn.join(F.broadcast(dim), "lang").withColumn("key", F.concat_ws("\0", F.lit(str(seed)), "doc", F.col("slot").cast("string")))
     drawn = materialized(drawn, "drawn")  # each kind reads it
     parts = None
@@ -197,18 +223,38 @@ def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tok
         own = own.withColumn("made", made).withColumn("gap", F.when(N.u(F.col("key"), "paragraph") < kind.paragraph, "\n\n").otherwise(" "))
         own = own.select("doc", "kind", "slot", "part", "sentence", "gap", "made")
         parts = own if parts is None else parts.unionByName(own)
-    # spans without language stand behind the sentence of their slot, all labelled O
-    span_tokens, none = F.slice(tokenizer("text"), 1, SPAN_TOKENS), F.array().cast("array<string>")
-    made = L.wrap_outside(none, F.array().cast("array<bigint>"), span_tokens, none)
-    spans = outside_spans(wanted, seed).select("doc", "kind", "slot", (F.lit(1 << 20) + F.col("no")).alias("part"), F.col("text").alias("sentence"), F.lit(" ").alias("gap"), made.alias("made"))
-    parts = parts.unionByName(spans)
     rows = F.array_sort(F.collect_list(F.struct("slot", "part", "sentence", "gap", F.col("made.tokens").alias("tokens"), F.col("made.labels").alias("tags"))))
     out = parts.groupBy("doc", "kind").agg(rows.alias("rows"))
+    spans = outside_spans(wanted, pool, seed).withColumn("tokens", tokenizer("text")).groupBy("doc").agg(F.collect_list(F.struct("no", "text", "tokens")).alias("spans"))
+    out = out.join(spans, "doc", "left")
+    # code only goes to mixed documents of a single sentence
+    spans = F.filter(F.coalesce("spans", F.array().cast("array<struct<no:int,text:string,tokens:array<string>>>")), lambda s: (s["no"] > 0) | (F.size("rows") == 1))
     text = F.aggregate("rows", F.lit(""), lambda acc, r: F.when(acc == "", r["sentence"]).otherwise(F.concat(acc, r["gap"], r["sentence"])))
-    most = max_length - 2
-    out = out.select("doc", "kind", text.alias("original_text"), F.slice(F.flatten("rows.tokens"), 1, most).alias("tokens"), F.slice(F.flatten("rows.tags"), 1, most).alias("ner_tags"))
+    made = F.struct(text.alias("text"), F.flatten("rows.tokens").alias("tokens"), F.flatten("rows.tags").alias("tags"))
+    key = F.concat_ws("\0", F.lit(str(seed)), "doc")
+    return out.withColumn("made", with_spans(made, spans, key, most)).select("doc", "kind", F.col("made.text").alias("original_text"), "made.tokens", F.col("made.tags").alias("ner_tags"))
+
+
+def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tokens, max_length: int = MAX_LENGTH, retries: int = RETRIES) -> DataFrame:
+    """Examples (doc, kind, original_text, tokens, ner_tags, input_ids, attention_mask, labels) for demands over a numbered pool.
+
+    All demands are numbered together, so no sentence is drawn twice. Documents whose pools ran dry have fewer sentences.
+    Documents of more than max_length tokens, special ones included, are drawn anew, from the sentences behind those drawn
+    so far, up to retries times, and then left out: none is cut, so texts and tokens agree.
+    """
+    most, done, used = max_length - 2, None, None
+    for attempt in range(retries):
+        out = materialized(drawn_documents(wanted, pool, seed + 1009 * attempt, tokenizer, most, used).where(F.size("tokens") > 0), "documents")
+        fits = out.where(F.size("tokens") <= most)
+        done = fits if done is None else done.unionByName(fits)
+        long_ = out.where(F.size("tokens") > most).select("doc")
+        if long_.isEmpty():
+            break
+        now = wanted.groupBy("pool", "lang").agg(F.sum("n").alias("used"))
+        used = materialized(now if used is None else used.unionByName(now).groupBy("pool", "lang").agg(F.sum("used").alias("used")), "used")
+        wanted = materialized(wanted.join(long_, "doc", "left_semi"), "demands")
     made = L.model_inputs(L.token_ids(F.col("tokens")), F.col("ner_tags"), START, END, max_length)
-    return out.where(F.size("tokens") > 0).withColumn("m", made).select("doc", "kind", "original_text", "tokens", "ner_tags", "m.*")
+    return done.withColumn("m", made).select("doc", "kind", "original_text", "tokens", "ner_tags", "m.*")
 
 
 def build(sentences: DataFrame, total: int, seed: int = 42) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import dims, filters, udfs
@@ -59,10 +59,9 @@ def unicode_forms(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", md5(udfs.without_marks("text")).alias("plain"), md5(udfs.nfkc("text")).alias("composed"))
 
 
-@query(f"WITH {SENTENCES} SELECT doc_id, no, md5(strip_accents(sentence)) AS plain FROM sentences WHERE NOT regexp_matches(sentence, '[^\\x00-\\x{{24f}}\\p{{P}}\\p{{S}}]')")
+@query(f"WITH {SENTENCES} SELECT doc_id, no, md5(strip_accents(sentence)) AS plain FROM sentences")
 def accents(spark, sf_dir):
-    rows = sentences(spark, sf_dir).where(~F.col("sentence").rlike(r"[^\x00-\x{24f}\p{P}\p{S}]"))
-    return rows.select("doc_id", "no", md5(T.strip_accents("sentence")).alias("plain"))
+    return sentences(spark, sf_dir).select("doc_id", "no", md5(T.strip_accents("sentence")).alias("plain"))
 
 
 def articles(spark, sf_dir):
@@ -344,32 +343,33 @@ u = lambda key, name: f"(({hash_of(f"{key} || chr(0) || '{name}'")}) + 0.5) / 42
 at = lambda key, name, n: f"floor({u(key, name)} * {n})::int"
 NOISE_KEY = "(doc_id || '-' || no)"
 half = lambda w: f"{w}[1:length({w}) // 2] || ' ' || {w}[length({w}) // 2 + 1:]"
-signed = lambda name, signs: f"CASE WHEN {u(NOISE_KEY, name)} < 0.5 THEN array_to_string(list_concat(w[1:{at(NOISE_KEY, f'{name}-at', 'len(w)')}], ['{signs}'[1 + {at(NOISE_KEY, f'{name}-sign', len(signs))}]], w[{at(NOISE_KEY, f'{name}-at', 'len(w)')} + 1:]), ' ') ELSE s END"
+shout = lambda w: f"upper(replace({w}, 'ß', 'ss'))"
+signed = lambda name, sign: f"CASE WHEN {u(NOISE_KEY, name)} < 0.5 AND len(v) > 1 THEN array_to_string(list_concat(v[1:1 + {at(NOISE_KEY, f'{name}-at', '(len(v) - 1)')}], [{sign}], v[2 + {at(NOISE_KEY, f'{name}-at', '(len(v) - 1)')}:]), ' ') ELSE s END"
+letter = lambda letters: f"CASE WHEN {u(NOISE_KEY, 'capital')} < 0.5 THEN upper('{letters}'[1 + {at(NOISE_KEY, 'letter-sign', len(letters))}]) ELSE '{letters}'[1 + {at(NOISE_KEY, 'letter-sign', len(letters))}] END"
 
 
 @query(
-    f"""WITH {SENTENCES}, x AS (SELECT doc_id, no, lang, sentence AS s, string_split(sentence, ' ') AS w FROM sentences WHERE NOT contains(sentence, 'ß')),
+    f"""WITH {SENTENCES}, x AS (SELECT doc_id, no, lang, sentence AS s, string_split(sentence, ' ') AS w, string_split(trim(regexp_replace(sentence, '\\s+', ' ', 'g')), ' ') AS v FROM sentences),
 y AS (SELECT *, {at(NOISE_KEY, 'gap', 'len(w)')} AS g FROM x)
-SELECT doc_id, no, md5(array_to_string(list_transform(w, lambda v, i: CASE WHEN {u(f"{NOISE_KEY} || chr(0) || (i - 1)", 'case')} < 0.3 THEN upper(v) WHEN {u(f"{NOISE_KEY} || chr(0) || (i - 1)", 'case')} < 0.6 THEN lower(v) ELSE v END), ' ')) AS casing,
-md5(CASE WHEN {u(NOISE_KEY, 'sentence')} < 0.3 THEN upper(s) WHEN {u(NOISE_KEY, 'sentence')} < 0.3::double + 0.3::double THEN lower(s) ELSE s END) AS whole,
-md5({signed('digit', '0123456789')}) AS digit, md5({signed('letter', N.LETTERS['Latin'])}) AS letter,
+SELECT doc_id, no, md5(array_to_string(list_transform(w, lambda v, i: CASE WHEN {u(f"{NOISE_KEY} || chr(0) || (i - 1)", 'case')} < 0.3 THEN {shout('v')} WHEN {u(f"{NOISE_KEY} || chr(0) || (i - 1)", 'case')} < 0.6 THEN lower(v) ELSE v END), ' ')) AS casing,
+md5(CASE WHEN {u(NOISE_KEY, 'sentence')} < 0.3 THEN {shout('s')} WHEN {u(NOISE_KEY, 'sentence')} < 0.3::double + 0.3::double THEN lower(s) ELSE s END) AS whole,
+md5({signed('digit', f"'0123456789'[1 + {at(NOISE_KEY, 'digit-sign', 10)}]")}) AS digit, md5({signed('letter', letter('abcdefghijklmnopqrstuvwxyz'))}) AS letter, md5({signed('letter', letter('абвгдежзийклмнопрстуфхцчшщэюя'))}) AS cyrillic, md5(s) AS greek,
 md5(CASE WHEN len(w) > 1 AND {u(NOISE_KEY, 'merge')} < 0.4 THEN array_to_string(w[1:g + 1], ' ') || array_to_string(w[g + 2:], ' ')
     WHEN {u(NOISE_KEY, 'split')} < 0.5 THEN array_to_string(list_transform(w, lambda v, i: CASE WHEN i - 1 = g AND length(v) >= 4 THEN {half('v')} ELSE v END), ' ') ELSE s END) AS spacing FROM y"""
 )
 def noise_steps(spark, sf_dir):
-    rows = sentences(spark, sf_dir).where(~F.contains("sentence", F.lit("ß"))).withColumn("key", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("no").cast("string")))  # engines differ in its upper case
+    rows = sentences(spark, sf_dir).withColumn("key", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("no").cast("string")))
     s, key = F.col("sentence"), F.col("key")
     return rows.select(
-        "doc_id", "no", md5(N.word_casing(s, key, 0.3, 0.3, 0.0)).alias("casing"), md5(N.sentence_casing(s, key, 0.3, 0.3)).alias("whole"), md5(N.digit_noise(s, key, 0.5)).alias("digit"),
-        md5(N.letter_noise(s, F.lit("Latin"), key, 0.5)).alias("letter"), md5(N.spacing(s, key, 0.4, 0.5)).alias("spacing"),
+        "doc_id", "no", md5(N.word_casing(s, key, 0.3, 0.3, 0.0)).alias("casing"), md5(N.sentence_casing(s, key, 0.3, 0.3)).alias("whole"), md5(N.digit_noise(s, F.lit("Latin"), key, 0.5)).alias("digit"),
+        *(md5(N.letter_noise(s, F.lit(script), key, 0.5)).alias(name) for name, script in (("letter", "Latin"), ("cyrillic", "Cyrillic"), ("greek", "Greek"))), md5(N.spacing(s, key, 0.4, 0.5)).alias("spacing"),
     )
 
 
-@query(f"WITH {SENTENCES} SELECT doc_id, no, md5(CASE WHEN lang IN ('es', 'fr') AND {u(NOISE_KEY, 'accent')} < 0.5 THEN strip_accents(sentence) ELSE sentence END) AS plain FROM sentences WHERE NOT regexp_matches(sentence, '[^\\x00-\\x{{24f}}\\p{{P}}\\p{{S}}]')")
+@query(f"WITH {SENTENCES} SELECT doc_id, no, md5(CASE WHEN lang IN ('en', 'es', 'fr', 'it', 'nl', 'pt') AND {u(NOISE_KEY, 'accent')} < 0.5 THEN strip_accents(sentence) ELSE sentence END) AS plain FROM sentences")
 def accent_noise(spark, sf_dir):
-    rows = sentences(spark, sf_dir).where(~F.col("sentence").rlike(r"[^\x00-\x{24f}\p{P}\p{S}]"))
     key = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("no").cast("string"))
-    return rows.select("doc_id", "no", md5(N.accent_loss(F.col("sentence"), F.col("lang"), key, 0.5)).alias("plain"))
+    return sentences(spark, sf_dir).select("doc_id", "no", md5(N.accent_loss(F.col("sentence"), F.col("lang"), key, 0.5)).alias("plain"))
 
 
 @query(f"""WITH d AS (SELECT lang, text, min(doc_id) AS doc_id, {hash_of("'42' || chr(0) || lang || chr(0) || text")} AS h FROM documents GROUP BY lang, text), p AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY h, text) - 1 AS idx FROM d),

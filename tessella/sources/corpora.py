@@ -10,7 +10,8 @@ from tessella.functions import text as T
 from tessella.functions.dims import PARALLEL, WIKI, with_canonical, with_lang
 from tessella.operators import dedupe
 
-SMOL_CODES = {"yue": "zh", "arz": "ar", "fa-AF": "fa", "pt-PT": "pt", "ber-Latn": "ber"}
+# fixed values: codes of the pair corpus that stand for another language
+SMOL_CODES = {"pt-PT": "pt", "yue": "zh", "ar-MA": "ar", "arz": "ar", "aeb": "ar", "ayl": "ar", "apd": "ar"}
 
 
 # ---- encyclopedia articles: (lang, pos, title, text)
