@@ -2,7 +2,8 @@
 
 Texts and benchmark items become template tokens: words in lower case without outer punctuation, numbers as <num>,
 unit words after a number as <unit>, and capitalised words as <name>, wherever they stand, so that line breaks and
-sentence ends don't matter. Windows of WINDOW template tokens are hash-joined between documents and items. A window with
+sentence ends don't matter. Signs of operations beside a number are tokens as well, which stand for themselves; other
+tokens without letter or digit are not. Windows of WINDOW template tokens are hash-joined between documents and items. A window with
 fewer than PLAIN tokens that aren't placeholders (words that begin a sentence count as plain here) says too little and
 is hashed as it stands, values and all. An item's windows are also joined with the words that begin its sentences taken
 as words, for texts that write them small, and with all its names taken as words, for texts in capitals. Items of two to
@@ -11,7 +12,8 @@ A document's windows are first looked up in a bitmap of fixed size made from all
 leave the scan, and the join removes the false ones. Hits are grouped by document, item and diagonal (distance of the
 two positions); on a diagonal each value of the item must stand for one value of the document, and each name of the
 document for one name of the item (slot consistency), and where that fails only windows whose values are all the item's
-own count. A pair is reported where these windows
+own count. So it is for items of fewer than FEW windows, all of which must be there, unless every window has WORDY plain
+words at least: a template of a few words and many numbers is met in any text on numbers. A pair is reported where these windows
 
 * are SHARE of the item's windows, or
 * cover SHARE of the tokens that the item's windows cover (an edit costs its own token where WINDOW unchanged tokens
@@ -38,6 +40,8 @@ from tessella.llm.common import fresh, map_rows, staged, use_cache, with_key
 from tessella.llm.hashing import MIX, mixed, text_hash
 
 WINDOW, PLAIN, SHARE, LOOSE, RUN = 5, 2, 0.8, 0.1, 13
+#: Items of fewer windows, and with windows of fewer plain words, only match with their own values.
+FEW, WORDY = 4, 3
 #: Words of an item that is looked for as a whole; bits of a window that is taken as it stands.
 SHORT, ALL = (2, 3, 4), (1 << WINDOW) - 1
 BITMAP = 1 << 22
@@ -53,13 +57,15 @@ HASHES = {kind: np.uint64(text_hash(f"<{name}>".encode())) for kind, name in ((N
 BREAK = "\x03"
 ENDINGS = (".", "!", "?", ":", ";")
 CLOSING = "\"'”’)]"
+#: Signs that are tokens beside a number.
+OPERATORS = frozenset("+-*/=<>^×÷·±≤≥≠≈√−")
 OUTER = "!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~“”„‘’«»‹›…–—¿¡。、，！？：；（）【】"
 
 
 class Tokens:
     """Facts of the raw tokens seen so far, by small integers: plain form, hash and flags."""
 
-    NUMBER, CAPITAL, ENDS, FULL, SINGLE, SHOUT = 1, 2, 4, 8, 16, 32
+    NUMBER, CAPITAL, ENDS, FULL, SINGLE, SHOUT, OPERATOR = 1, 2, 4, 8, 16, 32, 64
 
     def __init__(self, most: int = 300_000):
         self.most = most
@@ -86,6 +92,9 @@ class Tokens:
             flags |= self.ENDS
         if plain.isalnum() or any(map(str.isalnum, plain)):
             flags |= self.FULL
+        elif OPERATORS.issuperset(raw):
+            flags |= self.OPERATOR
+            lower = raw
         self.hash[i] = text_hash(lower.encode("utf-8", "surrogatepass"))
         self.flags[i] = flags
         self.plain.append(lower)
@@ -140,12 +149,16 @@ class Windows:
         for i in np.flatnonzero(number[:-1]) + 1:
             if text[i] == text[i - 1] and _tokens.plain[ids[i]] in UNITS:
                 hashes[i], kinds[i] = HASHES[UNIT], UNIT
-        full = np.flatnonzero(flags & Tokens.FULL)
+        beside = np.zeros(len(ids), bool)  # a number stands before or after
+        beside[1:] = number[:-1] & (text[1:] == text[:-1])
+        beside[:-1] |= number[1:] & (text[1:] == text[:-1])
+        operator = (flags & Tokens.OPERATOR > 0) & beside
+        full = np.flatnonzero((flags & Tokens.FULL > 0) | operator)
         # a token without letters and digits, such as a line break, begins a sentence for the next full one
         sentence = np.cumsum(~inside)[full] if len(full) else np.empty(0, np.int64)
         first = (named & ~inside)[full]
         hashes, words, text, self.kinds, self.ids = hashes[full], words[full], text[full], kinds[full], ids[full]
-        word = (self.kinds == WORD) | first
+        word = ((self.kinds == WORD) | first) & ~operator[full]
         n = max(0, len(full) - WINDOW + 1)
         plain = np.zeros(n, np.int8)
         for i in range(WINDOW):
@@ -161,6 +174,7 @@ class Windows:
             use = np.flatnonzero(self.size > k)
             a = self.at[use] + k
             self.hash[use] = mixed(self.hash[use] * MIX + np.where(self.literal[use] >> k & 1 == 1, words[a], hashes[a]))
+        self.plain = np.array([word[a : a + k].sum() for a, k in zip(self.at.tolist(), self.size.tolist())], np.int64) if items else np.zeros(len(self.at), np.int64)
         self.text = text[self.at]
         self.pos = self.at - np.searchsorted(text, self.text)
 
@@ -189,7 +203,7 @@ class Windows:
         return [(start[short], np.full(short.sum(), ALL), size[short])]
 
     def keep(self, wanted: np.ndarray) -> None:
-        self.at, self.literal, self.size, self.hash, self.text, self.pos = (x[wanted] for x in (self.at, self.literal, self.size, self.hash, self.text, self.pos))
+        self.at, self.literal, self.size, self.hash, self.plain, self.text, self.pos = (x[wanted] for x in (self.at, self.literal, self.size, self.hash, self.plain, self.text, self.pos))
 
     def slots(self, i: int) -> list[dict]:
         """Of the i-th window."""
@@ -201,7 +215,7 @@ SLOT = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.string(
 
 
 def window_rows(df: DataFrame, key: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """key, hash, pos, size and slots of the windows of df.text; with a bitmap, of those that it has, without one those of items."""
+    """key, hash, pos, size, plain (words of items) and slots of the windows of df.text; with a bitmap, of those that it has, without one those of items."""
     kind = to_arrow_type(df.schema[key].dataType)
 
     def block(rows: dict) -> dict:
@@ -209,9 +223,9 @@ def window_rows(df: DataFrame, key: str, bitmap: np.ndarray | None = None) -> Da
         if bitmap is not None:
             found.keep(np.flatnonzero(bitmap[(found.hash >> np.uint64(42)).astype(np.int64)]))
         ids = pa.array(rows[key], kind).take(pa.array(found.text, pa.int64()))
-        return {key: ids, "hash": found.hash.view(np.int64), "pos": found.pos, "size": found.size, "slots": [found.slots(i) for i in range(len(found.at))]}
+        return {key: ids, "hash": found.hash.view(np.int64), "pos": found.pos, "size": found.size, "plain": found.plain, "slots": [found.slots(i) for i in range(len(found.at))]}
 
-    schema = pa.schema([(key, kind), ("hash", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("slots", pa.list_(SLOT))])
+    schema = pa.schema([(key, kind), ("hash", pa.int64()), ("pos", pa.int64()), ("size", pa.int32()), ("plain", pa.int32()), ("slots", pa.list_(SLOT))])
     return map_rows(with_key(df, (key, "text")), block, schema, 1 << 20)
 
 
@@ -237,27 +251,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
     slots = items.select(F.shiftrightunsigned("hash", 42).alias("bit")).distinct().toPandas()["bit"].to_numpy()  # at most BITMAP values
     bitmap = np.zeros(BITMAP, bool)
     bitmap[slots.astype(np.int64)] = True
-    sizes = items.groupBy("item_id").agg(F.collect_set("pos").alias("all"), F.min("size").alias("size")).select("item_id", "size", F.size("all").alias("n_windows"), _tokens_of("all", F.col("size")).alias("n_tokens"))
-    theirs = items.select("item_id", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    hits = window_rows(docs, key, bitmap).join(theirs, "hash")
+    sizes = items.groupBy("item_id").agg(F.collect_set("pos").alias("all"), F.min("size").alias("size"), F.min("plain").alias("plain")).select("item_id", "size", "plain", F.size("all").alias("n_windows"), _tokens_of("all", F.col("size")).alias("n_tokens"))
+    is_telling = (F.col("n_windows") >= FEW) | (F.col("plain") >= WORDY)
+    telling = sizes.select(F.col("item_id").alias("_item"), is_telling.alias("telling"))
+    theirs = items.select("item_id", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).join(telling, F.expr("item_id <=> _item")).drop("_item")
+    hits = window_rows(docs, key, bitmap).drop("plain").join(theirs, "hash")
     # pairs of values that meet in a window: (value of the item, value of the document)
     meet = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["value"].alias("a"), b["value"].alias("b"), (a["kind"] == NAME).alias("name")))
     same = F.forall(F.zip_with("item_slots", "slots", lambda a, b: (a["at"] == b["at"]) & (a["kind"] == b["kind"])), lambda x: x)
     hits = hits.where((F.size("item_slots") == F.size("slots")) & same)
     own = F.forall("meet", lambda x: x["a"] == x["b"])
-    lines = hits.select(key, "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", meet.alias("meet")).withColumn("own", own)
+    lines = hits.select(key, "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "telling", meet.alias("meet")).withColumn("own", own)
     lines = lines.groupBy(key, "item_id", "diagonal").agg(
-        F.collect_set("item_pos").alias("covered"), F.collect_set(F.when(F.col("own"), F.col("item_pos"))).alias("verbatim_at"), F.array_distinct(F.flatten(F.collect_set("meet"))).alias("meet")
+        F.collect_set("item_pos").alias("covered"), F.collect_set(F.when(F.col("own"), F.col("item_pos"))).alias("verbatim_at"), F.array_distinct(F.flatten(F.collect_set("meet"))).alias("meet"),
+        F.first("telling").alias("telling"),
     )
     names = F.filter("meet", lambda x: x["name"])
     distinct = lambda array, side: F.size(F.array_distinct(F.transform(array, lambda x: F.struct(x[side], x["name"]))))
     fits = (F.size("meet") <= (1 + LOOSE) * distinct("meet", "a")) & (F.size(names) <= (1 + LOOSE) * distinct(names, "b"))
-    lines = lines.withColumn("fits", fits).withColumn("covered", F.when(F.col("fits"), F.col("covered")).otherwise(F.col("verbatim_at")))
+    lines = lines.withColumn("fits", fits & F.col("telling")).withColumn("covered", F.when(F.col("fits"), F.col("covered")).otherwise(F.col("verbatim_at")))
     lines = lines.where(F.size("covered") > 0).withColumn("run", _longest_run("covered"))
     verbatim = F.every(~F.col("fits") | F.forall("meet", lambda x: x["a"] == x["b"])).alias("verbatim")
     pairs = lines.groupBy(key, "item_id").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.max("run").alias("run"), verbatim)
     pairs = pairs.join(sizes, "item_id").withColumn("n_matched", F.size("covered").cast("long"))
     long_run = (F.col("run") >= RUN) & (F.col("size") == WINDOW)
+    pairs = pairs.where(is_telling | (F.col("n_matched") == F.col("n_windows")))
     pairs = pairs.where((F.col("n_matched") >= SHARE * F.col("n_windows")) | (_tokens_of("covered", F.col("size")) >= SHARE * F.col("n_tokens")) | long_run)
     return pairs.select(key, "item_id", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("share"), "verbatim")
 

@@ -72,6 +72,8 @@ def brute(docs, items):
                 kind = "num" if number else "unit" if after_number and low in decontaminate.UNITS else "name" if name else "word"
                 out.append((kind, low, start and name))
                 start = False
+            elif set(t) <= set("+-*/=<>^×÷·±≤≥≠≈√−") and any(decontaminate.NUMBER.match(x.strip(decontaminate.OUTER).lower()) for x in (raw[k - 1] if k else "", *raw[k + 1 : k + 2])):
+                out.append(("sign", t, False))
             if t == decontaminate.BREAK or (t != plain and t.rstrip(decontaminate.CLOSING)[-1:] in decontaminate.ENDINGS):
                 start = True
             after_number = number
@@ -80,8 +82,9 @@ def brute(docs, items):
     def windows(tokens, item):
         for i in range(len(tokens) - 4):
             part = tokens[i : i + 5]
-            if sum(k == "word" or f for k, _, f in part) < 2:
-                yield i, tuple(low for _, low, _ in part), []
+            plain = sum(k == "word" or f for k, _, f in part)
+            if plain < 2:
+                yield i, tuple(low for _, low, _ in part), [], plain
                 continue
             choices = [set()]
             if item:
@@ -89,24 +92,25 @@ def brute(docs, items):
                 choices = [{b for k, b in enumerate(begins) if x >> k & 1} for x in range(1 << len(begins))]
                 choices += [names] if names not in choices else []
             for small in choices:
-                yield i, tuple(low if k == "word" or j in small else f"<{k}>" for j, (k, low, _) in enumerate(part)), [(k == "name", low, j) for j, (k, low, _) in enumerate(part) if k != "word" and j not in small]
+                yield i, tuple(low if k in ("word", "sign") or j in small else f"<{k}>" for j, (k, low, _) in enumerate(part)), [(k == "name", low, j) for j, (k, low, _) in enumerate(part) if k not in ("word", "sign") and j not in small], plain
 
     found = set()
     for item_id, item in items:
         tokens = read(item)
         theirs = list(windows(tokens, True))
         starts = {w[0] for w in theirs}
+        telling = len(starts) >= 4 or min((w[3] for w in theirs), default=0) >= 3
         for doc_id, doc in docs:
             lines = {}
-            for i, key, slots in windows(read(doc), False):
-                for p, other, values in theirs:
+            for i, key, slots, _ in windows(read(doc), False):
+                for p, other, values, _ in theirs:
                     if key == other and [(n, j) for n, _, j in slots] == [(n, j) for n, _, j in values]:
                         lines.setdefault(i - p, []).append((p, {(n, a, b) for (n, a, _), (_, b, _) in zip(values, slots)}))
             covered, run = set(), 0
             for hits in lines.values():
                 met = set().union(*(m for _, m in hits))
                 names = {m for m in met if m[0]}
-                fits = len(met) <= 1.1 * len({m[:2] for m in met}) and len(names) <= 1.1 * len({m[2] for m in names})
+                fits = telling and len(met) <= 1.1 * len({m[:2] for m in met}) and len(names) <= 1.1 * len({m[2] for m in names})
                 here = {p for p, m in hits if fits or all(a == b for _, a, b in m)}
                 covered |= here
                 for p in here:
@@ -115,6 +119,8 @@ def brute(docs, items):
                         n += 1
                     run = max(run, n + 4 if n else 0)
             span = lambda ps: {p + k for p in ps for k in range(5)}
+            if not telling and len(covered) < len(starts):
+                continue
             if covered and (len(covered) >= 0.8 * len(starts) or len(span(covered)) >= 0.8 * len(span(starts)) or run >= 13):
                 found.add((doc_id, item_id))
     return found
@@ -122,9 +128,9 @@ def brute(docs, items):
 
 def test_like_brute_force(spark):
     rng = random.Random(11)
-    words = "the a long way north train leaves at home and covers before after day night Alice Bob Carla Dan Erik 3 7 12 120 km hours miles . ! value of some text".split()
+    words = "the a long way north train leaves at home and covers before after day night Alice Bob Carla Dan Erik 3 7 12 120 + * = - km hours miles . ! value of some text".split()
     line = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, line(rng.randint(5, 45))) for i in range(25)]
+    items = [(i, line(rng.randint(5, 45 if i < 20 else 9))) for i in range(30)]
     docs = []
     for d in range(120):
         text = rng.choice(items)[1].split()
@@ -164,3 +170,33 @@ def test_edited_partial_and_rewrapped(spark):
 def test_names_that_begin_sentences(spark):
     item = "Every day Alice walks to the old market. Alice buys bread there and some milk. Bob waits at home and cooks."
     assert set(pairs(spark, [(1, "Well then. " + item.replace("Alice", "Carla").replace("Bob", "Dan"))], [(5, item)])) == {(1, 5)}
+
+
+ARITHMETIC = [
+    "I know what is 1.5 2 30 all about in this long text on gardens",
+    "what is 9 - 2 / 6",
+    "She asked what is 7 + 8 * 4 and wrote it down.",
+    "Tell me what is 12 of the 40 and 50 on the list, and what is 3 2 1.",
+    "The bill was 7 + 8 euros, that is 15, and what is 1 , 2 , 3 to you is 4 - 5 - 6 to me.",
+    "Rows 1 2 3 and 4 + 5 = 9, or 6 * 7 = 42, are easy; what is 8 + 1 + 1?",
+    "Compute rest days: 7 8 9, compute the rest later: 3 + 4.",
+    "On 3 May 2021 what is 10 - 4 - 2 was no longer 7 + 8 * 5.",
+]
+
+
+def test_clean_prose_on_numbers_stays(spark):
+    """Short items of few words and many numbers only match with their own numbers and signs."""
+    items = [(1, "What is 7 + 8 * 3?"), (2, "What is 9 - 3 / 6"), (3, "Compute 3 + 4 + 5"), (4, "What is 1 2 4?"), (5, "What is the capital city of France?")]
+    leaks = ["So: what is 7 + 8 * 3? Nobody knew.", "Easy. What is 9 - 3 / 6", "compute 3 + 4 + 5 at once", "Tell me what is the capital city of Spain?"]
+    docs = list(enumerate(ARITHMETIC)) + [(100 + i, t) for i, t in enumerate(leaks)]
+    assert set(pairs(spark, docs, items)) == {(100, 1), (101, 2), (102, 3), (103, 5)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = decontaminate.clean(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.text for r in kept.collect()} == set(ARITHMETIC)
+
+
+def test_longer_items_with_signs_match_with_other_numbers(spark):
+    item = "Solve for the unknown price: if 3 + 4 apples cost 21 euros at the market stall then what do 2 * 5 apples cost?"
+    docs = [(1, "Hm. " + item.replace("3 + 4", "6 + 1").replace("21", "35").replace("2 * 5", "3 * 4")), (2, "Hm. " + item.replace("3 + 4", "3 - 4").replace("2 * 5", "2 / 5"))]
+    got = pairs(spark, docs, [(5, item)])
+    assert (1, 5) in got and not got[1, 5]
