@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tessella.llm.common import blocks, dealt_anew, discard, spark_schema, staged
 from tessella.llm.hashing import MIX, mixed
@@ -58,6 +59,22 @@ def lacking(n, numerator: int):
     return (100 - numerator) * n // 100
 
 
+def set_digests(tokens: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """128 bits of each of some sets that lie end to end; None for empty ones."""
+    full = np.flatnonzero(n)
+    out = np.zeros((len(n), 2), np.uint64)
+    if len(full):
+        first = (np.cumsum(n) - n)[full]
+        out[full, 0] = np.bitwise_xor.reduceat(mixed(tokens), first)
+        out[full, 1] = np.add.reduceat(tokens, first)
+    return [d.tobytes() if k else None for d, k in zip(out, n)]
+
+
+def set_numbers(digests: list[bytes | None]) -> np.ndarray:
+    """64 bits of digests, as Spark's xxhash64 has them."""
+    return np.array([xxh64_intdigest(d or b"", 42) for d in digests], np.uint64).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), n_shingles and set_hash (null for empty sets)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary())])
@@ -66,14 +83,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, BLOCK_BYTES):
                 tokens, n = shingle_sets(part.column("text"))
-                full = np.flatnonzero(n)
-                digests = np.zeros((len(n), 2), np.uint64)
-                if len(full):
-                    first = (np.cumsum(n) - n)[full]
-                    digests[full, 0] = np.bitwise_xor.reduceat(mixed(tokens), first)
-                    digests[full, 1] = np.add.reduceat(tokens, first)
-                raw = [d.tobytes() if k else None for d, k in zip(digests, n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(set_digests(tokens, n), pa.binary())], schema=schema)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, spark_schema(schema))
 
@@ -83,11 +93,11 @@ SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("set", pa.binary())]
 
 
 def _first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, node) to the tokens below FIRST, with the size of their sets."""
+    """Rows (text) to the tokens below FIRST, with the number and the size of their sets; equal sets have equal numbers."""
     for batch in batches:
         for part in blocks(batch, BLOCK_BYTES):
             tokens, n = shingle_sets(part.column("text"))
-            node = np.repeat(part.column("node").to_numpy(), n)
+            node = np.repeat(set_numbers(set_digests(tokens, n)), n)
             below = tokens < np.uint64(FIRST)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[below].view(np.int64)), pa.array(node[below]), pa.array(np.repeat(n, n)[below].astype(np.int32))], schema=TOKENS)
 
@@ -245,19 +255,24 @@ def _block_links(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[
             yield _edges(pairs)
 
 
-def possible(docs: DataFrame, nodes: DataFrame, numerator: int) -> DataFrame:
-    """node, n and set of the documents of which not too many tokens are nobody else's, judged by the tokens below FIRST."""
+def possible(docs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
+    """node, n and set of the distinct sets of which not too many tokens are nobody else's, judged by the tokens below FIRST.
+
+    Tokens are counted under a number of their set, so equal sets count once and no text is joined for it.
+    """
+    first = docs.select("text").mapInArrow(_first_tokens, spark_schema(TOKENS))
+    alone = first.groupBy("token").agg(F.min("node").alias("number"), F.max("node").alias("z"), F.max("n").alias("n")).where("number = z")
+    out = alone.groupBy("number").agg(F.count(F.lit(1)).alias("alone"), F.max("n").alias("n")).where(F.col("alone") > F.expr(f"(100 - {numerator}) * n div 100")).select("number")
+    numbered = sets.select("doc_id", "text_key", "node", F.xxhash64("set_hash").alias("number"))
+    left = staged(numbered.join(staged(out, "alone"), "number", "left_anti").drop("number"), "possible")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    keys = ["doc_id", "text_key"]
-    first = texts.join(nodes, keys).select("text", "node").mapInArrow(_first_tokens, spark_schema(TOKENS))
-    alone = first.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("z"), F.max("n").alias("n")).where("node = z")
-    out = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"), F.max("n").alias("n")).where(F.col("alone") > F.expr(f"(100 - {numerator}) * n div 100")).select("node")
-    left = staged(nodes.join(staged(out, "alone"), "node", "left_anti"), "possible")
-    return texts.join(left, keys).select("text", "node").mapInArrow(_packed_sets, spark_schema(SETS)).dropDuplicates(["node"])
+    return texts.join(left, ["doc_id", "text_key"]).select("text", "node").mapInArrow(_packed_sets, spark_schema(SETS)).dropDuplicates(["node"])
 
 
 def candidates(sets: DataFrame, numerator: int, rare: int, common: int) -> DataFrame:
-    """(a, b): documents that share an index key and may link by their sizes, each with the key's first document of the kind that every link has."""
+    """(a, b): documents that share an index key and may link by their sizes, each with the key's first document of the kind that every link has.
+
+    """
     tokens = sets.mapInArrow(_unpacked, spark_schema(TOKENS))
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = tokens.join(dealt_anew(frequency, "token"), "token").select("node", "df", "token", "n")
@@ -274,7 +289,7 @@ def candidates(sets: DataFrame, numerator: int, rare: int, common: int) -> DataF
 
 def linked_groups(docs: DataFrame, full: DataFrame, sets: DataFrame, numerator: int, rare: int = RARE, common: int = COMMON) -> DataFrame:
     """(node, root) for the nodes of distinct sets that are linked to others."""
-    packed = staged(possible(docs, sets.select("doc_id", "text_key", "node"), numerator), "token-sets")
+    packed = staged(possible(docs, sets, numerator), "token-sets")
     clusters = components(candidates(packed, numerator, rare, common)).join(packed.select("node", F.col("n").cast("long").alias("n_shingles")), "node")
     members = staged(with_chunks(staged(clusters, "clusters")), "members")
     stored = staged(chunk_numbers(members).join(packed, "node").select("node", "root", "chunks", "chunk", F.col("n").cast("long").alias("size"), "set"), "cluster-sets")

@@ -130,3 +130,9 @@ def test_shingles_in_pieces(monkeypatch):
     for i, t in enumerate(texts):
         as_sets.setdefault(shingle_set(t), set()).add(whole[first[i] : first[i] + counts[i]].tobytes())
     assert all(len(v) == 1 for v in as_sets.values()) and len({v for s in as_sets.values() for v in s}) == len(as_sets)
+
+
+def test_numbers_of_sets_are_those_of_spark(spark):
+    digests = [bytes(range(16)), bytes(16), b"\xff" * 16]
+    rows = spark.createDataFrame([(bytearray(d),) for d in digests], "d binary").selectExpr("xxhash64(d) AS h").collect()
+    assert ngram_join.set_numbers(digests).tolist() == [r.h for r in rows]
