@@ -107,8 +107,8 @@ def reject_reason(c: Column | str, stop: Column, broad: Column | None = None, pl
 
 def cleaned(df: DataFrame, column: str, stop: Column, **lists: Column) -> DataFrame:
     """df with the column cleaned, empty where nothing is left or a reason rejects it. Steps are columns of their own, so each runs once."""
-    text = T.collapse_punct(T.strip_brackets(T.strip_html(T.strip_backslashes(column))))
-    out = df.withColumn("_t", text).withColumn("_c", T.trim(T.collapse_spaces(T.strip_symbols(strip_foreign_letters("_t"))))).drop("_t")
+    out = T.stepwise(df.withColumn("_t", F.col(column)), "_t", T.strip_backslashes, T.strip_html, T.strip_brackets, T.collapse_punct)
+    out = out.withColumn("_c", T.trim(T.collapse_spaces(T.strip_symbols(strip_foreign_letters("_t"))))).drop("_t")
     bad = ~has_own_letters("_c") | reject_reason("_c", stop, **lists).isNotNull()
     latin = F.coalesce("latin", F.lit(False))
     final = F.when(bad, "").when(latin, F.col("_c")).otherwise(T.trim(T.collapse_spaces(T.strip_ascii_words("_c"))))

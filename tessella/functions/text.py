@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BULLETS = r"\-\*•·‣⁃∙–—"
@@ -16,7 +16,9 @@ OPENING_QUOTES = "\"'“”‘’«»‹›"
 # fixed values: currency signs that cleaning keeps, pairs that wrap whole fragments, signs that end pooled sentences
 CURRENCY = "$¢£¤¥֏৳฿₡₦₩₪₫₭₮₱₲₴₵₸₺₽₹₿€₼₾"
 WRAPPERS = ("()", "[]", "{}", "<>", "【】", "（）", "「」", "『』", "«»", "‹›", "“”", "‘’", '""', "''")
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+SPACE, FULL = r"[\s\x1c-\x1f\x85\p{Z}]", r"[^\s\x1c-\x1f\x85\p{Z}]"
+#: The characters of SPACE, one by one.
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 STARTER = rf"(?:(?:[0-9]{{1,4}}|[ivxlcdm]{{1,8}}|[a-z])[.:)\]]{SPACE}*|[{BULLETS}]{SPACE}*)"
 ITEM = rf"(?:(?:[0-9]{{1,4}}|[ivxlcdm]{{1,8}}|[a-z])[.:)\]]{SPACE}+|[{BULLETS}]{SPACE}+)"
 # fixed values: enumerations are split from this length and number of markers on
@@ -36,7 +38,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim(c: Column | str) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(_c(c), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_c(c), F.lit(SPACES))
+
+
+def stepwise(df: DataFrame, column: str, *steps: Callable[[Column], Column]) -> DataFrame:
+    """df with steps applied to a column one after the other, each as a column of its own, so that a step may use its input several times."""
+    for step in steps:
+        df = df.withColumn(column, step(F.col(column)))
+    return df
 
 
 def strip_backslashes(c: Column | str, by: str = "") -> Column:
@@ -44,12 +53,13 @@ def strip_backslashes(c: Column | str, by: str = "") -> Column:
 
 
 def strip_html(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), r"</?[A-Za-z][^>\n]{0,80}>", " ")
+    return F.when(F.contains(_c(c), F.lit("<")), F.regexp_replace(_c(c), r"</?[A-Za-z][^>\n]{0,80}>", " ")).otherwise(_c(c))
 
 
 def strip_brackets(c: Column | str) -> Column:
     """Bracketed notes of up to 60 characters become a space."""
-    return F.regexp_replace(_c(c), rf"{SPACE}*[(\[【（][^)\]】）]{{0,60}}[)\]】）]{SPACE}*", " ")
+    opens = F.contains(_c(c), F.lit("(")) | F.contains(_c(c), F.lit("[")) | F.contains(_c(c), F.lit("【")) | F.contains(_c(c), F.lit("（"))
+    return F.when(opens, F.regexp_replace(_c(c), rf"{SPACE}*[(\[【（][^)\]】）]{{0,60}}[)\]】）]{SPACE}*", " ")).otherwise(_c(c))
 
 
 def collapse_punct(c: Column | str) -> Column:
@@ -57,7 +67,8 @@ def collapse_punct(c: Column | str) -> Column:
 
 
 def collapse_spaces(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), rf"{SPACE}+", " ")
+    # a single blank stays as it is, which spares nearly all replacements
+    return F.regexp_replace(_c(c), rf"{SPACE}{{2,}}+|[{SPACE}&&[^ ]]", " ")
 
 
 def strip_letters(c: Column | str, pattern: Column | str) -> Column:
@@ -104,7 +115,7 @@ def paragraphs(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Split behind sentence ends; CJK ends need no space."""
-    return F.filter(F.split(_c(c), rf"(?<=[.!?]){SPACE}+|(?<=[。！？]){SPACE}*"), lambda s: trim(s) != "")
+    return F.filter(F.split(_c(c), rf"(?<=[.!?]){SPACE}+|(?<=[。！？]){SPACE}*"), lambda s: s.rlike(FULL))
 
 
 def split_list(c: Column | str) -> Column:
@@ -116,7 +127,7 @@ def split_list(c: Column | str) -> Column:
 
 def segments(c: Column | str) -> Column:
     """Sentences, with long enumerations split."""
-    return F.filter(F.flatten(F.transform(sentences(strip_backslashes(c, " ")), split_list)), lambda s: trim(s) != "")
+    return F.filter(F.flatten(F.transform(sentences(strip_backslashes(c, " ")), split_list)), lambda s: s.rlike(FULL))
 
 
 def words(c: Column | str) -> Column:
@@ -154,16 +165,16 @@ def is_titlecase(c: Column | str) -> Column:
     return _c(c).rlike(r"^\p{Lu}\p{Ll}+$")
 
 
-def hash_choice(key: Column, n: int) -> Column:
-    """A number below n, by hash."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-
 def md5_number(key: Column) -> Column:
     """The first 32 bits of a key's MD5: a hash that other engines have too."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def md5_number52(key: Column) -> Column:
+    """The first 52 bits of a key's MD5."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def uniform(key: Column) -> Column:
     """A number in (0, 1) by MD5."""
     return (md5_number(key) + 0.5) / float(1 << 32)
@@ -190,7 +201,7 @@ def strip_wrappers(c: Column | str, rounds: int | None = None, pairs: tuple[str,
 
 def pool_normalized(c: Column | str, lang: Column | str, seed: int = 0) -> Column:
     """A sentence as pools keep it: without wrappers and list marker, with a terminal sign chosen by hash."""
-    text = strip_wrappers(strip_html(trim(collapse_spaces(c))))
+    text = strip_wrappers(bind(trim(collapse_spaces(c)), strip_html))
     marker = rf"(?i)^{SPACE}*(?:(?:[0-9]{{1,4}}|[ivxlcdm]{{1,8}}|[a-z])[.)\]]{SPACE}+|[{BULLETS}]{SPACE}+)"
     text = trim(collapse_spaces(collapse_punct(trim(F.regexp_replace(text, marker, "")))))
     body = lambda t: F.regexp_replace(F.regexp_extract(t, r"(?s)^(.*?)[.!?;:…]+$", 1), rf"{SPACE}+$", "")

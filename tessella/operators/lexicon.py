@@ -9,6 +9,7 @@ from tessella.functions import filters
 from tessella.functions import labels as L
 from tessella.functions import text as T
 from tessella.functions.dims import MAJOR_LATIN, MINOR_LATIN_GROUPS, lang_dim, with_lang
+from tessella.operators import pools
 from tessella.sources import stores
 
 TOP = 25_000
@@ -17,8 +18,10 @@ NORDIC = ("sv", "da", "is", "af", "fi", "no")
 
 def word_counts(df: DataFrame, column: str = "sentence") -> DataFrame:
     """lang, word, count of the words of letters, in lower case."""
-    words = F.filter(F.transform(T.words(column), F.lower), lambda w: w.rlike(r"^\p{L}+$"))
-    return df.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("count"))
+    words = F.regexp_extract_all(F.col(column), F.lit(r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{N}_])"), F.lit(0))
+    # the lower case of a letter may be two signs, one of them a mark
+    rows = df.select("lang", F.explode(words).alias("word")).select("lang", F.lower("word").alias("word")).where(~F.contains("word", F.lit("\u0307")))
+    return rows.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def lexicon(counts: DataFrame, top: int = TOP) -> DataFrame:
@@ -48,6 +51,7 @@ def word_list(lines: DataFrame, cutoff: int, least: int = 5) -> DataFrame:
 
 def with_overlaps(words: DataFrame) -> DataFrame:
     """words with the sorted other languages of each word; a word's languages meet as one aggregated row, not as pairs."""
+    words = stores.materialized(words, "words")  # both sides of the join read it
     langs = words.groupBy("word").agg(F.array_sort(F.collect_set("lang")).alias("all_langs"))
     return words.join(langs, "word").withColumn("overlaps", F.array_remove("all_langs", F.col("lang"))).drop("all_langs")
 
@@ -79,25 +83,17 @@ def repeats() -> Column:
     return F.when(F.size("overlaps") > 0, F.greatest(n, F.lit(2))).otherwise(n)
 
 
-#: Words of a language that the others of a short text are drawn from, by weight; all words seed texts of their own.
-OTHERS = 1000
-
-
-def short_examples(words: DataFrame, seed: int = 42, others: int = OTHERS) -> DataFrame:
+def short_examples(words: DataFrame, seed: int = 42) -> DataFrame:
     """Short texts (lang, word, n, source_type, tokens, text, labels): repeat n of a word is an n-gram of it and n - 1 other words of its language.
 
-    The others are drawn by weight without replacement, never the seed word itself, from the words of highest weight
-    (others a language, so that a word meets a bounded list); the words of a text are in order of a hash.
+    The others are drawn by weight without replacement from all words of the language, never the seed word itself; the
+    words of a text are in order of a hash.
     """
-    weighted = words.withColumn("_w", F.round(word_weight(), 9))
-    best = weighted.withColumn("_p", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("_w"), "word"))).where(F.col("_p") <= others)
-    lists = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "_w"))).alias("_all"))
-    rows = words.select("lang", "word", F.explode(F.sequence(F.lit(1), repeats())).alias("n")).join(F.broadcast(lists), "lang")
+    weighted = stores.materialized(words.withColumn("weight", F.greatest(F.lit(1), F.round(F.round(word_weight(), 9) * 1_000_000).cast("long"))).withColumn("repeats", repeats()).select("lang", "word", "weight", "repeats"), "weights")
+    rows = weighted.select("lang", "word", F.explode(F.sequence(F.lit(1), "repeats")).alias("n")).withColumn("others", F.col("n") - 1)
     key = lambda *parts: F.concat_ws("\0", F.lit(str(seed)), "lang", "word", F.col("n").cast("string"), *parts)
-    drawn = F.transform(F.filter("_all", lambda x: x["word"] != F.col("word")), lambda x: F.struct(F.round(-F.log(T.uniform(key(x["word"]))) / x["_w"], 9).alias("k"), x["word"].alias("w")))
-    picked = F.transform(F.slice(F.array_sort(drawn), 1, F.col("n") - 1), lambda x: x["w"])
-    chosen = F.when(F.col("n") > 1, picked).otherwise(F.array().cast("array<string>"))
-    mixed = F.array_sort(F.transform(F.concat(F.array("word"), chosen), lambda w: F.struct(T.md5_number(key(F.lit("order"), w)).alias("k"), w.alias("w"))))
+    rows = pools.weighted_draws(rows, weighted, key(), "others", but="word")
+    mixed = F.array_sort(F.transform(F.concat(F.array("word"), F.col("drawn")), lambda w: F.struct(T.md5_number(key(F.lit("order"), w)).alias("k"), w.alias("w"))))
     rows = rows.withColumn("tokens", F.transform(mixed, lambda x: x["w"]))
     label = F.broadcast(lang_dim(words.sparkSession).select("lang", "label"))
     kind = F.element_at(F.array(*map(F.lit, ("unigram", "bigram", "trigram"))), F.size("tokens"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.functions.dims import RESERVES
 from tessella.operators import dedupe
+from tessella.sources import stores
 
 
 def merged(sources: dict[str, DataFrame]) -> DataFrame:
@@ -137,6 +138,49 @@ def draw(demands: DataFrame, pool: DataFrame, by: tuple[str, ...] = ("pool", "la
     return wanted.join(pool, [*by, "idx"]).withColumn("part", F.col("idx") - F.col("start")).drop("start", "idx")
 
 
+#: Values of a language in a cell of its weights; draws of a row in a round; rounds.
+CELL, ATTEMPTS, ROUNDS = 64, 8, 200
+
+
+def weighted_draws(rows: DataFrame, choices: DataFrame, key: Column, many: str, by: str = "lang", value: str = "word", weight: str = "weight", but: str | None = None) -> DataFrame:
+    """rows with drawn: many different values of their group, one after the other without replacement and in proportion to weight, never that of column but.
+
+    Weights are whole numbers above 0. They are laid end to end, a number by key and attempt falls into one of them, and
+    values that a row has already are passed over, which is drawing without replacement. A lookup is a join on a cell of
+    the group's weights, which holds about CELL values however many the group has, so no row meets a list of words. Rows
+    that lack values after ATTEMPTS draws go into another round. Groups without enough values give all they have.
+    """
+    laid = dedupe.running_before(choices.select(by, F.col(value).alias("_value"), F.col(weight).cast("long").alias("_w")), [by], ["_value"], "_w")
+    laid = stores.materialized(laid, "laid")
+    totals = laid.groupBy(by).agg(F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_n"))
+    totals = stores.materialized(totals.withColumn("_cells", F.expr(f"1 + _n div {CELL}")), "totals")
+    cell = lambda x: F.expr(f"cast(cast({x} as decimal(20,0)) * _cells div _total as long)")
+    cells = laid.join(totals, by).withColumn("_low", cell("_before")).withColumn("_high", cell("(_before + _w - 1)"))
+    cells = stores.materialized(cells.select(by, F.explode(F.sequence("_low", "_high")).alias("_cell"), "_before", (F.col("_before") + F.col("_w")).alias("_end"), "_value"), "cells")
+    own = F.struct(*rows.columns)
+    excluded = F.col(but) if but else F.lit(None).cast("string")
+    now = rows.select(by, own.alias("_row"), key.alias("_key"), F.col(many).alias("_many"), excluded.alias("_but"), F.array().cast("array<string>").alias("_got"))
+    # a row's own value is one that can't be drawn
+    known = laid.select(by, F.col("_value").alias("_but"), F.lit(1).alias("_in"))
+    now = now.join(totals.select(by, "_n"), by, "left").join(known, [by, "_but"], "left")
+    now = now.withColumn("_need", F.least("_many", F.coalesce("_n", F.lit(0)) - F.coalesce("_in", F.lit(0)))).drop("_n", "_in", "_many")
+    now, done = stores.materialized(now, "wanted"), None
+    for turn in range(ROUNDS):
+        enough = now.where("size(_got) >= _need").select("_row", "_got")
+        done = enough if done is None else done.unionByName(enough)
+        lacking = now.where("size(_got) < _need")
+        if lacking.isEmpty():
+            return done.select("_row.*", F.col("_got").alias("drawn"))
+        tries = lacking.withColumn("_k", F.explode(F.sequence(F.lit(turn * ATTEMPTS), F.lit(turn * ATTEMPTS + ATTEMPTS - 1)))).join(totals, by)
+        number = T.md5_number52(F.concat_ws("\0", "_key", F.col("_k").cast("string")))
+        tries = tries.withColumn("_x", number).withColumn("_x", F.expr("cast(cast(_x as decimal(20,0)) * cast(_total as decimal(18,0)) div 4503599627370496 as long)")).withColumn("_cell", cell("_x"))
+        hits = tries.join(cells, [by, "_cell"]).where("_x >= _before and _x < _end")
+        found = hits.groupBy(by, "_key").agg(*(F.first(c).alias(c) for c in ("_row", "_but", "_need", "_got")), F.array_sort(F.collect_list(F.struct("_k", "_value"))).alias("_new"))
+        got = F.array_distinct(F.concat("_got", F.filter(F.transform("_new", lambda x: x["_value"]), lambda v: ~F.coalesce(v == F.col("_but"), F.lit(False)))))
+        now = stores.materialized(found.withColumn("_got", F.slice(got, 1, F.col("_need").cast("int"))).drop("_new"), "drawn")
+    raise RuntimeError(f"weights are too uneven: some rows lack values after {ROUNDS * ATTEMPTS} draws")
+
+
 def weighted_sample(df: DataFrame, by: str, weight: str, k: int, key: str, seed: int = 0) -> DataFrame:
     """k rows a group without replacement, in proportion to weight: the least of -ln(u) / weight."""
     draw_key = F.round(-F.log(T.uniform(F.concat_ws("\0", F.lit(str(seed)), F.col(by), F.col(key)))) / F.col(weight), 9)

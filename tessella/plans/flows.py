@@ -23,8 +23,8 @@ def word_array(counts: DataFrame, lang: str, top: int) -> Column:
 def clean_funnel(docs: DataFrame) -> DataFrame:
     """Documents to sentences, cleaned and deduplicated: counts by language at each step."""
     rows = docs.select("lang", "doc_id", F.posexplode(T.sentences("text")).alias("no", "sentence"))
-    text = T.trim(T.collapse_spaces(T.collapse_punct(T.strip_brackets(T.strip_html("sentence")))))
-    rows = with_lang(rows.withColumn("sentence", text)).withColumn("ok", ~filters.has_artifact("sentence") & filters.is_valid("sentence"))
+    rows = T.stepwise(rows, "sentence", T.strip_html, T.strip_brackets, T.collapse_punct, T.collapse_spaces, T.trim)
+    rows = with_lang(rows).withColumn("ok", ~filters.has_artifact("sentence") & filters.is_valid("sentence"))
     # equal sentences meet by digest, so no text is shuffled
     keys = rows.groupBy("lang", *(c.alias(f"h{i}") for i, c in enumerate(dedupe.digest("sentence")))).agg(F.count(F.lit(1)).alias("n"), F.first("ok").alias("ok"))
     out = keys.groupBy("lang").agg(F.sum("n").alias("n_sentences"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("n_valid"), F.count_if("ok").alias("n_kept"))

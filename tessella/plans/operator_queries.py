@@ -16,7 +16,7 @@ from tessella.plans.queries import (
     GUESS, KEYED, LABELLED, LIMITS, OVERLAPS, SENTENCES, SPANS, START, VALID, WORDS, digits, docs, guesses, hash_of, html, labelled, query, sentences, spaces, spans, stop_words, symbols, table, tokens, words,
 )
 from tessella.sources import corpora, stores
-from tessella.streaming import ingest
+from tessella.streaming import ingest, stops
 
 # sentences with list markers, stray quotes, markup and other things around them, by turns
 BEFORE = ("", "1) 2) ", "- ", ", b ", "“", "[[link]] {{t}} == h == ", "$a$ \\[ ", "¿ iv. ", "B-", "'n ")
@@ -255,17 +255,27 @@ def kept_words(spark, sf_dir):
     return with_lang(rows).select(F.col("own").alias("lang"), "word", lexicon.keeps_word().alias("keeps"))
 
 
-@query(f"""WITH {WORDS}, {OVERLAPS}, r AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY lang) <= 1 THEN 1.0 ELSE 1 - (row_number() OVER (PARTITION BY lang ORDER BY rank, word) - 1) / (count(*) OVER (PARTITION BY lang) - 1) END AS rr FROM v WHERE rank <= 100),
-o2 AS (SELECT word, count(DISTINCT lang) AS c FROM words WHERE rank <= 100 GROUP BY word),
-w AS (SELECT lang, word, round(((0.35 + 1.75 * rr) * CASE WHEN length(word) <= 3 THEN 1.3 WHEN length(word) <= 5 THEN 1.1 ELSE 1 END * CASE WHEN c > 1 THEN 1.1 ELSE 1 END)::double, 9) AS w,
-    greatest(CASE WHEN rr >= 0.85 THEN 3 WHEN rr >= 0.45 THEN 2 ELSE 1 END, CASE WHEN c > 1 THEN 2 ELSE 1 END) AS reps FROM r JOIN o2 USING (word)),
-e AS (SELECT lang, word, unnest(range(1, reps + 1)) AS n FROM w),
-k AS (SELECT e.*, o.word AS other, round(-ln(({hash_of("'42' || chr(0) || e.lang || chr(0) || e.word || chr(0) || n || chr(0) || o.word")} + 0.5) / 4294967296.0) / o.w, 9) AS k FROM e JOIN w AS o ON o.lang = e.lang AND o.word <> e.word),
-p AS (SELECT lang, word, n, other FROM k QUALIFY row_number() OVER (PARTITION BY lang, word, n ORDER BY k, other) < n UNION ALL SELECT lang, word, n, word FROM e),
+hash52 = lambda key: f"cast(('0x' || substr(md5({key}), 1, 13)) as bigint)"
+
+
+ALL_WORDS = WORDS.replace("WHERE rank <= 300", "")
+
+
+@query(f"""WITH {ALL_WORDS}, {OVERLAPS}, r AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY lang) <= 1 THEN 1.0 ELSE 1 - (row_number() OVER (PARTITION BY lang ORDER BY rank, word) - 1) / (count(*) OVER (PARTITION BY lang) - 1) END AS rr FROM v),
+w AS (SELECT lang, word, greatest(1, round(round(((0.35 + 1.75 * rr) * CASE WHEN length(word) <= 3 THEN 1.3 WHEN length(word) <= 5 THEN 1.1 ELSE 1 END * CASE WHEN len(others) > 0 THEN 1.1 ELSE 1 END)::double, 9) * 1000000)::bigint) AS w,
+    greatest(CASE WHEN rr >= 0.85 THEN 3 WHEN rr >= 0.45 THEN 2 ELSE 1 END, CASE WHEN len(others) > 0 THEN 2 ELSE 1 END) AS reps FROM r),
+c AS (SELECT *, (sum(w) OVER (PARTITION BY lang ORDER BY word ROWS UNBOUNDED PRECEDING) - w)::bigint AS lo, sum(w) OVER (PARTITION BY lang) AS total FROM w),
+e AS (SELECT lang, word, total, unnest(range(1, reps + 1)) AS n FROM c), a AS (SELECT *, unnest(range(5)) AS k FROM e WHERE n > 1),
+x AS (SELECT *, ({hash52("'42' || chr(0) || lang || chr(0) || word || chr(0) || n || chr(0) || k")}::hugeint * total // 4503599627370496)::bigint AS x FROM a),
+m AS (SELECT lang, lo AS place, 0 AS kind, word AS begins, NULL AS word, NULL AS n, NULL AS k FROM c UNION ALL SELECT lang, x, 1, NULL, word, n, k FROM x),
+d AS (SELECT lang, word, n, k, other FROM (SELECT *, last_value(begins IGNORE NULLS) OVER (PARTITION BY lang ORDER BY place, kind ROWS UNBOUNDED PRECEDING) AS other FROM m) WHERE kind = 1),
+f AS (SELECT lang, word, n, other, min(k) AS k FROM d WHERE other <> word GROUP BY ALL),
+p AS (SELECT lang, word, n, other FROM f QUALIFY row_number() OVER (PARTITION BY lang, word, n ORDER BY k) < n UNION ALL SELECT lang, word, n, word FROM e),
 t AS (SELECT lang, word, n, string_agg(other, ' ' ORDER BY {hash_of("'42' || chr(0) || lang || chr(0) || word || chr(0) || n || chr(0) || 'order' || chr(0) || other")}, other) AS text FROM p GROUP BY ALL)
 SELECT lang, word, n, ['unigram', 'bigram', 'trigram'][n] AS source_type, text, (n * (2 * (list_position({list(LANGUAGES)!r}, lang) - 1) + 2) - 1)::bigint AS label_sum FROM t""")
 def short_text_examples(spark, sf_dir):
-    out = lexicon.short_examples(lexicon.with_relative_rank(lexicon.with_overlaps(words(spark, sf_dir, 100))))
+    """Short texts of all words: the other words of a text are drawn by weight from the whole vocabulary of its language."""
+    out = lexicon.short_examples(lexicon.with_relative_rank(lexicon.with_overlaps(words(spark, sf_dir, 1 << 30))))
     return out.select("lang", "word", "n", "source_type", "text", F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
 
 
@@ -568,6 +578,50 @@ def refilter_rejects(spark, sf_dir):
     return spark.read.parquet(f"{path}.rejected").select("lang", "source_index", md5(F.col("sentence")).alias("sentence"), "reason")
 
 
+@query(f"""WITH {SENTENCES}, u AS (SELECT DISTINCT lang, sentence FROM sentences), c AS (SELECT count(*) AS configs FROM (SELECT DISTINCT lang, source FROM documents))
+SELECT lang, count(*) AS n, sum(length(sentence)) AS n_chars, sum({hash_of('sentence')}) AS digest, configs, 'complete' AS status FROM u, c GROUP BY lang, configs""")
+def incremental_load(spark, sf_dir):
+    """A language's sources as configurations: some loaded first, then all, then with another description; the rows are those of one full load."""
+    from tessella.plans import load
+    from tessella.sources.snapshots import Snapshots
+
+    rows = sentences(spark, sf_dir).select(F.concat_ws("_", "lang", "source").alias("config"), "lang", "pos", "sentence")
+    configs = docs(spark, sf_dir).select(F.concat_ws("_", "lang", "source").alias("config"), "lang").distinct()
+    store = Snapshots(spark, stores.scratch(spark, "load"), ("lang",))
+    read = lambda batch: rows.join(F.broadcast(batch.select("config")), "config").select("lang", "pos", "sentence")
+    load.load(store, configs.where(F.crc32("config") % 3 == 0), read, {"seed": 1}, per_commit=1000)
+    load.load(store, configs, read, {"seed": 1}, per_commit=1000)
+    out = load.load(store, configs, read, {"seed": 2}).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("n_chars"), F.sum(T.md5_number(F.col("sentence"))).alias("digest"))
+    return out.withColumn("configs", F.lit(len(store.meta()["completed"]))).withColumn("status", F.lit(store.meta()["status"]))
+
+
+@query("""WITH a AS (SELECT source AS config, lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source AS config, lang FROM documents WHERE doc_id % 2 = 1)
+SELECT side, config, lang, count(*) AS n FROM (SELECT 'lost' AS side, * FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT 'new' AS side, * FROM (FROM b EXCEPT ALL FROM a)) GROUP BY ALL""")
+def config_changes(spark, sf_dir):
+    """What one list of configurations has more often than another, and the other way round."""
+    rows = docs(spark, sf_dir).select(F.col("source").alias("config"), "lang", "doc_id")
+    a, b = rows.where("doc_id % 2 = 0").drop("doc_id"), rows.where("doc_id % 2 = 1").drop("doc_id")
+    both = a.exceptAll(b).withColumn("side", F.lit("lost")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new")))
+    return both.groupBy("side", "config", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH a AS (SELECT source, doc_id, lang, lang = 'en' AS hit, n_chars FROM documents),
+s AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER w AS misses, coalesce(sum(CASE WHEN hit THEN n_chars ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+t AS (SELECT *, misses - coalesce(max(CASE WHEN hit THEN misses END) OVER (PARTITION BY source ORDER BY doc_id), 0) AS streak FROM s),
+e AS (SELECT source, min(doc_id) FILTER (WHERE before >= 30000) AS cap, min(doc_id) FILTER (WHERE streak >= 4) AS run FROM t GROUP BY source)
+SELECT doc_id, source, streak::bigint AS streak FROM t JOIN e USING (source) WHERE (cap IS NULL OR doc_id < cap) AND (run IS NULL OR doc_id <= run)""")
+def stream_stops(spark, sf_dir):
+    """Documents as a stream of files in micro-batches: a source's scan ends after four misses in a row or 30,000 characters of hits, across batches and restarts."""
+    rows = docs(spark, sf_dir).select("source", "doc_id", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    folder, out, check = (stores.scratch(spark, f"stops-{x}") for x in ("in", "out", "check"))
+    cuts = rows.agg(F.percentile_approx("doc_id", [0.25, 0.5, 0.75])).first()[0]
+    scan = lambda: stops.scan(spark, folder, "source string, doc_id long, lang string, n_chars long", "source", "doc_id", F.col("lang") == "en", 4, 30_000, out, check, F.col("n_chars"), per_trigger=4)
+    stops.fed(rows.where(F.col("doc_id") < cuts[1]), folder, "source", "doc_id", cuts[:1])
+    scan()
+    stops.fed(rows.where(F.col("doc_id") >= cuts[1]), folder, "source", "doc_id", cuts[2:])
+    return scan().select("doc_id", "source", "streak")
+
+
 @query("SELECT lang, count(*) AS n, sum(n_chars) AS n_chars FROM documents WHERE n_chars >= 100 GROUP BY lang")
 def ingested(spark, sf_dir):
     """Documents as a file stream, in micro-batches, filtered and appended; a second call finds nothing new."""
