@@ -80,20 +80,27 @@ def hits_in(words: Column, among: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.array_contains(among, w)))
 
 
-def titlecase_entity(c: Column | str, places: Column | None = None) -> Column:
-    """A name rather than a sentence: three to six words, four fifths of them capitalised, the others connectors; and a
-    known place of two to six words in it, or five words at most with one at most in lower case."""
+def titlecase_shape(c: Column | str) -> Column:
+    """(named, short): three to six words, four fifths of them capitalised, the others connectors; five words at most with one at most in lower case."""
     def judged(words: Column) -> Column:
         n = F.size(words)
         titled = F.size(F.filter(words, lambda w: T.is_titlecase(w) | (w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"))))
         joined = F.forall(F.filter(words, lambda w: w.rlike(r"^\p{Ll}")), lambda w: F.lower(w).isin(CONNECTORS))
-        short = (n <= 5) & (titled >= n - 1)
-        if places is not None:
-            upto = lambda i: F.transform(F.sequence(i + 1, F.least(n, i + 5)), lambda j: T.phrase_key(F.array_join(F.slice(words, i, j - i + 1), " ")))
-            short = short | F.arrays_overlap(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), upto)), places)
-        return F.when(n.between(3, 6), (titled / n >= 0.8) & joined & short).otherwise(F.lit(False))
+        named = F.when(n.between(3, 6), (titled / n >= 0.8) & joined).otherwise(F.lit(False))
+        return F.struct((F.coalesce("minor_latin", F.lit(False)) & named).alias("named"), ((n <= 5) & (titled >= n - 1)).alias("short"))
+
+    return T.bind(T.alpha_words(c), judged)
+
+
+def titlecase_entity(c: Column | str, places: Column | None = None) -> Column:
+    """A name rather than a sentence, by its shape: and with a known place of two to six words in it, or short."""
+    def has_place(words: Column) -> Column:
+        n = F.size(words)
+        upto = lambda i: F.transform(F.sequence(i + 1, F.least(n, i + 5)), lambda j: T.phrase_key(F.array_join(F.slice(words, i, j - i + 1), " ")))
+        return F.arrays_overlap(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), upto)), places)
 
-    return F.coalesce(F.col("minor_latin") & T.bind(T.alpha_words(c), judged), F.lit(False))
+    short = lambda s: s["short"] if places is None else s["short"] | T.bind(T.alpha_words(c), has_place)
+    return T.bind(titlecase_shape(c), lambda s: F.when(s["named"], short(s)).otherwise(F.lit(False)))
 
 
 def reject_reason(c: Column | str, stop: Column, broad: Column | None = None, places: Column | None = None, lexicon: Column | None = None) -> Column:

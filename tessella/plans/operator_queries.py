@@ -10,7 +10,7 @@ from tessella.functions import labels as L
 from tessella.functions import noise as N
 from tessella.functions import text as T
 from tessella.functions.dims import ALIASES, GROUP_OF, LANGUAGES, lang_dim, with_canonical, with_lang
-from tessella.operators import capacity, dedupe, lexicon, pools, reports, synth
+from tessella.operators import capacity, dedupe, lexicon, membership, pools, reports, synth
 from tessella.plans import evaluate, flows
 from tessella.plans.queries import (
     GUESS, KEYED, LABELLED, LIMITS, OVERLAPS, SENTENCES, SPANS, START, VALID, WORDS, digits, docs, guesses, hash_of, html, labelled, query, sentences, spaces, spans, stop_words, symbols, table, tokens, words,
@@ -163,6 +163,45 @@ def major_latin_leaks(spark, sf_dir):
     return rows.groupBy(F.col("own").alias("lang")).agg(F.count_if("leak").alias("n_leaks"))
 
 
+ENGLISH = "(SELECT word FROM counts WHERE lang = 'en' AND n >= 2)"
+
+
+@query(f"""WITH {WORDS}, {SENTENCES}, d AS {ENGLISH}, p AS (SELECT word FROM d UNION SELECT word || 's' FROM d UNION SELECT word[:-2] || 'ies' FROM d WHERE suffix(word, 'y') AND length(word) > 1),
+w AS (SELECT doc_id, no, unnest(list_transform(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x))) AS word FROM sentences)
+SELECT doc_id, no, count(*) AS hits FROM w JOIN p USING (word) GROUP BY ALL""")
+def dictionary_hits(spark, sf_dir):
+    """Words of every sentence that all English documents together have twice, or that are plurals of such words."""
+    counts = lexicon.word_counts(docs(spark, sf_dir), "text").where("lang = 'en' and count >= 2")
+    rows = sentences(spark, sf_dir).select(F.struct("doc_id", "no").alias("key"), "sentence")
+    return membership.word_hits(rows, "key", "sentence", membership.with_plurals(stores.materialized(counts.select("word"), "english"))).select("key.*", "hits")
+
+
+@query(f"""WITH {WORDS}, {SENTENCES}, {AS_WORDS}, e AS {ENGLISH}, st AS (SELECT unnest({STOPS!r}) AS word), p AS (SELECT word FROM e UNION SELECT word || 's' FROM e UNION SELECT word[:-2] || 'ies' FROM e WHERE suffix(word, 'y') AND length(word) > 1),
+u AS (SELECT doc_id, no, unnest(w) AS word FROM v), h AS (SELECT doc_id, no, count(*) AS hits FROM u JOIN st USING (word) GROUP BY ALL), b AS (SELECT doc_id, no, count(*) AS wide FROM u JOIN p USING (word) GROUP BY ALL)
+SELECT a.lang, count(*) AS n, count(*) FILTER (WHERE alpha >= 4 AND hits >= 1 AND ascii >= 0.7 * alpha AND hits + coalesce(wide, 0) >= 2 AND (hits + coalesce(wide, 0)) / alpha >= 0.35 AND ascii / alpha >= 0.75) AS n_leaks
+FROM a LEFT JOIN h USING (doc_id, no) LEFT JOIN b USING (doc_id, no) GROUP BY a.lang""")
+def dictionary_leaks(spark, sf_dir):
+    """The rule on English leaks with the whole English vocabulary of the documents as the wide list; sentences count as Swahili."""
+    counts = lexicon.word_counts(docs(spark, sf_dir), "text").where("lang = 'en' and count >= 2")
+    stop = spark.createDataFrame([(w,) for w in STOPS], "word string")
+    rows = with_lang(sentences(spark, sf_dir).select(F.struct("doc_id", "no").alias("key"), F.col("lang").alias("own"), F.lit("sw").alias("lang"), "sentence"))
+    out = membership.english_leaks(rows, "key", "sentence", stop, stores.materialized(counts.select("word"), "english"))
+    return out.groupBy(F.col("own").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.count_if("leak").alias("n_leaks"))
+
+
+@query(f"""WITH {SENTENCES}, t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{{L}}+'), lambda w: lower(w)) AS ws FROM documents), p AS (SELECT DISTINCT array_to_string(ws[1:2 + doc_id % 2], ' ') AS phrase FROM t WHERE len(ws) >= 3),
+w AS (SELECT doc_id, no, list_transform(regexp_extract_all(sentence, '\\p{{L}}+'), lambda w: lower(w)) AS ws FROM sentences), g AS (SELECT doc_id, no, unnest(list_concat(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' ')), list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')))) AS phrase FROM w)
+SELECT DISTINCT doc_id, no, how FROM g JOIN p USING (phrase), (SELECT unnest(['automaton', 'join']) AS how)""")
+def phrase_sentences(spark, sf_dir):
+    """Sentences with the first words of any document in them, by an automaton and by a join."""
+    letters = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0)), F.lower)
+    begins = docs(spark, sf_dir).select("doc_id", letters("text").alias("ws")).where(F.size("ws") >= 3)
+    phrases = stores.materialized(begins.select(F.array_join(F.slice("ws", F.lit(1), (2 + F.col("doc_id") % 2).cast("int")), " ").alias("phrase")).distinct(), "phrases")
+    rows = sentences(spark, sf_dir).select(F.struct("doc_id", "no").alias("key"), F.array_join(letters("sentence"), " ").alias("s"))
+    by = lambda how, most: membership.phrase_hits(rows, "key", "s", phrases, most).select("key.*", F.lit(how).alias("how"))
+    return by("automaton", membership.AUTOMATON).unionByName(by("join", 0))
+
+
 # sentences in several scripts: (pos, code, text)
 SCRIPTED = [
     (1, "fra", "Bonjour العربية monde"), (2, "fr", "العربية"), (3, "RUS", "Привет мир hello"), (4, "hin", "Это кириллица"), (5, "hi", "यह एक सादा वाक्य है latin"), (6, "jpn", "これは日本語の文です abc"), (7, "cmn", "今天天气很好 abc のです"),
