@@ -80,3 +80,52 @@ def test_many_languages_are_scored_alike():
     whole, half = langid.classify(network, [text, text[: 128 * 300]])
     alone = langid.classify(network, [text[: 128 * 300]])[0]
     assert half[0] == alone[0] and abs(half[1] - alone[1]) < 1e-6 and whole[0] in network.languages
+
+
+def by_loops(network, text):
+    """(language, score) of a text by loops over its bytes, one number at a time."""
+    from math import exp, tanh
+
+    h = langid.HIDDEN
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    raw = text.encode()
+    sums = [0.0] * len(network.languages)
+    for begin in range(0, len(raw), 128):
+        segment = raw[begin : begin + 128].ljust(128, b" ")
+        states = []
+        for d, places in ((0, range(128)), (1, range(127, -1, -1))):
+            w, u, b = (x.tolist() for x in (network.inputs[d], network.recurrent[d], network.bias[d]))
+            state, found = [0.0] * h, {}
+            for t in places:
+                hidden = [sum(u[i][j] * state[j] for j in range(h)) for i in range(3 * h)]
+                gate = [0.5 + 0.5 * tanh(w[i][segment[t]] + hidden[i]) for i in range(2 * h)]
+                new = [tanh(w[2 * h + i][segment[t]] + gate[h + i] * (hidden[2 * h + i] + b[i][0])) for i in range(h)]
+                state = [gate[i] * state[i] + (1 - gate[i]) * new[i] for i in range(h)]
+                found[t] = state
+            states.append(found)
+        out, bias = network.output.tolist(), network.output_bias.tolist()
+        for t in range(min(128, len(raw) - begin)):
+            both = states[0][t] + states[1][t]
+            odds = [exp(sum(a * x for a, x in zip(out[k], both)) + bias[k][0]) for k in range(len(network.languages))]
+            sums = [s + o / sum(odds) for s, o in zip(sums, odds)]
+    best = max(range(len(sums)), key=lambda k: (sums[k], -k))
+    return network.languages[best], sums[best] / len(raw)
+
+
+def test_predictions_like_loops_over_bytes(spark):
+    """The query's whole result, with the network that it learned, against plain loops; ties go to the first language."""
+    rng = random.Random(8)
+    rows = [(i, sample(rng, lang := rng.choice(["aa", "bb", "cc"])), lang) for i in range(90)]
+    rows += [(200, "été " * 90, None), (201, "k" * 128, None), (202, "k" * 129, None), (203, "ümlaut 語 😀", None), (204, "x", None), (205, None, None), (206, " 1 ", None), (None, "schung", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = langid.learn(df)
+    got = {(r.doc_id, r.held_out): (r.lang_pred, r.score) for r in langid.identify(df, network).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text, _ in rows:
+        want, score = by_loops(network, text)
+        lang, found = got[doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2]
+        assert lang == want and abs(found - score) < 1e-4
+    even = langid.Network.fresh(["a", "b"], np.random.default_rng(0))
+    even.output[:] = 0
+    assert langid.classify(even, ["tie"]) == [("a", 0.5)] and by_loops(even, "tie") == ("a", 0.5)
