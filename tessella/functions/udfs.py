@@ -22,12 +22,12 @@ def _mapped(c: Column | str, change: Callable[[str], str]) -> Column:
 
 
 def nfkc(c: Column | str) -> Column:
-    return _mapped(c, lambda x: unicodedata.normalize("NFKC", x))
+    return _mapped(c, lambda x: x if unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
 
 
 def without_marks(c: Column | str) -> Column:
     """Letters of any script without combining marks; for Latin alone strip_accents() needs no Python."""
-    return _mapped(c, lambda x: unicodedata.normalize("NFC", "".join(m for m in unicodedata.normalize("NFKD", x) if not unicodedata.combining(m))))
+    return _mapped(c, lambda x: x if x.isascii() else unicodedata.normalize("NFC", "".join(m for m in unicodedata.normalize("NFKD", x) if not unicodedata.combining(m))))
 
 
 def compatible_phrase(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import dims, filters, udfs
+from tessella.functions import dims, filters, tables, udfs
 from tessella.functions import labels as L
 from tessella.functions import noise as N
 from tessella.functions import text as T
@@ -15,7 +15,7 @@ from tessella.plans import evaluate, flows
 from tessella.plans.queries import (
     GUESS, KEYED, LABELLED, LIMITS, OVERLAPS, SENTENCES, SPANS, START, VALID, WORDS, digits, docs, guesses, hash_of, html, labelled, query, sentences, spaces, spans, stop_words, symbols, table, tokens, words,
 )
-from tessella.sources import corpora, stores
+from tessella.sources import corpora, stores, variants
 from tessella.streaming import ingest, stops
 
 # sentences with list markers, stray quotes, markup and other things around them, by turns
@@ -202,6 +202,48 @@ def phrase_sentences(spark, sf_dir):
     return by("automaton", membership.AUTOMATON).unionByName(by("join", 0))
 
 
+@query(f"""WITH {SENTENCES}, r AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS t FROM documents), p AS (SELECT doc_id, len(t) AS n, (len(t) + 99) // 100 AS parts FROM r)
+SELECT lang, count(*) AS n, sum(length(sentence)) AS n_chars, sum(no) AS numbers, (SELECT sum(parts) FROM p JOIN documents AS d USING (doc_id) WHERE d.lang = s.lang)::bigint AS records, (SELECT sum(p.n) FROM p JOIN documents AS d USING (doc_id) WHERE d.lang = s.lang)::bigint AS tokens
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS place FROM sentences) AS s GROUP BY lang""")
+def lateral_sentences(spark, sf_dir):
+    """Sentences and records of 100 tokens by table functions that SQL calls by name."""
+    tables.register(spark)
+    docs(spark, sf_dir).createOrReplaceTempView("lateral_documents")
+    parts = spark.sql("SELECT d.lang, count(*) AS n, sum(length(s.sentence)) AS n_chars, sum(s.no) AS numbers FROM lateral_documents AS d, LATERAL split_sentences(d.text) AS s GROUP BY d.lang")
+    records = spark.sql("SELECT d.lang, count(*) AS records, sum(r.n_tokens) AS tokens FROM lateral_documents AS d, LATERAL text_records(d.text, 100) AS r GROUP BY d.lang")
+    return parts.join(records, "lang")
+
+
+@query("""SELECT conv_id, round(sum(turn * length(text)) / sum(length(text))::double, 6) AS score FROM conversations GROUP BY conv_id HAVING sum(length(text)) > 0""")
+def chunk_scores(spark, sf_dir):
+    """Mean of a conversation's turns by their lengths, with an aggregate that SQL calls by name."""
+    tables.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("chunk_turns")
+    return spark.sql("SELECT conv_id, round(chunk_score(cast(turn AS double), cast(length(text) AS double)), 6) AS score FROM chunk_turns GROUP BY conv_id").where("score is not null")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[' || (props->>'$.k') || ', 7]' WHEN 2 THEN to_json('[' || (props->>'$.k') || ']')::varchar ELSE substr(props, 1, length(props) - 1) END AS raw, (props->>'$.k')::bigint AS k FROM events)
+SELECT event_type, event_id % 4 AS shape, count(*) AS n, sum(CASE event_id % 4 WHEN 1 THEN k + 7 WHEN 2 THEN k END)::bigint AS total, count(*) FILTER (WHERE event_id % 4 IN (1, 2)) AS lists, sum(CASE WHEN event_id % 4 = 0 THEN k END)::bigint AS field FROM e GROUP BY ALL""")
+def variant_lists(spark, sf_dir):
+    """Properties of events as objects, as lists, as lists in text, and broken, by turns: what reads as a list of numbers, and what has a field."""
+    shape, k = F.col("event_id") % 4, F.get_json_object("props", "$.k")
+    raw = F.when(shape == 0, F.col("props")).when(shape == 1, F.concat(F.lit("["), k, F.lit(", 7]"))).when(shape == 2, F.concat(F.lit('"['), k, F.lit(']"'))).otherwise(F.expr("substring(props, 1, length(props) - 1)"))
+    rows = table(spark, sf_dir, "events").select("event_type", shape.alias("shape"), raw.alias("raw"))
+    rows = rows.select("event_type", "shape", variants.list_or_json(rows, "raw").alias("list"), F.try_variant_get(variants.parsed("raw"), "$.k", "bigint").alias("k"))
+    total = F.aggregate("list", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.groupBy("event_type", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("total"), F.count("list").alias("lists"), F.sum("k").alias("field"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, (props->>'$.k')::bigint AS k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS pos FROM events)
+SELECT user_id, event_type, count(*) AS n, sum(k)::bigint AS total, sum(k * pos)::bigint AS placed FROM e GROUP BY ALL""")
+def variant_maps(spark, sf_dir):
+    """A user's events as one map-shaped text (event type to list), and read back entry by entry."""
+    lists = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", "k"))).alias("l"))
+    maps = lists.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", F.transform("l", lambda x: x["k"]))))).alias("raw"))
+    out = variants.map_entries(maps, "raw").withColumn("k", F.col("value").cast("long"))
+    return out.groupBy("user_id", F.col("key").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.sum(F.col("k") * F.col("pos")).alias("placed"))
+
+
 # sentences in several scripts: (pos, code, text)
 SCRIPTED = [
     (1, "fra", "Bonjour العربية monde"), (2, "fr", "العربية"), (3, "RUS", "Привет мир hello"), (4, "hin", "Это кириллица"), (5, "hi", "यह एक सादा वाक्य है latin"), (6, "jpn", "これは日本語の文です abc"), (7, "cmn", "今天天气很好 abc のです"),
