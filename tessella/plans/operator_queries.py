@@ -13,7 +13,7 @@ from tessella.functions.dims import ALIASES, GROUP_OF, LANGUAGES, lang_dim, with
 from tessella.operators import capacity, dedupe, lexicon, membership, pools, reports, synth
 from tessella.plans import evaluate, flows
 from tessella.plans.queries import (
-    GUESS, KEYED, LABELLED, LIMITS, OVERLAPS, SENTENCES, SPANS, START, VALID, WORDS, digits, docs, guesses, hash_of, html, labelled, query, sentences, spaces, spans, stop_words, symbols, table, tokens, words,
+    GUESS, KEYED, LABELLED, LIMITS, OVERLAPS, SENTENCES, SPANS, START, VALID, WORDS, brackets, collapse, digits, docs, guesses, hash_of, html, labelled, query, sentences, spaces, spans, stop_words, symbols, table, tokens, words,
 )
 from tessella.sources import corpora, stores, variants
 from tessella.streaming import ingest, stops
@@ -244,50 +244,48 @@ def variant_maps(spark, sf_dir):
     return out.groupBy("user_id", F.col("key").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.sum(F.col("k") * F.col("pos")).alias("placed"))
 
 
-# sentences in several scripts: (pos, code, text)
-SCRIPTED = [
-    (1, "fra", "Bonjour العربية monde"), (2, "fr", "العربية"), (3, "RUS", "Привет мир hello"), (4, "hin", "Это кириллица"), (5, "hi", "यह एक सादा वाक्य है latin"), (6, "jpn", "これは日本語の文です abc"), (7, "cmn", "今天天气很好 abc のです"),
-    (8, "ko", "안녕하세요 世界 abc"), (9, "ara", "مرحبا بالعالم мир"), (10, "ell", "Καλημέρα κόσμε hello"), (11, "tha", "สวัสดีชาวโลก hello"), (12, "uz", "salom дунё"), (13, "he", "שלום עולם мир"), (14, "en", "plain words here"), (15, "qqq", "unknown"),
-]
-ROWS = ", ".join(f"({p}, '{c}', '{t}')" for p, c, t in SCRIPTED)
-OWN = {"fr": "Latin", "ru": "Cyrillic", "hi": "Devanagari", "zh": "Han", "ko": "Hangul", "ar": "Arabic", "el": "Greek", "th": "Thai", "uz": "Latin", "he": "Hebrew", "en": "Latin"}
+# letters that stand for a to z where sentences are written in another script
+SCRIPTS = {"ru": ("Cyrillic", "абвгдежзийклмнопрстуфхцчшщ"), "el": ("Greek", "αβγδεζηθικλμνξοπρστυφχψωάέή"[:26]), "hi": ("Devanagari", "कखगघङचछजझञटठडढणतथदधनपफबभमय"), "he": ("Hebrew", "אבגדהוזחטיכלמנסעפצקרשתךםןף"), "fr": ("Latin", "abcdefghijklmnopqrstuvwxyz")}
+TONGUES, ABC = tuple(SCRIPTS), "abcdefghijklmnopqrstuvwxyz"
 SEEN = ("Latin", "Cyrillic", "Arabic", "Hebrew", "Devanagari", "Hiragana", "Katakana", "Han", "Hangul", "Greek", "Thai")
-without = lambda own: "[" + "".join(rf"\p{{{x}}}" for x in SEEN if x not in own) + "]"
-KEEP = " ".join(f"WHEN '{k}' THEN regexp_replace(text, '{without((v,))}', '', 'g')" for k, v in OWN.items()) + f" WHEN 'ja' THEN regexp_replace(text, '{without(('Hiragana', 'Katakana', 'Han'))}', '', 'g')"
-HAS = " ".join(f"WHEN '{k}' THEN regexp_matches(s, '\\p{{{v}}}')" for k, v in OWN.items()) + " WHEN 'ja' THEN regexp_matches(s, '[\\p{Hiragana}\\p{Katakana}\\p{Han}]')"
-CODES = " ".join(f"WHEN '{a}' THEN '{k}'" for k, v in ALIASES.items() for a in (k, *v.split()))
-
-
-def scripted(spark):
-    return spark.createDataFrame(SCRIPTED, "pos long, lang string, text string")
-
-
-@query(f"""WITH r AS (SELECT pos, CASE lower(lang) {CODES} END AS lang, text FROM (VALUES {ROWS}) AS x(pos, lang, text)), k AS (SELECT pos, lang, trim(CASE lang {KEEP} END) AS s FROM r WHERE lang IS NOT NULL)
-SELECT pos, lang, s AS sentence FROM k WHERE CASE lang {HAS} END""")
+without = lambda own: "[" + "".join(rf"\p{{{x}}}" for x in SEEN if x != own) + "]"
+by_lang = lambda of: "CASE lang " + " ".join(f"WHEN '{k}' THEN {of(*v)}" for k, v in SCRIPTS.items()) + " END"
+# every seventh sentence stays in Latin letters, whatever its language
+WRITTEN = f"{SENTENCES}, l AS (SELECT doc_id, no, doc_id * 100000 + no AS pos, {list(TONGUES)!r}[1 + (no + doc_id) % {len(TONGUES)}] AS lang, sentence FROM sentences), written AS (SELECT doc_id, no, pos, lang, CASE WHEN no % 7 = 3 THEN sentence ELSE {by_lang(lambda script, letters: f"translate(sentence, '{ABC}', '{letters}')")} END AS text FROM l)"
+KEEP = by_lang(lambda script, letters: f"regexp_replace(text, '{without(script)}', '', 'g')")
+HAS = by_lang(lambda script, letters: rf"regexp_matches(s, '\p{{{script}}}')")
+
+
+def written(spark, sf_dir):
+    """Sentences in five scripts: doc_id, no, pos, lang, text."""
+    lang = one_of(TONGUES, F.col("no") + F.col("doc_id"))
+    rows = sentences(spark, sf_dir).select("doc_id", "no", (F.col("doc_id") * 100000 + F.col("no")).alias("pos"), lang.alias("lang"), "sentence")
+    text = F.col("sentence")
+    for k, (_, letters) in SCRIPTS.items():
+        text = F.when((F.col("lang") == k) & (F.col("no") % 7 != 3), F.translate("sentence", ABC, letters)).otherwise(text)
+    return rows.withColumn("text", text).drop("sentence")
+
+
+@query(f"""WITH {WRITTEN}, k AS (SELECT pos, lang, {KEEP} AS s FROM written), c AS (SELECT pos, lang, trim(s) AS sentence FROM k WHERE {HAS})
+SELECT pos, lang, md5(sentence) AS sentence FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY pos) <= round_even(150000 * (CASE lang {' '.join(f"WHEN '{k}' THEN {dims.TATOEBA_MULTIPLIERS[k]}" for k in TONGUES if k in dims.TATOEBA_MULTIPLIERS) or "WHEN '' THEN 1"} ELSE 1 END)::double, 0)""")
 def scripted_sentences(spark, sf_dir):
-    """Letters of other scripts go, and rows without own letters."""
-    return corpora.tab_sentences(scripted(spark)).select("pos", "lang", "sentence")
+    """Letters of other scripts go, and rows without own letters; sentences written in five scripts."""
+    return corpora.tab_sentences(written(spark, sf_dir)).select("pos", "lang", md5(F.col("sentence")).alias("sentence"))
 
 
-@query(f"""WITH r AS (SELECT pos, CASE lower(lang) {CODES} END AS lang, text FROM (VALUES {ROWS}) AS x(pos, lang, text)), k AS (SELECT pos, lang, text, CASE lang {KEEP} END AS s FROM r WHERE lang IS NOT NULL)
-SELECT pos, s <> text AS foreign_letters, s <> text AND lang <> 'uz' AS contaminated, CASE WHEN lang <> 'en' AND s <> text AND NOT CASE lang {HAS} END THEN 'mixed_script' END AS reason FROM k""")
+@query(f"""WITH {WRITTEN}, k AS (SELECT pos, lang, text, {KEEP} AS s FROM written)
+SELECT pos, s <> text AS foreign_letters, s <> text AS contaminated, CASE WHEN s <> text AND NOT {HAS} THEN 'mixed_script' END AS reason FROM k WHERE lang <> 'fr'""")
 def scripted_reasons(spark, sf_dir):
-    rows = with_lang(with_canonical(scripted(spark))).where("lang_group is not null")
+    rows = with_lang(written(spark, sf_dir).where("lang <> 'fr'"))
     return rows.select("pos", filters.has_foreign_letters("text").alias("foreign_letters"), filters.is_script_contaminated("text").alias("contaminated"), filters.reject_reason("text", stop_words()).alias("reason"))
 
 
-CLEANED = [
-    (1, "en", "Profit was $5 + tax = €7 and ₪20, with more than enough words to pass.", "Profit was $5 + tax = €7 and ₪20, with more than enough words to pass."),
-    (2, "en", "This sentence has 😀 emojis, ☀️ symbols, and more than enough words to pass.", "This sentence has emojis, symbols, and more than enough words to pass."),
-    (3, "hi", "Это кириллица", ""), (4, "xh", "Puerto Rico Ocean View Villas", ""), (5, "fr", "Bonjour العربية monde", "Bonjour monde"), (6, "ru", "Привет мир hello", "Привет мир"),
-]
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f"({p}, '{want}')" for p, _, _, want in CLEANED)}) AS x(pos, sentence)")
+@query(f"""WITH {WRITTEN}, h AS (SELECT pos, lang, {collapse(brackets(html("replace(text, chr(92), '')")))} AS text FROM written WHERE lang <> 'fr'), k AS (SELECT pos, lang, {KEEP} AS s FROM h)
+SELECT pos, md5(CASE WHEN {HAS} THEN trim({spaces(symbols('s'))}) ELSE '' END) AS sentence FROM k""")
 def cleaned_examples(spark, sf_dir):
-    """The surveyed examples of cleaning, with the surveyed results as SQL."""
-    rows = with_lang(spark.createDataFrame([r[:3] for r in CLEANED], "pos int, lang string, sentence string"))
-    return filters.cleaned(rows, "sentence", F.array(*(F.lit(w) for w in "this is the a of and to in that it for with".split()))).select("pos", "sentence")
+    """The cleaning chain on sentences of four scripts other than Latin."""
+    rows = with_lang(written(spark, sf_dir).where("lang <> 'fr'").withColumnRenamed("text", "sentence"))
+    return filters.cleaned(rows, "sentence", stop_words()).select("pos", md5(F.col("sentence")).alias("sentence"))
 
 
 WRAPPED = [
@@ -296,11 +294,11 @@ WRAPPED = [
 ]
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {quoted(chr(1).join(v))})' for i, (_, v) in enumerate(WRAPPED))}) AS x(pos, parts)")
+@query(f"SELECT doc_id, {listed([chr(1).join(v) for _, v in WRAPPED])}[1 + doc_id % {len(WRAPPED)}] AS parts FROM documents")
 def wrapped_examples(spark, sf_dir):
-    """Wrapped fragments, five wrappers deep among them, with their sentences as SQL."""
-    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(WRAPPED)], "pos int, s string")
-    return rows.select("pos", F.array_join(T.expand_wrapped("s"), "\x01").alias("parts"))
+    """Wrapped fragments, five wrappers deep among them, one for each document by turns."""
+    rows = docs(spark, sf_dir).select("doc_id", one_of([s for s, _ in WRAPPED], F.col("doc_id")).alias("s"))
+    return rows.select("doc_id", F.array_join(T.expand_wrapped("s"), "\x01").alias("parts"))
 
 
 @query(f"""WITH {SENTENCES}, w AS (SELECT doc_id, no, lang, sentence, '([' || sentence || '])' AS wrapped FROM sentences WHERE NOT regexp_matches(sentence, '^\\s|\\s$|[()\\[\\]{{}}<>]|^[{QUOTES}]|[{QUOTES}]$'))
@@ -393,9 +391,11 @@ def parsed_configs(spark, sf_dir):
 CONFIGS = ["all", "fra_Latn", "hin_Latn", "hin_Deva", "qqq_Latn", "rus_Cyrl", "cmn_Hani", "srp_Latn", "ENG_Latn"]
 
 
-@query("SELECT * FROM (VALUES ('fra_Latn', 'fr'), ('hin_Deva', 'hi'), ('rus_Cyrl', 'ru'), ('cmn_Hani', 'zh'), ('ENG_Latn', 'en')) AS x(config, lang)")
+@query(f"WITH m AS (SELECT * FROM (VALUES ('fra_Latn', 'fr'), ('hin_Deva', 'hi'), ('rus_Cyrl', 'ru'), ('cmn_Hani', 'zh'), ('ENG_Latn', 'en')) AS x(config, lang)) SELECT config, m.lang, count(*) AS n FROM (SELECT {CONFIGS!r}[1 + doc_id % {len(CONFIGS)}] AS config FROM documents) JOIN m USING (config) GROUP BY ALL")
 def matched_configs(spark, sf_dir):
-    return corpora.matching_configs(spark.createDataFrame([(c,) for c in CONFIGS], "config string"))
+    """Documents dealt to configurations: those of known languages and their scripts."""
+    rows = docs(spark, sf_dir).select(one_of(CONFIGS, F.col("doc_id")).alias("config"))
+    return corpora.matching_configs(rows).groupBy("config", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, doc_id + n_chars AS total, 2 AS n FROM documents")
@@ -424,10 +424,12 @@ def punct_dropped(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", L.tokens("text").alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(L.drop_punct(F.col("t"))).alias("n_kept"))
 
 
-@query(f"""WITH l AS (SELECT unnest({list(LANGUAGES)!r}) AS lang, unnest(range({len(LANGUAGES)})) AS i), b AS (SELECT lang, i, unnest([0, 1]) AS k FROM l)
-SELECT 2 * i + 1 + k AS label_id, ['B-', 'I-'][k + 1] || upper(lang) AS label, lang, k = 0 AS begins FROM b UNION ALL SELECT 0, 'O', NULL, false""")
+@query(f"""WITH l AS (SELECT unnest({list(LANGUAGES)!r}) AS lang, unnest(range({len(LANGUAGES)})) AS i), b AS (SELECT lang, i, unnest([0, 1]) AS k FROM l), d AS (SELECT {list(LANGUAGES)!r}[1 + doc_id % {len(LANGUAGES)}] AS lang, n_chars FROM documents)
+SELECT 2 * i + 1 + k AS label_id, ['B-', 'I-'][k + 1] || upper(lang) AS label, lang, k = 0 AS begins, count(*) AS n, sum(n_chars) AS n_chars FROM b JOIN d USING (lang) GROUP BY ALL""")
 def label_ids(spark, sf_dir):
-    return L.label_dim(spark)
+    """Documents dealt to all languages, by the two labels of their language."""
+    rows = docs(spark, sf_dir).select(one_of(list(LANGUAGES), F.col("doc_id")).alias("lang"), "n_chars")
+    return rows.join(F.broadcast(L.label_dim(spark)), "lang").groupBy("label_id", "label", "lang", "begins").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
 u = lambda key, name: f"(({hash_of(f"{key} || chr(0) || '{name}'")}) + 0.5) / 4294967296.0"
@@ -713,10 +715,14 @@ def ingested(spark, sf_dir):
     return spark.read.parquet(out).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"(' {a.upper()} ', '{k}')" for k, v in ALIASES.items() for a in (k, *v.split())) + ", ('zz', 'zz')) AS x(code, lang)")
+CODE_LIST = [(f" {a.upper()} ", k) for k, v in ALIASES.items() for a in (k, *v.split())] + [("zz", "zz")]
+
+
+@query(f"SELECT code, lang, count(*) AS n FROM (SELECT {[c for c, _ in CODE_LIST]!r}[1 + doc_id % {len(CODE_LIST)}] AS code, {[k for _, k in CODE_LIST]!r}[1 + doc_id % {len(CODE_LIST)}] AS lang FROM documents) GROUP BY ALL")
 def alias_codes(spark, sf_dir):
-    codes = [(f" {a.upper()} ",) for k, v in ALIASES.items() for a in (k, *v.split())] + [("zz",)]
-    return with_canonical(spark.createDataFrame(codes, "code string"), "code").select("code", "lang")
+    """Documents dealt to all codes of languages, by their canonical code."""
+    rows = docs(spark, sf_dir).select(one_of([c for c, _ in CODE_LIST], F.col("doc_id")).alias("code"))
+    return with_canonical(rows, "code").groupBy("code", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 MULTIPLIERS = {**dims.WIKI_MULTIPLIERS, "no": 2 * dims.WIKI_MULTIPLIERS["no"]}
@@ -725,9 +731,13 @@ case = lambda values, other: "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for
 
 @query(f"""WITH l AS (SELECT unnest({list(LANGUAGES)!r}) AS lang, unnest({[GROUP_OF[x] for x in LANGUAGES]!r}) AS lang_group)
 SELECT lang, lang_group, round_even(150000 * ({case(MULTIPLIERS, 1)})::double, 0)::int AS wiki_cap, {case(dims.PRIORITY_CAPS, 25000)} AS priority_cap, round_even(150000 * ({case(dims.TATOEBA_MULTIPLIERS, 1)})::double, 0)::int AS tatoeba_cap,
-greatest(250, {case({x: dims.GROUPS[GROUP_OF[x]][2] // 4 for x in LANGUAGES}, 0)}) AS long_paragraph FROM l""")
+greatest(250, {case({x: dims.GROUPS[GROUP_OF[x]][2] // 4 for x in LANGUAGES}, 0)}) AS long_paragraph, n, greatest(n - 3, 0) AS beyond
+FROM l JOIN (SELECT {list(LANGUAGES)!r}[1 + doc_id % {len(LANGUAGES)}] AS lang, count(*) AS n FROM documents GROUP BY ALL) AS d USING (lang)""")
 def language_caps(spark, sf_dir):
-    return lang_dim(spark).select("lang", "lang_group", "wiki_cap", "priority_cap", "tatoeba_cap", "long_paragraph")
+    """Documents dealt to all languages: the caps of each, and how many documents are beyond three."""
+    rows = with_lang(docs(spark, sf_dir).select(one_of(list(LANGUAGES), F.col("doc_id")).alias("lang")))
+    out = rows.groupBy("lang", "lang_group", "wiki_cap", "priority_cap", "tatoeba_cap", "long_paragraph").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("beyond", F.greatest(F.col("n") - 3, F.lit(0)))
 
 
 @query("SELECT kind, n, 0 AS bad FROM (VALUES " + ", ".join(f"('{k}', {n})" for k, n in synth.targets(400).items()) + ") AS x(kind, n)")
