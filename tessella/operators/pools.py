@@ -60,17 +60,36 @@ def exact_reserve(df: DataFrame, size: Column, seed: int = 42) -> DataFrame:
     return out.withColumn("pool", F.when(F.col("_place") <= size, "reserved").otherwise("main")).drop("_place")
 
 
-def numbered(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:
+#: Ranges of hashes that a pool is numbered in.
+SLICES = 1 << 10
+
+
+def _sliced(df: DataFrame, seed: int, by: tuple[str, ...]) -> DataFrame:
+    return df.withColumn("_h", key_hash(seed, *by, "sentence")).withColumn("_slice", F.floor(F.col("_h") / ((1 << 32) // SLICES)))
+
+
+def slice_counts(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:
+    """(*by, _slice, _n): rows of each pool by range of their hashes: at most SLICES rows a pool."""
+    return _sliced(df, seed, by).groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def numbered(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang"), upto: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """df with idx, the row's place in its pool by hash, from 0.
 
-    Places come from counts per hash range and a row number inside each range, so no pool is sorted by one task.
+    Places come from counts per hash range (counts, where slice_counts() has been called before) and a row number inside
+    each range, so no pool is sorted by one task. With upto (*by, most), only ranges that begin below most are numbered:
+    rows beyond them stay in their task, and the numbers of the others are the same.
     """
-    slices = 1 << 10
-    h = df.withColumn("_h", key_hash(seed, *by, "sentence")).withColumn("_slice", F.floor(F.col("_h") / ((1 << 32) // slices)))
-    counts = h.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    counts = slice_counts(df, seed, by) if counts is None else counts
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = h.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", "sentence")))
-    return inside.join(before, [*by, "_slice"]).withColumn("idx", (F.col("_before") + F.col("_place") - 1).cast("long")).drop("_h", "_slice", "_before", "_place")
+    place = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", "sentence"))
+    if upto is None:
+        rows = _sliced(df, seed, by).withColumn("_place", place).join(before, [*by, "_slice"])
+    else:
+        # pools and languages times SLICES rows at most
+        before = before.join(F.broadcast(upto), list(by)).where("_before < most").drop("most")
+        rows = _sliced(df, seed, by).join(F.broadcast(before), [*by, "_slice"]).withColumn("_place", place)
+    return rows.withColumn("idx", (F.col("_before") + F.col("_place") - 1).cast("long")).drop("_h", "_slice", "_before", "_place")
 
 
 def striped(df: DataFrame, n: int, by: str = "lang", order: tuple[str, ...] = ("pos",)) -> DataFrame:

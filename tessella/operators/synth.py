@@ -259,8 +259,9 @@ def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tok
 
 def build(sentences: DataFrame, total: int, seed: int = 42) -> DataFrame:
     """Synthetic examples from (source, lang, sentence): pools, plans for every kind, and documents."""
-    pool = materialized(pools.numbered(pools.split_by_hash(sentences, seed), seed).select("pool", "lang", "idx", "sentence"), "pool")
-    supply = materialized(pool.groupBy("pool", "lang").agg(F.count(F.lit(1)).alias("n")), "supply")
+    split = pools.split_by_hash(sentences, seed)
+    slices = materialized(pools.slice_counts(split, seed), "slices")
+    supply = materialized(slices.groupBy("pool", "lang").agg(F.sum("_n").alias("n")), "supply")
     known = F.array(*map(F.lit, sorted(r["lang"] for r in supply.select("lang").distinct().where(F.col("lang").isin(*LANGUAGES)).collect())))  # languages: at most 105
     wanted, counts = None, targets(total)
     for i, kind in enumerate(KINDS):
@@ -269,7 +270,11 @@ def build(sentences: DataFrame, total: int, seed: int = 42) -> DataFrame:
         plan = pools.doc_plan(capacity, counts[kind.name], seed + 101 * (i + 1))
         part = demands(plan, kind, known, seed)
         wanted = part if wanted is None else wanted.unionByName(part)
-    return documents(materialized(wanted, "demands"), pool, seed)
+    wanted = materialized(wanted, "demands")
+    # no more than this can be drawn, however often documents are drawn anew
+    upto = wanted.groupBy("pool", "lang").agg((F.sum("n") * RETRIES).alias("most"))
+    pool = materialized(pools.numbered(split, seed, upto=upto, counts=slices).select("pool", "lang", "idx", "sentence"), "pool")
+    return documents(wanted, pool, seed)
 
 
 def model_ready(examples: DataFrame, include_spliced: bool = False) -> DataFrame:

@@ -43,3 +43,14 @@ def test_every_value_can_be_drawn(spark):
     assert len({d for r in many if r.lang == "y" for d in r.drawn}) == 2500
     light, heavy = (sum(int(d[1:]) % 9 == k for r in many if r.lang == "x" for d in r.drawn) for k in (0, 8))
     assert 7 < heavy / light < 11.5
+
+
+def test_numbering_of_a_part_of_the_pools(spark):
+    """Places below a limit are the same whether all rows are numbered or only ranges that begin below it."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "reserved").otherwise("main").alias("pool"), F.when(F.col("id") % 10 < 8, "en").otherwise("de").alias("lang"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("sentence"))
+    whole = {(r.pool, r.lang, r.idx): r.sentence for r in pools.numbered(df).collect()}
+    assert len(whole) == 20_000
+    upto = spark.createDataFrame([("main", "en", 500), ("reserved", "de", 3), ("main", "de", 0)], "pool string, lang string, most long")
+    part = {(r.pool, r.lang, r.idx): r.sentence for r in pools.numbered(df, upto=upto, counts=pools.slice_counts(df)).collect()}
+    assert all(whole[k] == v for k, v in part.items()) and len(part) < 1000
+    assert {("main", "en", i) for i in range(500)} | {("reserved", "de", i) for i in range(3)} <= set(part)
