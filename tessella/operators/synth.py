@@ -100,16 +100,17 @@ def noisy(df: DataFrame, kind: Kind) -> DataFrame:
     key, lang = F.col("key"), F.col("lang")
     latin = lambda step: lambda c: F.when(F.col("latin"), step(c)).otherwise(c)
     steps = [
-        latin(lambda c: N.word_casing(c, key, kind.upper, kind.lower, kind.title)),
-        latin(lambda c: N.spacing(c, key, kind.merge, kind.split)),
-        latin(lambda c: N.char_noise(c, key, kind.typo)),
-        lambda c: N.sentence_casing(c, key, kind.sentence_upper, kind.sentence_lower),
-        lambda c: N.accent_loss(c, lang, key, kind.accent),
-        lambda c: N.letter_noise(c, F.col("script"), key, kind.letter),
-        lambda c: N.digit_noise(c, F.col("script"), key, kind.digit),
+        (kind.upper + kind.lower + kind.title, latin(lambda c: N.word_casing(c, key, kind.upper, kind.lower, kind.title))),
+        (kind.merge + kind.split, latin(lambda c: N.spacing(c, key, kind.merge, kind.split))),
+        (kind.typo, latin(lambda c: N.char_noise(c, key, kind.typo))),
+        (kind.sentence_upper + kind.sentence_lower, lambda c: N.sentence_casing(c, key, kind.sentence_upper, kind.sentence_lower)),
+        (kind.accent, lambda c: N.accent_loss(c, lang, key, kind.accent)),
+        (kind.letter, lambda c: N.letter_noise(c, F.col("script"), key, kind.letter)),
+        (kind.digit, lambda c: N.digit_noise(c, F.col("script"), key, kind.digit)),
     ]
-    for step in steps:
-        df = df.withColumn("sentence", T.bind(F.col("sentence"), step))
+    for probability, step in steps:
+        if probability > 0:
+            df = df.withColumn("sentence", T.bind(F.col("sentence"), step))
     return df
 
 
