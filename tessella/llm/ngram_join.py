@@ -258,7 +258,8 @@ def _block_links(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[
 def possible(docs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """node, n and set of the distinct sets of which not too many tokens are nobody else's, judged by the tokens below FIRST.
 
-    Tokens are counted under a number of their set, so equal sets count once and no text is joined for it.
+    Tokens are counted under a number of their set, so equal sets count once and no text is joined for it. The texts of
+    what is left are merged with it, as it grows with the corpus.
     """
     first = docs.select("text").mapInArrow(_first_tokens, spark_schema(TOKENS))
     alone = first.groupBy("token").agg(F.min("node").alias("number"), F.max("node").alias("z"), F.max("n").alias("n")).where("number = z")
@@ -266,22 +267,23 @@ def possible(docs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     numbered = sets.select("doc_id", "text_key", "node", F.xxhash64("set_hash").alias("number"))
     left = staged(numbered.join(staged(out, "alone"), "number", "left_anti").drop("number"), "possible")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return texts.join(left, ["doc_id", "text_key"]).select("text", "node").mapInArrow(_packed_sets, spark_schema(SETS)).dropDuplicates(["node"])
+    return texts.join(left.hint("merge"), ["doc_id", "text_key"]).select("text", "node").mapInArrow(_packed_sets, spark_schema(SETS)).dropDuplicates(["node"])
 
 
 def candidates(sets: DataFrame, numerator: int, rare: int, common: int) -> DataFrame:
     """(a, b): documents that share an index key and may link by their sizes, each with the key's first document of the kind that every link has.
 
+    Tokens and keys are always merged with their counts, which grow with the corpus, so plans are alike at every size.
     """
     tokens = sets.mapInArrow(_unpacked, spark_schema(TOKENS))
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = tokens.join(dealt_anew(frequency, "token"), "token").select("node", "df", "token", "n")
+    shared = tokens.join(dealt_anew(frequency, "token").hint("merge"), "token").select("node", "df", "token", "n")
     keyed = shared.repartition("node").sortWithinPartitions("node", "df", "token").mapInArrow(partial(_keyed, numerator=numerator, rare=rare, common=common), spark_schema(KEYS))
     keyed = staged(keyed, "keys")
     strong = F.col("most") >= F.col("n")
     heads = keyed.groupBy("key").agg(F.min(F.when(strong, F.col("node"))).alias("head"), F.min(F.when(strong, F.col("n"))).alias("least"), F.min("node").alias("a"), F.max("node").alias("z"))
     heads = heads.where("head is not null and a <> z").select("key", "head", "least")
-    pairs = keyed.join(dealt_anew(heads, "key"), "key").where(strong | (F.col("least") <= F.col("most")))
+    pairs = keyed.join(dealt_anew(heads, "key").hint("merge"), "key").where(strong | (F.col("least") <= F.col("most")))
     out = staged(pairs.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "candidates")
     discard(keyed)
     return out
