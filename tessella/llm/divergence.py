@@ -18,7 +18,7 @@ other than text, lang and source are not read. A language's vectors grow with it
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,6 +30,8 @@ from tessella.llm.common import blocks, spark_schema, staged
 DOCUMENTS, SMOOTHING, SCALE = 30, 5, 1_000_000_000
 #: Best terms of a source that are given.
 TERMS = 50
+#: With at most so many groups of language and source, tables of groups are broadcast; with more, they are joined like any other.
+GROUPS = 100_000
 #: Counts that a task holds; bytes of a text that are split into terms at once.
 FLUSH, PIECE = 200_000, 1 << 20
 
@@ -81,18 +83,22 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")).withColumn("term", F.col("term").cast("string"))
 
 
-def wide_vectors(counts: DataFrame, least: int = DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+def as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def wide_vectors(counts: DataFrame, least: int = DOCUMENTS, side: Callable[[DataFrame], DataFrame] = as_it_is) -> tuple[DataFrame, DataFrame]:
     """(lang, sources) with the sorted sources, and (lang, term, vector) with the counts of each kept term in their order."""
     groups = counts.where("term = ''").select("lang", "source")
     languages = groups.groupBy("lang").agg(F.sort_array(F.collect_list("source")).alias("sources"))
     place = languages.select("lang", F.posexplode("sources").alias("place", "source"))
     entries = F.map_from_entries(F.collect_list(F.struct("place", "n")))
-    pivoted = counts.where("term <> ''").join(place, ["lang", "source"]).groupBy("lang", "term").agg(F.sum("documents").alias("documents"), entries.alias("entries")).where(F.col("documents") >= least)
+    pivoted = counts.where("term <> ''").join(side(place), ["lang", "source"]).groupBy("lang", "term").agg(F.sum("documents").alias("documents"), entries.alias("entries")).where(F.col("documents") >= least)
     vector = F.transform(F.sequence(F.lit(0), F.size("sources") - 1), lambda i: F.coalesce(F.try_element_at("entries", i), F.lit(0)))
-    return languages, pivoted.join(languages, "lang").select("lang", "term", vector.alias("vector"))
+    return languages, pivoted.join(side(languages), "lang").select("lang", "term", vector.alias("vector"))
 
 
-def shares(languages: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shares(languages: DataFrame, wide: DataFrame, side: Callable[[DataFrame], DataFrame] = as_it_is) -> tuple[DataFrame, DataFrame]:
     """The languages with the number of kept terms and totals by source, and the vectors with the sources' shares p and the language's q."""
     sums = wide.select("lang", F.posexplode("vector").alias("place", "n")).groupBy("lang", "place").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kept"))
     totals = F.transform(F.array_sort(F.collect_list(F.struct("place", "n"))), lambda x: x["n"])
@@ -102,15 +108,17 @@ def shares(languages: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]
     values = {"scale": SCALE, "more": SMOOTHING}
     p = F.expr(f"transform(vector, (x, i) -> {share.format(count='x', total='totals[i]', **values)})")
     q = F.expr(share.format(count="aggregate(vector, 0L, (a, x) -> a + x)", total="total", **values))
-    return languages.join(sums, "lang", "left"), wide.join(sums, "lang").select("lang", "term", "vector", p.alias("p"), q.alias("q"))
+    return languages.join(sums, "lang", "left"), wide.join(side(sums), "lang").select("lang", "term", "vector", p.alias("p"), q.alias("q"))
 
 
 def divergence(docs: DataFrame, least: int = DOCUMENTS) -> DataFrame:
     """lang, source, part (pair or term), item, value and rank: distances to the other sources, and the terms that set a source apart."""
     counts = staged(term_counts(docs), "terms")
-    languages, wide = wide_vectors(counts, least)
+    # a table of groups is as large as there are groups of language and source, whatever their documents
+    side = F.broadcast if counts.where("term = ''").count() <= GROUPS else as_it_is
+    languages, wide = wide_vectors(counts, least, side)
     languages, wide = staged(languages, "sources"), staged(wide, "vectors")
-    languages, weighted = shares(languages, wide)
+    languages, weighted = shares(languages, wide, side)
     later = F.expr("transform(sequence(i + 1, size(p) - 1), j -> struct(j, abs(p[i] - p[j]) AS f))")
     by_source = weighted.select("lang", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("i")).where("i < size(p) - 1")
     emitted = by_source.select("lang", "i", F.inline(later).alias("j", "f"))
@@ -118,12 +126,12 @@ def divergence(docs: DataFrame, least: int = DOCUMENTS) -> DataFrame:
     none = languages.select("lang", F.posexplode("sources").alias("i", "source"), F.size("sources").alias("n")).where("i < n - 1")
     none = none.select("lang", "i", F.explode(F.expr("sequence(i + 1, n - 1)")).alias("j"), F.lit(0).cast("long").alias("f"))
     sums = emitted.unionByName(none).groupBy("lang", "i", "j").agg(F.sum("f").alias("value"))
-    both = sums.join(languages.select("lang", "sources"), "lang").select("lang", "value", F.inline(F.expr("array(struct(sources[i] AS source, sources[j] AS item), struct(sources[j] AS source, sources[i] AS item))")))
+    both = sums.join(side(languages.select("lang", "sources")), "lang").select("lang", "value", F.inline(F.expr("array(struct(sources[i] AS source, sources[j] AS item), struct(sources[j] AS source, sources[i] AS item))")))
     pairs = both.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     apart = weighted.select("lang", "term", "vector", "q", F.posexplode("p").alias("i", "p")).where("vector[i] > 0 and p > q")
     apart = apart.select("lang", "i", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     order = [F.desc("value"), F.asc("item")]
     rank = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("rank")
     best = apart.select("*", rank("lang", "i")).where(F.col("rank") <= TERMS)
-    best = best.join(languages.select("lang", "sources"), "lang").select("lang", F.expr("sources[i]").alias("source"), F.lit("term").alias("part"), "item", "value", "rank")
+    best = best.join(side(languages.select("lang", "sources")), "lang").select("lang", F.expr("sources[i]").alias("source"), F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.select("*", rank("lang", "source")).unionByName(best)

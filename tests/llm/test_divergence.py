@@ -43,7 +43,8 @@ def test_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(divergence, "PIECE", 16)
     rows = corpus()
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "text string, lang string, source string, place int, term string").repartition(5)
-    for least in (30, 3):
+    for least, groups in ((30, 100), (3, 2)):  # with and without broadcasts
+        monkeypatch.setattr(divergence, "GROUPS", groups)
         got = [tuple(r) for r in divergence.divergence(df, least).select("lang", "source", "part", "item", "value", "rank").collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows, least)
     assert divergence.divergence(df.limit(0)).count() == 0
