@@ -67,7 +67,8 @@ def languages_present(labels: Column) -> Column:
 
 
 def multi_hot(indices: Column, n: int = len(LANGUAGES)) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains(indices, i.cast("int")).cast("int"))
+    # bound, as an expression inside the lambda runs once for every language
+    return T.bind(indices, lambda found: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains(found, i.cast("int")).cast("int")))
 
 
 def decoded_list(c: Column | str, kind: str = "array<bigint>") -> Column:
