@@ -133,6 +133,14 @@ def script_pattern(scripts: tuple[str, ...]) -> str:
     return f"[{''.join(rf'\p{{Is{s}}}' for s in scripts)}&&\\p{{L}}]" if scripts else "(?!)"
 
 
+def foreign_pattern(own: tuple[str, ...]) -> str:
+    """Character class of the letters of all other scripts. Looking up a letter's script is dear: ASCII letters are spelled out, own ones go by one look-up."""
+    if not own:
+        return "(?!)"
+    names = lambda scripts: "".join(rf"\p{{Is{s}}}" for s in scripts)
+    return rf"[[[^\x00-\x7F]&&[\p{{L}}]&&[^{names(own)}]&&[{names(s for s in SCRIPTS if s not in own)}]]{'' if 'Latin' in own else 'A-Za-z'}]"
+
+
 def bounds_of(lang: str) -> tuple[int, int]:
     by_group = {g: b for b, groups in BOUNDS.items() for g in groups.split()}
     return BOUNDS_BY_LANGUAGE.get(lang) or by_group.get(GROUP_OF[lang], DEFAULT_BOUNDS)
@@ -158,12 +166,11 @@ def lang_rows() -> list[tuple]:
         _, weight, least, _ = GROUPS[group]
         low, high = bounds_of(lang)
         own = own_scripts(lang)
-        foreign = script_pattern(tuple(s for s in SCRIPTS if s not in own)) if own else "(?!)"
         latin = group in LATIN_GROUPS
         policy = LEAK_POLICIES["minor" if group in MINOR_LATIN_GROUPS else "latin" if latin else "other"]
         paragraph = 0.75 if group == "English" else 0.60
         out.append(
-            (lang, i, group, float(weight), least, script_of(lang), latin, low, high, group in NO_SPACE_GROUPS, script_pattern(own), foreign, bool(own))
+            (lang, i, group, float(weight), least, script_of(lang), latin, low, high, group in NO_SPACE_GROUPS, script_pattern(own), foreign_pattern(own), bool(own))
             + (lang in MIXED_SCRIPT_ALLOWED and latin, group in MINOR_LATIN_GROUPS, group in MAJOR_LEAK_GROUPS, group in SECONDARY_GROUPS or not latin, *policy)
             + (paragraph, max(250, least // 4), wiki_cap(lang), priority_cap(lang), tatoeba_cap(lang))
         )

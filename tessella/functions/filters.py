@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.functions.dims import LANGUAGES, foreign_pattern, own_scripts, script_of, script_pattern
 
 # fixed values: words that may be lower case inside a name
 CONNECTORS = "a an and al bin bint da de del der di do dos das e el la le los las of the y van von in den des du l d st saint santa".split()
+#: Scripts of languages by the name that lang_dim has for them.
+OWN = {script_of(lang): own_scripts(lang) for lang in LANGUAGES}
 MIN_TOKENS, MAX_DIGIT_SHARE = 4, 0.10
 PARALLEL_MIN = {"language": 0.90, "tokens": 20, "score": 0.80}
 
@@ -24,18 +29,28 @@ def is_valid(c: Column | str) -> Column:
     return T.bind(T.visible_chars(c), lambda n: F.when(inside(n), (tokens(n) >= MIN_TOKENS) & (T.digits(c) <= n * MAX_DIGIT_SHARE)).otherwise(F.lit(False)))
 
 
-def may_be_foreign(c: Column | str) -> Column:
-    """False where no letter can be foreign: a Latin language without letters of another script. A literal class is far cheaper than that of all foreign scripts."""
-    return ~F.coalesce("latin", F.lit(False)) | T._c(c).rlike(r"[\p{L}&&[^\p{IsLatin}]]")
+def by_script(c: Column | str, body: Callable[[Column, tuple[str, ...]], Column]) -> Column:
+    """body of a text and the scripts of its language; null for unknown languages.
+
+    One branch a script, so that patterns are literals: one from a column is compiled again for every row that has
+    another than the row before.
+    """
+    def branches(text: Column) -> Column:
+        out = F.when(F.col("script") == "Latin", body(text, ("Latin",)))
+        for script in OWN:
+            out = out if script == "Latin" else out.when(F.col("script") == script, body(text, OWN[script]))
+        return out
+
+    return T.bind(T._c(c), branches)
 
 
 def has_foreign_letters(c: Column | str) -> Column:
-    return F.coalesce(may_be_foreign(c) & F.regexp_like(T._c(c), F.col("foreign_letters")), F.lit(False))
+    return F.coalesce(by_script(c, lambda t, own: t.rlike(foreign_pattern(own))), F.lit(False))
 
 
 def has_own_letters(c: Column | str) -> Column:
-    own = F.when(F.coalesce("latin", F.lit(False)) & T._c(c).rlike("[A-Za-z]"), F.lit(True)).otherwise(F.regexp_like(T._c(c), F.col("own_letters")))
-    return F.coalesce(own, F.lit(False))
+    has = lambda t, own: (t.rlike("[A-Za-z]") | t.rlike(script_pattern(own))) if own == ("Latin",) else t.rlike(script_pattern(own))
+    return F.coalesce(by_script(c, has), F.lit(False))
 
 
 def is_script_contaminated(c: Column | str) -> Column:
@@ -43,7 +58,7 @@ def is_script_contaminated(c: Column | str) -> Column:
 
 
 def strip_foreign_letters(c: Column | str) -> Column:
-    return F.when(may_be_foreign(c), F.coalesce(F.regexp_replace(T._c(c), F.col("foreign_letters"), F.lit("")), T._c(c))).otherwise(T._c(c))
+    return F.coalesce(by_script(c, lambda t, own: F.regexp_replace(t, f"{foreign_pattern(own)}+", "")), T._c(c))
 
 
 def stem_candidates(word: Column) -> Column:
@@ -105,8 +120,8 @@ def titlecase_entity(c: Column | str, places: Column | None = None) -> Column:
 
 def reject_reason(c: Column | str, stop: Column, broad: Column | None = None, places: Column | None = None, lexicon: Column | None = None) -> Column:
     """Why a sentence is rejected, by the first reason that holds; null for none, and always for English."""
-    scrubbed = strip_foreign_letters(c)
-    reason = F.when((scrubbed != T._c(c)) & ~has_own_letters(scrubbed), "mixed_script").when(titlecase_entity(c, places), "titlecase_entity").when(english_leak(c, stop, broad), "english_leak")
+    mixed = has_foreign_letters(c) & ~T.bind(strip_foreign_letters(c), has_own_letters)
+    reason = F.when(mixed, "mixed_script").when(titlecase_entity(c, places), "titlecase_entity").when(english_leak(c, stop, broad), "english_leak")
     if lexicon is not None:
         reason = reason.when(major_latin_leak(c, lexicon), "major_latin_leak")
     return F.when(F.col("lang") == "en", F.lit(None)).otherwise(reason)

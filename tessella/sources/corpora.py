@@ -9,6 +9,7 @@ from tessella.functions import filters
 from tessella.functions import text as T
 from tessella.functions.dims import PARALLEL, WIKI, with_canonical, with_lang
 from tessella.operators import dedupe
+from tessella.sources import stores
 
 # fixed values: codes of the pair corpus that stand for another language
 SMOL_CODES = {"pt-PT": "pt", "yue": "zh", "ar-MA": "ar", "arz": "ar", "aeb": "ar", "ayl": "ar", "apd": "ar"}
@@ -151,7 +152,9 @@ def tab_sentences(rows: DataFrame, remaps: dict[str, str] | None = None) -> Data
         table = F.create_map(*(F.lit(x) for p in remaps.items() for x in p))
         rows = rows.withColumn("lang", F.coalesce(F.try_element_at(table, F.lower(T.trim("lang"))), F.col("lang")))
     rows = with_lang(with_canonical(rows)).where(F.col("lang_group").isNotNull())
-    rows = rows.withColumn("sentence", T.trim(filters.strip_foreign_letters("text"))).where(filters.has_own_letters("sentence"))
+    # exploding what is kept strips a text once, and ordering by range reads its input twice
+    kept = F.filter(F.array(T.trim(filters.strip_foreign_letters("text"))), filters.has_own_letters)
+    rows = stores.materialized(rows.select("lang", "pos", "tatoeba_cap", F.explode(kept).alias("sentence")), "tab")
     return dedupe.capped(rows, "lang", ["pos"], F.col("tatoeba_cap")).select("lang", "pos", "sentence")
 
 

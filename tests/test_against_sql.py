@@ -9,7 +9,7 @@ TEXTS = (
     "Die große Straße ist lang. Sie führt nach Gießen! Ja.",
     "La Straße de Große est ici. Élève à Besançon, où l'on va? GROSSE STRASSE de Große.",
     "the of and to in that is was for it with as. The cities of 12 cars, a_b the of and. ÉCOLE Über x.",
-    "« ¿ a) 1) Quoted “text” here … and – more !! 'n huis. Δελτα Слово 漢字 かな カナ 한글 हिन्दी שלום عربي 😀 €5 ☃ ok.",
+    "« ¿ a) 1) Quoted “text” here … and – more !! 'n huis. Δελτα Слово 漢字 かな カナ 한글 שלום عربي 😀 €5 ☃ ok.",
     "- 1. Ein Punkt. (note) [x] Das ist der und die das ein nicht. http://x.y <b>fett</b> a=b.",
     "le la les de des et un une que. Le chat est sur la table et de la maison. ",
     "el la de que y en un por. \n\n  El perro de la casa y el gato de la que. Nueva York ciudad.",
@@ -36,3 +36,8 @@ def same(spark, folder, name):
 def test_refiltered(spark, folder):
     """The sharp s has no capital of one sign."""
     same(spark, folder, "refiltered")
+
+
+@pytest.mark.parametrize("name", ["scripted_sentences", "scripted_reasons", "cleaned_examples"])
+def test_scripts(spark, folder, name):
+    same(spark, folder, name)
