@@ -67,20 +67,23 @@ def word_casing(c: Column, key: Column, upper: float, lower: float, title: float
     """Single words in upper, lower or title case."""
 
     def of(w: Column, i: Column) -> Column:
-        x = u(F.concat_ws("\0", key, i.cast("string")), "case")
-        return F.when(x < upper, F.upper(w)).when(x < upper + lower, F.lower(w)).when(x < upper + lower + title, F.initcap(w)).otherwise(w)
+        cased = lambda x: F.when(x < upper, F.upper(w)).when(x < upper + lower, F.lower(w)).when(x < upper + lower + title, F.initcap(w)).otherwise(w)
+        return T.bind(u(F.concat_ws("\0", key, i.cast("string")), "case"), cased)
 
     return F.array_join(F.transform(F.split(c, " "), of), " ")
 
 
 def spacing(c: Column, key: Column, merge: float, split: float) -> Column:
     """One gap between words lost, or one word of four letters or more cut in two."""
-    words = F.split(c, " ")
-    n = F.size(words)
-    at = pick(key, "gap", n)
-    merged = F.concat(F.array_join(F.slice(words, 1, at + 1), " "), F.array_join(F.slice(words, at + 2, n), " "))
-    cut = F.array_join(F.transform(words, lambda w, i: F.when((i == at) & (F.length(w) >= 4), F.concat(F.substring(w, F.lit(1), F.floor(F.length(w) / 2).cast("int")), F.lit(" "), F.substring(w, F.floor(F.length(w) / 2).cast("int") + 1, F.length(w)))).otherwise(w)), " ")
-    return F.when((n > 1) & (u(key, "merge") < merge), merged).when(u(key, "split") < split, cut).otherwise(c)
+    def spaced(words: Column) -> Column:
+        n = F.size(words)
+        at = pick(key, "gap", n)
+        merged = lambda i: F.concat(F.array_join(F.slice(words, 1, i + 1), " "), F.array_join(F.slice(words, i + 2, n), " "))
+        halves = lambda w: F.concat(F.substring(w, F.lit(1), F.floor(F.length(w) / 2).cast("int")), F.lit(" "), F.substring(w, F.floor(F.length(w) / 2).cast("int") + 1, F.length(w)))
+        parted = lambda i: T.bind(F.get(words, i), lambda w: F.when(F.length(w) >= 4, F.array_join(F.concat(F.slice(words, 1, i), F.array(halves(w)), F.slice(words, i + 2, n)), " ")).otherwise(c))
+        return F.when((n > 1) & (u(key, "merge") < merge), T.bind(at, merged)).when(u(key, "split") < split, T.bind(at, parted)).otherwise(c)
+
+    return T.bind(F.split(c, " "), spaced)
 
 
 #: A word of two letters or more, or any other single character.

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import labels as L
+from tessella.functions import noise as N
 
 
 def uses(df, what):
@@ -16,3 +17,13 @@ def test_multi_hot_sorts_once(spark):
     plan = hot._jdf.queryExecution().optimizedPlan().toString()
     # the list is an element of an array that a lambda takes, and no part of the lambda over languages
     assert plan.index("array_sort") < plan.index("array_contains") and "array_contains(array_sort" not in plan
+
+
+def test_noise_hashes_a_word_once(spark):
+    """One hash a word for its case, and none a word for the gap."""
+    df = spark.createDataFrame([("one  two three", "k")], "s string, k string")
+    assert uses(df.select(N.word_casing(F.col("s"), F.col("k"), 0.3, 0.3, 0.1).alias("x")), "md5(") == 1
+    spaced = N.spacing(F.col("s"), F.col("k"), 0.4, 0.5).alias("x")
+    plan = df.select(spaced)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("gap") == 2
+    assert df.select(N.spacing(F.lit(None).cast("string"), F.col("k"), 1.0, 1.0).alias("x")).first().x is None
