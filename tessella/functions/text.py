@@ -78,7 +78,7 @@ def strip_letters(c: Column | str, pattern: Column | str) -> Column:
 
 def strip_symbols(c: Column | str) -> Column:
     """Without symbols beyond ASCII, currency signs apart, and without emoji joiners."""
-    return F.regexp_replace(_c(c), rf"[\p{{S}}&&[^\p{{ASCII}}{CURRENCY}]]|[⃣︎️]", "")
+    return F.regexp_replace(_c(c), rf"[[[^\x00-\x7F]&&[\p{{S}}]&&[^{CURRENCY}]]⃣︎️]+", "")
 
 
 def strip_ascii_words(c: Column | str) -> Column:
@@ -87,7 +87,7 @@ def strip_ascii_words(c: Column | str) -> Column:
 
 def strip_leading_punct(c: Column | str) -> Column:
     """Without leading punctuation, unless it opens with a quote."""
-    return F.regexp_replace(F.regexp_replace(_c(c), rf"^{SPACE}+", ""), rf"^(?![{OPENING_QUOTES}])(?:{SPACE}|\p{{P}})+", "")
+    return F.regexp_replace(F.ltrim(_c(c), F.lit(SPACES)), rf"^(?![{OPENING_QUOTES}])[{SPACE}\p{{P}}]+", "")
 
 
 def strip_list_starters(c: Column | str) -> Column:
@@ -96,12 +96,15 @@ def strip_list_starters(c: Column | str) -> Column:
 
 def strip_leading_orphan(c: Column | str) -> Column:
     """Without a single letter behind opening quotes, punctuation or spaces."""
-    return F.regexp_replace(F.regexp_replace(_c(c), rf"^(?:{SPACE}|[{OPENING_QUOTES},.;:!?…،。！？])+[\p{{L}}\p{{Nl}}\p{{No}}]{SPACE}+", ""), rf"^{SPACE}+", "")
+    return F.ltrim(F.regexp_replace(_c(c), rf"^[{SPACE}{OPENING_QUOTES},.;:!?…،。！？]+[\p{{L}}\p{{Nl}}\p{{No}}]{SPACE}+", ""), F.lit(SPACES))
 
 
 def strip_trailing_orphan(c: Column | str) -> Column:
     """Without a single letter behind punctuation or spaces at the end."""
-    return F.regexp_replace(F.regexp_replace(_c(c), rf"(?:{SPACE}|[,.;:!?…،。！？])+[\p{{L}}\p{{Nl}}\p{{No}}]$", ""), rf"{SPACE}+$", "")
+    # the last four characters tell whether there is one, a line's end included; the search from every space would be dear
+    sign, letter = f"[{SPACE},.;:!?…،。！？]", r"[\p{L}\p{Nl}\p{No}]$"
+    cut = F.when(F.substring(_c(c), -4, 4).rlike(f"{sign}{letter}"), F.regexp_replace(_c(c), f"{sign}+{letter}", "")).otherwise(_c(c))
+    return F.rtrim(cut, F.lit(SPACES))
 
 
 def strip_markup(c: Column | str) -> Column:
@@ -231,7 +234,8 @@ def expand_wrapped(c: Column | str) -> Column:
 
 def clean_formula(c: Column | str) -> Column:
     """A formula without dollar signs and display wrappers."""
-    return trim(collapse_spaces(F.regexp_replace(_c(c), r"\$+|\\[\[\]()]", "")))
+    marked = F.contains(_c(c), F.lit("$")) | F.contains(_c(c), F.lit("\\"))
+    return trim(collapse_spaces(F.when(marked, F.regexp_replace(_c(c), r"\$+|\\[\[\]()]", "")).otherwise(_c(c))))
 
 
 def rot13(c: Column | str) -> Column:
@@ -250,7 +254,7 @@ def strip_accents(c: Column | str) -> Column:
 
 
 def strip_terminal_punct(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), rf"(?:\p{{P}}|{SPACE})+$", "")
+    return F.regexp_replace(_c(c), rf"(?<![{SPACE}\p{{P}}])[{SPACE}\p{{P}}]++$", "")
 
 
 def phrase_key(c: Column | str) -> Column:

@@ -88,3 +88,24 @@ def test_dims(spark):
     assert set(dims.GROUP_OF) == set(dims.LANGUAGES)
     df = spark.createDataFrame([("ENG",), ("nn",), ("zz",)], "lang string")
     assert [r.lang for r in dims.with_canonical(df).collect()] == ["en", "no", "zz"]
+
+
+def test_edges_like_the_plain_patterns(spark):
+    """Cheap tests before a pattern, and trims, leave what the plain patterns leave."""
+    import random
+
+    rng = random.Random(5)
+    signs = ["a", "B", "é", "ß", "Ⅳ", "²", " ", "\t", "\n", "\r\n", " ", " ", ".", "…", "“", "'", "-", "$", "\\[", "€", "☃", "‍", "⃣", "+", "1"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    S, Q, L, E = T.SPACE, T.OPENING_QUOTES, r"[\p{L}\p{Nl}\p{No}]", "[,.;:!?…،。！？]"
+    gone = lambda c, p: F.regexp_replace(c, p, "")
+    plain = {
+        "strip_trailing_orphan": gone(gone("s", rf"(?:{S}|{E})+{L}$"), rf"{S}+$"), "strip_leading_orphan": gone(gone("s", rf"^(?:{S}|[{Q},.;:!?…،。！？])+{L}{S}+"), rf"^{S}+"),
+        "strip_leading_punct": gone(gone("s", rf"^{S}+"), rf"^(?![{Q}])(?:{S}|\p{{P}})+"), "strip_terminal_punct": gone("s", rf"(?:\p{{P}}|{S})+$"), "strip_symbols": gone("s", rf"[\p{{S}}&&[^\p{{ASCII}}{T.CURRENCY}]]|[⃣︎️]"),
+        "clean_formula": T.trim(T.collapse_spaces(gone("s", r"\$+|\\[\[\]()]"))),
+    }
+    for name, want in plain.items():
+        assert df.where(~getattr(T, name)("s").eqNullSafe(want)).select("s").limit(3).collect() == [], name
+    # the search for a letter at the end only runs where there is one
+    assert df.limit(1).select(T.strip_trailing_orphan("s").alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") == 1
