@@ -11,6 +11,7 @@ from tessella.functions import text as T
 from tessella.functions.dims import GROUP_OF, LANGUAGES, lang_dim, with_canonical, with_lang
 from tessella.operators import dedupe, lexicon, pools, reports, synth
 from tessella.plans import flows
+from tessella.sources import stores
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -152,7 +153,8 @@ h AS (SELECT s.lang, t.lang AS leak_lang, len(list_filter(w, lambda x: list_cont
 SELECT lang, leak_lang, count(*) AS n FROM h WHERE hits >= 3 AND hits >= 0.35 * alpha AND alpha >= 4 GROUP BY ALL""")
 def major_latin_hits(spark, sf_dir):
     """Sentences that read like another major language, by its forty commonest words (three languages: three literal lists)."""
-    counts = lexicon.word_counts(docs(spark, sf_dir).where(F.col("lang").isin("de", "es", "fr")), "text")
+    # written once, as each of the three lists is collected from it
+    counts = stores.materialized(lexicon.word_counts(docs(spark, sf_dir).where(F.col("lang").isin("de", "es", "fr")), "text"), "counts")
     lists = F.array(*(F.struct(F.lit(k).alias("leak_lang"), flows.word_array(counts, k, 40).alias("ws")) for k in ("de", "es", "fr")))
     rows = sentences(spark, sf_dir).select("lang", T.alpha_count("sentence").alias("alpha"), F.transform(T.words("sentence"), F.lower).alias("w")).where("alpha >= 4")
     hits = rows.select("lang", "alpha", "w", F.inline(lists)).where(F.col("lang") != F.col("leak_lang")).withColumn("hits", filters.hits_in(F.col("w"), F.col("ws")))
