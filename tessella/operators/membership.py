@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from tessella.functions import filters
 from tessella.functions import text as T
+from tessella.sources.stores import materialized
 
 #: Bits of the filter, 8 MB at most; bits of one row of it, as Spark's bitmap functions have them.
 BITS, BUCKET = 1 << 26, 32_768
@@ -32,17 +33,19 @@ def _bit(word: Column) -> Column:
 
 
 def bloom(words: DataFrame) -> DataFrame:
-    """(_bucket, _bitmap) of a column word: at most BITS / BUCKET rows."""
+    """(_bucket, _longs) of a column word: at most BITS / BUCKET rows, of 64 bits a number, so that a bit is read without text of it."""
     rows = words.select(_bit(F.col("word")).alias("x"))
-    return rows.groupBy(F.bitmap_bucket_number("x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bitmap"))
+    maps = rows.groupBy(F.bitmap_bucket_number("x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bitmap"))
+    number = lambda i: F.conv(F.hex(F.substring("_bitmap", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return maps.select("_bucket", F.transform(F.sequence(F.lit(0), F.lit(BUCKET // 64 - 1)), number).alias("_longs"))
 
 
 def maybe_in(df: DataFrame, bitmap: DataFrame) -> DataFrame:
     """The rows of df whose word may be in the dictionary of a bitmap; none that is in it is lost."""
-    rows = df.withColumn("_bucket", F.bitmap_bucket_number(_bit(F.col("word")))).withColumn("_at", F.bitmap_bit_position(_bit(F.col("word"))))
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
-    return rows.join(F.broadcast(bitmap), "_bucket").where(hit).drop("_bucket", "_at", "_bitmap")
+    rows = df.withColumn("_bit", _bit(F.col("word"))).withColumn("_bucket", F.bitmap_bucket_number("_bit")).withColumn("_at", F.bitmap_bit_position("_bit"))
+    # the first of eight bytes has the highest bits of a number
+    hit = F.expr("getbit(get(_longs, cast(_at div 64 as int)), cast(56 - 8 * (_at div 8 % 8) + _at % 8 as int)) = 1")
+    return rows.join(F.broadcast(bitmap), "_bucket").where(hit).drop("_bit", "_bucket", "_at", "_longs")
 
 
 def with_plurals(words: DataFrame) -> DataFrame:
@@ -70,10 +73,12 @@ def english_leaks(df: DataFrame, key: str, column: str, stop: DataFrame, broad:
     """
     ascii_words = F.regexp_count(F.lower(F.col(column)), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"))
     judged = df.where("lang <> 'en'").select(key, column, "lang", "min_stop", "secondary", "min_hits", "min_hit_share", "min_ascii_share", T.alpha_count(column).alias("_alpha"), ascii_words.alias("_ascii"))
-    judged = judged.where("_alpha >= 4 and _ascii >= 0.70 * _alpha")
+    # written, as it is read for the hits of either dictionary and for what they are joined to
+    judged = materialized(judged.where("_alpha >= 4 and _ascii >= 0.70 * _alpha"), "judged")
     first = word_hits(judged, key, column, stop).withColumnRenamed("hits", "_hits")
     found = judged.join(first, key).where(F.col("_hits") >= F.coalesce("min_stop", F.lit(3)))
     if broad is not None:
+        found = materialized(found, "stopped")
         wide = word_hits(found, key, column, with_plurals(broad)).withColumnRenamed("hits", "_wide")
         joint = F.col("_hits") + F.coalesce("_wide", F.lit(0))
         second = (joint >= F.col("min_hits")) & (joint / F.col("_alpha") >= F.col("min_hit_share")) & (F.col("_ascii") / F.col("_alpha") >= F.col("min_ascii_share"))
