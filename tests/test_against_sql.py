@@ -41,3 +41,11 @@ def test_refiltered(spark, folder):
 @pytest.mark.parametrize("name", ["scripted_sentences", "scripted_reasons", "cleaned_examples"])
 def test_scripts(spark, folder, name):
     same(spark, folder, name)
+
+
+def test_words_are_counted_once(spark, folder, monkeypatch):
+    """The three lists are read from written counts."""
+    plans, real = [], queries.flows.word_array
+    monkeypatch.setattr(queries.flows, "word_array", lambda counts, *a: plans.append(counts._jdf.queryExecution().optimizedPlan().toString()) or real(counts, *a))
+    queries.QUERIES["major_latin_hits"](spark, folder)
+    assert len(plans) == 3 and not any("Aggregate" in p for p in plans)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import labels as L
 from tessella.functions import noise as N
+from tessella.operators import membership
 
 
 def uses(df, what):
@@ -27,3 +28,11 @@ def test_noise_hashes_a_word_once(spark):
     plan = df.select(spaced)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and plan.count("gap") == 2
     assert df.select(N.spacing(F.lit(None).cast("string"), F.col("k"), 1.0, 1.0).alias("x")).first().x is None
+
+
+def test_bits_are_read_from_numbers(spark):
+    """No text is made of a bit for every word."""
+    words = spark.createDataFrame([("a",), ("b",)], "word string")
+    some = membership.maybe_in(words, spark.createDataFrame([(1, [0] * 512)], "_bucket long, _longs array<long>"))
+    assert uses(some, "getbit") and not uses(some, "conv(") and not uses(some, "hex(")
+    assert some.columns == ["word"]
