@@ -118,7 +118,10 @@ def paragraphs(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Split behind sentence ends; CJK ends need no space."""
-    return F.filter(F.split(_c(c), rf"(?<=[.!?]){SPACE}+|(?<=[。！？]){SPACE}*"), lambda s: s.rlike(FULL))
+    # without CJK ends every split begins with a space, so that no other place is looked at twice
+    cjk = F.contains(_c(c), F.lit("。")) | F.contains(_c(c), F.lit("！")) | F.contains(_c(c), F.lit("？"))
+    parts = F.when(cjk, F.split(_c(c), rf"(?<=[.!?]){SPACE}+|(?<=[。！？]){SPACE}*")).otherwise(F.split(_c(c), rf"(?s){SPACE}(?<=[.!?].){SPACE}*+"))
+    return F.filter(parts, lambda s: s.rlike(FULL))
 
 
 def split_list(c: Column | str) -> Column:
@@ -137,6 +140,17 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(WORD), F.lit(0))
 
 
+def letter_words(c: Column | str) -> Column:
+    """The runs of letters in lower case, parted by single blanks."""
+    # a blank between two letters stays as it is, which spares most replacements
+    return F.lower(F.btrim(F.regexp_replace(_c(c), r"[^\p{L} ]\P{L}*+| \P{L}++", " "), F.lit(" ")))
+
+
+def first_letter_words(c: Column | str, n: int) -> Column:
+    """The first n runs of letters, as letter_words() has them; empty if there are fewer. No more of a text is read."""
+    return letter_words(F.regexp_extract(_c(c), rf"^(?:\P{{L}}*+\p{{L}}++){{{n}}}", 0))
+
+
 def alpha_words(c: Column | str) -> Column:
     return F.filter(words(c), lambda w: w.rlike(r"^\p{L}+$"))
 

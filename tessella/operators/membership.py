@@ -89,16 +89,29 @@ def english_leaks(df: DataFrame, key: str, column: str, stop: DataFrame, broad:
 def phrase_hits(df: DataFrame, key: str, column: str, phrases: DataFrame, most: int = AUTOMATON) -> DataFrame:
     """The keys of df whose text (words parted by single blanks) has a phrase of phrases (phrase, of the same form) at word boundaries."""
     known = phrases.select("phrase").where("phrase <> ''").distinct()
-    size = known.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("n"), F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(0)).alias("words")).first()
+    # how many words phrases have: a number for each length that occurs
+    size = known.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("n"), F.collect_set(F.size(F.split("phrase", " "))).alias("lengths")).first()
     if size["n"] <= most:
         return _by_automaton(df, key, column, [r["phrase"] for r in known.collect()])
-    words = F.split(column, " ")
-    parts = lambda i: F.transform(F.sequence(i, F.least(F.size("_w"), i + size["words"] - 1)), lambda j: F.array_join(F.slice("_w", i, j - i + 1), " "))
-    rows = df.select(key, words.alias("_w")).where("size(_w) > 0").select(key, F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), parts)))).alias("word"))
-    rows = maybe_in(rows, bloom(known.select(F.col("phrase").alias("word"))))
+    if not size["lengths"]:
+        return df.select(key).limit(0)
+    least, lengths = min(size["lengths"]), sorted(size["lengths"])
+    first = lambda c, n: F.substring_index(c, " ", n)
+    # one row for each word, with what follows it up to the longest phrase; most go no further than the words that phrases begin with
+    rows = df.select(key, F.explode(word_sequences(column, least, lengths[-1])).alias("_s")).withColumn("word", first("_s", least))
+    rows = maybe_in(rows, bloom(known.select(first("phrase", least).alias("word"))))
+    if len(lengths) > 1:
+        rows = rows.withColumn("_n", F.size(F.split("_s", " "))).select(key, F.explode(F.array_compact(F.array(*(F.when(F.col("_n") >= n, first("_s", n)) for n in lengths)))).alias("word"))
+        rows = maybe_in(rows, bloom(known.select(F.col("phrase").alias("word"))))
     return rows.join(known, F.col("word") == F.col("phrase"), "left_semi").select(key).distinct()
 
 
+def word_sequences(c: Column | str, least: int, most: int) -> Column:
+    """For each word of a text (words parted by single blanks) the sequence of most words that begins with it, or of fewer at the end, but least."""
+    # a match takes a word and looks at the sequence ahead, so that no lists are cut and joined
+    return F.regexp_extract_all(T._c(c), F.lit(rf"(?=([^ ]++(?: [^ ]++){{{least - 1},{most - 1}}}))[^ ]++"), F.lit(1))
+
+
 def _by_automaton(df: DataFrame, key: str, column: str, phrases: list[str]) -> DataFrame:
     import ahocorasick
 

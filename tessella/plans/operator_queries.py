@@ -194,10 +194,10 @@ w AS (SELECT doc_id, no, list_transform(regexp_extract_all(sentence, '\\p{{L}}+'
 SELECT DISTINCT doc_id, no, how FROM g JOIN p USING (phrase), (SELECT unnest(['automaton', 'join']) AS how)""")
 def phrase_sentences(spark, sf_dir):
     """Sentences with the first words of any document in them, by an automaton and by a join."""
-    letters = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0)), F.lower)
-    begins = docs(spark, sf_dir).select("doc_id", letters("text").alias("ws")).where(F.size("ws") >= 3)
-    phrases = stores.materialized(begins.select(F.array_join(F.slice("ws", F.lit(1), (2 + F.col("doc_id") % 2).cast("int")), " ").alias("phrase")).distinct(), "phrases")
-    rows = sentences(spark, sf_dir).select(F.struct("doc_id", "no").alias("key"), F.array_join(letters("sentence"), " ").alias("s"))
+    begins = docs(spark, sf_dir).select("doc_id", T.first_letter_words("text", 3).alias("ws")).where("ws <> ''")
+    phrases = stores.materialized(begins.select(F.call_function("substring_index", "ws", F.lit(" "), (2 + F.col("doc_id") % 2).cast("int")).alias("phrase")).distinct(), "phrases")
+    # written once, as either way reads it
+    rows = stores.materialized(sentences(spark, sf_dir).select(F.struct("doc_id", "no").alias("key"), T.letter_words("sentence").alias("s")), "letters")
     by = lambda how, most: membership.phrase_hits(rows, "key", "s", phrases, most).select("key.*", F.lit(how).alias("how"))
     return by("automaton", membership.AUTOMATON).unionByName(by("join", 0))
 

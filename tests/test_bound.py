@@ -36,3 +36,13 @@ def test_bits_are_read_from_numbers(spark):
     some = membership.maybe_in(words, spark.createDataFrame([(1, [0] * 512)], "_bucket long, _longs array<long>"))
     assert uses(some, "getbit") and not uses(some, "conv(") and not uses(some, "hex(")
     assert some.columns == ["word"]
+
+
+def test_phrases_cut_no_lists(spark):
+    """Sequences of words are read off the text, one row a word, and only as long as phrases are."""
+    df = spark.createDataFrame([(1, "a b c d"), (2, "b"), (3, ""), (4, None), (5, "c d"), (6, "x a"), (7, "ab c")], "i long, s string")
+    known = spark.createDataFrame([("a b",), ("b c d",)], "phrase string")
+    hits = membership.phrase_hits(df, "i", "s", known, 0)
+    assert [r.i for r in hits.collect()] == [1] and not uses(hits, "array_join(") and not uses(hits, "slice(")
+    found = df.orderBy("i").select(membership.word_sequences("s", 2, 3).alias("x")).collect()
+    assert [r.x for r in found] == [["a b c", "b c d", "c d"], [], [], None, ["c d"], ["x a"], ["ab c"]]

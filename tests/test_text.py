@@ -109,3 +109,17 @@ def test_edges_like_the_plain_patterns(spark):
         assert df.where(~getattr(T, name)("s").eqNullSafe(want)).select("s").limit(3).collect() == [], name
     # the search for a letter at the end only runs where there is one
     assert df.limit(1).select(T.strip_trailing_orphan("s").alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") == 1
+
+
+def test_letter_words_and_sentences_match_the_plain_patterns(spark):
+    """Odd texts: runs of letters one by one, and the split that looks behind at every place."""
+    import random
+
+    pieces = ["a", "Σ", "ΑΣ", "İ", "ß", "é", "1", "_", ".", "!", "?", " ", "  ", "\n", " ", " ", "。", "！", "'", "-", "𝒜", "漢", "\x85", "\t"]
+    rng = random.Random(3)
+    df = spark.createDataFrame([("".join(rng.choice(pieces) for _ in range(rng.randrange(14))),) for _ in range(4000)] + [(None,)], "s string")
+    words = F.transform(F.regexp_extract_all("s", F.lit(r"\p{L}+"), F.lit(0)), F.lower)
+    first = F.when(F.size(words) >= 3, F.array_join(F.slice(words, 1, 3), " ")).otherwise("")
+    split = F.filter(F.split("s", rf"(?<=[.!?]){T.SPACE}+|(?<=[。！？]){T.SPACE}*"), lambda s: s.rlike(T.FULL))
+    rows = df.select("s", F.array_join(words, " ").alias("a"), T.letter_words("s").alias("b"), first.alias("c"), F.coalesce(T.first_letter_words("s", 3), F.lit("")).alias("d"), split.alias("e"), T.sentences("s").alias("f")).collect()
+    assert [r for r in rows if (r.a, r.c, r.e) != (r.b, r.d, r.f)] == []
