@@ -36,13 +36,14 @@ def reserve_size(n: Column, source: Column | str) -> Column:
     return out.cast("long")
 
 
-def split_by_hash(df: DataFrame, seed: int = 42, workers: int = 8) -> DataFrame:
+def split_by_hash(df: DataFrame, seed: int = 42, workers: int = 8, totals: DataFrame | None = None) -> DataFrame:
     """df of (source, lang, sentence) with pool ('reserved' or 'main') and bucket.
 
     A row is reserved if its hash modulo the language's rows is below the reserve size, so the split needs counts only.
-    Rows emptied by normalisation are dropped after counting.
+    Rows emptied by normalisation are dropped after counting. totals has (source, lang, total), where rows are counted already.
     """
-    n = df.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("total")).withColumn("reserve_n", reserve_size(F.col("total"), "source"))
+    totals = df.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("total")) if totals is None else totals
+    n = totals.withColumn("reserve_n", reserve_size(F.col("total"), "source"))
     h = key_hash(seed, "source", "lang", "sentence")
     out = df.join(F.broadcast(n), ["source", "lang"]).withColumn("_h", h)
     out = out.withColumn("pool", F.when(F.pmod("_h", F.col("total")) < F.col("reserve_n"), "reserved").otherwise("main"))
@@ -65,30 +66,33 @@ SLICES = 1 << 10
 
 
 def _sliced(df: DataFrame, seed: int, by: tuple[str, ...]) -> DataFrame:
-    return df.withColumn("_h", key_hash(seed, *by, "sentence")).withColumn("_slice", F.floor(F.col("_h") / ((1 << 32) // SLICES)))
+    # never null, and said to be, as a join would hash every row once more to leave nulls out
+    return df.withColumn("_h", key_hash(seed, *by, "sentence")).withColumn("_slice", F.coalesce(F.floor(F.col("_h") / ((1 << 32) // SLICES)), F.lit(0)))
 
 
-def slice_counts(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang")) -> DataFrame:
-    """(*by, _slice, _n): rows of each pool by range of their hashes: at most SLICES rows a pool."""
-    return _sliced(df, seed, by).groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+def slice_counts(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang"), per: tuple[str, ...] = ()) -> DataFrame:
+    """(*per, *by, _slice, _n): rows of each pool by range of their hashes, and by other columns: at most SLICES rows a pool for each of their values."""
+    return _sliced(df, seed, by).groupBy(*per, *by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def numbered(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang"), upto: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+def numbered(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("pool", "lang"), upto: DataFrame | None = None, counts: DataFrame | None = None, repeated: bool = False) -> DataFrame:
     """df with idx, the row's place in its pool by hash, from 0.
 
     Places come from counts per hash range (counts, where slice_counts() has been called before) and a row number inside
     each range, so no pool is sorted by one task. With upto (*by, most), only ranges that begin below most are numbered:
-    rows beyond them stay in their task, and the numbers of the others are the same.
+    rows beyond them stay in their task, and the numbers of the others are the same. Where rows are repeated, equal ones
+    count as one, as they do in counts; with upto only those of the ranges meet.
     """
-    counts = slice_counts(df, seed, by) if counts is None else counts
+    once = lambda rows: rows.distinct() if repeated else rows
+    counts = slice_counts(once(df), seed, by) if counts is None else counts
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", "sentence"))
     if upto is None:
-        rows = _sliced(df, seed, by).withColumn("_place", place).join(before, [*by, "_slice"])
+        rows = _sliced(once(df), seed, by).withColumn("_place", place).join(before, [*by, "_slice"])
     else:
         # pools and languages times SLICES rows at most
         before = before.join(F.broadcast(upto), list(by)).where("_before < most").drop("most")
-        rows = _sliced(df, seed, by).join(F.broadcast(before), [*by, "_slice"]).withColumn("_place", place)
+        rows = once(_sliced(df, seed, by).join(F.broadcast(before), [*by, "_slice"])).withColumn("_place", place)
     return rows.withColumn("idx", (F.col("_before") + F.col("_place") - 1).cast("long")).drop("_h", "_slice", "_before", "_place")
 
 

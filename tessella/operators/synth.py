@@ -258,10 +258,17 @@ def documents(wanted: DataFrame, pool: DataFrame, seed: int = 0, tokenizer=L.tok
     return done.withColumn("m", made).select("doc", "kind", "original_text", "tokens", "ner_tags", "m.*")
 
 
-def build(sentences: DataFrame, total: int, seed: int = 42) -> DataFrame:
-    """Synthetic examples from (source, lang, sentence): pools, plans for every kind, and documents."""
-    split = pools.split_by_hash(sentences, seed)
-    slices = materialized(pools.slice_counts(split, seed), "slices")
+def build(sentences: DataFrame, total: int, seed: int = 42, repeated: bool = False) -> DataFrame:
+    """Synthetic examples from (source, lang, sentence): pools, plans for every kind, and documents.
+
+    Where sentences are repeated, equal rows count as one. All of them meet only to be counted; those that can be drawn,
+    a bounded part, meet once more.
+    """
+    rows = sentences.select("source", "lang", "sentence")
+    split = pools.split_by_hash(rows.distinct() if repeated else rows, seed)
+    counted = materialized(pools.slice_counts(split, seed, per=("source",)), "counted")
+    split = pools.split_by_hash(rows, seed, totals=counted.groupBy("source", "lang").agg(F.sum("_n").alias("total")))
+    slices = materialized(counted.groupBy("pool", "lang", "_slice").agg(F.sum("_n").alias("_n")), "slices")
     supply = materialized(slices.groupBy("pool", "lang").agg(F.sum("_n").alias("n")), "supply")
     known = F.array(*map(F.lit, sorted(r["lang"] for r in supply.select("lang").distinct().where(F.col("lang").isin(*LANGUAGES)).collect())))  # languages: at most 105
     wanted, counts = None, targets(total)
@@ -274,7 +281,7 @@ def build(sentences: DataFrame, total: int, seed: int = 42) -> DataFrame:
     wanted = materialized(wanted, "demands")
     # no more than this can be drawn, however often documents are drawn anew
     upto = wanted.groupBy("pool", "lang").agg((F.sum("n") * RETRIES).alias("most"))
-    pool = materialized(pools.numbered(split, seed, upto=upto, counts=slices).select("pool", "lang", "idx", "sentence"), "pool")
+    pool = materialized(pools.numbered(split, seed, upto=upto, counts=slices, repeated=repeated).select("pool", "lang", "idx", "sentence"), "pool")
     return documents(wanted, pool, seed)
 
 

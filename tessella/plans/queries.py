@@ -439,8 +439,7 @@ def pool_normalized(spark, sf_dir):
 
 
 def synthetic(spark, sf_dir):
-    rows = dedupe.first_wins(sentences(spark, sf_dir).select(F.lit("wiki").alias("source"), "lang", "pos", "sentence"), ["lang", "sentence"], ["pos"])
-    return synth.build(rows.drop("pos"), 400)
+    return synth.build(sentences(spark, sf_dir).select(F.lit("wiki").alias("source"), "lang", "sentence"), 400, repeated=True)
 
 
 @query()

@@ -54,3 +54,19 @@ def test_numbering_of_a_part_of_the_pools(spark):
     part = {(r.pool, r.lang, r.idx): r.sentence for r in pools.numbered(df, upto=upto, counts=pools.slice_counts(df)).collect()}
     assert all(whole[k] == v for k, v in part.items()) and len(part) < 1000
     assert {("main", "en", i) for i in range(500)} | {("reserved", "de", i) for i in range(3)} <= set(part)
+
+
+def test_repeated_rows_count_once(spark):
+    """Documents of rows that are repeated are those of the rows without repeats; all rows meet once, to be counted."""
+    from tessella.operators import synth
+
+    rows = [("wiki", lang, f"Sentence {i} of language {lang} goes on.") for lang in ("en", "de", "fr") for i in range(150)]
+    make = lambda r, **k: sorted(map(str, synth.build(spark.createDataFrame(r, "source string, lang string, sentence string"), 40, **k).collect()))
+    assert make(rows + rows[::2] + rows[::3], repeated=True) == make(rows)
+
+
+def test_rows_are_hashed_once_for_their_ranges(spark):
+    df = spark.createDataFrame([("main", "en", "a")], "pool string, lang string, sentence string")
+    joined = pools._sliced(df, 1, ("pool", "lang")).join(F.broadcast(pools.slice_counts(df, 1)), ["pool", "lang", "_slice"])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "md5" in line for line in plan.splitlines())
