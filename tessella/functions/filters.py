@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,15 +85,27 @@ def english_leak(c: Column | str, stop: Column, broad: Column | None = None) ->
     return F.coalesce(F.when(F.col("lang") != "en", T.bind(counts, both)), F.lit(False))
 
 
-def major_latin_leak(c: Column | str, lexicon: Column) -> Column:
+def major_latin_leak(c: Column | str, lexicon: Column | dict[str, list[str]]) -> Column:
     """Three words or more, and 35 % or more of the words of letters, from another major language's lexicon (a map language -> words)."""
+    if isinstance(lexicon, dict):
+        enough = lambda n, alpha: (n >= 3) & (n >= 0.35 * alpha)
+        of = lambda k, known, alpha: (F.lit(k) != F.col("lang")) & T.bind(hits_in(known, lexicon[k]), lambda n: enough(n, alpha))
+        some = lambda known, alpha: reduce(lambda a, b: a | b, (of(k, known, alpha) for k in lexicon), F.lit(False))
+        # words of any lexicon first: few are left for each of them, and sentences with fewer than three need no count of theirs
+        among = lambda words: T.bind(F.filter(words, lambda w: is_in(w, sorted({x for v in lexicon.values() for x in v}))), lambda known: F.when(F.size(known) >= 3, T.bind(T.alpha_in(c, words), lambda alpha: (alpha >= 4) & some(known, alpha))))
+        return F.coalesce(F.when(F.col("leak_check"), T.bind(F.transform(T.words(c), F.lower), among)), F.lit(False))
     leaks = lambda words, alpha: F.exists(F.map_keys(lexicon), lambda k: (k != F.col("lang")) & T.bind(hits_in(words, lexicon[k]), lambda n: (n >= 3) & (n >= 0.35 * alpha)))
     judged = lambda words: T.bind(T.alpha_count(c), lambda alpha: (alpha >= 4) & leaks(words, alpha))
     return F.coalesce(F.col("leak_check") & T.bind(F.transform(T.words(c), F.lower), judged), F.lit(False))
 
 
-def hits_in(words: Column, among: Column) -> Column:
-    return F.size(F.filter(words, lambda w: F.array_contains(among, w)))
+def is_in(word: Column, among: Column | list[str]) -> Column:
+    """Whether a word is one of some: of a list by its hash, of an array by comparison with one after the other."""
+    return word.isin(among) if isinstance(among, list) else F.array_contains(among, word)
+
+
+def hits_in(words: Column, among: Column | list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: is_in(w, among)))
 
 
 def titlecase_shape(c: Column | str) -> Column:

@@ -160,6 +160,11 @@ def alpha_count(c: Column | str) -> Column:
     return F.regexp_count(_c(c), F.lit(r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{N}_])"))
 
 
+def alpha_in(c: Column | str, words_: Column) -> Column:
+    """alpha_count() of a text whose words are known: all of them, where it has no digit and no underscore."""
+    return F.when(_c(c).rlike(r"[\p{N}_]"), alpha_count(c)).otherwise(F.size(words_))
+
+
 def visible_chars(c: Column | str) -> Column:
     return F.length(F.regexp_replace(_c(c), r"[^\p{L}\p{N}]", ""))
 

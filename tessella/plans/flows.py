@@ -14,10 +14,16 @@ from tessella.operators import dedupe, lexicon, reports, synth
 from tessella.sources import corpora, stores
 
 
-def word_array(counts: DataFrame, lang: str, top: int) -> Column:
-    """The top words of a language as a literal array; top bounds it."""
+def top_words(counts: DataFrame, lang: str, top: int) -> list[str]:
+    """The top words of a language; top bounds them."""
     rows = lexicon.lexicon(counts.where(F.col("lang") == lang), top).collect()
-    return F.array(*(F.lit(r["word"]) for r in sorted(rows, key=lambda r: r["rank"]))) if rows else F.array().cast("array<string>")
+    return [r["word"] for r in sorted(rows, key=lambda r: r["rank"])]
+
+
+def word_array(counts: DataFrame, lang: str, top: int) -> Column:
+    """The top words of a language as a literal array."""
+    words = top_words(counts, lang, top)
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
 def clean_funnel(docs: DataFrame) -> DataFrame:

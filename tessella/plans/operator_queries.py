@@ -156,8 +156,8 @@ def english_leak_policy(spark, sf_dir):
 SELECT lang, count(*) FILTER (WHERE alpha >= 4 AND hits >= 3 AND hits >= 0.35 * alpha) AS n_leaks FROM h GROUP BY lang""")
 def major_latin_leaks(spark, sf_dir):
     """The rule itself, by lexicons of three languages; sentences count as Swahili."""
-    counts = stores.materialized(lexicon.word_counts(docs(spark, sf_dir), "text"), "counts")
-    lists = F.create_map(*(x for k in ("de", "es", "fr") for x in (F.lit(k), flows.word_array(counts, k, 40))))
+    counts = stores.materialized(lexicon.word_counts(docs(spark, sf_dir).where(F.col("lang").isin("de", "es", "fr")), "text"), "counts")
+    lists = {k: flows.top_words(counts, k, 40) for k in ("de", "es", "fr")}
     rows = with_lang(sentences(spark, sf_dir).select(F.col("lang").alias("own"), F.lit("sw").alias("lang"), "sentence"))
     rows = rows.select("own", filters.major_latin_leak("sentence", lists).alias("leak"))
     return rows.groupBy(F.col("own").alias("lang")).agg(F.count_if("leak").alias("n_leaks"))
