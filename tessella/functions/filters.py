@@ -67,22 +67,37 @@ def stem_candidates(word: Column) -> Column:
     return F.array(word, F.when(word.endswith("s"), F.regexp_replace(word, "s$", "")), F.when(word.endswith("ies") & (F.length(word) > 3), F.regexp_replace(word, "ies$", "y")))
 
 
-def english_leak(c: Column | str, stop: Column, broad: Column | None = None) -> Column:
-    """Reads like English though it should not: stop and broad are arrays of lower-case words (bounded, literal or broadcast).
+def stem_in(word: Column, among: Column | list[str]) -> Column:
+    """Whether a word, or what it would be without a plural ending, is one of some."""
+    if not isinstance(among, list):
+        return F.arrays_overlap(stem_candidates(word), among)
+    cut = lambda n, ending: F.concat(F.substring(word, F.lit(1), F.length(word) - n), F.lit(ending))
+    return is_in(word, among) | (word.endswith("s") & is_in(cut(1, ""), among)) | (word.endswith("ies") & (F.length(word) > 3) & is_in(cut(3, "y"), among))
+
+
+def english_leak(c: Column | str, stop: Column | list[str], broad: Column | list[str] | None = None) -> Column:
+    """Reads like English though it should not: stop and broad are lower-case words (bounded): lists, or arrays, literal or broadcast.
 
     With broad, the language's policy on joint hits applies where its ``secondary`` flag is set.
     """
-    def both(n: Column) -> Column:
-        words = F.transform(T.words(c), F.lower)
-        first = F.when((n["alpha"] >= 4) & (n["ascii"] >= 0.70 * n["alpha"]), hits_in(words, stop) >= F.coalesce("min_stop", F.lit(3))).otherwise(F.lit(False))
+    def hit(words: Column, n: Column) -> Column:
+        enough = lambda hits: hits >= F.coalesce("min_stop", F.lit(3))
         if broad is None:
-            return first
-        joint = T.bind(words, lambda w: hits_in(w, stop) + F.size(F.filter(w, lambda x: F.arrays_overlap(stem_candidates(x), broad))))
-        second = T.bind(joint, lambda j: (j >= F.col("min_hits")) & (j / n["alpha"] >= F.col("min_hit_share")) & (n["ascii"] / n["alpha"] >= F.col("min_ascii_share")))
-        return F.when(first, ~F.coalesce("secondary", F.lit(True)) | second).otherwise(F.lit(False))
+            return enough(hits_in(words, stop))
+
+        def second(hits: Column) -> Column:
+            joint = hits + F.size(F.filter(words, lambda x: stem_in(x, broad)))
+            return T.bind(joint, lambda j: (j >= F.col("min_hits")) & (j / n["alpha"] >= F.col("min_hit_share")) & (n["ascii"] / n["alpha"] >= F.col("min_ascii_share")))
+
+        return T.bind(hits_in(words, stop), lambda hits: F.when(enough(hits), ~F.coalesce("secondary", F.lit(True)) | second(hits)).otherwise(F.lit(False)))
+
+    # the words are taken out once, and in lower case only where they are looked up; in a text of ASCII all words of letters are
+    def judged(words: Column) -> Column:
+        ascii_ = lambda alpha: F.when(F.octet_length(T._c(c)) == F.length(T._c(c)), alpha).otherwise(F.regexp_count(F.lower(T._c(c)), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])")))
+        both = lambda n: F.when((n["alpha"] >= 4) & (n["ascii"] >= 0.70 * n["alpha"]), T.bind(F.transform(words, F.lower), lambda w: hit(w, n))).otherwise(F.lit(False))
+        return T.bind(T.alpha_in(c, words), lambda alpha: F.when(alpha >= 4, T.bind(F.struct(alpha.alias("alpha"), ascii_(alpha).alias("ascii")), both)))
 
-    counts = F.struct(T.alpha_count(c).alias("alpha"), F.regexp_count(F.lower(T._c(c)), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])")).alias("ascii"))
-    return F.coalesce(F.when(F.col("lang") != "en", T.bind(counts, both)), F.lit(False))
+    return F.coalesce(F.when(F.col("lang") != "en", T.bind(T.words(c), judged)), F.lit(False))
 
 
 def major_latin_leak(c: Column | str, lexicon: Column | dict[str, list[str]]) -> Column:

@@ -146,9 +146,9 @@ h AS (SELECT a.*, len(list_filter(w, lambda x: list_contains({STOPS!r}, x))) AS
 SELECT lang, count(*) AS n, count(*) FILTER (WHERE alpha >= 4 AND hits >= 1 AND ascii >= 0.7 * alpha AND hits + wide >= 2 AND (hits + wide) / alpha >= 0.35 AND ascii / alpha >= 0.75) AS n_leaks FROM h GROUP BY lang""")
 def english_leak_policy(spark, sf_dir):
     """The rule of minor Latin languages, with a wide list of English words; sentences count as Swahili."""
-    counts = stores.materialized(lexicon.word_counts(docs(spark, sf_dir), "text"), "counts")
+    counts = stores.materialized(lexicon.word_counts(docs(spark, sf_dir).where("lang = 'en'"), "text"), "counts")
     rows = with_lang(sentences(spark, sf_dir).select(F.col("lang").alias("own"), F.lit("sw").alias("lang"), "sentence"))
-    rows = rows.select("own", filters.english_leak("sentence", stop_words(), flows.word_array(counts, "en", 60)).alias("leak"))
+    rows = rows.select("own", filters.english_leak("sentence", STOPS, flows.top_words(counts, "en", 60)).alias("leak"))
     return rows.groupBy(F.col("own").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.count_if("leak").alias("n_leaks"))
 
 

@@ -46,3 +46,27 @@ def test_phrases_cut_no_lists(spark):
     assert [r.i for r in hits.collect()] == [1] and not uses(hits, "array_join(") and not uses(hits, "slice(")
     found = df.orderBy("i").select(membership.word_sequences("s", 2, 3).alias("x")).collect()
     assert [r.x for r in found] == [["a b c", "b c d", "c d"], [], [], None, ["c d"], ["x a"], ["ab c"]]
+
+
+LEAKS = ["the of and to in that is was", "das ist der Hund und die Katze", "Das İst der Straße_1 und die 12", "le la les de chat", "Cities of the cars and flies", "the_of and 1 the of is", "", "der die das", "ΑΣ of the and it", "É the of and in to", None]
+
+
+def test_words_are_looked_up_by_hash(spark):
+    """Lists of words give what arrays give, and no word is compared with one after the other."""
+    from tessella.functions import filters
+    from tessella.functions.dims import with_lang
+
+    df = with_lang(spark.createDataFrame([(i, lang, s) for i, s in enumerate(LEAKS) for lang in ("sw", "en", "de", "fr")], "i int, lang string, s string"))
+    arr = lambda words: F.array(*map(F.lit, words))
+    stop, broad = "the of and to in that is was for it with as".split(), ["city", "car", "fly", "the"]
+    lexicon = {"de": "der die das ist und".split(), "fr": "le la les de et".split()}
+    as_map = F.create_map(*(x for k, v in lexicon.items() for x in (F.lit(k), arr(v))))
+    for lists, arrays in (
+        (filters.english_leak("s", stop), filters.english_leak("s", arr(stop))), (filters.english_leak("s", stop, broad), filters.english_leak("s", arr(stop), arr(broad))),
+        (filters.major_latin_leak("s", lexicon), filters.major_latin_leak("s", as_map)),
+    ):
+        rows = df.select("i", "lang", lists.alias("a"), arrays.alias("b"))
+        got = rows.collect()
+        assert [r for r in got if r.a != r.b] == [] and {r.a for r in got} == {True, False}
+        assert not uses(df.select(lists.alias("a")), "array_contains(")
+    assert filters.english_leak("s", []) is not None and {r.a for r in df.select(filters.english_leak("s", [], []).alias("a")).collect()} == {False}
