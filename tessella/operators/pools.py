@@ -170,8 +170,9 @@ def weighted_draws(rows: DataFrame, choices: DataFrame, key: Column, many: str,
 
     Weights are whole numbers above 0. They are laid end to end, a number by key and attempt falls into one of them, and
     values that a row has already are passed over, which is drawing without replacement. A lookup is a join on a cell of
-    the group's weights, which holds about CELL values however many the group has, so no row meets a list of words. Rows
-    that lack values after ATTEMPTS draws go into another round. Groups without enough values give all they have.
+    the group's weights, which holds about CELL values however many the group has, so no row meets a list of words. A row
+    is drawn for once more than it lacks values at first, which does for nearly all, and ATTEMPTS times in each round after
+    that, always from the number it has come to. Groups without enough values give all they have.
     """
     laid = dedupe.running_before(choices.select(by, F.col(value).alias("_value"), F.col(weight).cast("long").alias("_w")), [by], ["_value"], "_w")
     laid = stores.materialized(laid, "laid")
@@ -182,7 +183,7 @@ def weighted_draws(rows: DataFrame, choices: DataFrame, key: Column, many: str,
     cells = stores.materialized(cells.select(by, F.explode(F.sequence("_low", "_high")).alias("_cell"), "_before", (F.col("_before") + F.col("_w")).alias("_end"), "_value"), "cells")
     own = F.struct(*rows.columns)
     excluded = F.col(but) if but else F.lit(None).cast("string")
-    now = rows.select(by, own.alias("_row"), key.alias("_key"), F.col(many).alias("_many"), excluded.alias("_but"), F.array().cast("array<string>").alias("_got"))
+    now = rows.select(by, own.alias("_row"), key.alias("_key"), F.col(many).alias("_many"), excluded.alias("_but"), F.array().cast("array<string>").alias("_got"), F.lit(0).alias("_from"))
     # a row's own value is one that can't be drawn
     known = laid.select(by, F.col("_value").alias("_but"), F.lit(1).alias("_in"))
     now = now.join(totals.select(by, "_n"), by, "left").join(known, [by, "_but"], "left")
@@ -194,11 +195,12 @@ def weighted_draws(rows: DataFrame, choices: DataFrame, key: Column, many: str,
         lacking = now.where("size(_got) < _need")
         if lacking.isEmpty():
             return done.select("_row.*", F.col("_got").alias("drawn"))
-        tries = lacking.withColumn("_k", F.explode(F.sequence(F.lit(turn * ATTEMPTS), F.lit(turn * ATTEMPTS + ATTEMPTS - 1)))).join(totals, by)
+        times = F.least(F.col("_need") + 1, F.lit(ATTEMPTS)).cast("int") if turn == 0 else F.lit(ATTEMPTS)
+        tries = lacking.withColumn("_upto", F.col("_from") + times).withColumn("_k", F.explode(F.sequence("_from", F.col("_upto") - 1))).join(totals, by)
         number = T.md5_number52(F.concat_ws("\0", "_key", F.col("_k").cast("string")))
         tries = tries.withColumn("_x", number).withColumn("_x", F.expr("cast(cast(_x as decimal(20,0)) * cast(_total as decimal(18,0)) div 4503599627370496 as long)")).withColumn("_cell", cell("_x"))
         hits = tries.join(cells, [by, "_cell"]).where("_x >= _before and _x < _end")
-        found = hits.groupBy(by, "_key").agg(*(F.first(c).alias(c) for c in ("_row", "_but", "_need", "_got")), F.array_sort(F.collect_list(F.struct("_k", "_value"))).alias("_new"))
+        found = hits.groupBy(by, "_key").agg(*(F.first(c).alias(c) for c in ("_row", "_but", "_need", "_got")), F.first("_upto").alias("_from"), F.array_sort(F.collect_list(F.struct("_k", "_value"))).alias("_new"))
         got = F.array_distinct(F.concat("_got", F.filter(F.transform("_new", lambda x: x["_value"]), lambda v: ~F.coalesce(v == F.col("_but"), F.lit(False)))))
         now = stores.materialized(found.withColumn("_got", F.slice(got, 1, F.col("_need").cast("int"))).drop("_new"), "drawn")
     raise RuntimeError(f"weights are too uneven: some rows lack values after {ROUNDS * ATTEMPTS} draws")

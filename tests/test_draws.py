@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 from itertools import permutations
 
@@ -70,3 +71,25 @@ def test_rows_are_hashed_once_for_their_ranges(spark):
     joined = pools._sliced(df, 1, ("pool", "lang")).join(F.broadcast(pools.slice_counts(df, 1)), ["pool", "lang", "_slice"])
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "md5" in line for line in plan.splitlines())
+
+
+def test_draws_are_few(spark, monkeypatch):
+    """A row is drawn for once more than it lacks at first, and what it gets is what eight draws gave."""
+    written, real = [], pools.stores.materialized
+    monkeypatch.setattr(pools.stores, "materialized", lambda df, name: written.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name))
+    words = spark.createDataFrame([("en", f"w{i}", 1 + i * i) for i in range(9)], "lang string, word string, weight long")
+    rows = words.select("lang", "word", F.lit(3).alias("many"))
+    got = {r.word: r.drawn for r in pools.weighted_draws(rows, words, F.concat_ws("-", "lang", "word"), "many", but="word").collect()}
+    laid, total = [], 0
+    for w, weight in sorted((r.word, r.weight) for r in words.collect()):
+        total += weight
+        laid.append((total, w))
+    for word, drawn in got.items():
+        want, k = [], 0
+        while len(want) < 3:
+            x = int(hashlib.md5(f"en-{word}\0{k}".encode()).hexdigest()[:13], 16) * total >> 52
+            other = next(w for end, w in laid if x < end)
+            want, k = want + [other] * (other != word and other not in want), k + 1
+        assert drawn == want
+    plans = [p for name, p in written if name == "drawn"]
+    assert plans and "sequence(_from" in plans[0] and "_need" in plans[0]
