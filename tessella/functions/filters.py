@@ -143,10 +143,12 @@ def titlecase_entity(c: Column | str, places: Column | None = None) -> Column:
         return F.arrays_overlap(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), upto)), places)
 
     short = lambda s: s["short"] if places is None else s["short"] | T.bind(T.alpha_words(c), has_place)
-    return T.bind(titlecase_shape(c), lambda s: F.when(s["named"], short(s)).otherwise(F.lit(False)))
+    # only minor Latin languages have such names, so other texts aren't taken apart
+    shaped = T.bind(titlecase_shape(c), lambda s: F.when(s["named"], short(s)).otherwise(F.lit(False)))
+    return F.when(F.coalesce("minor_latin", F.lit(False)), shaped).otherwise(F.lit(False))
 
 
-def reject_reason(c: Column | str, stop: Column, broad: Column | None = None, places: Column | None = None, lexicon: Column | None = None) -> Column:
+def reject_reason(c: Column | str, stop: Column | list[str], broad: Column | list[str] | None = None, places: Column | None = None, lexicon: Column | dict[str, list[str]] | None = None) -> Column:
     """Why a sentence is rejected, by the first reason that holds; null for none, and always for English."""
     mixed = has_foreign_letters(c) & ~T.bind(strip_foreign_letters(c), has_own_letters)
     reason = F.when(mixed, "mixed_script").when(titlecase_entity(c, places), "titlecase_entity").when(english_leak(c, stop, broad), "english_leak")

@@ -70,7 +70,7 @@ def refilter(spark: SparkSession, path: str, transform: Callable[[DataFrame], Da
     return counts
 
 
-def leak_filter(stop: Column, **lists: Column) -> Callable[[DataFrame], DataFrame]:
+def leak_filter(stop: Column | list[str], **lists: Column) -> Callable[[DataFrame], DataFrame]:
     """Transform that drops English and major-Latin leaks from stored sentences."""
 
     def transform(df: DataFrame) -> DataFrame:

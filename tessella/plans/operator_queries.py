@@ -657,7 +657,7 @@ def refilter_rejects(spark, sf_dir):
     """What a refilter of leaks rejects, with the place in the store and the reason."""
     path = stores.scratch(spark, "refilter")
     stores.write_sentences(sentences(spark, sf_dir).select("source", "lang", F.col("doc_id").alias("pos"), "sentence"), path)
-    flows.refilter(spark, path, flows.leak_filter(stop_words()), f"{path}.rejected", lambda rows: filters.reject_reason("sentence", stop_words()), F.col("latin"))
+    flows.refilter(spark, path, flows.leak_filter(STOPS), f"{path}.rejected", lambda rows: filters.reject_reason("sentence", STOPS), F.col("latin"))
     return spark.read.parquet(f"{path}.rejected").select("lang", "source_index", md5(F.col("sentence")).alias("sentence"), "reason")
 
 

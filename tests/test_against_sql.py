@@ -49,3 +49,8 @@ def test_words_are_counted_once(spark, folder, monkeypatch):
     monkeypatch.setattr(queries.flows, "word_array", lambda counts, *a: plans.append(counts._jdf.queryExecution().optimizedPlan().toString()) or real(counts, *a))
     queries.QUERIES["major_latin_hits"](spark, folder)
     assert len(plans) == 3 and not any("Aggregate" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["phrase_sentences", "english_leak_policy", "major_latin_leaks", "refilter_rejects", "short_text_examples"])
+def test_leaks_phrases_and_short_texts(spark, folder, name):
+    same(spark, folder, name)

@@ -70,3 +70,15 @@ def test_words_are_looked_up_by_hash(spark):
         assert [r for r in got if r.a != r.b] == [] and {r.a for r in got} == {True, False}
         assert not uses(df.select(lists.alias("a")), "array_contains(")
     assert filters.english_leak("s", []) is not None and {r.a for r in df.select(filters.english_leak("s", [], []).alias("a")).collect()} == {False}
+
+
+def test_names_are_looked_for_in_minor_latin_only(spark):
+    """The words of other texts aren't taken apart."""
+    from tessella.functions import filters
+    from tessella.functions.dims import with_lang
+
+    df = with_lang(spark.createDataFrame([("sw", "San Juan Puerto"), ("de", "San Juan Puerto"), ("xx", "San Juan Puerto")], "lang string, s string"))
+    name = filters.titlecase_entity("s").alias("x")
+    assert {r.lang: r.x for r in df.select("lang", name).collect()} == {"sw": True, "de": False, "xx": False}
+    plan = df.select(name)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("minor_latin") < plan.index("regexp_extract_all")
