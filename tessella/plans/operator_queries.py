@@ -615,7 +615,7 @@ def refiltered(spark, sf_dir):
     stores.write_sentences(sentences(spark, sf_dir).select("source", "lang", F.col("doc_id").alias("pos"), "sentence"), path)
     change = lambda df: df.where(~((F.col("lang") == "de") & (F.length("sentence") < 30))).withColumn("sentence", F.when(F.col("lang") == "fr", F.upper("sentence")).otherwise(F.col("sentence")))
     flows.refilter(spark, path, change)
-    return stores.read_sentences(spark, path).groupBy("lang").agg(F.count_distinct("sentence").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_set("sentence")), "").cast("binary")).alias("digest"))
+    return udfs.text_digests(stores.read_sentences(spark, path), "lang", "sentence")
 
 
 @query(f"""WITH {SENTENCES}, k AS (SELECT source, lang, doc_id AS pos, sentence FROM sentences WHERE lang <> 'de' AND source <> (SELECT min(source) FROM documents))

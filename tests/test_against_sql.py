@@ -38,6 +38,12 @@ def test_refiltered(spark, folder):
     same(spark, folder, "refiltered")
 
 
+def test_refiltered_holds_no_language_whole(spark, folder):
+    """No aggregate collects or joins the sentences of a language."""
+    plan = queries.QUERIES["refiltered"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("collect_set", "collect_list", "listagg", "array_join"))
+
+
 @pytest.mark.parametrize("name", ["scripted_sentences", "scripted_reasons", "cleaned_examples"])
 def test_scripts(spark, folder, name):
     same(spark, folder, name)

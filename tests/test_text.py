@@ -1,7 +1,9 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import dims, filters
+from tessella.functions import dims, filters, udfs
 from tessella.functions import text as T
 
 CASES = [
@@ -123,3 +125,18 @@ def test_letter_words_and_sentences_match_the_plain_patterns(spark):
     split = F.filter(F.split("s", rf"(?<=[.!?]){T.SPACE}+|(?<=[。！？]){T.SPACE}*"), lambda s: s.rlike(T.FULL))
     rows = df.select("s", F.array_join(words, " ").alias("a"), T.letter_words("s").alias("b"), first.alias("c"), F.coalesce(T.first_letter_words("s", 3), F.lit("")).alias("d"), split.alias("e"), T.sentences("s").alias("f")).collect()
     assert [r for r in rows if (r.a, r.c, r.e) != (r.b, r.d, r.f)] == []
+
+
+def test_text_digests(spark, monkeypatch):
+    """Pieces smaller than a text, batches of few rows, ranges with several groups, equal texts, an empty text, a group without name."""
+    monkeypatch.setattr(udfs, "PIECE", 7)
+    groups = {None: ["b", "a", "a"], "de": [f"{i % 37} straße" for i in range(200)], "fr": ["", "é", "z" * 40, "\U0001f600", "\uffff"], "xx": [""], "yy": [None]}
+    df = spark.createDataFrame([(k, t) for k, v in groups.items() for t in v], "g string, t string").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.g: (r.n, r.digest) for r in udfs.text_digests(df, "g", "t").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sets = {k: sorted({t.encode() for t in v if t is not None}) for k, v in groups.items()}
+    assert got == {k: (len(v), hashlib.md5(b"".join(v)).hexdigest()) for k, v in sets.items() if v}
