@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.sources import stores
 
 #: Bytes of a piece of joined texts, at most.
 PIECE = 1 << 20
@@ -112,8 +113,9 @@ def aligned(words: Column, labels: Column, load: Callable[[], Callable[[str], li
 def text_digests(df: DataFrame, by: str, column: str) -> DataFrame:
     """(by, n, digest): the different texts of each group, and the MD5 of all of them joined in order; by is a string column.
 
-    Texts are sorted by range and joined to pieces by many tasks. MD5 takes its input in order, so the pieces of a group go
-    to one task; it streams them and holds a batch at a time, however large the group is.
+    Texts are made distinct and written, then sorted by range and joined to compressed pieces by many tasks. MD5 takes its
+    input in order, so the pieces of a group go to one task; it streams them and holds a batch at a time, however large the
+    group is.
     """
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,18 +124,19 @@ def text_digests(df: DataFrame, by: str, column: str) -> DataFrame:
                 own = batch.filter(pc.equal(batch.column("by"), key) if key.is_valid else pc.is_null(batch.column("by")))
                 data = b"".join(own.column("text").cast(pa.binary()).to_pylist())
                 for at in range(0, max(1, len(data)), PIECE):
-                    yield table(by=[key.as_py()], first=[own.column("id")[0].as_py()], at=[at], n=[0 if at else own.num_rows], data=[data[at : at + PIECE]])
+                    part = data[at : at + PIECE]
+                    yield table(by=[key.as_py()], first=[own.column("id")[0].as_py()], at=[at], n=[0 if at else own.num_rows], size=[len(part)], data=[pa.compress(part, "zstd", asbytes=True)])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[Any] = []  # value, texts and hash of the group that is being read
         for batch in batches:
-            for key, n, data in zip(*batch.columns):
+            for key, n, size, data in zip(*batch.columns):
                 if not found or found[0] != key.as_py():
                     if found:
                         yield result(*found)
                     found = [key.as_py(), 0, hashlib.md5(usedforsecurity=False)]
                 found[1] += n.as_py()
-                found[2].update(data.as_buffer())
+                found[2].update(pa.decompress(data.as_buffer(), size.as_py(), "zstd"))
         if found:
             yield result(*found)
 
@@ -144,8 +147,9 @@ def text_digests(df: DataFrame, by: str, column: str) -> DataFrame:
         kinds = {int: pa.int64(), bytes: pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(type(v[0]), pa.string())) for v in columns.values()], names=list(columns))
 
-    texts = df.where(F.col(column).isNotNull()).select(F.col(by).alias("by"), F.col(column).alias("text")).distinct()
+    with stores.without_leftovers(df.sparkSession):
+        texts = stores.materialized(df.where(F.col(column).isNotNull()).select(F.col(by).alias("by"), F.col(column).alias("text")).distinct(), "texts")
     # a range has few groups, which needn't be apart: sorted by text alone, rows are compared by their first bytes
     texts = texts.repartitionByRange("by", "text").sortWithinPartitions("text").withColumn("id", F.monotonically_increasing_id())
-    pieces = texts.mapInArrow(joined, "by string, first long, at long, n long, data binary")
-    return pieces.repartition("by").sortWithinPartitions("by", "first", "at").select("by", "n", "data").mapInArrow(hashed, f"`{by}` string, n long, digest string")
+    pieces = texts.mapInArrow(joined, "by string, first long, at long, n long, size long, data binary")
+    return pieces.repartition("by").sortWithinPartitions("by", "first", "at").select("by", "n", "size", "data").mapInArrow(hashed, f"`{by}` string, n long, digest string")

@@ -56,6 +56,7 @@ def refilter(spark: SparkSession, path: str, transform: Callable[[DataFrame], Da
     new = store.written(stores.typed(transform(before), stores.SENTENCES))
     among = {k for k in base if k[1] in set(langs)}
     changed = store.replace(new, among, version)
+    store.discard(p for k, p in new.items() if k not in changed)
     if rejected and changed:
         gone = before.where(F.col("lang").isin([lang for _, lang in changed]))
         after = store.read().select("source", "lang", *(c.alias(f"h{i}") for i, c in enumerate(dedupe.digest("sentence"))))
